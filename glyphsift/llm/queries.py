@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, suffix_dedup, token_files
+from . import bpe, simhash, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": suffix_dedup.query,
+        "op6_simhash": simhash.query,
         "op7_token_files": token_files.query,
         "op10_bpe": bpe.query,
     }
