@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, suffix_dedup, token_files
+from . import bpe, language_id, quality, simhash, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": suffix_dedup.query,
+        "op3_quality_rules": quality.query,
         "op6_simhash": simhash.query,
         "op7_token_files": token_files.query,
+        "op8_language_id": language_id.query,
         "op10_bpe": bpe.query,
     }
 
