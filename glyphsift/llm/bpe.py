@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from .common import byte_column
 from .suffix_dedup import GRAM, gram_hashes
 
 #: One place in CUT is a cut; entries kept for each worker; bytes handled at a time.
-CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE = 1 << 9, 40_000, 400_000, 1 << 21
+CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 9, 40_000, 1_400_000, 1 << 21, 64
 _loaded: dict[str, "WordIds"] = {}
 
 
@@ -46,6 +47,9 @@ class WordIds:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.strings = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        special = [(i, x) for i, x in self.tok.get_added_tokens_decoder().items() if x.special and "<" in x.content and not x.normalized]
+        self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
+        self.folds = self.direct(["QuiZ,. Ab"]) == self.direct(["quiz ,. ab"])
         self._reset()
 
     @classmethod
@@ -63,16 +67,32 @@ class WordIds:
         self.begin = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.filled = 0
+        self._add([b""], [b""])
 
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.index) + len(new) > KEPT_WORDS:
-            self._reset()
-        got = self.direct([w.decode() for w in new])
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
+    def _stems(self, new: list[bytes]) -> list[bytes]:
+        """Ids (uint32) of words, many to a call: a special token's string between them keeps them apart."""
+        if self.mark is None:
+            return [np.array(x, np.uint32).tobytes() for x in self.direct([w.decode() for w in new])]
+        odd = [w for w in new if b"<" in w]
+        plain = [w for w in new if b"<" not in w] if odd else new
+        got: dict[bytes, bytes] = {}
+        mark = self.mark.encode()
+        for a in range(0, len(plain), GROUP * 256):
+            part = plain[a : a + GROUP * 256]
+            lists = self.direct([mark.join(part[b : b + GROUP]).decode() for b in range(0, len(part), GROUP)])
+            flat = np.fromiter(chain.from_iterable(x + [self.mark_id] for x in lists), np.uint32)
+            cut = (4 * np.flatnonzero(flat == self.mark_id)).tolist()
+            data = flat.tobytes()
+            got.update(zip(part, (data[x:y] for x, y in zip([0, *(c + 4 for c in cut[:-1])], cut, strict=True)), strict=True))
+        got.update(zip(odd, (np.array(x, np.uint32).tobytes() for x in self.direct([w.decode() for w in odd])), strict=True))
+        return [got[w] for w in new]
+
+    def _add(self, new: list[bytes], got: list[bytes]) -> None:
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat = np.frombuffer(b"".join(got), np.uint32)
         n, k = len(self.index), len(new)
         while n + k > len(self.begin):
             self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
@@ -84,39 +104,65 @@ class WordIds:
         self.filled += len(flat)
         self.index.update(zip(new, range(n, n + k), strict=True))
 
+    def _of(self, word: bytes) -> bytes:
+        i = self.index[word]
+        return self.ids[self.begin[i] : self.begin[i] + self.length[i]].tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Words that differ in ASCII case or in full stops and commas at the end share a stem.
+
+        The tokenizer has to fold case and to break between a letter and
+        punctuation; ``folds`` says whether it was found to.
+        """
+        made: list[tuple[bytes, bytes, bytes]] = []
+        stems: dict[bytes, None] = {}
+        for w in new:
+            if self.folds and w.isascii() and b"<" not in w:
+                low = w.lower()
+                stem = low.rstrip(b".,")
+                if stem == low or not stem[-1:].isalpha():
+                    stem, end = low, b""
+                else:
+                    end = low[len(stem) :]
+                    stems[end] = None
+                if w != stem:
+                    made.append((w, stem, end))
+                stems[stem] = None
+            else:
+                stems[w] = None
+        fresh = [x for x in stems if x not in self.index]
+        ids = dict(zip(fresh, self._stems(fresh), strict=True))
+        self._add(fresh, list(ids.values()))
+        made = [x for x in made if x[0] not in ids]
+        self._add([x[0] for x in made], [(ids.get(a) or self._of(a)) + ((ids.get(b) or self._of(b)) if b else b"") for _, a, b in made])
+
     def encode(self, texts: Iterable[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        parts = [t.split() for t in texts]
-        out: list[np.ndarray] = []
-        i = 0
-        while i < len(parts):  # groups of texts with a bounded number of words
-            j, n = i, 0
-            while j < len(parts) and (j == i or n + len(parts[j]) <= KEPT_WORDS // 4):
-                n += len(parts[j])
-                j += 1
-            if n > KEPT_WORDS // 2:  # one very long text
-                flat = [self._flat(parts[i][a : a + KEPT_WORDS // 4])[0] for a in range(0, n, KEPT_WORDS // 4)]
-                out.append(np.concatenate(flat))
-            else:
-                flat, size = self._flat([w for p in parts[i:j] for w in p])
-                ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum([len(p) for p in parts[i:j]]))]
-                out += [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            i = j
-        return out
+        import pyarrow as pa
 
-    def _flat(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        distinct = set(ws)
-        new = [w for w in distinct if w not in self.index]
-        if new:
-            if len(self.index) + len(new) > KEPT_WORDS:  # the store starts anew and has to hold all of these
-                new = list(distinct)
-                self._reset()
-            self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
+        flat, ends = self.encode_column(pa.array(list(texts), pa.string()))
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def encode_column(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow string array's texts, and the n + 1 offsets of the texts in them."""
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        ws = coded.dictionary.cast("binary").to_pylist()
+        at = np.fromiter(map(self.index.get, ws, repeat(-1)), np.int64, len(ws))
+        missed = np.flatnonzero(at < 0).tolist()
+        if missed:
+            if len(self.index) + 2 * len(missed) > KEPT_WORDS and len(missed) < len(ws):
+                self._reset()  # the store starts anew and has to hold all of these
+                missed = range(len(ws))
+            self._learn([ws[i] for i in missed])
+            at[missed] = np.fromiter(map(self.index.__getitem__, (ws[i] for i in missed)), np.int64, len(missed))
+        at = at[coded.indices.to_numpy()]
         size = self.length[at]
-        total = np.cumsum(size)
-        flat = self.ids[np.repeat(self.begin[at] - (total - size), size) + np.arange(int(total[-1]) if len(ws) else 0)]
-        return flat, size
+        ends = np.append(0, np.cumsum(size))
+        flat = self.ids[np.repeat(self.begin[at] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        return flat, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library's decode(ids, skip_special_tokens=False) for a file without a decoder."""
@@ -231,11 +277,11 @@ class Encoder:
         return out
 
 
-def pieces(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PIECE bytes."""
+def pieces(offs: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes."""
     i = 0
     while i < len(offs) - 1:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
         yield i, j
         i = j
 
@@ -247,7 +293,7 @@ def _encode(path: str):
         own = Encoder(path)
         for batch in batches:
             raw, offs = byte_column(batch.column(1))
-            for i, j in pieces(raw, offs):
+            for i, j in pieces(offs, 1 << 23):
                 got = own.encode(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 rows = [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.words.decode(x).encode()).hexdigest()) for x in got]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

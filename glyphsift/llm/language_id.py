@@ -105,7 +105,7 @@ class Ppm:
     def totals(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offs) - 1, len(self.langs)))
-        for i, j in pieces(raw, offs):
+        for i, j in pieces(offs, 1 << 20):
             if j == i + 1:  # perhaps a very long text: in slices that see the bytes before them
                 for a in range(int(offs[i]), int(offs[j]), 1 << 20):
                     first = max(int(offs[i]), a - ORDER)

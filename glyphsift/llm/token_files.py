@@ -111,6 +111,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
         own = WordIds.of(path)
         width = 2 if len(own.strings) <= 1 << 16 else 4
         docs, lengths, ids, n = [], [], [], 0
+        end = np.array([end_id], np.uint32)
 
         def out():
             row = shard(part, seq, docs, lengths, np.concatenate(ids), width)
@@ -119,16 +120,17 @@ def _write(path: str, end_id: int, shard_tokens: int):
         kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))])
         for batch in batches:
-            raw, offs = byte_column(batch.column(1))
+            _, offs = byte_column(batch.column(1))
             own_ids = batch.column(0).to_pylist()
-            for i, j in pieces(raw, offs):
-                for d, got in zip(own_ids[i:j], own.encode(raw[offs[k] : offs[k + 1]].tobytes() for k in range(i, j)), strict=True):
+            for i, j in pieces(offs, 1 << 24):
+                flat, ends = own.encode_column(batch.column(1).slice(i, j - i))
+                for d, got in zip(own_ids[i:j], (flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), strict=True):
                     if docs and n + len(got) + 1 > shard_tokens:
                         yield out()
                         docs, lengths, ids, n, seq = [], [], [], 0, seq + 1
                     docs.append(d)
                     lengths.append(len(got) + 1)
-                    ids += [got, np.array([end_id], np.uint32)]
+                    ids += [got, end]
                     n += len(got) + 1
         if docs:
             yield out()
@@ -157,7 +159,7 @@ def _read(batches):
             begin = np.append(0, ends[:-1])
             wide = ids.astype("<u4").tobytes()
             crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begin + row["__from"]), pa.array(ends - begin), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(crc), pa.int32()), pa.array([row["seq"]] * len(crc), pa.int32()), pa.array(docs, pa.int64()), pa.array(begin), pa.array(ends - begin), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "__in", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -168,8 +170,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # one row for each write task: small by construction
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
     parts = parts.select("part", (F.sum("__n").over(Window.orderBy("part")) - F.col("__n")).alias("__before"))
-    begin = sizes.withColumn("__in", within).join(parts, "part").select("part", "seq", (F.col("__in") + F.col("__before")).alias("__from"))
-    return shards.join(begin, ["part", "seq"]).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    begin = sizes.withColumn("__within", within).join(parts, "part").select("part", "seq", (F.col("__within") + F.col("__before")).alias("__from"))
+    # the shards' bytes are read where they lie; only the documents' few numbers are joined
+    each = shards.mapInArrow(_read, "part int, seq int, doc_id long, __in long, n_tokens long, ids_crc32 long")
+    return each.join(begin, ["part", "seq"]).select("doc_id", (F.col("__in") + F.col("__from")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
