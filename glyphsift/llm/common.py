@@ -93,3 +93,27 @@ def byte_column(array) -> tuple[np.ndarray, np.ndarray]:
 
 def crc_of_text(value: int) -> int:
     return zlib.crc32(str(value).encode())
+
+
+def ordered(df: DataFrame, keys: list, value: str | None = None, name: str = "ordered") -> DataFrame:
+    """``df`` with ``__pos`` (0-based rank by ``keys``) and, for ``value``, ``__before`` (its sum over the rows before).
+
+    Rows are dealt out by range and ranked within their part; the parts' totals
+    (one row for each) are then summed up.  No task sees more than one part.
+    """
+    from pyspark.sql.window import Window
+
+    amount = F.col(value) if value else F.lit(0)
+    dealt = df.repartitionByRange(parallelism(df.sparkSession), *keys).withColumn("__part", F.spark_partition_id())
+    dealt = stored(dealt, name)
+    within = Window.partitionBy("__part").orderBy(*keys)
+    totals = dealt.groupBy("__part").agg(F.count("*").alias("__n"), F.sum(amount).alias("__v"))
+    w = Window.orderBy("__part")  # one row for each part
+    before = totals.select(F.col("__part"), (F.sum("__n").over(w) - F.col("__n")).alias("__n0"), (F.sum("__v").over(w) - F.col("__v")).alias("__v0"))
+    ranked = dealt.withColumn("__rn", F.row_number().over(within) - 1)
+    if value:
+        ranked = ranked.withColumn("__run", F.coalesce(F.sum(amount).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = ranked.join(before, "__part").withColumn("__pos", F.col("__n0") + F.col("__rn"))
+    if value:
+        out = out.withColumn("__before", F.col("__v0") + F.col("__run")).drop("__run")
+    return out.drop("__part", "__n0", "__v0", "__rn")
