@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, drop_stored, identified, parallelism, stored
+from .common import NO_ID, byte_column, drop_stored, identified, parallelism, stored
 
 GRAM = 32
 #: Bytes that are hashed at a time, and of one transform.
@@ -341,11 +341,12 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, hot_runs: int = 4096) ->
     base = identified(docs).select("__d", "__t", "text")
     runs = stored(base.mapInArrow(_runs(min_len), "mh long, sh long, __d long, __t long, off long, n int"), "runs")
     often = runs.groupBy("mh").agg(F.count("*").alias("__k")).where("__k > 1").select("mh")
-    some = stored(runs.join(often, "mh"), "shared-runs")
+    some = stored(runs.join(stored(often, "shared-keys"), "mh"), "shared-runs")
     drop_stored(runs)
 
     distinct = some.groupBy("mh", "sh").agg(F.count("*").alias("c"), F.min(F.struct("__d", "__t", "off", "n")).alias("__r"))
-    of_key = some.groupBy("mh", "sh").agg(F.lit(1).alias("__one")).groupBy("mh").agg(F.count("*").alias("__nd"))
+    distinct = stored(distinct, "run-counts")
+    of_key = stored(distinct.groupBy("mh").agg(F.count("*").alias("__nd")), "key-counts")
     distinct = distinct.join(of_key, "mh").select("mh", "sh", "c", "__r.*", "__nd", (F.col("__nd") > hot_runs).alias("hot"))
     distinct = stored(distinct, "distinct-runs")
     sure = distinct.where("__nd = 1").select("mh", "sh", F.array(F.lit(0), F.col("n")).alias("turns"))
@@ -356,7 +357,7 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, hot_runs: int = 4096) ->
     cold = bodies.where("not hot").select("mh", "sh", "c", "n", "bytes").repartition(parallelism(spark), "mh").sortWithinPartitions("mh")
     turns = cold.mapInArrow(_transform(min_len), "mh long, sh long, turns array<int>")
     strings = bodies.where("hot").select("mh", "sh", "c", "n", "bytes").mapInArrow(_strings(min_len), "w1 long, w2 long, mh long, sh long, i int, c long")
-    twice = strings.groupBy("w1", "w2").agg(F.sum("c").alias("__k")).where("__k > 1").select("w1", "w2")
+    twice = stored(strings.groupBy("w1", "w2").agg(F.sum("c").alias("__k")).where("__k > 1").select("w1", "w2"), "hot-strings")
     hot = strings.join(twice, ["w1", "w2"]).select("mh", "sh", F.array(F.col("i"), F.col("i") + 1).alias("turns"))
     found = stored(turns.unionByName(hot).unionByName(sure), "repeated-runs")
     drop_stored(bodies, distinct)
@@ -379,5 +380,34 @@ def remove_repeats(docs: DataFrame, min_len: int = 200, hot_runs: int = 4096) ->
     return joined.mapInArrow(_cut(min_len), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def _left(min_len: int, text_at: int, chars_at: int | None):
+    """The batch with what is left of its texts; its last column has the repeated starts."""
+
+    def f(batches):
+        import pyarrow as pa
+
+        cut = _cut(min_len)
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([batch.column(text_at), batch.column(text_at).fill_null(""), batch.column(batch.num_columns - 1)], ["doc_id", "text", "starts"])
+            # a span may end within a character: what is left of it goes too
+            texts = [x.decode(errors="ignore") for b in cut([own]) for x in b.column(5).to_pylist()]
+            columns = batch.columns[:-1]
+            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([len(x) for x in texts], batch.schema.field(chars_at).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return f
+
+
+def deduplicated(docs: DataFrame, min_len: int = 200) -> DataFrame:
+    """``docs`` with repeated passages cut out of ``text`` (``n_chars`` follows, where there is one); no row goes."""
+    starts = repeated_spans(docs, min_len)
+    own = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    joined = own.join(starts.withColumnRenamed("starts", "__starts"), ["__d", "__t"], "left").select(*docs.columns, "__starts")
+    at = docs.columns.index("text")
+    return joined.mapInArrow(_left(min_len, at, docs.columns.index("n_chars") if "n_chars" in docs.columns else None), docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
