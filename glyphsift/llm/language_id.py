@@ -27,6 +27,7 @@ ORDER = 3
 #: The sample: at most so many labelled rows of each language, those whose ids hash lowest.
 ROWS_PER_LANGUAGE = 400
 PAD = 0x20
+UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -141,27 +142,41 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Ppm:
     return Ppm(counts)
 
 
+def predict(model: Ppm, texts) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of an Arrow string array without nulls."""
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = True
+    raw, offs = byte_column(texts)
+    total = model.totals(raw, offs)
+    count = np.append(0, np.cumsum(letter[raw]))
+    has = count[offs[1:]] > count[offs[:-1]]
+    for i in np.flatnonzero(~has):
+        has[i] = any(c.isalpha() for c in raw[offs[i] : offs[i + 1]].tobytes().decode(errors="replace"))
+    if not model.langs or not len(has):
+        return [UNKNOWN] * len(has), np.zeros(len(has))
+    best = total.argmin(1)
+    score = 1 / np.exp2(np.maximum(-1000, total.min(1, keepdims=True) - total)).sum(1)
+    return [model.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0)
+
+
 def _predict(shared):
     def f(batches):
         import pyarrow as pa
 
-        model = shared.value
-        letter = np.zeros(256, bool)
-        letter[65:91] = letter[97:123] = True
         for batch in batches:
-            raw, offs = byte_column(batch.column(2))
-            total = model.totals(raw, offs)
-            count = np.append(0, np.cumsum(letter[raw]))
-            has = count[offs[1:]] > count[offs[:-1]]
-            for i in np.flatnonzero(~has):
-                has[i] = any(c.isalpha() for c in raw[offs[i] : offs[i + 1]].tobytes().decode(errors="replace"))
-            if model.langs:
-                best = total.argmin(1)
-                score = 1 / np.exp2(np.maximum(-1000, total.min(1, keepdims=True) - total)).sum(1)
-            else:
-                best, score, has = np.zeros(len(has), int), np.zeros(len(has)), np.zeros(len(has), bool)
-            lang = [model.langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            lang, score = predict(shared.value, batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    return f
+
+
+def _accept(shared, text_at: int):
+    def f(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lang, _ = predict(shared.value, batch.column(text_at).fill_null(""))
+            yield batch.filter(pa.array([x != UNKNOWN for x in lang]))
 
     return f
 
@@ -181,5 +196,11 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
     return own.mapInArrow(_predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language; those that get ``und`` go."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_language))
+    return docs.mapInArrow(_accept(shared, docs.columns.index("text")), docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
