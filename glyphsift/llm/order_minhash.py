@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, ordered, stored, words
+from .common import NO_ID, identified, ordered, stored, words
 
 PARTS = 32
 POS, GRAM = 30, 33
@@ -97,11 +97,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     nxt = placed.select(F.col("__d").alias("__ed"), F.col("__t").alias("__et"), F.col("__pos").alias("__next"))
     link = stored(own.join(nxt, "__next").drop("__next"), "next")
 
-    texts = base.select("__d", "__t", "doc_id", "text")
+    # both joins read this one exchange of the texts, so it has the same columns for both
+    texts = base.select("__d", "__t", "text")
+    doc_id = F.when(F.col("__d") != NO_ID, F.col("__d")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
     # the next document's first characters travel to the document, not whole texts
     to = link.select(F.col("__ed").alias("__d"), F.col("__et").alias("__t"), F.col("__d").alias("__od"), F.col("__t").alias("__ot"), F.floor(F.col("n_chars") / 3).cast("int").alias("__take"))
     head = texts.join(to, ["__d", "__t"]).select(F.col("__od").alias("__d"), F.col("__ot").alias("__t"), "__take", F.col("text").substr(F.lit(1), F.col("__take")).alias("__head")).dropDuplicates(["__d", "__t"])
-    both = texts.join(head, ["__d", "__t"]).select("__d", "__t", "doc_id", F.length("text").cast("long").alias("n_chars"), "text", F.concat(F.col("text").substr(F.lit(1), (F.length("text") - F.col("__take")).cast("int")), F.col("__head")).alias("__edited"))
+    both = texts.join(head, ["__d", "__t"]).select("__d", "__t", doc_id, F.length("text").cast("long").alias("n_chars"), "text", F.concat(F.col("text").substr(F.lit(1), (F.length("text") - F.col("__take")).cast("int")), F.col("__head")).alias("__edited"))
     both = both.withColumn("edited_sha256", F.sha2("__edited", 256))
     made = with_fingerprint(with_fingerprint(both, "text", "fingerprint").drop("text"), "__edited", "edited_fingerprint").drop("__edited")
     made = stored(made, "fingerprints")
