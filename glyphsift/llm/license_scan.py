@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import identified
+from .common import identified, stored
 
 #: Base phrases: found only as they stand.
 PHRASES = [("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"), ("mit", "mit license")]
@@ -75,6 +75,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notices: lis
     # words that agree along the diagonal (a text may begin or end within the template)
     agree = F.size(F.filter(F.zip_with("__ctx", F.slice("twords", 1 - F.least("__diag", F.lit(0)), F.size("twords")), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
     votes = here.withColumn("__agree", agree).groupBy("__d", "__t", "tid", "label", "exact", F.size("twords").alias("__len"), "__diag").agg(F.count("*").alias("__votes"), F.max("__agree").alias("__agree"))
+    votes = stored(votes, "votes")  # read by both kinds of templates
     by = Window.partitionBy("__d", "__t", "tid").orderBy("__diag")
     step = F.when(F.col("__diag") - F.lag("__diag").over(by) <= SLACK, 0).otherwise(1)
     spans = votes.where("not exact").withColumn("__new", step).withColumn("__span", F.sum("__new").over(by))
