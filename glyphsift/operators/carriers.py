@@ -84,9 +84,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"([{U.word_chars()}]+)"), F.lit(1))
 
 
+#: Runs without ASCII separators: each word lies within one, and the class is cheap.
+RUN = "[0-9A-Za-z_\\x{80}-\\x{10FFFF}]"
+
+
 def homoglyph(text: Column) -> Column:
-    """Words of two scripts or more that don't go together. Only texts with a letter that isn't Latin are split."""
-    mixed = F.size(F.filter(words(text), lambda w: F.when(ascii_only(w), F.lit(False)).otherwise(mixed_script(w))))
+    """Words of two scripts or more that don't go together. Only runs with a letter that isn't Latin are taken apart."""
+    runs = F.filter(F.regexp_extract_all(text, F.lit(f"({RUN}+)"), F.lit(1)), lambda r: r.rlike("[\\x{370}-\\x{10FFFF}]"))
+    mixed = F.size(F.filter(F.flatten(F.transform(runs, words)), lambda w: F.when(ascii_only(w), F.lit(False)).otherwise(mixed_script(w))))
     return _guarded(text, F.when(~text.rlike(f"[{U.not_latin()}]"), 0).otherwise(mixed))
 
 

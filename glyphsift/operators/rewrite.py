@@ -53,8 +53,10 @@ def normalize_carriers(text: Column) -> Column:
 def fold_homoglyphs(text: Column) -> Column:
     """Look-alikes to Latin letters within words of more than one script."""
     keys, values = "".join(map(chr, U.CONFUSABLES)), "".join(U.CONFUSABLES.values())
-    parts = F.regexp_extract_all(text, F.lit(f"([{U.word_chars()}]+|[^{U.word_chars()}]+)"), F.lit(1))
-    folded = F.array_join(F.transform(parts, lambda w: F.when(~ascii_only(w) & (F.size(carriers.scripts_of(w)) >= 2), F.translate(w, keys, values)).otherwise(w)), "")
+    word = lambda w: F.when(~ascii_only(w) & (F.size(carriers.scripts_of(w)) >= 2), F.translate(w, keys, values)).otherwise(w)
+    inner = lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(f"([{U.word_chars()}]+|[^{U.word_chars()}]+)"), F.lit(1)), word), "")
+    runs = F.regexp_extract_all(text, F.lit(f"({carriers.RUN}+|[^{carriers.RUN[1:]}+)"), F.lit(1))
+    folded = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{keys}]"), inner(r)).otherwise(r)), "")
     return F.when(text.rlike(f"[{keys}]"), folded).otherwise(text)
 
 

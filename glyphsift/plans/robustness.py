@@ -1,0 +1,273 @@
+"""Robustness measurements over synthetic marked sequences, and the searches built on them."""
+
+from __future__ import annotations
+
+import random
+import statistics
+import time
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphsift.operators import carriers, partition
+from glyphsift.operators.generators import Recipe, Strategy, control, in_unit_order, reorder_units, sequences
+from glyphsift.operators.keyed import Z_ALARM, ContextScheme, Tournament
+from glyphsift.operators.keyless import draw
+from glyphsift.operators.rewrite import roundtrip_tokens
+
+SCHEMES = ["unigram", "prev", "window", "selfhash", "tournament"]
+TRANSFORMS = ["none", "substitute", "reverse", "units", "dictionary"]
+UNIT = 12
+
+
+def score(kind: str, key: str, tokens: Column) -> Column:
+    return Tournament(key).z(tokens) if kind == "tournament" else ContextScheme(kind, key).z(tokens)
+
+
+def substituted(tokens: Column, seq: Column, fraction: float, vocab: int) -> Column:
+    """In-row substitution: a token goes if its hash is in the lower ``fraction``."""
+    return F.transform(tokens, lambda t, i: F.when(draw("sub", seq, i) < fraction * 4294967296.0, F.concat(F.lit("w"), F.pmod(draw("to", seq, i), F.lit(vocab)).cast("string"))).otherwise(t))
+
+
+def transformed(name: str, tokens: Column, seq: Column, vocab: int = 400) -> Column:
+    if name == "substitute":
+        return substituted(tokens, seq, 0.2, vocab)
+    if name == "reverse":
+        return F.reverse(tokens)
+    if name == "units":
+        return reorder_units(tokens, UNIT)
+    if name == "dictionary":  # every third word has a partner that comes back instead
+        number = lambda t: F.substring(t, 2, 10).cast("int")
+        return F.transform(roundtrip_tokens(tokens), lambda t: F.when(F.pmod(number(t), F.lit(3)) == 0, F.concat(F.lit("w"), F.pmod(number(t) + 1, F.lit(vocab)).cast("string"))).otherwise(t))
+    return tokens
+
+
+def scheme_benchmark(spark: SparkSession, samples: int = 24, length: int = 400, seed: int = 1, delta: float = 2.0) -> DataFrame:
+    """``scheme, transform, z_before, z_after, drop, tpr_before, tpr_after, cost, samples, length``.
+
+    Each scheme's sequences are written once and scored under all transforms in
+    the same row.
+    """
+    out = None
+    for kind in SCHEMES:
+        seqs = sequences(spark, Recipe(kind=kind, length=length, delta=delta), samples, seed)
+        each = seqs.select("seq_id", score(kind, "demo", F.col("tokens")).alias("z0"), F.col("tokens"), F.explode(F.array(*[F.struct(F.lit(t).alias("transform"), transformed(t, F.col("tokens"), F.col("seq_id")).alias("after")) for t in TRANSFORMS])).alias("x"))
+        z1 = score(kind, "demo", F.col("x.after"))
+        left = F.size(F.filter(F.zip_with("tokens", "x.after", lambda a, b: a == b), lambda s: s)) / F.size("tokens")
+        cost = F.when(F.col("x.transform").isin("substitute", "dictionary"), 1 - left).otherwise(0.0)
+        rows = each.groupBy(F.col("x.transform").alias("transform")).agg(F.avg("z0").alias("z_before"), F.avg(z1).alias("z_after"), F.avg((F.col("z0") >= Z_ALARM).cast("double")).alias("tpr_before"), F.avg((z1 >= Z_ALARM).cast("double")).alias("tpr_after"), F.avg(cost).alias("cost"))
+        rows = rows.select(F.lit(kind).alias("scheme"), "transform", "z_before", "z_after", F.greatest(F.lit(0.0), 1 - F.col("z_after") / F.when(F.col("z_before") > 0, F.col("z_before"))).alias("drop"), "tpr_before", "tpr_after", "cost", F.lit(samples).alias("samples"), F.lit(length).alias("length"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def benchmark_table(bench: DataFrame, value: str = "tpr_after") -> DataFrame:
+    return bench.groupBy("scheme").pivot("transform", TRANSFORMS).agg(F.first(value))
+
+
+def detection_rates(spark: SparkSession, samples: int = 24, length: int = 180, vocab: int = 250, delta: float = 2.0, threshold: float = Z_ALARM) -> DataFrame:
+    """``tpr, fpr, removal``: marked and control sequences, and the marked ones after half of the tokens changed."""
+    scheme = ContextScheme("prev", "demo")
+    marked = sequences(spark, Recipe(vocab=vocab, length=length, delta=delta), samples)
+    both = marked.unionByName(control(spark, samples, length, vocab)).withColumn("z", scheme.z(F.col("tokens"))).withColumn("z2", scheme.z(substituted(F.col("tokens"), F.col("seq_id"), 0.5, vocab)))
+    hit = lambda c, arm: F.avg(F.when(F.col("arm") == arm, (F.col(c) >= threshold).cast("double")))
+    return both.agg(hit("z", "marked").alias("tpr"), hit("z", "control").alias("fpr"), (hit("z", "marked") - hit("z2", "marked")).alias("removal"))
+
+
+def reorder_effects(spark: SparkSession, samples: int = 6, length: int = 500, vocab: int = 400) -> DataFrame:
+    """``effect, z_before, z_after``: reversed order, relabelled tokens, dictionary round trip."""
+    scheme, number = ContextScheme("prev", "demo"), lambda t: F.substring(t, 2, 10).cast("int")
+    t = F.col("tokens")
+    after = {"reverse": F.reverse(t), "relabel": F.transform(t, lambda x: F.concat(F.lit("w"), F.pmod(7 * number(x) + 3, F.lit(vocab)).cast("string"))), "dictionary": transformed("dictionary", t, F.col("seq_id"), vocab)}
+    seqs = sequences(spark, Recipe(vocab=vocab, length=length), samples)
+    each = seqs.select(scheme.z(t).alias("z0"), F.explode(F.array(*[F.struct(F.lit(k).alias("effect"), scheme.z(v).alias("z1")) for k, v in after.items()])).alias("x"))
+    return each.groupBy(F.col("x.effect").alias("effect")).agg(F.avg("z0").alias("z_before"), F.avg("x.z1").alias("z_after"))
+
+
+def reorder_degradation(spark: SparkSession, kind: str, unit: int, total: int = 300, delta: float = 2.0, n_eval: int = 3, seed: int = 0) -> DataFrame:
+    """``arm, z`` for sequences written in order and unit by unit in reverse, and the share of z that is lost."""
+    recipe = Recipe(kind=kind, delta=delta)
+    sizes = [min(unit, total - i) for i in range(0, total, unit)]
+
+    def write(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(arm, in_unit_order(recipe, sizes, order, seed + int(i))) for i in pdf["id"] for arm, order in (("forward", list(range(len(sizes)))), ("reverse", list(range(len(sizes)))[::-1]))]
+            yield pd.DataFrame(rows, columns=["arm", "tokens"])
+
+    z = spark.range(n_eval).mapInPandas(write, "arm string, tokens array<string>").groupBy().pivot("arm", ["forward", "reverse"]).agg(F.avg(score(kind, recipe.key, F.col("tokens"))))
+    return z.select(F.lit(kind).alias("kind"), F.lit(unit).alias("unit"), "forward", "reverse", F.greatest(F.lit(0.0), 1 - F.col("reverse") / F.col("forward")).alias("degradation"))
+
+
+# -- game ----------------------------------------------------------------------------------
+
+ATTACKS = [("reorder", 1.0), ("shift", 0.5), ("substitution", 0.3)]
+
+
+def attack_fidelity(kind: str, strength: float) -> float:
+    """What an attack leaves of a text."""
+    return {"substitution": 1 - 2 * strength, "synonym": 1 - 0.7 * strength, "shift": 1 - 0.5 * strength}.get(kind, 1.0)
+
+
+def game_payoff(spark: SparkSession, n_eval: int = 3, total: int = 240) -> DataFrame:
+    """``context`` and one column of degradation for each attack."""
+    out = None
+    for kind in SCHEMES[:4]:
+        t = F.col("tokens")
+        after = {"reorder": F.reverse(t), "shift": F.transform(t, lambda x: F.concat(F.lit("w"), F.pmod(F.substring(x, 2, 10).cast("int") + 1, F.lit(400)).cast("string"))), "substitution": substituted(t, F.col("seq_id"), 0.3, 400)}
+        seqs = sequences(spark, Recipe(kind=kind, length=total), n_eval)
+        cells = seqs.select(score(kind, "demo", t).alias("z0"), *[score(kind, "demo", v).alias(k) for k, v in after.items()]).agg(F.avg("z0").alias("z0"), *[F.avg(k).alias(k) for k in after])
+        row = cells.select(F.lit(kind).alias("context"), *[F.greatest(F.lit(0.0), 1 - F.col(k) / F.col("z0")).alias(k) for k in after])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def fictitious_play(payoff: list[list[float]], iters: int = 4000) -> tuple[list[float], list[float], float]:
+    """Mixed strategies of the row (minimising) and column (maximising) players, and the value."""
+    n, m = len(payoff), len(payoff[0])
+    rows, cols = [0] * n, [0] * m
+    rows[0] = cols[0] = 1
+    row_loss, col_gain = [payoff[i][0] for i in range(n)], list(payoff[0])
+    for _ in range(iters):
+        i, j = min(range(n), key=row_loss.__getitem__), max(range(m), key=col_gain.__getitem__)
+        rows[i] += 1
+        cols[j] += 1
+        row_loss = [v + payoff[x][j] for x, v in enumerate(row_loss)]
+        col_gain = [v + payoff[i][y] for y, v in enumerate(col_gain)]
+    p, q = [r / sum(rows) for r in rows], [c / sum(cols) for c in cols]
+    return p, q, sum(p[i] * q[j] * payoff[i][j] for i in range(n) for j in range(m))
+
+
+def is_mixed(strategy: list[float], least: float = 0.1) -> bool:
+    return sum(x >= least for x in strategy) >= 2
+
+
+def minimax(payoff: DataFrame, columns: list[str]) -> DataFrame:
+    """``context, worst``: the context whose worst attack does least."""
+    return payoff.select("context", F.greatest(*columns).alias("worst")).orderBy("worst", "context").limit(1)
+
+
+# -- searches: a driver loop of a few small individuals; each generation is one job -------------
+
+
+@dataclass(frozen=True)
+class Genome:
+    delta: float = 1.0
+    margin: float = 0.15
+
+    def mutate(self, rng: random.Random) -> "Genome":
+        return Genome(min(4.0, max(0.0, self.delta + rng.gauss(0, 0.3))), min(0.6, max(0.0, self.margin + rng.gauss(0, 0.05))))
+
+
+def evaluate_genomes(spark: SparkSession, genomes: list[Genome], n_eval: int = 12, n_slots: int = 80, k: int = 4, gamma: float = 0.4, seed: int = 0) -> list[dict]:
+    """d', partition recovery and false-positive rate of each genome; one row of one job for each."""
+    import numpy as np
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for i, delta, margin in zip(pdf["i"], pdf["delta"], pdf["margin"], strict=True):
+                rng = np.random.default_rng([seed, i])
+                green = rng.random((n_slots, k)) < gamma
+                style = 1.6 ** -np.arange(k)
+                marked = style * np.where(green, np.exp(delta), 1.0)
+                pick = lambda w, n: np.stack([rng.choice(k, n, p=row / row.sum()) for row in w], 1)  # noqa: B023, E731
+                steal = pick(marked, 4 * n_eval)
+                est = np.stack([(steal == v).mean(0) for v in range(k)], 1) > (1 + margin) / k
+                g = est.mean()
+                z = lambda x: np.array([(est[np.arange(n_slots), r].sum() - g * n_slots) / np.sqrt(max(n_slots * g * (1 - g), 1e-9)) for r in x])  # noqa: B023, E731
+                a, b = z(pick(marked, n_eval)), z(pick(np.tile(style, (n_slots, 1)), n_eval))
+                d = (a.mean() - b.mean()) / max(np.sqrt((a.var() + b.var()) / 2), 1e-9)
+                out.append((i, float(d), float((est == green).mean()), float((b >= 3).mean())))
+            yield pd.DataFrame(out, columns=["i", "dprime", "recovery", "fpr"])
+
+    rows = spark.createDataFrame([(i, g.delta, g.margin) for i, g in enumerate(genomes)], "i long, delta double, margin double")
+    found = {r.i: r.asDict() for r in rows.repartition(len(genomes), "i").mapInPandas(run, "i long, dprime double, recovery double, fpr double").collect()}
+    return [found[i] | {"fitness": found[i]["dprime"] + 0.5 * found[i]["recovery"] - 2 * found[i]["fpr"]} for i in range(len(genomes))]
+
+
+def evolve(spark: SparkSession, generations: int = 8, population: int = 10, seed: int = 0) -> tuple[Genome, list[float]]:
+    """Truncation selection with the best one kept, so the best fitness never falls."""
+    rng = random.Random(seed)
+    best, best_fit, history = None, float("-inf"), []
+    pop = [Genome().mutate(rng) for _ in range(population)]
+    for _ in range(generations):
+        ranked = sorted(zip((e["fitness"] for e in evaluate_genomes(spark, pop, seed=seed)), pop, strict=True), key=lambda x: -x[0])
+        if ranked[0][0] > best_fit:
+            best_fit, best = ranked[0]
+        history.append(best_fit)
+        parents = [g for _, g in ranked[: max(2, population // 3)]]
+        pop = [best, *(rng.choice(parents).mutate(rng) for _ in range(population - 1))]
+    return best, history
+
+
+# How much each lock takes from a code sample's free slots.
+LOCKS = {"names": 0.30, "structure": 0.35, "comments": 0.15, "iterative": 0.10}
+LOCK_CAP, BASE_SLOTS, FLOOR_SLOTS = 0.95, 100, 18
+
+
+def capacity(locks: tuple[str, ...]) -> int:
+    """Slots that are left to carry a mark; never below the floor."""
+    return max(FLOOR_SLOTS, round(BASE_SLOTS * (1 - min(LOCK_CAP, sum(LOCKS[x] for x in locks)))))
+
+
+def coevolve(spark: SparkSession, rounds: int = 8, seed: int = 0) -> list[dict]:
+    """Each round adds the lock that lowers the best detector's fitness most, then the detector adapts."""
+    locks: tuple[str, ...] = ()
+    genome, out = Genome(delta=1.0), []
+    for r in range(rounds):
+        options = [locks, *(tuple(sorted({*locks, x})) for x in LOCKS if x not in locks)]
+        fits = [evaluate_genomes(spark, [genome], n_slots=capacity(o), seed=seed + r)[0]["dprime"] for o in options]
+        locks = options[min(range(len(options)), key=fits.__getitem__)]
+        margins = [replace(genome, margin=m) for m in (0.05, 0.15, 0.3)]
+        genome = max(zip(evaluate_genomes(spark, margins, n_slots=capacity(locks), seed=seed + r), margins, strict=True), key=lambda x: x[0]["fitness"])[1]
+        out.append({"round": r, "locks": locks, "capacity": capacity(locks), "dprime": min(fits)})
+    return out
+
+
+#: What a granularity and a strategy leave of a text.
+FIDELITY = {1: 0.05, 4: 0.6, 12: 0.85, 40: 0.95}
+DISRUPTION = {"identity": 1.0, "reverse": 1.0, "block_reverse": 0.95, "stride": 0.8, "rotate": 0.9, "transcode": 1.0}
+
+
+def strategy_grid(spark: SparkSession, kind: str = "prev", total: int = 500, n_eval: int = 4, gate: float = 0.7, top: int = 6) -> DataFrame:
+    """``strategy, granularity, fidelity, degradation``: the whole small space of strategies at once, best first."""
+    seqs = sequences(spark, Recipe(kind=kind, length=total), n_eval)
+    grid = [(s, g) for s in ("identity", "reverse", "block_reverse", "stride", "rotate") for g in FIDELITY if FIDELITY[g] * DISRUPTION[s] >= gate]
+    each = seqs.select(score(kind, "demo", F.col("tokens")).alias("z0"), F.explode(F.array(*[F.struct(F.lit(Strategy(s, g).describe()).alias("strategy"), F.lit(g).alias("granularity"), F.lit(FIDELITY[g] * DISRUPTION[s]).alias("fidelity"), score(kind, "demo", Strategy(s, g).apply(F.col("tokens"))).alias("z1")) for s, g in grid])).alias("x"))
+    agg = each.groupBy("x.strategy", "x.granularity", "x.fidelity").agg((1 - F.avg("x.z1") / F.avg("z0")).alias("degradation"))
+    return agg.withColumn("degradation", F.greatest(F.lit(0.0), "degradation")).orderBy(F.desc("degradation"), "strategy", "granularity").limit(top)
+
+
+def edit_policy(spark: SparkSession, share: float, n_slots: int = 80, k: int = 4, n_eval: int = 16, delta: float = 1.5) -> dict:
+    """z before and after a share of slots is chosen anew, on the keyed arena."""
+    part = partition.keyed_partition(spark, "arena", n_slots, k)
+    marked = partition.arena_samples(part, n_eval, delta, "marked")
+    green = part.where("green").select("slot", "variant")
+    u = draw("edit", F.col("sample_id"), F.col("slot")) / 4294967296.0
+    edited = marked.withColumn("variant", F.when(u < share, F.pmod(draw("new", F.col("sample_id"), F.col("slot")), F.lit(k)).cast("int")).otherwise(F.col("variant")))
+    z = lambda c: partition.aggregate_z(c, green, k, n_slots).first()["z"]
+    return {"share": share, "z_before": z(marked), "z_after": z(edited), "retention": 1 - share}
+
+
+def throughput(spark: SparkSession, megabytes: float = 2.0) -> list[dict]:
+    """MB a second of the carrier scan over plain and over all non-ASCII text."""
+    out = []
+    for name, unit in (("ascii", "The quick brown fox jumps over the lazy dog. "), ("non_ascii", "Слово عربى 漢字 ")):
+        size = len(unit.encode())
+        n = int(megabytes * 1e6 / (size * 200))
+        df = spark.range(max(n, 1)).select(F.repeat(F.lit(unit), 200).alias("text"))
+        began = time.perf_counter()
+        carriers.detect_carriers(df).agg(F.sum(F.col("alarm").cast("int"))).collect()
+        out.append({"text": name, "mb_s": max(n, 1) * size * 200 / 1e6 / (time.perf_counter() - began)})
+    return out
+
+
+def dprime(a: list[float], b: list[float]) -> float:
+    """Distance of two samples' means over their pooled population deviation."""
+    spread = ((statistics.pstdev(a) ** 2 + statistics.pstdev(b) ** 2) / 2) ** 0.5
+    return (statistics.mean(a) - statistics.mean(b)) / max(spread, 1e-9)
