@@ -23,12 +23,11 @@ from itertools import chain, repeat
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import byte_column
+from .common import byte_column, worker_store
 from .suffix_dedup import GRAM, gram_hashes
 
 #: One place in CUT is a cut; entries kept for each worker; bytes handled at a time.
-CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 9, 40_000, 1_400_000, 1 << 21, 64
-_loaded: dict[str, "WordIds"] = {}
+CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 9, 40_000, 900_000, 1 << 21, 64
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -57,9 +56,10 @@ class WordIds:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
+        kept = worker_store("bpe")
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}

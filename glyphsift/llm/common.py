@@ -8,9 +8,9 @@ repeat both are equal documents and get equal results.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,8 +91,26 @@ def byte_column(array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - (offs[0] if len(offs) else 0)
 
 
-def crc_of_text(value: int) -> int:
-    return zlib.crc32(str(value).encode())
+#: What operators keep in a Python worker between tasks, by operator.
+_worker: dict[str, dict] = {}
+
+
+def worker_store(name: str) -> dict:
+    """The store of one operator in this worker; those of other operators go.
+
+    Spark hands a worker on from stage to stage, so what an earlier stage kept
+    would otherwise stand beside what this one needs.
+    """
+    others = [k for k in _worker if k != name]
+    for k in others:
+        del _worker[k]
+    if others:
+        import ctypes
+
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    return _worker.setdefault(name, {})
 
 
 def ordered(df: DataFrame, keys: list, value: str | None = None, name: str = "ordered") -> DataFrame:

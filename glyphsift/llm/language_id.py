@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import pieces
-from .common import NO_ID, byte_column
+from .common import NO_ID, byte_column, worker_store
 
 ORDER = 3
 #: The sample: at most so many labelled rows of each language, those whose ids hash lowest.
@@ -41,6 +41,7 @@ def _grams(batches):
     """Counts of 4-byte windows, each text preceded by spaces."""
     import pyarrow as pa
 
+    worker_store("language")
     pad = np.full(ORDER, PAD, np.uint8)
     for batch in batches:
         raw, offs = byte_column(batch.column(1))
@@ -163,6 +164,7 @@ def _predict(shared):
     def f(batches):
         import pyarrow as pa
 
+        worker_store("language")
         for batch in batches:
             lang, score = predict(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
@@ -174,6 +176,7 @@ def _accept(shared, text_at: int):
     def f(batches):
         import pyarrow as pa
 
+        worker_store("language")
         for batch in batches:
             lang, _ = predict(shared.value, batch.column(text_at).fill_null(""))
             yield batch.filter(pa.array([x != UNKNOWN for x in lang]))

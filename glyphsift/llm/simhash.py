@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_column, identified, stored
+from .common import NO_ID, byte_column, identified, stored, worker_store
 from .components import components
 
 LOW = np.uint64(0x5555555555555555)
@@ -58,6 +58,7 @@ def _fingerprints(k: int):
     def f(batches):
         import pyarrow as pa
 
+        worker_store("simhash")
         for batch in batches:
             raw, offs = byte_column(batch.column(1))
             fps = np.zeros(len(offs) - 1, np.uint64)
@@ -121,6 +122,7 @@ def _word_prints(batches):
     import pyarrow as pa
     import xxhash
 
+    worker_store("simhash")
     known: dict[bytes, bytes] = {}
     for batch in batches:
         raw, offs = byte_column(batch.column(1))
@@ -141,6 +143,7 @@ def _shingle_sets(k: int):
     def f(batches):
         import pyarrow as pa
 
+        worker_store("simhash")
         for batch in batches:
             raw, offs = byte_column(batch.column(1))
             sets = [np.unique(np.array(shingle_hashes(raw[offs[i] : offs[i + 1]].tobytes(), k), np.uint64)).view(np.int64) for i in range(len(offs) - 1)]

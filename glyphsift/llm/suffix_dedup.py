@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_column, drop_stored, identified, parallelism, stored
+from .common import NO_ID, byte_column, drop_stored, identified, parallelism, stored, worker_store
 
 GRAM = 32
 #: Bytes that are hashed at a time, and of one transform.
@@ -112,6 +112,7 @@ def _runs(min_len: int):
         import pyarrow as pa
         import xxhash
 
+        worker_store("suffix")
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             raw, offs = byte_column(batch.column(2))
@@ -250,6 +251,7 @@ def _transform(min_len: int):
         def emit(found):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int32()))], ["mh", "sh", "turns"])
 
+        worker_store("suffix")
         rows, group, size = [], [], 0
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
