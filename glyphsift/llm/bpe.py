@@ -23,7 +23,7 @@ from itertools import chain, repeat
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import byte_column, worker_store
+from .common import bounded_batches, byte_column, worker_store
 from .suffix_dedup import GRAM, gram_hashes
 
 #: One place in CUT is a cut; entries kept for each worker; bytes handled at a time.
@@ -310,6 +310,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
+    bounded_batches(docs.sparkSession)
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(_encode(path or tokenizer_path()), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -91,6 +91,17 @@ def byte_column(array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - (offs[0] if len(offs) else 0)
 
 
+#: Rows of whole texts in one Arrow batch, which stands in the executor's and the worker's memory at once.
+BATCH_ROWS = 4000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's 10,000 rows, for plans that carry whole texts to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 #: What operators keep in a Python worker between tasks, by operator.
 _worker: dict[str, dict] = {}
 

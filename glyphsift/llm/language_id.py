@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import pieces
-from .common import NO_ID, byte_column, worker_store
+from .common import NO_ID, bounded_batches, byte_column, worker_store
 
 ORDER = 3
 #: The sample: at most so many labelled rows of each language, those whose ids hash lowest.
@@ -130,10 +130,14 @@ def _ppm(table: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Ppm:
     """Count the trees over the sample; only ``text`` and ``lang`` are learned from."""
+    bounded_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("__d"), "__d"))
-    chosen = labelled.select("lang", key.alias("__d")).withColumn("__r", rank).where(F.col("__r") <= rows_per_language).select("__d").distinct()
+    lowest = Window.orderBy(F.xxhash64("__d"), "__d")
+    # first within parts of a language, then among those: no task sees all of a language's rows
+    parts = labelled.select("lang", key.alias("__d")).withColumn("__p", F.pmod(F.xxhash64("__d"), F.lit(64)))
+    some = parts.withColumn("__r", F.row_number().over(lowest.partitionBy("lang", "__p"))).where(F.col("__r") <= rows_per_language)
+    chosen = some.withColumn("__r", F.row_number().over(lowest.partitionBy("lang"))).where(F.col("__r") <= rows_per_language).select("__d").distinct()
     # at most rows_per_language ids for each language
     sample = labelled.select(key.alias("__d"), F.col("lang").alias("lang"), "text").join(F.broadcast(chosen), "__d", "left_semi").select("lang", "text")
     rows = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_column, identified, stored, worker_store
+from .common import NO_ID, bounded_batches, byte_column, identified, stored, worker_store
 from .components import components
 
 LOW = np.uint64(0x5555555555555555)
@@ -95,6 +95,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     differing bits; ``component_id`` is the smallest ``doc_id`` that can be
     reached.  Repeated rows give repeated rows; an empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     each = stored(own.mapInArrow(_fingerprints(shingle), f"doc_id {kind}, fp long, pv long"), "simhash")
@@ -114,7 +115,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 TABLES, WIDTH = 4, 32
 #: Flipped bits of all tables that a pair may have: unrelated texts of one language have over 45, pairs at 0.8 about 13.
 FLIPS = 28
-_KEPT = 1 << 19
 
 
 def _word_prints(batches):
@@ -123,19 +123,13 @@ def _word_prints(batches):
     import xxhash
 
     worker_store("simhash")
-    known: dict[bytes, bytes] = {}
     for batch in batches:
         raw, offs = byte_column(batch.column(1))
         out = np.zeros((len(offs) - 1, 2), np.uint64)
         for i in range(len(out)):
             ws = set(raw[offs[i] : offs[i + 1]].tobytes().lower().split())
-            if len(known) > _KEPT:
-                known.clear()
-            for w in ws:
-                if w not in known:
-                    known[w] = xxhash.xxh3_128_digest(w)
             if ws:
-                out[i] = simhash(np.frombuffer(b"".join([known[w] for w in ws]), ">u8").reshape(-1, 2), TABLES * WIDTH)
+                out[i] = simhash(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, ws)), ">u8").reshape(-1, 2), TABLES * WIDTH)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0].copy().view(np.int64)), pa.array(out[:, 1].copy().view(np.int64))], ["__t", "__p", "__q"])
 
 
@@ -170,6 +164,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     share it are linked to the smallest of them (a star, never all pairs), and
     each link is verified on the shingle sets.
     """
+    bounded_batches(docs.sparkSession)
     base = identified(docs).select("__t", "text")
     each = stored(base.mapInArrow(_word_prints, "__t long, __p long, __q long").dropDuplicates(["__t"]), "word-prints")
     mask = F.lit((1 << WIDTH) - 1)

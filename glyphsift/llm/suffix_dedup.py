@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, byte_column, drop_stored, identified, parallelism, stored, worker_store
+from .common import NO_ID, bounded_batches, byte_column, drop_stored, identified, parallelism, stored, worker_store
 
 GRAM = 32
 #: Bytes that are hashed at a time, and of one transform.
@@ -340,6 +340,7 @@ def _cut(min_len: int):
 
 def repeated_spans(docs: DataFrame, min_len: int = 200, hot_runs: int = 4096) -> DataFrame:
     """``__d, __t, starts array<struct<a, b>>``: starts a <= s < b of strings that occur more than once."""
+    bounded_batches(docs.sparkSession)
     base = identified(docs).select("__d", "__t", "text")
     runs = stored(base.mapInArrow(_runs(min_len), "mh long, sh long, __d long, __t long, off long, n int"), "runs")
     often = runs.groupBy("mh").agg(F.count("*").alias("__k")).where("__k > 1").select("mh")

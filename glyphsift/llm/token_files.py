@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import WordIds, pieces, tokenizer_path
-from .common import byte_column, parallelism, shared_dir
+from .common import bounded_batches, byte_column, parallelism, shared_dir
 
 STEP = 256
 SHARD_TOKENS = 1 << 22
@@ -145,6 +145,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     texts hold the end id only; an empty table gives a folder without shards.
     A document longer than ``shard_tokens`` is a shard of its own.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = own.repartitionByRange(2 * parallelism(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_write(tokenizer or tokenizer_path(), end_id, shard_tokens), SCHEMA).write.parquet(path)
