@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ REDACTED = "[REDACTED-SECRET]"
 USEFUL_WORDS = 400
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often lambdas within the body use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def whitespace_tokens(text: Column) -> Column:
     """Tokens between runs of white space (Python's str.split)."""
     return F.filter(F.split(text, f"[{U.PY_SPACE}]+"), lambda w: w != "")

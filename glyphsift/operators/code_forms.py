@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 COMMUTATIVE = (ast.Add, ast.Mult, ast.BitAnd, ast.BitOr, ast.BitXor)
 TURNED = {ast.Gt: ast.Lt, ast.GtE: ast.LtE}
@@ -71,13 +72,13 @@ def _form(code: str | None, visitor: type[ast.NodeTransformer]) -> str | None:
         return " ".join(re.sub(r"#[^\n]*", "", code).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonicalize_python(code: pd.Series) -> pd.Series:
     """Alpha-renamed and unparsed; code that doesn't parse keeps its tokens without comments."""
     return code.map(lambda c: _form(c, _Rename))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def structural_normalize(code: pd.Series) -> pd.Series:
     return code.map(lambda c: _form(c, _Structure))
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphsift.functions.text import let
+
 START = "<s>"
 FULL = 4294967296.0
 Z_ALARM = 4.0
@@ -92,6 +94,9 @@ class ContextScheme:
 
     def green(self, tokens: Column) -> Column:
         """``array<boolean>`` of the tokens."""
+        return let(tokens, self._green)
+
+    def _green(self, tokens: Column) -> Column:
         limit = self.gamma * FULL
         if self.kind == "unigram":
             return F.transform(tokens, lambda t: h32(self.key, "", t) < limit)
@@ -112,6 +117,8 @@ class ContextScheme:
 
     def count(self, tokens: Column, vocab: Column | None = None) -> Column:
         """``struct<green, scored>`` over the vocabulary's tokens; all tokens are context."""
+        if vocab is None:
+            return let(self.green(tokens), lambda g: F.struct(F.size(F.filter(g, lambda x: x)).alias("green"), F.size(g).alias("scored")))
         flags = self.green(tokens)
         if vocab is not None:
             flags = F.filter(F.zip_with(flags, tokens, lambda g, t: F.when(F.array_contains(vocab, t), g)), lambda x: x.isNotNull())

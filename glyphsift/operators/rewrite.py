@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphsift.functions import unicode_tables as U
-from glyphsift.functions.text import ascii_only, strip, whitespace_tokens
+from glyphsift.functions.text import ascii_only, let, strip, whitespace_tokens
 from glyphsift.operators import carriers
 
 # Typographic substitutions, contractions and function words.
@@ -64,7 +64,8 @@ def token_edits(text: Column) -> Column:
     for pattern, to in SUBSTITUTIONS:
         text = F.regexp_replace(text, pattern, to)
     for a, b in CONTRACTIONS:
-        text = F.regexp_replace(text, f"(?<![{U.word_chars()}]){a}(?![{U.word_chars()}])", b)
+        # the plain words first: the long classes are looked at only where they stand
+        text = F.regexp_replace(text, f"{a}(?<![{U.word_chars()}]{a})(?![{U.word_chars()}])", b)
     return text
 
 
@@ -127,5 +128,5 @@ def canonicalize_c(code: Column) -> Column:
         code = F.regexp_replace(code, pattern, to)
     tokens = F.regexp_extract_all(code, F.lit(f"([A-Za-z_][{w}]*|[0-9]+\\.?[0-9]*|[^{w}{s}])"), F.lit(1))
     name = lambda t: t.rlike("^[A-Za-z_]") & ~t.isin(C_KEEP)
-    names = F.array_distinct(F.filter(tokens, name))
-    return F.array_join(F.transform(tokens, lambda t: F.when(name(t), F.concat(F.lit("v"), (F.array_position(names, t) - 1).cast("string"))).otherwise(t)), " ")
+    renamed = lambda ts, names: F.transform(ts, lambda t: F.when(name(t), F.concat(F.lit("v"), (F.array_position(names, t) - 1).cast("string"))).otherwise(t))
+    return F.array_join(let(tokens, lambda ts: let(F.array_distinct(F.filter(ts, name)), lambda names: renamed(ts, names))), " ")

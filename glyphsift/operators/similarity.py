@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphsift.functions.text import let
+
 # Metric, threshold, character and word n of each language.
 SPECS = [
     ("en", "word_char", 0.60, 3, 2), ("es", "word_char", 0.45, 3, 2), ("fr", "word_char", 0.45, 3, 2), ("de", "word_char", 0.45, 3, 2), ("ru", "word_char", 0.45, 3, 2),
@@ -28,18 +30,19 @@ def with_spec(df: DataFrame, lang: str = "lang") -> DataFrame:
     return df.withColumn("__lang", F.when(code.isin(known), code).otherwise("und")).join(F.broadcast(table.withColumnRenamed("lang", "__lang")), "__lang").drop("__lang")
 
 
+def _grams(items: Column, n: int, sep: str) -> Column:
+    whole = lambda xs, i: F.concat_ws(sep, *[F.get(xs, i + j) for j in range(n)])
+    return let(items, lambda xs: F.transform(F.slice(xs, 1, F.greatest(F.size(xs) - (n - 1), F.lit(0))), lambda _, i: whole(xs, i)))
+
+
 def char_grams(text: Column, n: int) -> Column:
     """Lower-case character n-grams (of shorter texts: the whole text)."""
-    low = F.lower(text)
-    size = F.length(low)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(low, i, F.lit(n)))).when(size > 0, F.array(low)).otherwise(F.array().cast("array<string>"))
+    return let(F.lower(text), lambda low: F.when(F.length(low) >= n, _grams(F.split(low, ""), n, "")).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>")))
 
 
 def word_grams(text: Column, n: int) -> Column:
     """Lower-case words and word n-grams."""
-    ws = F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
-    more = F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(ws, more)
+    return let(F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != ""), lambda ws: F.concat(ws, _grams(ws, n, " ")))
 
 
 def cosine(pairs: DataFrame, key: str, a: str, b: str, out: str) -> DataFrame:

@@ -90,15 +90,15 @@ _LANG = f"""SELECT doc_id, lang, CASE WHEN top IS NULL THEN 'und' WHEN top.name
  {' '.join(f"WHEN top.name = '{b}' THEN '{x}'" for b, x in R.BUCKET_LANGUAGE.items())} WHEN best.n > 0 THEN best.lang ELSE 'en' END AS detected FROM (
  SELECT doc_id, lang, kana, list_max(list_filter(b, lambda x: x.n > 0)) AS top, list_max({_FN}) AS best FROM (
  SELECT doc_id, lang, {_BUCKET} AS b, len(regexp_extract_all(text, '[\\x{{3040}}-\\x{{30FF}}]')) AS kana, list_distinct(list_transform({_TOK}, lambda w: lower(w))) AS ws FROM documents))"""
-_GRAM = "list_transform(range(1, greatest(length({x}) - 1, 2)), lambda i: substr(lower({x}), i, 3))"
+_GRAM = "CASE WHEN len({x}) < 3 THEN [array_to_string({x}, '')] ELSE list_transform(range(1, len({x}) - 1), lambda i: {x}[i]||{x}[i+1]||{x}[i+2]) END"
 _WGRAM = "list_concat({w}, list_transform(range(1, greatest(len({w}), 1)), lambda i: {w}[i]||' '||{w}[i+1]))"
 
 
 def _gate_sql(after: str, extra: str = "") -> str:
     split = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
     return f"""WITH lexicon AS (SELECT {_MAP} AS lex), p AS (SELECT doc_id, lang, text AS a, {after} AS b FROM documents, lexicon),
- w AS (SELECT *, {split('a')} AS wa, {split('b')} AS wb FROM p),
- g AS (SELECT doc_id, 'c' AS m, 1 AS s, unnest({_GRAM.format(x='a')}) AS g FROM w UNION ALL SELECT doc_id, 'c', 2, unnest({_GRAM.format(x='b')}) FROM w
+ w AS (SELECT *, {split('a')} AS wa, {split('b')} AS wb, string_split(lower(a), '') AS ca, string_split(lower(b), '') AS cb FROM p),
+ g AS (SELECT doc_id, 'c' AS m, 1 AS s, unnest({_GRAM.format(x='ca')}) AS g FROM w UNION ALL SELECT doc_id, 'c', 2, unnest({_GRAM.format(x='cb')}) FROM w
   UNION ALL SELECT doc_id, 'w', 1, unnest({_WGRAM.format(w='wa')}) FROM w UNION ALL SELECT doc_id, 'w', 2, unnest({_WGRAM.format(w='wb')}) FROM w),
  n AS (SELECT doc_id, m, g, count(*) FILTER (s = 1) AS na, count(*) FILTER (s = 2) AS nb FROM g GROUP BY ALL),
  c AS (SELECT doc_id, m, CAST(sum(na * nb) AS DOUBLE) / sqrt(CAST(sum(na * na) AS DOUBLE) * CAST(sum(nb * nb) AS DOUBLE)) AS v FROM n GROUP BY doc_id, m)
