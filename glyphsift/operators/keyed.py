@@ -118,11 +118,11 @@ class ContextScheme:
     def count(self, tokens: Column, vocab: Column | None = None) -> Column:
         """``struct<green, scored>`` over the vocabulary's tokens; all tokens are context."""
         if vocab is None:
-            return let(self.green(tokens), lambda g: F.struct(F.size(F.filter(g, lambda x: x)).alias("green"), F.size(g).alias("scored")))
+            return let(self.green(tokens), lambda g: F.named_struct(F.lit("green"), F.size(F.filter(g, lambda x: x)), F.lit("scored"), F.size(g)))
         flags = self.green(tokens)
         if vocab is not None:
             flags = F.filter(F.zip_with(flags, tokens, lambda g, t: F.when(F.array_contains(vocab, t), g)), lambda x: x.isNotNull())
-        return F.struct(F.size(F.filter(flags, lambda x: x)).alias("green"), F.size(flags).alias("scored"))
+        return F.named_struct(F.lit("green"), F.size(F.filter(flags, lambda x: x)), F.lit("scored"), F.size(flags))
 
     def z(self, tokens: Column, vocab: Column | None = None) -> Column:
         c = self.count(tokens, vocab)

@@ -1,2 +1,168 @@
-QUERIES = {}
-SQL = {}
+"""Corpus statistics, similarity and calibration over the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphsift.functions.text import prose_tokens
+from glyphsift.operators import keyless as U
+from glyphsift.operators import partition as P
+from glyphsift.operators import similarity as S
+
+SLOTS, K, PERMUTATIONS = 40, 4, 50
+
+
+def _tokens(spark: SparkSession, sf_dir: str, arm: str = "lang") -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col(arm).alias("arm"), "doc_id", F.posexplode(prose_tokens(F.col("text"))).alias("pos", "tok"))
+
+
+def compare_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = U.compare_arms(_tokens(spark, sf_dir), "fr", "en")
+    return out.select(F.round("l1", 6).alias("l1"), F.round("baseline", 6).alias("baseline"), F.round("ratio", 6).alias("ratio"), "flagged")
+
+
+def corpus_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = U.corpus_test(_tokens(spark, sf_dir, "source"), "src1", "src2")
+    return out.select(*[F.col(c).cast("long").alias(c) for c in ("green_tokens", "cand_green", "cand_n", "ref_green", "ref_n")], F.round("z", 6).alias("z"))
+
+
+def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.bigrams_of(_tokens(spark, sf_dir).where("arm = 'de'"))
+
+
+def green_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.green_by_context(_bigrams(spark, sf_dir))
+
+
+def green_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bigrams(spark, sf_dir)
+    out = U.green_fraction(b, U.green_by_context(b))
+    return out.select(F.col("green").cast("long").alias("green"), F.col("scored").cast("long").alias("scored"), F.round("z", 6).alias("z"))
+
+
+def prose_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.prose_gap(_bigrams(spark, sf_dir), permutations=20)
+
+
+def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A choice matrix: the k-way hash of each of a text's first tokens."""
+    t = _tokens(spark, sf_dir).where(F.col("pos") < SLOTS)
+    return t.select(F.col("doc_id").alias("sample_id"), F.col("pos").cast("int").alias("slot"), F.pmod(U.draw("v", F.col("tok")), F.lit(K)).cast("int").alias("variant"))
+
+
+def estimate_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.estimate_partition(choices(spark, sf_dir), K).select(F.col("slot").cast("long").alias("slot"), F.col("variant").cast("long").alias("variant"))
+
+
+def partition_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = choices(spark, sf_dir)
+    out = P.aggregate_z(c, P.estimate_partition(c, K), K, SLOTS)
+    return out.select(F.col("hits").cast("long").alias("hits"), "n", F.round("gamma", 6).alias("gamma"), F.round("z", 6).alias("z"))
+
+
+def steal_and_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = P.steal_and_test(choices(spark, sf_dir), K, SLOTS, permutations=PERMUTATIONS)
+    return out.select(F.round("z", 6).alias("z"), F.round("null_mean", 6).alias("null_mean"), F.round("p", 6).alias("p"), F.round("gap", 6).alias("gap"), "detected")
+
+
+def bootstrap_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap gaps of texts of one source that have all slots, and their summary."""
+    full = choices(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").where("source = 'src3'").select(F.col("doc_id").alias("sample_id")), "sample_id", "left_semi")
+    whole = full.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") == SLOTS).select("sample_id")
+    return P.style_baseline(P.bootstrap_gaps(full.join(whole, "sample_id", "left_semi"), K, SLOTS, n_boot=20, permutations=20))
+
+
+def context_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-way choices of users in contexts, by event type."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("pair"), F.pmod("user_id", F.lit(12)).cast("string").alias("context"), F.when(F.pmod("event_id", F.lit(7)) < 3, "a").when(F.pmod("event_id", F.lit(7)) < 6, "b").alias("choice"))
+    out = U.context_signature(e)
+    return out.select("pair", *[F.round(c, 6).alias(c) for c in ("concentration", "balance", "score")])
+
+
+def residual_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Difference between the turns of a conversation, by role."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "role", F.col("turn").alias("sample_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
+    return U.residual_variability(t, ["conv_id", "role"]).select("conv_id", "role", F.round("variability", 6).alias("variability"))
+
+
+def suite_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variability of the assistant's turns against the user's, for each conversation."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("task"), F.col("role").alias("arm"), F.col("turn").alias("sample_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
+    return U.suite_probe(t, "assistant", "user").select("task", F.round("candidate", 6).alias("candidate"), F.round("control", 6).alias("control"), F.round("excess", 6).alias("excess"), "flagged")
+
+
+def dense_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against the first of its label."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    ref = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("__r"))
+    return e.join(ref, "label").select("vec_id", F.round(S.dense_cosine(F.col("embedding"), F.col("__r")), 5).alias("cosine"))
+
+
+def separation_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a text's length separates the labelled qualities."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
+    return S.separation_auc(rows.select(F.when(F.col("quality") == 1, "preserved").otherwise("changed").alias("label"), F.col("n_chars").cast("double").alias("score"))).select(F.round("auc", 6).alias("auc"))
+
+
+def language_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold of each language by which no changed pair is accepted: benchmark items against other items."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("before"))
+    pairs = items.join(items.select((F.col("item_id") + 1).alias("item_id"), F.col("before").alias("after")), "item_id").withColumnRenamed("item_id", "pair_id")
+    return S.similarity(pairs).select(F.max("score").alias("threshold"), F.count("*").alias("pairs"))
+
+
+_TOKS = "SELECT {arm} AS arm, doc_id, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ts FROM documents)"
+
+
+def _draw(*parts: str) -> str:
+    return "('0x'||substr(sha256(" + "||'|'||".join(parts) + "),1,8))::UBIGINT::BIGINT"
+
+
+def _l1(a: str, b: str) -> str:
+    return f"(SELECT sum(abs(coalesce(x.p, 0) - coalesce(y.p, 0))) FROM (SELECT tok, p FROM {a}) x FULL OUTER JOIN (SELECT tok, p FROM {b}) y USING (tok))"
+
+
+_SHARE = "SELECT tok, count(*)::DOUBLE / (sum(count(*)) OVER ())::DOUBLE AS p FROM t WHERE {w} GROUP BY tok"
+_HALF = f"{_draw("'{seed}'", "'half'", 'CAST(doc_id AS VARCHAR)')} % 2"
+_BI = f"t AS ({_TOKS.format(arm='lang')}), b AS (SELECT * FROM (SELECT doc_id, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, tok FROM t WHERE arm = 'de') WHERE ctx IS NOT NULL)"
+_GREEN = """p AS (SELECT ctx, tok, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT ctx, tok FROM (SELECT ctx, tok, n, sum(n) OVER (PARTITION BY ctx) AS cn, sum(n) OVER (PARTITION BY tok) AS tn, sum(n) OVER () AS al FROM p)
+ WHERE cn >= 4 AND n >= 3 AND n::DOUBLE / cn::DOUBLE > 1.5::DOUBLE * tn::DOUBLE / al::DOUBLE)"""
+_CH = f"t AS ({_TOKS.format(arm='lang')}), c AS (SELECT doc_id AS sample_id, pos AS slot, {_draw("'v'", 'tok')} % {K} AS variant FROM t WHERE pos < {SLOTS})"
+_EST = "SELECT slot, variant FROM (SELECT slot, variant, count(*) AS n, sum(count(*)) OVER (PARTITION BY slot) AS s FROM {c} GROUP BY slot, variant) WHERE n::DOUBLE / s::DOUBLE > 1.15::DOUBLE / 4"
+_PAIRS = """tk AS (SELECT conv_id, role, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS tok FROM conversations), n AS (SELECT conv_id, role, turn, tok, count(*) AS n FROM tk GROUP BY ALL), z AS (SELECT conv_id, role, turn, sum(n) AS size FROM n GROUP BY ALL),
+ pr AS (SELECT a.conv_id, a.role, a.turn AS x, b.turn AS y, a.size + b.size AS size FROM z a JOIN z b ON a.conv_id = b.conv_id AND a.role = b.role AND a.turn < b.turn),
+ m AS (SELECT pr.conv_id, pr.role, x, y, pr.size, coalesce((SELECT sum(least(p.n, q.n)) FROM n p JOIN n q ON p.tok = q.tok WHERE p.conv_id = pr.conv_id AND q.conv_id = pr.conv_id AND p.role = pr.role AND q.role = pr.role AND p.turn = x AND q.turn = y), 0) AS common FROM pr),
+ v AS (SELECT conv_id, role, avg((size - 2 * common)::DOUBLE / size::DOUBLE) AS variability FROM m GROUP BY ALL)"""
+_SIG = "x AS (SELECT event_type AS pair, CAST(user_id % 12 AS VARCHAR) AS context, event_id % 7 AS r FROM events), c AS (SELECT pair, context, sum(CASE WHEN r < 3 THEN 1 ELSE 0 END)::DOUBLE / sum(CASE WHEN r < 6 THEN 1 ELSE 0 END)::DOUBLE AS p FROM x GROUP BY ALL HAVING sum(CASE WHEN r < 6 THEN 1 ELSE 0 END) > 0), q AS (SELECT pair, avg(2 * abs(p - 0.5::DOUBLE)) AS c, avg(CASE WHEN p >= 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS m FROM c GROUP BY pair), s AS (SELECT pair, c AS concentration, 4 * m * (1 - m) AS balance, c * 4 * m * (1 - m) AS score FROM q)"
+
+QUERIES = {
+    "compare_arms": compare_arms, "corpus_test": corpus_test, "green_by_context": green_by_context, "green_fraction": green_fraction, "prose_gap": prose_gap,
+    "estimate_partition": estimate_partition, "partition_z": partition_z, "steal_and_test": steal_and_test, "bootstrap_baseline": bootstrap_baseline,
+    "context_signature": context_signature, "residual_variability": residual_variability, "suite_probe": suite_probe,
+    "dense_cosine": dense_cosine, "separation_auc": separation_auc, "language_thresholds": language_thresholds,
+}
+SQL = {
+    "compare_arms": f"WITH t0 AS ({_TOKS.format(arm='lang')}), t AS (SELECT *, {_HALF.format(seed='compare')} AS h FROM t0), f AS ({_SHARE.format(w="arm = 'fr'")}), e AS ({_SHARE.format(w="arm = 'en'")}), e0 AS ({_SHARE.format(w="arm = 'en' AND h = 0")}), e1 AS ({_SHARE.format(w="arm = 'en' AND h = 1")}), r AS (SELECT {_l1('f', 'e')} AS l1, {_l1('e0', 'e1')} AS baseline) SELECT round(l1, 6) AS l1, round(baseline, 6) AS baseline, round(l1 / greatest(baseline, 1e-9), 6) AS ratio, l1 / greatest(baseline, 1e-9) >= 2.0 AS flagged FROM r",
+    "corpus_test": f"""WITH t0 AS ({_TOKS.format(arm='source')}), t AS (SELECT *, {_HALF.format(seed='corpus')} AS h FROM t0 WHERE arm IN ('src1', 'src2')),
+ c AS (SELECT tok, count(*) AS c FROM t WHERE h = 0 AND arm = 'src1' GROUP BY tok), r AS (SELECT tok, count(*) AS r FROM t WHERE h = 0 AND arm = 'src2' GROUP BY tok),
+ g AS (SELECT tok FROM c LEFT JOIN r USING (tok) WHERE c >= 5 AND c::DOUBLE / (SELECT sum(c) FROM c)::DOUBLE / ((coalesce(r, 0) + 0.5::DOUBLE) / ((SELECT sum(r) FROM r)::DOUBLE + 0.5::DOUBLE * (SELECT count(*) FROM r))) >= 1.3::DOUBLE),
+ s AS (SELECT (SELECT count(*) FROM g) AS green_tokens, count(*) FILTER (arm = 'src1' AND tok IN (FROM g)) AS cand_green, count(*) FILTER (arm = 'src1') AS cand_n, count(*) FILTER (arm = 'src2' AND tok IN (FROM g)) AS ref_green, count(*) FILTER (arm = 'src2') AS ref_n FROM t WHERE h = 1)
+ SELECT *, round((cand_green::DOUBLE / cand_n - ref_green::DOUBLE / ref_n) / sqrt((cand_green + ref_green)::DOUBLE / (cand_n + ref_n) * (1 - (cand_green + ref_green)::DOUBLE / (cand_n + ref_n)) * (1.0::DOUBLE / cand_n + 1.0::DOUBLE / ref_n)), 6) AS z FROM s""",
+    "green_by_context": f"WITH {_BI}, {_GREEN} SELECT * FROM g",
+    "green_fraction": f"WITH {_BI}, {_GREEN}, s AS (SELECT count(*) FILTER ((ctx, tok) IN (SELECT (ctx, tok) FROM g)) AS green, count(*) AS scored FROM b WHERE ctx IN (SELECT ctx FROM g)) SELECT green, scored, round((green - 0.25::DOUBLE * scored) / sqrt(scored * 0.25::DOUBLE * 0.75::DOUBLE), 6) AS z FROM s",
+    "estimate_partition": f"WITH {_CH} {_EST.format(c='c')}",
+    "partition_z": f"WITH {_CH}, g AS ({_EST.format(c='c')}), s AS (SELECT count(*) FILTER ((slot, variant) IN (SELECT (slot, variant) FROM g)) AS hits, count(*) AS n, (SELECT count(*) FROM g)::DOUBLE / {SLOTS * K} AS gamma FROM c) SELECT hits, n, round(gamma, 6) AS gamma, round((hits - gamma * n) / sqrt(n * gamma * (1 - gamma)), 6) AS z FROM s",
+    "steal_and_test": f"""WITH {_CH}, k AS (SELECT *, {_draw("'partition'", "'split'", 'CAST(sample_id AS VARCHAR)')} >= 2147483648 AS test FROM c), tr AS (SELECT * FROM k WHERE NOT test), g AS ({_EST.format(c='tr')}),
+ n AS (SELECT slot, variant, count(*) AS n FROM k WHERE test GROUP BY ALL), o AS (SELECT p, slot, row_number() OVER (PARTITION BY p ORDER BY {_draw("'partition'", 'CAST(p AS VARCHAR)', 'CAST(slot AS VARCHAR)')}, slot) - 1 AS dest FROM range({PERMUTATIONS}) a(p), range({SLOTS}) s(slot)),
+ h AS (SELECT p, coalesce(sum(n), 0)::DOUBLE AS h FROM o LEFT JOIN g USING (slot) LEFT JOIN n ON n.slot = o.dest AND n.variant = g.variant GROUP BY p),
+ r AS (SELECT (SELECT sum(n) FROM n JOIN g USING (slot, variant))::DOUBLE AS rl, (SELECT sum(n) FROM n)::DOUBLE AS t, (SELECT count(*) FROM g)::DOUBLE / {SLOTS * K} AS gm),
+ z AS (SELECT (h - gm * t) / sqrt(t * gm * (1 - gm)) AS zn, (rl - gm * t) / sqrt(t * gm * (1 - gm)) AS z FROM h, r)
+ SELECT round(z, 6) AS z, round(avg(zn), 6) AS null_mean, round((count(*) FILTER (zn >= z) + 1)::DOUBLE / (count(*) + 1), 6) AS p, round(z - avg(zn), 6) AS gap, (count(*) FILTER (zn >= z) + 1)::DOUBLE / (count(*) + 1) <= 0.05 AS detected FROM z GROUP BY z""",
+    "context_signature": f"WITH {_SIG}, o AS (SELECT * FROM s UNION ALL SELECT NULL, avg(concentration), avg(balance), avg(score) FROM s) SELECT pair, round(concentration, 6) AS concentration, round(balance, 6) AS balance, round(score, 6) AS score FROM o",
+    "residual_variability": f"WITH {_PAIRS} SELECT conv_id, role, round(variability, 6) AS variability FROM v",
+    "suite_probe": f"WITH {_PAIRS}, w AS (SELECT conv_id AS task, max(variability) FILTER (role = 'assistant') AS a, max(variability) FILTER (role = 'user') AS u FROM v GROUP BY conv_id) SELECT task, round(a, 6) AS candidate, round(u, 6) AS control, round(a - u, 6) AS excess, a - u >= 0.02 AS flagged FROM w",
+    "dense_cosine": "WITH f AS (SELECT label, arg_min(embedding, vec_id) AS r FROM embeddings GROUP BY label) SELECT vec_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), list_transform(r, lambda x: x::DOUBLE)), 5) AS cosine FROM embeddings JOIN f USING (label)",
+    "separation_auc": "WITH s AS (SELECT quality, n_chars FROM labels JOIN documents USING (doc_id)) SELECT round(avg(CASE WHEN a.n_chars > b.n_chars THEN 1.0::DOUBLE WHEN a.n_chars = b.n_chars THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS auc FROM s a, s b WHERE a.quality = 1 AND b.quality <> 1",
+}
