@@ -71,6 +71,12 @@ def identified(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     ).withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64("text")})
 
 
+def rows_with_identity(docs: DataFrame) -> DataFrame:
+    """``__row`` (all columns of ``docs``, whatever their names), ``__d`` and ``__t``."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    return docs.select(whole, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__t"))
+
+
 def words(text: Column) -> Column:
     """White-space separated words, in order; no empty ones."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS), lambda w: w != "")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import pieces
-from .common import NO_ID, bounded_batches, byte_column, worker_store
+from .common import NO_ID, bounded_batches, byte_column, rows_with_identity, worker_store
 
 ORDER = 3
 #: The sample: at most so many labelled rows of each language, those whose ids hash lowest.
@@ -182,8 +182,10 @@ def _accept(shared, text_at: int):
 
         worker_store("language")
         for batch in batches:
-            lang, _ = predict(shared.value, batch.column(text_at).fill_null(""))
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang]))
+            columns = batch.column(0).flatten()
+            lang, _ = predict(shared.value, columns[text_at].fill_null(""))
+            rows = pa.RecordBatch.from_arrays(columns, [f.name for f in batch.schema.field(0).type])
+            yield rows.filter(pa.array([x != UNKNOWN for x in lang]))
 
     return f
 
@@ -206,7 +208,8 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
 def accepted(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """The rows of ``docs`` whose text has a language; those that get ``und`` go."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_language))
-    return docs.mapInArrow(_accept(shared, docs.columns.index("text")), docs.schema)
+    # as one struct, so that columns of any name pass through
+    return rows_with_identity(docs).select("__row").mapInArrow(_accept(shared, docs.columns.index("text")), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NO_ID, NOT_WS, ordered, stored
+from .common import NO_ID, NOT_WS, ordered, rows_with_identity, stored
 
 PHI = (math.sqrt(5) - 1) / 2
 MOST = 3
@@ -123,8 +123,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes their whole text, to the nearest."""
     taken = mix(docs).where("size > 0").groupBy("__d", "__t").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size"))
     copies = F.floor(F.col("__taken") / F.col("__size") + 0.5).cast("int")
-    own = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return own.join(taken.select("__d", "__t", copies.alias("__copies")).where("__copies > 0"), ["__d", "__t"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    kept = taken.select("__d", "__t", copies.alias("__copies")).where("__copies > 0")
+    return rows_with_identity(docs).join(kept, ["__d", "__t"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bounded_batches, byte_column, identified, stored, worker_store
+from .common import bounded_batches, byte_column, identified, rows_with_identity, stored, worker_store
 from .components import components
 
 LOW = np.uint64(0x5555555555555555)
@@ -193,5 +193,5 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     rows = identified(docs).groupBy("__t").agg(F.min("__d").alias("__d"))
     of = components(similar_links(docs, shingle, similarity))
     keep = rows.join(of, F.col("__t") == F.col("node"), "left").groupBy(F.coalesce("root", "__t").alias("__root")).agg(F.min(F.struct("__d", "__t")).alias("__k")).select("__k.*")
-    own = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    return own.join(stored(keep, "kept-documents"), ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]).select(*docs.columns)
+    own = rows_with_identity(docs)
+    return own.join(stored(keep, "kept-documents"), ["__d", "__t"], "left_semi").dropDuplicates(["__d", "__t"]).select("__row.*")

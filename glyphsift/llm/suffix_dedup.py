@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bounded_batches, byte_column, drop_stored, identified, parallelism, stored, worker_store
+from .common import bounded_batches, byte_column, drop_stored, identified, parallelism, rows_with_identity, stored, worker_store
 
 GRAM = 32
 #: Bytes that are hashed at a time, and of one transform.
@@ -384,21 +384,22 @@ def remove_repeats(docs: DataFrame, min_len: int = 200, hot_runs: int = 4096) ->
 
 
 def _left(min_len: int, text_at: int, chars_at: int | None):
-    """The batch with what is left of its texts; its last column has the repeated starts."""
+    """The rows (a struct) with what is left of their texts; the second column has the repeated starts."""
 
     def f(batches):
         import pyarrow as pa
 
         cut = _cut(min_len)
         for batch in batches:
-            own = pa.RecordBatch.from_arrays([batch.column(text_at), batch.column(text_at).fill_null(""), batch.column(batch.num_columns - 1)], ["doc_id", "text", "starts"])
+            rows, names = batch.column(0), [f.name for f in batch.schema.field(0).type]
+            columns = rows.flatten()
+            own = pa.RecordBatch.from_arrays([columns[text_at], columns[text_at].fill_null(""), batch.column(1)], ["doc_id", "text", "starts"])
             # a span may end within a character: what is left of it goes too
             texts = [x.decode(errors="ignore") for b in cut([own]) for x in b.column(5).to_pylist()]
-            columns = batch.columns[:-1]
-            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
+            columns[text_at] = pa.array(texts, columns[text_at].type)
             if chars_at is not None:
-                columns[chars_at] = pa.array([len(x) for x in texts], batch.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+                columns[chars_at] = pa.array([len(x) for x in texts], columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return f
 
@@ -406,8 +407,7 @@ def _left(min_len: int, text_at: int, chars_at: int | None):
 def deduplicated(docs: DataFrame, min_len: int = 200) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` (``n_chars`` follows, where there is one); no row goes."""
     starts = repeated_spans(docs, min_len)
-    own = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    joined = own.join(starts.withColumnRenamed("starts", "__starts"), ["__d", "__t"], "left").select(*docs.columns, "__starts")
+    joined = rows_with_identity(docs).join(starts, ["__d", "__t"], "left").select("__row", "starts")
     at = docs.columns.index("text")
     return joined.mapInArrow(_left(min_len, at, docs.columns.index("n_chars") if "n_chars" in docs.columns else None), docs.schema)
 
