@@ -30,7 +30,8 @@ def proportion_z(hits: Column, n: Column, p: float) -> Column:
 
 
 def previous(tokens: Column) -> Column:
-    return F.concat(F.array(F.lit(START)), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))))
+    """The token before each token; none for no tokens."""
+    return F.slice(F.concat(F.array(F.lit(START)), tokens), 1, F.size(tokens))
 
 
 @dataclass(frozen=True)
