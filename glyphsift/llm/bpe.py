@@ -27,7 +27,7 @@ from .common import bounded_batches, byte_column, worker_store
 from .suffix_dedup import GRAM, gram_hashes
 
 #: One place in CUT is a cut; entries kept for each worker; bytes handled at a time.
-CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 9, 40_000, 900_000, 1 << 21, 64
+CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 9, 40_000, 1_000_000, 1 << 21, 64
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -66,9 +66,30 @@ class WordIds:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
+        self.used = np.zeros(1 << 12, np.int32)
         self.filled = 0
         self._add([b""], [b""])
 
+    def _shrink(self) -> None:
+        """Keep the words that came up again; those that were met once, most of them, go."""
+        words = list(self.index)
+        used = self.used[: len(words)]
+        used[0] = 1 << 20
+        least = 2
+        while (used >= least).sum() > KEPT_WORDS // 2:
+            least *= 2
+        keep = np.flatnonzero(used >= least)
+        size = self.length[keep]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(self.begin[keep] - (ends - size), size) + np.arange(int(ends[-1]))]
+        got, at = flat.tobytes(), (4 * ends).tolist()
+        self._reset_to([words[i] for i in keep.tolist()], [got[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], used[keep] // 2)
+
+    def _reset_to(self, words: list[bytes], ids: list[bytes], used: np.ndarray) -> None:
+        self._reset()
+        self._add(words[1:], ids[1:])
+        self.used[1 : len(words)] = used[1:]
+
     def direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -95,7 +116,7 @@ class WordIds:
         flat = np.frombuffer(b"".join(got), np.uint32)
         n, k = len(self.index), len(new)
         while n + k > len(self.begin):
-            self.begin, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length))
+            self.begin, self.length, self.used = (np.concatenate((x, np.zeros_like(x))) for x in (self.begin, self.length, self.used))
         while self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.filled : self.filled + len(flat)] = flat
@@ -152,12 +173,14 @@ class WordIds:
         ws = coded.dictionary.cast("binary").to_pylist()
         at = np.fromiter(map(self.index.get, ws, repeat(-1)), np.int64, len(ws))
         missed = np.flatnonzero(at < 0).tolist()
+        if missed and len(self.index) + 2 * len(missed) > KEPT_WORDS and len(self.index) > KEPT_WORDS // 2:
+            self._shrink()
+            at = np.fromiter(map(self.index.get, ws, repeat(-1)), np.int64, len(ws))
+            missed = np.flatnonzero(at < 0).tolist()
         if missed:
-            if len(self.index) + 2 * len(missed) > KEPT_WORDS and len(missed) < len(ws):
-                self._reset()  # the store starts anew and has to hold all of these
-                missed = range(len(ws))
             self._learn([ws[i] for i in missed])
             at[missed] = np.fromiter(map(self.index.__getitem__, (ws[i] for i in missed)), np.int64, len(missed))
+        self.used[at] += 1
         at = at[coded.indices.to_numpy()]
         size = self.length[at]
         ends = np.append(0, np.cumsum(size))

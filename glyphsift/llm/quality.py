@@ -91,3 +91,21 @@ def judge(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM w)),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win), range(8) r(j) WHERE c > 1 GROUP BY doc_id),
+ln AS (SELECT *, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM w),
+m AS (SELECT doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM ln LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words AS fails FROM b),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(fails::INT)::DOUBLE AS k FROM f GROUP BY source),
+a AS (SELECT greatest(1e-6, least(sum(k) / sum(n), 1 - 1e-6)) AS p, coalesce(var_samp(k / n), 0) AS v, avg(1 / n) AS inv FROM h),
+s AS (SELECT p, least(greatest(p * (1 - p) / greatest(v - p * (1 - p) * inv, 1e-6) - 1, 1), 1e6) AS s FROM a),
+r AS (SELECT source, (k + p * s) / (n + s) > 0.5 AS bad FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND fails) AS kept
+FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+"""

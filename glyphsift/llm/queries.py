@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.SQL}
+    return {"op3_quality_rules": quality.SQL, "op5_url_filter": url_filter.SQL}
