@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsift.functions.text import prose_tokens
+from glyphsift.operators import calibration as C
 from glyphsift.operators import keyless as U
 from glyphsift.operators import partition as P
 from glyphsift.operators import similarity as S
@@ -74,6 +75,18 @@ def bootstrap_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.style_baseline(P.bootstrap_gaps(full.join(whole, "sample_id", "left_semi"), K, SLOTS, n_boot=20, permutations=20))
 
 
+def prose_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summary of bootstrap gaps of one source's prose."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source = 'src4'").select("doc_id", prose_tokens(F.col("text")).alias("tokens"))
+    return P.style_baseline(C.prose_bootstrap_gaps(docs, n_boot=8, permutations=10))
+
+
+def active_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as a queried model, user turns as its control."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("role").alias("arm"), F.col("conv_id").alias("doc_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
+    return C.active_presence(t, "assistant", "user").select(F.round("l1", 6).alias("l1"), F.round("baseline", 6).alias("baseline"), F.round("ratio", 6).alias("ratio"), "present")
+
+
 def context_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-way choices of users in contexts, by event type."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("pair"), F.pmod("user_id", F.lit(12)).cast("string").alias("context"), F.when(F.pmod("event_id", F.lit(7)) < 3, "a").when(F.pmod("event_id", F.lit(7)) < 6, "b").alias("choice"))
@@ -139,11 +152,12 @@ _SIG = "x AS (SELECT event_type AS pair, CAST(user_id % 12 AS VARCHAR) AS contex
 
 QUERIES = {
     "compare_arms": compare_arms, "corpus_test": corpus_test, "green_by_context": green_by_context, "green_fraction": green_fraction, "prose_gap": prose_gap,
-    "estimate_partition": estimate_partition, "partition_z": partition_z, "steal_and_test": steal_and_test, "bootstrap_baseline": bootstrap_baseline,
+    "estimate_partition": estimate_partition, "partition_z": partition_z, "steal_and_test": steal_and_test, "bootstrap_baseline": bootstrap_baseline, "prose_baseline": prose_baseline, "active_presence": active_presence,
     "context_signature": context_signature, "residual_variability": residual_variability, "suite_probe": suite_probe,
     "dense_cosine": dense_cosine, "separation_auc": separation_auc, "language_thresholds": language_thresholds,
 }
 SQL = {
+    "active_presence": f"WITH t AS (SELECT role AS arm, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS tok, {_draw("'active'", "'half'", 'CAST(conv_id AS VARCHAR)')} % 2 AS h FROM conversations), f AS ({_SHARE.format(w="arm = 'assistant'")}), e AS ({_SHARE.format(w="arm = 'user'")}), e0 AS ({_SHARE.format(w="arm = 'user' AND h = 0")}), e1 AS ({_SHARE.format(w="arm = 'user' AND h = 1")}), r AS (SELECT {_l1('f', 'e')} AS l1, {_l1('e0', 'e1')} AS baseline) SELECT round(l1, 6) AS l1, round(baseline, 6) AS baseline, round(l1 / greatest(baseline, 1e-9), 6) AS ratio, l1 / greatest(baseline, 1e-9) >= 2.0 AS present FROM r",
     "compare_arms": f"WITH t0 AS ({_TOKS.format(arm='lang')}), t AS (SELECT *, {_HALF.format(seed='compare')} AS h FROM t0), f AS ({_SHARE.format(w="arm = 'fr'")}), e AS ({_SHARE.format(w="arm = 'en'")}), e0 AS ({_SHARE.format(w="arm = 'en' AND h = 0")}), e1 AS ({_SHARE.format(w="arm = 'en' AND h = 1")}), r AS (SELECT {_l1('f', 'e')} AS l1, {_l1('e0', 'e1')} AS baseline) SELECT round(l1, 6) AS l1, round(baseline, 6) AS baseline, round(l1 / greatest(baseline, 1e-9), 6) AS ratio, l1 / greatest(baseline, 1e-9) >= 2.0 AS flagged FROM r",
     "corpus_test": f"""WITH t0 AS ({_TOKS.format(arm='source')}), t AS (SELECT *, {_HALF.format(seed='corpus')} AS h FROM t0 WHERE arm IN ('src1', 'src2')),
  c AS (SELECT tok, count(*) AS c FROM t WHERE h = 0 AND arm = 'src1' GROUP BY tok), r AS (SELECT tok, count(*) AS r FROM t WHERE h = 0 AND arm = 'src2' GROUP BY tok),

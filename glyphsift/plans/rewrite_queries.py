@@ -11,6 +11,7 @@ from glyphsift.functions import text as T
 from glyphsift.functions import unicode_tables as U
 from glyphsift.operators import rewrite as R
 from glyphsift.operators import similarity as S
+from glyphsift.operators.ladder import gateway, rewritten
 
 
 def _over(value: Callable[[Column], Column], table: str = "documents", key: str = "doc_id", text: str = "text") -> Callable[[SparkSession, str], DataFrame]:
@@ -60,6 +61,20 @@ def roundtrip_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir, R.roundtrip_translate)
 
 
+def rewrite_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strength 2 over whole documents: what comes out, and whether the gate let it pass."""
+    out = rewritten(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2)
+    return out.select("doc_id", F.sha2("text", 256).alias("out_sha256"), "accepted", "message")
+
+
+def gateway_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model slot would be sent: the sanitised text, never the raw one."""
+    from glyphsift.plans.carrier_queries import injected
+
+    call = gateway(F.upper, "upper")(F.col("text"))
+    return injected(spark, sf_dir).select("doc_id", call.alias("__c")).select("doc_id", F.col("__c.model").alias("model"), F.col("__c.sent_sha256").alias("sent_sha256"), F.col("__c.sent_chars").cast("long").alias("sent_chars"))
+
+
 def code_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python forms of snippets made from part keys."""
     from glyphsift.operators.code_forms import canonicalize_python, structural_normalize
@@ -118,6 +133,8 @@ QUERIES = {
     "language_confusion": language_confusion,
     "rewrite_gate": rewrite_gate,
     "roundtrip_gate": roundtrip_gate,
+    "rewrite_ladder": rewrite_ladder,
+    "gateway_audit": gateway_audit,
     "code_forms_python": code_forms,
 }
 SQL = {
@@ -131,5 +148,6 @@ SQL = {
     "detect_language": f"SELECT doc_id, detected FROM ({_LANG})",
     "language_confusion": f"SELECT lang, detected, count(*) AS n FROM ({_LANG}) GROUP BY ALL",
     "rewrite_gate": _gate_sql(_EDIT),
+    "rewrite_ladder": f"WITH q AS ({_gate_sql(_EDIT)}) SELECT doc_id, sha256(CASE WHEN accepted THEN {_EDIT} ELSE text END) AS out_sha256, accepted, CASE WHEN accepted THEN 'accepted' ELSE 'meaning changed too much; normalised text returned' END AS message FROM documents JOIN q USING (doc_id)",
     "roundtrip_gate": _gate_sql(_TRIP),
 }

@@ -271,3 +271,12 @@ def dprime(a: list[float], b: list[float]) -> float:
     """Distance of two samples' means over their pooled population deviation."""
     spread = ((statistics.pstdev(a) ** 2 + statistics.pstdev(b) ** 2) / 2) ** 0.5
     return (statistics.mean(a) - statistics.mean(b)) / max(spread, 1e-9)
+
+
+def synthetic_tranche(spark: SparkSession, languages: tuple[str, ...] = ("python", "c"), rounds: int = 4) -> list[dict]:
+    """The synthetic half of a tranche: co-evolution for each language, and what capacity was left."""
+    out = []
+    for i, lang in enumerate(languages):
+        history = coevolve(spark, rounds, seed=i)
+        out.append({"language": lang, "rounds": rounds, "capacity": history[-1]["capacity"], "reduction": 1 - history[-1]["capacity"] / BASE_SLOTS, "dprime": history[-1]["dprime"]})
+    return out

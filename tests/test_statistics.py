@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphsift.functions import text as T
-from glyphsift.operators import code_forms, generators, keyed, keyless, partition, registry, similarity
+from glyphsift.operators import calibration, code_forms, generators, keyed, keyless, ladder, partition, registry, similarity
 from glyphsift.operators import rewrite as R
 from glyphsift.plans import robustness
 
@@ -145,3 +145,26 @@ def test_searches(spark):
 def test_registry(spark):
     got = {(r["function"], r.budget): (r.name, r.fits) for r in registry.select_for(registry.models(spark), spark.createDataFrame([(100,), (9000,)], "budget int")).collect()}
     assert got[("chat", 9000)] == ("medium", True) and got[("chat", 100)] == ("tiny", False)
+
+
+def test_ladder(spark):
+    df = spark.createDataFrame([(0, "It is hid\u200bden and it is fine.", "en"), (1, "it is", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in ladder.rewritten(df, 2).collect()}
+    assert got[0].accepted and got[0].text == "It is hidden and it's fine."
+    assert not got[1].accepted and got[1].text == "it is"
+    assert ladder.rewritten(df, 1).where("doc_id = 0").first().text == "It is hidden and it is fine."
+    assert ladder.rewritten(df, 3, model=F.upper, threshold=0.0).where("doc_id = 1").first().text == "IT IS"
+    for bad in (3, 4):
+        with pytest.raises(ValueError):
+            ladder.rewritten(df, bad)
+
+
+def test_calibration(spark):
+    even = partition.arena_samples(partition.keyed_partition(spark, "p", 40, 4), 30, 0.0, "e", style=1.0)
+    marked = partition.arena_samples(partition.keyed_partition(spark, "p", 40, 4), 60, 3.0, "m", style=1.0)
+    r = calibration.calibrate([even], marked, 4, 40, n_boot=20, permutations=20).first()
+    assert r.exceeds and r.fpr < 0.05
+    seqs = lambda df: df.select(F.col("seq_id").alias("doc_id"), "tokens")
+    plain, made = generators.control(spark, 8, 300, 40), generators.sequences(spark, generators.Recipe(vocab=40, length=600), 12)
+    r = calibration.calibrate_prose([seqs(plain)], seqs(made), n_boot=20, permutations=10).first()
+    assert r.exceeds and r.gap > 5
