@@ -11,6 +11,7 @@ from glyphsift.functions import text as T
 from glyphsift.functions import unicode_tables as U
 from glyphsift.operators import carriers as C
 from glyphsift.operators import rewrite as R
+from glyphsift.sources.tables import table
 
 EMOJI_TAIL = "\U0001f468‍\U0001f469 ❤️ \U0001f3f4\U000e0067\U000e0062\U000e007f"
 
@@ -22,7 +23,7 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = F.pmod("doc_id", F.lit(9))
     out = F.when(case == 1, at("​", F.lit(1))).when(case == 2, F.concat(t, F.lit("\U000e0041\U000e0042"))).when(case == 3, F.concat(F.lit("x" + "️" * 4), t)).when(case == 4, at("‮", half))
     out = out.when(case == 5, F.concat(t, F.lit("<!-- hidden -->"))).when(case == 6, F.translate(t, " ", " ")).when(case == 7, F.concat(t, F.lit(" pаypal"))).when(case == 8, F.concat(t, F.lit(EMOJI_TAIL)))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", out.otherwise(t).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", out.otherwise(t).alias("text"))
 
 
 _TAIL = "chr(128104)||chr(8205)||chr(128105)||' '||chr(10084)||chr(65039)||' '||chr(127988)||chr(917607)||chr(917602)||chr(917631)"
@@ -92,7 +93,7 @@ _REPORT += f" UNION ALL SELECT doc_id, 'whitespace', CASE WHEN {_DENSE} THEN 'me
 
 def pages_comment_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with hidden comments: how many, how long, which digest."""
-    bodies = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", C.comment_bodies(F.col("html")).alias("__b")).where(F.size("__b") > 0)
+    bodies = table(spark, sf_dir, "pages").select("page_id", C.comment_bodies(F.col("html")).alias("__b")).where(F.size("__b") > 0)
     payload = F.array_join("__b", "\n")
     return bodies.select("page_id", F.size("__b").cast("long").alias("comments"), F.octet_length(payload).cast("long").alias("payload_len"), F.sha2(payload, 256).alias("payload_sha256"))
 
@@ -115,13 +116,13 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", T.redact_secrets(F.col("text")).alias("__r"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", T.redact_secrets(F.col("text")).alias("__r"))
     return docs.where(F.col("__r") != F.col("text")).select("doc_id", F.length("__r").cast("long").alias("n_chars"), F.sha2("__r", 256).alias("text_sha256"))
 
 
 def length_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = T.word_count(F.col("text"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", w.cast("long").alias("words"), F.round(T.length_confidence(w), 6).alias("confidence"), T.is_useful_length(w).alias("useful"))
+    return table(spark, sf_dir, "documents").select("doc_id", w.cast("long").alias("words"), F.round(T.length_confidence(w), 6).alias("confidence"), T.is_useful_length(w).alias("useful"))
 
 
 def tags_payload(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,13 @@ from glyphsift.operators import calibration as C
 from glyphsift.operators import keyless as U
 from glyphsift.operators import partition as P
 from glyphsift.operators import similarity as S
+from glyphsift.sources.tables import table
 
 SLOTS, K, PERMUTATIONS = 40, 4, 50
 
 
 def _tokens(spark: SparkSession, sf_dir: str, arm: str = "lang") -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col(arm).alias("arm"), "doc_id", F.posexplode(prose_tokens(F.col("text"))).alias("pos", "tok"))
 
 
@@ -48,9 +49,10 @@ def prose_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A choice matrix: the k-way hash of each of a text's first tokens."""
-    t = _tokens(spark, sf_dir).where(F.col("pos") < SLOTS)
-    return t.select(F.col("doc_id").alias("sample_id"), F.col("pos").cast("int").alias("slot"), F.pmod(U.draw("v", F.col("tok")), F.lit(K)).cast("int").alias("variant"))
+    """A choice matrix: a text's tokens are dealt to the slots in turn; a slot's variant is the sum of their k-way hashes."""
+    t = _tokens(spark, sf_dir)
+    each = t.groupBy(F.col("doc_id").alias("sample_id"), F.pmod("pos", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.sum(F.pmod(U.draw("v", F.col("tok")), F.lit(K))).alias("__v"))
+    return each.select("sample_id", "slot", F.pmod("__v", F.lit(K)).cast("int").alias("variant"))
 
 
 def estimate_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,20 +72,20 @@ def steal_and_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap gaps of texts of one source that have all slots, and their summary."""
-    full = choices(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").where("source = 'src3'").select(F.col("doc_id").alias("sample_id")), "sample_id", "left_semi")
+    full = choices(spark, sf_dir).join(table(spark, sf_dir, "documents").where("source = 'src3'").select(F.col("doc_id").alias("sample_id")), "sample_id", "left_semi")
     whole = full.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") == SLOTS).select("sample_id")
     return P.style_baseline(P.bootstrap_gaps(full.join(whole, "sample_id", "left_semi"), K, SLOTS, n_boot=20, permutations=20))
 
 
 def prose_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of bootstrap gaps of one source's prose."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source = 'src4'").select("doc_id", prose_tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").where("source = 'src4'").select("doc_id", prose_tokens(F.col("text")).alias("tokens"))
     return P.style_baseline(C.prose_bootstrap_gaps(docs, n_boot=8, permutations=10))
 
 
 def active_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns as a queried model, user turns as its control."""
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("role").alias("arm"), F.col("conv_id").alias("doc_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
+    t = table(spark, sf_dir, "conversations").select(F.col("role").alias("arm"), F.col("conv_id").alias("doc_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
     return C.active_presence(t, "assistant", "user").select(F.round("l1", 6).alias("l1"), F.round("baseline", 6).alias("baseline"), F.round("ratio", 6).alias("ratio"), "present")
 
 
@@ -96,13 +98,13 @@ def context_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def residual_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference between the turns of a conversation, by role."""
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "role", F.col("turn").alias("sample_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "role", F.col("turn").alias("sample_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
     return U.residual_variability(t, ["conv_id", "role"]).select("conv_id", "role", F.round("variability", 6).alias("variability"))
 
 
 def suite_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variability of the assistant's turns against the user's, for each conversation."""
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("task"), F.col("role").alias("arm"), F.col("turn").alias("sample_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task"), F.col("role").alias("arm"), F.col("turn").alias("sample_id"), F.explode(prose_tokens(F.col("text"))).alias("tok"))
     return U.suite_probe(t, "assistant", "user").select("task", F.round("candidate", 6).alias("candidate"), F.round("control", 6).alias("control"), F.round("excess", 6).alias("excess"), "flagged")
 
 
@@ -115,7 +117,7 @@ def dense_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def separation_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well a text's length separates the labelled qualities."""
-    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     return S.separation_auc(rows.select(F.when(F.col("quality") == 1, "preserved").otherwise("changed").alias("label"), F.col("n_chars").cast("double").alias("score"))).select(F.round("auc", 6).alias("auc"))
 
 
@@ -142,7 +144,7 @@ _HALF = f"{_draw("'{seed}'", "'half'", 'CAST(doc_id AS VARCHAR)')} % 2"
 _BI = f"t AS ({_TOKS.format(arm='lang')}), b AS (SELECT * FROM (SELECT doc_id, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, tok FROM t WHERE arm = 'de') WHERE ctx IS NOT NULL)"
 _GREEN = """p AS (SELECT ctx, tok, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT ctx, tok FROM (SELECT ctx, tok, n, sum(n) OVER (PARTITION BY ctx) AS cn, sum(n) OVER (PARTITION BY tok) AS tn, sum(n) OVER () AS al FROM p)
  WHERE cn >= 4 AND n >= 3 AND n::DOUBLE / cn::DOUBLE > 1.5::DOUBLE * tn::DOUBLE / al::DOUBLE)"""
-_CH = f"t AS ({_TOKS.format(arm='lang')}), c AS (SELECT doc_id AS sample_id, pos AS slot, {_draw("'v'", 'tok')} % {K} AS variant FROM t WHERE pos < {SLOTS})"
+_CH = f"t AS ({_TOKS.format(arm='lang')}), c AS (SELECT doc_id AS sample_id, pos % {SLOTS} AS slot, CAST(sum({_draw("'v'", 'tok')} % {K}) AS BIGINT) % {K} AS variant FROM t GROUP BY ALL)"
 _EST = "SELECT slot, variant FROM (SELECT slot, variant, count(*) AS n, sum(count(*)) OVER (PARTITION BY slot) AS s FROM {c} GROUP BY slot, variant) WHERE n::DOUBLE / s::DOUBLE > 1.15::DOUBLE / 4"
 _PAIRS = """tk AS (SELECT conv_id, role, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS tok FROM conversations), n AS (SELECT conv_id, role, turn, tok, count(*) AS n FROM tk GROUP BY ALL), z AS (SELECT conv_id, role, turn, sum(n) AS size FROM n GROUP BY ALL),
  pr AS (SELECT a.conv_id, a.role, a.turn AS x, b.turn AS y, a.size + b.size AS size FROM z a JOIN z b ON a.conv_id = b.conv_id AND a.role = b.role AND a.turn < b.turn),

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from glyphsift.functions import unicode_tables as U
 from glyphsift.functions.text import whitespace_tokens
 from glyphsift.operators import keyed as K
+from glyphsift.sources.tables import table
 
 KEY = "demo"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
 
 
 def green_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def _scheme(kind: str):
 
 def multi_bit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message bits estimated over all documents of a source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", whitespace_tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select("source", whitespace_tokens(F.col("text")).alias("tokens"))
     out = K.MultiBit(KEY).estimate(K.positions(docs, F.col("tokens"), "source"), "source")
     return out.select("source", F.col("bit").cast("long").alias("bit"), "green0", "green1", F.col("value").cast("long").alias("value"))
 

@@ -12,13 +12,14 @@ from glyphsift.functions import unicode_tables as U
 from glyphsift.operators import rewrite as R
 from glyphsift.operators import similarity as S
 from glyphsift.operators.ladder import gateway, rewritten
+from glyphsift.sources import tables
 
 
 def _over(value: Callable[[Column], Column], table: str = "documents", key: str = "doc_id", text: str = "text") -> Callable[[SparkSession, str], DataFrame]:
     """Length and digest of the rewritten texts."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, value(F.col(text)).alias("__o"))
+        out = tables.table(spark, sf_dir, table).select(key, value(F.col(text)).alias("__o"))
         return out.select(key, F.length("__o").cast("long").alias("n_chars"), F.sha2("__o", 256).alias("out_sha256"))
 
     return run
@@ -29,22 +30,22 @@ def _sql(value: str, table: str = "documents", key: str = "doc_id") -> str:
 
 
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", R.detect_language(F.col("text")).alias("detected"))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", R.detect_language(F.col("text")).alias("detected"))
 
 
 def language_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled against detected language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", R.detect_language(F.col("text")).alias("detected"))
+    docs = tables.table(spark, sf_dir, "documents").select("lang", R.detect_language(F.col("text")).alias("detected"))
     return docs.groupBy("lang", "detected").agg(F.count("*").alias("n"))
 
 
 def roundtrip_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.array_join(R.roundtrip_tokens(T.whitespace_tokens(F.col("text"))), " ").alias("__o"))
+    out = tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(R.roundtrip_tokens(T.whitespace_tokens(F.col("text"))), " ").alias("__o"))
     return out.select("conv_id", "turn", F.sha2("__o", 256).alias("out_sha256"))
 
 
 def _gated(spark: SparkSession, sf_dir: str, candidate: Callable[[Column], Column]) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    docs = tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     pairs = docs.select("doc_id", "lang", R.normalize_carriers(F.col("text")).alias("before")).withColumn("after", candidate(F.col("before")))
     score = S.similarity(pairs, "doc_id")
     judged = S.with_spec(pairs.select("doc_id", "lang").join(score, "doc_id"))
@@ -63,7 +64,7 @@ def roundtrip_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rewrite_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strength 2 over whole documents: what comes out, and whether the gate let it pass."""
-    out = rewritten(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2)
+    out = rewritten(tables.table(spark, sf_dir, "documents"), 2)
     return out.select("doc_id", F.sha2("text", 256).alias("out_sha256"), "accepted", "message")
 
 

@@ -11,12 +11,13 @@ from glyphsift.operators import generators as G
 from glyphsift.operators import keyed, partition, registry
 from glyphsift.plans import robustness as R
 from glyphsift.sources import files
+from glyphsift.sources.tables import table
 
 KEY, SLOTS, K = "arena", 40, 4
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", whitespace_tokens(F.col("text")).alias("tokens"))
 
 
 def _joined(value, key: str = "doc_id"):
@@ -77,7 +78,7 @@ def code_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphsift.operators.code_forms import featurize
 
     word = lambda i: F.when(F.pmod(F.col("p_partkey"), F.lit(i + 2)) == 0, F.lit(f"b{i}")).otherwise(F.lit(f"a{i}"))
-    rows = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 480").select(F.concat(F.lit("task"), F.pmod("p_partkey", F.lit(10)).cast("string")).alias("task"), F.col("p_partkey").cast("long").alias("sample_id"), F.array(*[word(i) for i in range(12)]).alias("tokens"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("task"), F.floor(F.col("p_partkey") / 48).cast("string")).alias("task"), F.col("p_partkey").cast("long").alias("sample_id"), F.array(*[word(i) for i in range(12)]).alias("tokens"))
     return featurize(rows)
 
 
