@@ -23,6 +23,8 @@ from itertools import chain, repeat
 import numpy as np
 from pyspark.sql import DataFrame
 
+from glyphsift.sources.tables import table
+
 from .common import bounded_batches, byte_column, worker_store
 from .suffix_dedup import GRAM, gram_hashes
 
@@ -340,4 +342,4 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_documents(table(spark, sf_dir, "documents"))

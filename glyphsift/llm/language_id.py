@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphsift.sources.tables import table
+
 from .bpe import pieces
 from .common import NO_ID, bounded_batches, byte_column, rows_with_identity, worker_store
 
@@ -213,4 +215,4 @@ def accepted(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return identify(table(spark, sf_dir, "documents"))

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphsift.sources.tables import table
+
 from .common import NO_ID, NOT_WS, ordered, rows_with_identity, stored
 
 PHI = (math.sqrt(5) - 1) / 2
@@ -128,4 +130,4 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("__d", "__t")
+    return mix(table(spark, sf_dir, "documents")).drop("__d", "__t")

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphsift.sources.tables import table
+
 from .common import NO_ID, identified, ordered, stored, words
 
 PARTS = 32
@@ -114,4 +116,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return fingerprints(table(spark, sf_dir, "documents"))

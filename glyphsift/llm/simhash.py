@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphsift.sources.tables import table
+
 from .common import bounded_batches, byte_column, identified, rows_with_identity, stored, worker_store
 from .components import components
 
@@ -108,7 +110,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 #: For groups by similarity: so many fingerprints of 32 bits each, of the distinct words of a text.
@@ -141,7 +143,9 @@ def _shingle_sets(k: int):
         for batch in batches:
             raw, offs = byte_column(batch.column(1))
             sets = [np.unique(np.array(shingle_hashes(raw[offs[i] : offs[i + 1]].tobytes(), k), np.uint64)).view(np.int64) for i in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], ["__t", "__set"])
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["__t", "__set"])
 
     return f
 

@@ -31,6 +31,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphsift.sources.tables import table
+
 from .common import bounded_batches, byte_column, drop_stored, identified, parallelism, rows_with_identity, stored, worker_store
 
 GRAM = 32
@@ -413,4 +415,4 @@ def deduplicated(docs: DataFrame, min_len: int = 200) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

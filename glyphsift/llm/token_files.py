@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphsift.sources.tables import table
+
 from .bpe import WordIds, pieces, tokenizer_path
 from .common import bounded_batches, byte_column, parallelism, shared_dir
 
@@ -179,5 +181,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    write_token_files(table(spark, sf_dir, "documents"), path)
     return read_token_files(spark, path)

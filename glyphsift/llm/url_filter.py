@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphsift.sources.tables import table
+
 from .common import parallelism, stored
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -75,7 +77,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules_frame(spark, RULES))
+    return judge_urls(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
 SQL = r"""
