@@ -41,7 +41,8 @@ def has_rtl(text: Column) -> Column:
 def zero_width(text: Column) -> Column:
     """Format characters that no context clears."""
     clears = U.EMOJI + U.shaping()
-    joiners = _count(text, f"(?<![{clears}])[{U.JOINERS}](?![{clears}])")
+    # the rare character first, so that the long classes are looked at only beside it
+    joiners = _count(text, f"[{U.JOINERS}](?<![{clears}].)(?![{clears}])")
     marks = F.when(has_rtl(text), 0).otherwise(_count(text, f"[{U.MARKS}]"))
     return _guarded(text, F.when(~text.rlike(f"[{U.format_chars()}]"), 0).otherwise(_count(text, f"[{U.plain_format()}]") + _count(text, "(?s)(?<=.)\\x{FEFF}") + joiners + marks), U.of(0xAD))
 
@@ -65,7 +66,7 @@ def variation_selectors(text: Column) -> Column:
     """Selectors in runs of two or more, and single ones on a base that takes none."""
     runs = F.aggregate(F.regexp_extract_all(text, F.lit(f"([{U.SELECTORS}]{{2,}})"), F.lit(1)), F.lit(0), lambda n, x: n + F.length(x))
     single = _count(text, f"(?<![{U.SELECTORS}])[{U.SELECTORS}](?![{U.SELECTORS}])")
-    fine = _count(text, f"(?<=[{U.EMOJI}])[{U.of(0xFE0E, 0xFE0F)}](?![{U.SELECTORS}])") + _count(text, f"(?<=[{U.script('CJK')}])[{U.of((0xE0100, 0xE01EF))}](?![{U.SELECTORS}])")
+    fine = _count(text, f"[{U.of(0xFE0E, 0xFE0F)}](?<=[{U.EMOJI}].)(?![{U.SELECTORS}])") + _count(text, f"[{U.of((0xE0100, 0xE01EF))}](?<=[{U.script('CJK')}].)(?![{U.SELECTORS}])")
     return _guarded(text, F.when(~text.rlike(f"[{U.SELECTORS}]"), 0).otherwise(runs + single - fine))
 
 
