@@ -66,7 +66,7 @@ def variation_selectors(text: Column) -> Column:
     """Selectors in runs of two or more, and single ones on a base that takes none."""
     runs = F.aggregate(F.regexp_extract_all(text, F.lit(f"([{U.SELECTORS}]{{2,}})"), F.lit(1)), F.lit(0), lambda n, x: n + F.length(x))
     single = _count(text, f"(?<![{U.SELECTORS}])[{U.SELECTORS}](?![{U.SELECTORS}])")
-    fine = _count(text, f"[{U.of(0xFE0E, 0xFE0F)}](?<=[{U.EMOJI}].)(?![{U.SELECTORS}])") + _count(text, f"[{U.of((0xE0100, 0xE01EF))}](?<=[{U.script('CJK')}].)(?![{U.SELECTORS}])")
+    fine = _count(text, f"[{U.of(0xFE0E, 0xFE0F)}](?<=[{U.EMOJI}].)(?![{U.SELECTORS}])") + _count(text, f"(?<=[{U.script('CJK')}])[{U.of((0xE0100, 0xE01EF))}](?![{U.SELECTORS}])")
     return _guarded(text, F.when(~text.rlike(f"[{U.SELECTORS}]"), 0).otherwise(runs + single - fine))
 
 

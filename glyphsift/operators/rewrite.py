@@ -42,7 +42,7 @@ def normalize_carriers(text: Column) -> Column:
     """
     bare = F.regexp_replace(text, carriers.COMMENT, "")
     clears, vs = U.EMOJI + U.shaping(), U.SELECTORS
-    always = [f"[{U.TAGS}]", f"[{U.plain_format()}]", "(?s)(?<=.)\\x{FEFF}", f"[{U.JOINERS}](?<![{clears}].)(?![{clears}])", f"[{vs}]{{2,}}", f"[{U.of(0xFE0E, 0xFE0F)}](?<![{vs}{U.EMOJI}].)(?![{vs}])", f"[{U.of((0xFE00, 0xFE0D))}](?<![{vs}].)(?![{vs}])", f"[{U.of((0xE0100, 0xE01EF))}](?<![{vs}{U.script('CJK')}].)(?![{vs}])"]
+    always = [f"[{U.TAGS}]", f"[{U.plain_format()}]", "(?s)(?<=.)\\x{FEFF}", f"[{U.JOINERS}](?<![{clears}].)(?![{clears}])", f"[{vs}]{{2,}}", f"[{U.of(0xFE0E, 0xFE0F)}](?<![{vs}{U.EMOJI}].)(?![{vs}])", f"[{U.of((0xFE00, 0xFE0D))}](?<![{vs}].)(?![{vs}])", f"(?<![{vs}{U.script('CJK')}])[{U.of((0xE0100, 0xE01EF))}](?![{vs}])"]
     flags = f"({carriers.FLAG})|"
     out = F.when(carriers.has_rtl(bare), F.regexp_replace(bare, flags + "|".join(always), "$1")).otherwise(F.regexp_replace(bare, flags + "|".join([*always, f"[{U.MARKS}]"]), "$1"))
     out = F.when(carriers.dense_spaces(bare), F.regexp_replace(out, f"[{U.SPACES}]", " ")).otherwise(out)
