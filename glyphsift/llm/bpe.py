@@ -29,7 +29,7 @@ from .common import bounded_batches, byte_column, worker_store
 from .suffix_dedup import GRAM, gram_hashes
 
 #: One place in CUT is a cut; entries kept for each worker; bytes handled at a time.
-CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 9, 40_000, 1_000_000, 1 << 21, 64
+CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 9, 40_000, 300_000, 1 << 21, 64
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -41,9 +41,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordIds:
     """Ids of words by a tokenizer whose tokens never cross white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
@@ -54,14 +55,14 @@ class WordIds:
         self._reset()
 
     @classmethod
-    def of(cls, path: str) -> "WordIds":
+    def of(cls, path: str, words: int = KEPT_WORDS) -> "WordIds":
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         kept = worker_store("bpe")
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+        if (path, words) not in kept:
+            kept[path, words] = cls(path, words)
+        return kept[path, words]
 
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
@@ -78,7 +79,7 @@ class WordIds:
         used = self.used[: len(words)]
         used[0] = 1 << 20
         least = 2
-        while (used >= least).sum() > KEPT_WORDS // 2:
+        while (used >= least).sum() > self.kept // 2:
             least *= 2
         keep = np.flatnonzero(used >= least)
         size = self.length[keep]
@@ -175,7 +176,7 @@ class WordIds:
         ws = coded.dictionary.cast("binary").to_pylist()
         at = np.fromiter(map(self.index.get, ws, repeat(-1)), np.int64, len(ws))
         missed = np.flatnonzero(at < 0).tolist()
-        if missed and len(self.index) + 2 * len(missed) > KEPT_WORDS and len(self.index) > KEPT_WORDS // 2:
+        if missed and len(self.index) + 2 * len(missed) > self.kept and len(self.index) > self.kept // 2:
             self._shrink()
             at = np.fromiter(map(self.index.get, ws, repeat(-1)), np.int64, len(ws))
             missed = np.flatnonzero(at < 0).tolist()

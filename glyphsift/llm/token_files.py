@@ -35,6 +35,8 @@ from .common import bounded_batches, byte_column, parallelism, shared_dir
 
 STEP = 256
 SHARD_TOKENS = 1 << 22
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 600_000
 SCHEMA = "part int, seq int, n_docs long, n_null long, n_tokens long, width int, ids binary, ends_bits int, ends_low binary, ends_high binary, ends_hint binary, docs_base long, docs_bits int, docs_low binary, docs_high binary, docs_hint binary"
 
 
@@ -110,7 +112,7 @@ def _write(path: str, end_id: int, shard_tokens: int):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        own = WordIds.of(path)
+        own = WordIds.of(path, KEPT_WORDS)
         width = 2 if len(own.strings) <= 1 << 16 else 4
         docs, lengths, ids, n = [], [], [], 0
         end = np.array([end_id], np.uint32)
