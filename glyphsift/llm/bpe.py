@@ -29,7 +29,7 @@ from .common import bounded_batches, byte_column, worker_store
 from .suffix_dedup import GRAM, gram_hashes
 
 #: One place in CUT is a cut; entries kept for each worker; bytes handled at a time.
-CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 9, 40_000, 300_000, 1 << 21, 64
+CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 10, 20_000, 500_000, 1 << 21, 64
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
