@@ -36,7 +36,7 @@ from .common import bounded_batches, byte_column, parallelism, shared_dir
 STEP = 256
 SHARD_TOKENS = 1 << 22
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 SCHEMA = "part int, seq int, n_docs long, n_null long, n_tokens long, width int, ids binary, ends_bits int, ends_low binary, ends_high binary, ends_hint binary, docs_base long, docs_bits int, docs_low binary, docs_high binary, docs_hint binary"
 
 
