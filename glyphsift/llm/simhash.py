@@ -13,13 +13,15 @@ nothing here.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphsift.sources.tables import table
 
-from .common import bounded_batches, byte_column, identified, rows_with_identity, stored, worker_store
+from .common import bounded_batches, byte_column, drop_stored, identified, rows_with_identity, stored, worker_store
 from .components import components
 
 LOW = np.uint64(0x5555555555555555)
@@ -117,6 +119,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 TABLES, WIDTH = 4, 32
 #: Flipped bits of all tables that a pair may have: unrelated texts of one language have over 45, pairs at 0.8 about 13.
 FLIPS = 28
+#: Texts in which common shingles are counted, and how many of them are kept; they set an order and no result.
+ORDER_TEXTS, ORDER_SHINGLES = 10_000, 50_000
 
 
 def _word_prints(batches):
@@ -154,19 +158,85 @@ def _flips(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}.__p").bitwiseXOR(F.col(f"{b}.__p"))) + F.bit_count(F.col(f"{a}.__q").bitwiseXOR(F.col(f"{b}.__q")))
 
 
+def _prefixes(k: int, similarity: float, common: np.ndarray):
+    """``__m, __t, __n, __i``: the first shingles of each text, the size of its set and the shingle's place.
+
+    ``common`` (sorted by hash: hash and count) only sets the order, the same
+    for all texts: rare shingles first, equal counts by hash.
+    """
+
+    def f(batches):
+        import pyarrow as pa
+
+        worker_store("simhash")
+        for batch in batches:
+            raw, offs = byte_column(batch.column(1))
+            parts, sizes = [np.zeros(0, np.int64)], []
+            for i in range(len(offs) - 1):
+                h = np.unique(np.array(shingle_hashes(raw[offs[i] : offs[i + 1]].tobytes(), k), np.uint64)).view(np.int64)
+                n = len(h)
+                sizes.append(n)
+                if len(common) and n:
+                    at = np.minimum(np.searchsorted(common[:, 0], h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at, 0] == h, common[at, 1], 0), kind="stable")]
+                # texts without words meet at 0
+                parts.append(h[: n - math.ceil(similarity * n - 1e-6) + 1] if n else np.zeros(1, np.int64))
+            took = np.array([len(x) for x in parts[1:]], np.int64)
+            place = np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
+            own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), took)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(own), pa.array(np.repeat(np.array(sizes, np.int32), took)), pa.array(place.astype(np.int32))], ["__m", "__t", "__n", "__i"])
+
+    return f
+
+
+def _common_shingles(base: DataFrame, texts: int, shingle: int) -> np.ndarray:
+    """Hash and count of the shingles that are common in a sample of texts, by hash."""
+    own = base.where(F.pmod("__t", F.lit(max(1, texts // ORDER_TEXTS))) == 0).mapInArrow(_shingle_sets(shingle), "__t long, __set array<long>")
+    n = own.select(F.explode("__set").alias("__m")).groupBy("__m").agg(F.count("*").alias("__c")).where("__c > 3")
+    rows = n.orderBy(F.desc("__c"), "__m").limit(ORDER_SHINGLES).collect()
+    return np.array(sorted((r["__m"], r["__c"]) for r in rows), np.int64).reshape(-1, 2)
+
+
+def _verified(base: DataFrame, close: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs ``u, v`` that have the similarity."""
+    wanted = close.select(F.col("u").alias("__t")).unionByName(close.select(F.col("v").alias("__t"))).distinct()
+    sets = stored(base.join(wanted, "__t").dropDuplicates(["__t"]).mapInArrow(_shingle_sets(shingle), "__t long, __set array<long>"), "shingle-sets")
+    both = close.join(sets.select(F.col("__t").alias("u"), F.col("__set").alias("__a")), "u").join(sets.select(F.col("__t").alias("v"), F.col("__set").alias("__b")), "v")
+    common = F.size(F.array_intersect("__a", "__b"))
+    share = common / F.greatest(F.size("__a") + F.size("__b") - common, F.lit(1))
+    out = stored(both.where((share >= similarity) | ((F.size("__a") == 0) & (F.size("__b") == 0))).select("u", "v"), "links")
+    drop_stored(sets)
+    return out
+
+
+def _met(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``buckets`` with each text's group (``__r``) so far and, where groups meet, the bucket's first text (``__v``)."""
+    of = components(links)
+    own = buckets.join(of, F.col("__t") == F.col("node"), "left").select("__m", "__t", "__n", "__i", F.coalesce("root", "__t").alias("__r"))
+    own = stored(own, "grouped")
+    met = own.groupBy("__m").agg(F.min(F.struct("__r", "__t")).alias("__f"), F.max("__r").alias("__last")).where("__f.__r != __last")
+    return stored(own.join(met.select("__m", F.col("__f.__r").alias("__first"), F.col("__f.__t").alias("__v")), "__m"), "meeting")
+
+
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``u, v``: hashes of different texts whose ``shingle``-word sets have a Jaccard similarity of ``similarity`` or more.
 
-    One fingerprint of 64 bits within 2 flips would find next to none of the
-    pairs at 0.8 (they differ by about 9).  So a text's distinct words give four
-    fingerprints of 32 bits, and a pair is a candidate if any of them is within
-    2 flips: measured on the pairs at 0.8 and above, 92 to 99 %.
-
-    Two fingerprints within 2 flips share a third one within 1 of both, whose
-    bit counts are the grid point at which the range join lets them meet; that
-    fingerprint itself tells apart what meets there exactly.  The texts that
-    share it are linked to the smallest of them (a star, never all pairs), and
-    each link is verified on the shingle sets.
+    What the links connect is what all pairs of that similarity connect; pairs
+    within a group that other links connect already are not looked at.
+
+    Copies are found first by fingerprints.  One of 64 bits within 2 flips would
+    find next to none of the pairs at 0.8 (they differ by about 9), so a text's
+    distinct words give four fingerprints of 32 bits, and a pair is a candidate
+    if any of them is within 2 flips.  Two fingerprints within 2 flips share a
+    third one within 1 of both, and texts meet there; the texts that share it are
+    linked to the smallest of them.
+
+    What is left is found exactly, by prefixes: in an order of all shingles, two
+    sets at ``similarity`` share one of the first ``n - ceil(similarity * n) + 1``
+    of each.  Where texts of different groups share one, they are compared with
+    the bucket's first text, and then all pairs of different groups with each
+    other, except for pairs that their sizes and the shingle's places rule out.
+    Each link is verified on the shingle sets.
     """
     bounded_batches(docs.sparkSession)
     base = identified(docs).select("__t", "text")
@@ -179,13 +249,27 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     first = stored(first, "midway")
     star = stored(at.join(first, "__m").where("__t != __v").select(F.col("__t").alias("u"), F.col("__v").alias("v")).distinct(), "stars")
     close = star.join(each.alias("a"), F.col("u") == F.col("a.__t")).join(each.alias("b"), F.col("v") == F.col("b.__t")).where(_flips("a", "b") <= FLIPS).select("u", "v")
-    close = stored(close, "candidates")
-    wanted = close.select(F.col("u").alias("__t")).unionByName(close.select(F.col("v").alias("__t"))).distinct()
-    sets = stored(base.join(wanted, "__t").dropDuplicates(["__t"]).mapInArrow(_shingle_sets(shingle), "__t long, __set array<long>"), "shingle-sets")
-    both = close.join(sets.select(F.col("__t").alias("u"), F.col("__set").alias("__a")), "u").join(sets.select(F.col("__t").alias("v"), F.col("__set").alias("__b")), "v")
-    common = F.size(F.array_intersect("__a", "__b"))
-    share = common / F.greatest(F.size("__a") + F.size("__b") - common, F.lit(1))
-    return both.where((share >= similarity) | ((F.size("__a") == 0) & (F.size("__b") == 0))).select("u", "v")
+    links = _verified(base, stored(close, "candidates"), shingle, similarity)
+    drop_stored(first, star)
+
+    common = _common_shingles(base, each.count(), shingle)
+    at = stored(base.mapInArrow(_prefixes(shingle, similarity, common), "__m long, __t long, __n int, __i int"), "prefixes")
+    shared = at.groupBy("__m").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi")).where("__lo != __hi").select("__m")
+    buckets = stored(at.join(shared, "__m").distinct(), "buckets")
+    drop_stored(at)
+
+    met = _met(buckets, links)
+    star = met.where("__r != __first").select(F.col("__t").alias("u"), F.col("__v").alias("v")).distinct()
+    links = links.unionByName(_verified(base, stored(star, "stars"), shingle, similarity))
+
+    met = _met(buckets, links)
+    a, b = met.alias("a"), met.alias("b")
+    na, nb, i, j = F.col("a.__n"), F.col("b.__n"), F.col("a.__i"), F.col("b.__i")
+    sizes = F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6
+    places = F.least(i, j) + 1 + F.least(na - i, nb - j) - 1 >= similarity / (1 + similarity) * (na + nb) - 1e-6
+    pairs = a.join(b, (F.col("a.__m") == F.col("b.__m")) & (F.col("a.__r") < F.col("b.__r")) & sizes & places)
+    pairs = pairs.select(F.col("a.__t").alias("u"), F.col("b.__t").alias("v")).distinct()
+    return links.unionByName(_verified(base, stored(pairs, "pairs"), shingle, similarity))
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
