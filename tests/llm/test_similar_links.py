@@ -51,3 +51,14 @@ def test_chains(spark, length):
     rng.shuffle(texts)
     want = sorted(set(groups(texts)))
     assert len(want) < len(texts) and kept(spark, texts) == want
+
+
+def test_long_texts_of_few_words(spark):
+    """Scattered edits of long texts move the fingerprints of their distinct words far."""
+    rng = random.Random(1)
+    texts = []
+    for _ in range(40):
+        ws = [f"w{rng.randrange(2000)}" for _ in range(10_000)]
+        texts += [" ".join(ws), edited(rng, ws, 215)]
+    want = sorted(set(groups(texts)))
+    assert len(want) == 40 and kept(spark, texts) == want
