@@ -121,6 +121,8 @@ TABLES, WIDTH = 4, 32
 FLIPS = 28
 #: Texts in which common shingles are counted, and how many of them are kept; they set an order and no result.
 ORDER_TEXTS, ORDER_SHINGLES = 10_000, 50_000
+#: Bits on which the parity of shingles is kept for each text.
+PARITY = 1024
 
 
 def _word_prints(batches):
@@ -161,6 +163,10 @@ def _flips(a: str, b: str) -> Column:
 def _prefixes(k: int, similarity: float, common: np.ndarray):
     """``__m, __t, __n, __i``: the first shingles of each text, the size of its set and the shingle's place.
 
+    ``__bits``, in a text's first row: for each of ``PARITY`` bits whether an odd
+    number of shingles falls on it.  Two texts' bits differ in no more places
+    than their sets have shingles that the other lacks.
+
     ``common`` (sorted by hash: hash and count) only sets the order, the same
     for all texts: rare shingles first, equal counts by hash.
     """
@@ -171,11 +177,12 @@ def _prefixes(k: int, similarity: float, common: np.ndarray):
         worker_store("simhash")
         for batch in batches:
             raw, offs = byte_column(batch.column(1))
-            parts, sizes = [np.zeros(0, np.int64)], []
+            parts, sizes, bits = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
             for i in range(len(offs) - 1):
                 h = np.unique(np.array(shingle_hashes(raw[offs[i] : offs[i + 1]].tobytes(), k), np.uint64)).view(np.int64)
                 n = len(h)
                 sizes.append(n)
+                bits.append(np.packbits((np.bincount(h & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64))
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common[:, 0], h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at, 0] == h, common[at, 1], 0), kind="stable")]
@@ -184,7 +191,8 @@ def _prefixes(k: int, similarity: float, common: np.ndarray):
             took = np.array([len(x) for x in parts[1:]], np.int64)
             place = np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
             own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), took)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(own), pa.array(np.repeat(np.array(sizes, np.int32), took)), pa.array(place.astype(np.int32))], ["__m", "__t", "__n", "__i"])
+            ends = np.append(0, np.cumsum(np.where(place == 0, PARITY // 64, 0))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(own), pa.array(np.repeat(np.array(sizes, np.int32), took)), pa.array(place.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits)))], ["__m", "__t", "__n", "__i", "__bits"])
 
     return f
 
@@ -209,13 +217,24 @@ def _verified(base: DataFrame, close: DataFrame, shingle: int, similarity: float
     return out
 
 
+def _possible(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``u, v`` whose sizes and parity bits do not rule the similarity out."""
+    of = lambda c, x: bits.select(F.col("__t").alias(c), F.col("__n").alias(f"__n{x}"), F.col("__bits").alias(f"__{x}"))
+    apart = F.aggregate(F.zip_with("__a", "__b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    most = (F.col("__na") + F.col("__nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    sizes = F.least("__na", "__nb") >= similarity * F.greatest("__na", "__nb") - 1e-6
+    return stored(pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").where(sizes & (apart <= most)).select("u", "v"), "possible")
+
+
 def _met(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """``buckets`` with each text's group (``__r``) so far and, where groups meet, the bucket's first text (``__v``)."""
     of = components(links)
     own = buckets.join(of, F.col("__t") == F.col("node"), "left").select("__m", "__t", "__n", "__i", F.coalesce("root", "__t").alias("__r"))
     own = stored(own, "grouped")
     met = own.groupBy("__m").agg(F.min(F.struct("__r", "__t")).alias("__f"), F.max("__r").alias("__last")).where("__f.__r != __last")
-    return stored(own.join(met.select("__m", F.col("__f.__r").alias("__first"), F.col("__f.__t").alias("__v")), "__m"), "meeting")
+    out = stored(own.join(met.select("__m", F.col("__f.__r").alias("__first"), F.col("__f.__t").alias("__v")), "__m"), "meeting")
+    drop_stored(own)
+    return out
 
 
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -235,7 +254,8 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     sets at ``similarity`` share one of the first ``n - ceil(similarity * n) + 1``
     of each.  Where texts of different groups share one, they are compared with
     the bucket's first text, and then all pairs of different groups with each
-    other, except for pairs that their sizes and the shingle's places rule out.
+    other, except for pairs that their sizes, the shingle's places or the parity
+    of shingles on 1,024 bits rule out.
     Each link is verified on the shingle sets.
     """
     bounded_batches(docs.sparkSession)
@@ -253,15 +273,18 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     drop_stored(first, star)
 
     common = _common_shingles(base, each.count(), shingle)
-    at = stored(base.mapInArrow(_prefixes(shingle, similarity, common), "__m long, __t long, __n int, __i int"), "prefixes")
+    at = stored(base.mapInArrow(_prefixes(shingle, similarity, common), "__m long, __t long, __n int, __i int, __bits array<long>"), "prefixes")
+    bits = stored(at.where("__i = 0").select("__t", "__n", "__bits").dropDuplicates(["__t"]), "parity-bits")
+    at = at.drop("__bits")
     shared = at.groupBy("__m").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi")).where("__lo != __hi").select("__m")
     buckets = stored(at.join(shared, "__m").distinct(), "buckets")
     drop_stored(at)
 
     met = _met(buckets, links)
     star = met.where("__r != __first").select(F.col("__t").alias("u"), F.col("__v").alias("v")).distinct()
-    links = links.unionByName(_verified(base, stored(star, "stars"), shingle, similarity))
+    links = links.unionByName(_verified(base, _possible(stored(star, "stars"), bits, similarity), shingle, similarity))
 
+    drop_stored(met)
     met = _met(buckets, links)
     a, b = met.alias("a"), met.alias("b")
     na, nb, i, j = F.col("a.__n"), F.col("b.__n"), F.col("a.__i"), F.col("b.__i")
@@ -269,7 +292,7 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     places = F.least(i, j) + 1 + F.least(na - i, nb - j) - 1 >= similarity / (1 + similarity) * (na + nb) - 1e-6
     pairs = a.join(b, (F.col("a.__m") == F.col("b.__m")) & (F.col("a.__r") < F.col("b.__r")) & sizes & places)
     pairs = pairs.select(F.col("a.__t").alias("u"), F.col("b.__t").alias("v")).distinct()
-    return links.unionByName(_verified(base, stored(pairs, "pairs"), shingle, similarity))
+    return links.unionByName(_verified(base, _possible(stored(pairs, "pairs"), bits, similarity), shingle, similarity))
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
