@@ -45,7 +45,7 @@ def green_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.prose_gap(_bigrams(spark, sf_dir), permutations=20)
+    return U.prose_gap(U.bigrams_of(_tokens(spark, sf_dir)))
 
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
