@@ -17,7 +17,7 @@ encodes distinct words once as well.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from itertools import chain, repeat
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from glyphsift.sources.tables import table
 
-from .common import bounded_batches, byte_column, worker_store
+from .common import bounded_batches, byte_column, pieces, worker_store
 from .suffix_dedup import GRAM, gram_hashes
 
 #: One place in CUT is a cut; entries kept for each worker; bytes handled at a time.
@@ -303,15 +303,6 @@ class Encoder:
         return out
 
 
-def pieces(offs: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` bytes."""
-    i = 0
-    while i < len(offs) - 1:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
-        yield i, j
-        i = j
-
-
 def _encode(path: str):
     def f(batches):
         import pyarrow as pa

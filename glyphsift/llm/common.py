@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +43,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage like ``checkpoint()``, but compressed and by column, and
     survives the loss of any executor.
     """
+    global _released
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
+    if time.monotonic() - _released > RELEASE_EVERY:
+        release(spark)
+        _released = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Seconds after which the shuffle files of plans that are done may go.
+RELEASE_EVERY = 10
+_released = 0.0
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are done."""
     gc.collect()
@@ -97,6 +107,15 @@ def byte_column(array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - (offs[0] if len(offs) else 0)
 
 
+def pieces(offs: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes."""
+    i = 0
+    while i < len(offs) - 1:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
+        yield i, j
+        i = j
+
+
 #: Rows of whole texts in one Arrow batch, which stands in the executor's and the worker's memory at once.
 BATCH_ROWS = 4000
 

@@ -22,8 +22,7 @@ from pyspark.sql.window import Window
 
 from glyphsift.sources.tables import table
 
-from .bpe import pieces
-from .common import NO_ID, bounded_batches, byte_column, rows_with_identity, worker_store
+from .common import NO_ID, bounded_batches, byte_column, pieces, rows_with_identity, worker_store
 
 ORDER = 3
 #: The sample: at most so many labelled rows of each language, those whose ids hash lowest.

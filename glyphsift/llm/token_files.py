@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 
 from glyphsift.sources.tables import table
 
-from .bpe import WordIds, pieces, tokenizer_path
-from .common import bounded_batches, byte_column, parallelism, shared_dir
+from .bpe import WordIds, tokenizer_path
+from .common import bounded_batches, byte_column, parallelism, pieces, shared_dir
 
 STEP = 256
 SHARD_TOKENS = 1 << 22
@@ -99,11 +99,12 @@ def shard(part: int, seq: int, docs: list[int | None], lengths: list[int], ids:
     return (part, seq, len(docs), n_null, len(ids), width, ids.astype(f"<u{width}").tobytes(), ends.bits, ends.low, ends.high, ends.hint, base, known.bits, known.low, known.high, known.hint)
 
 
-def unshard(row: dict) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, end offsets within the shard, and the ids."""
-    ends = EliasFano(row["n_docs"], row["ends_bits"], row["ends_low"], row["ends_high"], row["ends_hint"]).all().astype(np.int64)
-    known = EliasFano(row["n_docs"] - row["n_null"], row["docs_bits"], row["docs_low"], row["docs_high"], row["docs_hint"]).all()
-    return [None] * row["n_null"] + [int(x) + row["docs_base"] for x in known], ends, np.frombuffer(row["ids"], f"<u{row['width']}")
+def unshard(row: dict) -> tuple[list[int | None], list[int], np.ndarray]:
+    """Document ids, end offsets within the shard (each selected from the code, which is never laid out as a table), and the ids."""
+    ends = EliasFano(row["n_docs"], row["ends_bits"], row["ends_low"], row["ends_high"], row["ends_hint"])
+    known = EliasFano(row["n_docs"] - row["n_null"], row["docs_bits"], row["docs_low"], row["docs_high"], row["docs_hint"])
+    docs = [None] * row["n_null"] + [row["docs_base"] + known.select(i) for i in range(known.n)]
+    return docs, [ends.select(i) for i in range(ends.n)], np.frombuffer(row["ids"], f"<u{row['width']}")
 
 
 def _write(path: str, end_id: int, shard_tokens: int):
@@ -159,12 +160,11 @@ def _read(batches):
     import pyarrow as pa
 
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
             docs, ends, ids = unshard(row)
-            begin = np.append(0, ends[:-1])
-            wide = ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(crc), pa.int32()), pa.array([row["seq"]] * len(crc), pa.int32()), pa.array(docs, pa.int64()), pa.array(begin), pa.array(ends - begin), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "__in", "n_tokens", "ids_crc32"])
+            begin = [0, *ends[:-1]]
+            crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begin, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * len(crc), pa.int32()), pa.array([row["seq"]] * len(crc), pa.int32()), pa.array(docs, pa.int64()), pa.array(begin, pa.int64()), pa.array([b - a for a, b in zip(begin, ends, strict=True)], pa.int64()), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "__in", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
