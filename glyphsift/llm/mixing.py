@@ -1,18 +1,21 @@
 """Mixing sources to target weights (operator 4).  DataFrame functions only.
 
 Method: a low-discrepancy source schedule.  Slot t of the mix has the golden
-ratio point frac(t * phi); the sources' cumulative target shares cut [0, 1) into
-intervals, and the interval that holds the point gives the slot's source.  The
-k-th slot of a source takes its k-th block: the source's documents in the order
-of a hash make a stream of words, read again from the start when it ends, that
-is cut into blocks of equal size.  Golden points fill every interval evenly, so
-each prefix of the mix has the shares wanted; closing slots add the few blocks
-by which a source's number of slots misses its target.
+ratio point frac(t * phi); the sources' cumulative shares of the slots cut
+[0, 1) into intervals, and the interval that holds the point gives the slot's
+source.  A source's documents in the order of a hash make a stream of words that
+is cut into blocks of equal size; it may be read MOST times, each time with its
+blocks in another shuffled order, and the k-th slot of a source takes the k-th
+of these blocks.  What a document gives to the mix are its parts of the blocks
+that were dealt; nothing else is taken.  Points fill every interval evenly, so
+each prefix of the mix has the shares wanted, and a source misses its target by
+a few blocks at most.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,43 +59,60 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return sources.withColumn("target", F.least(cap.cast("double"), level * F.col("__w")))
 
 
-def schedule(targets: DataFrame, slots_per_source: int = 1024) -> tuple[DataFrame, int]:
-    """``__pos, __k, slot`` (source, its block, place in the mix), and the words of a block."""
-    spark = targets.sparkSession
-    have = targets.agg(F.count("*").alias("n"), F.sum("source_size").alias("words"), F.sum("target").alias("t")).first()
-    n, words = have["n"], have["words"] or 0
-    block = max(1, words // max(1, slots_per_source * n))
-    slots = -(-words // block)
-    cells = max(64, n)
-    run = ordered(targets.select("__pos", "target"), [F.col("__pos")], "target", "shares")
-    total = float(have["t"] or 1) or 1.0
+def van_der_corput(slot: Column) -> Column:
+    """The slot number's bits mirrored at the point: another sequence that fills [0, 1) evenly."""
+    return F.conv(F.reverse(F.lpad(F.bin(slot), 52, "0")), 2, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def blocks_of(targets: DataFrame, slots_per_source: int) -> DataFrame:
+    """``targets`` with the words of a block (``__size``), blocks (``__blocks``) and slots wanted (``__slots``) of each source."""
+    have = targets.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
+    even = max(1, (have["words"] or 0) // max(1, slots_per_source * have["n"]))
+    # small sources get smaller blocks, so that a block more or less is little of any source
+    size = F.greatest(F.lit(1), F.least(F.lit(even), F.expr(f"source_size div {max(1, slots_per_source // 4)}"))).cast("long")
+    out = targets.where("source_size > 0").withColumn("__size", size)
+    out = out.withColumn("__blocks", F.expr("(source_size + __size - 1) div __size"))
+    return out.withColumn("__slots", F.col("target") / (F.col("source_size") / F.col("__blocks")))
+
+
+def schedule(blocks: DataFrame, points: Callable[[Column], Column] = golden) -> DataFrame:
+    """``__pos, __k, slot``: the source of each slot, and which of the source's slots it is."""
+    spark = blocks.sparkSession
+    run = stored(ordered(blocks.select(F.col("__pos").alias("__src"), "__slots"), [F.col("__src")], "__slots", "shares"), "shares")
+    have = run.agg(F.count("*").alias("n"), F.sum("__slots").alias("s"), F.max("__src").alias("last")).first()
+    total = float(have["s"] or 1)
+    slots, cells = round(have["s"] or 0), max(64, have["n"])
     lo = F.col("__before") / total
-    hi = F.when(F.col("__pos") == n - 1, F.lit(1.0)).otherwise((F.col("__before") + F.col("target")) / total)
-    parts = run.select("__pos", lo.alias("__lo"), hi.alias("__hi")).where("__lo < __hi")
-    parts = parts.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__lo") * cells), F.floor(F.col("__hi") * cells))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), golden(F.col("id") + 1).alias("__g")).withColumn("__cell", F.floor(F.col("__g") * cells))
-    hit = points.join(parts, "__cell").where("__lo <= __g and __g < __hi").select("__pos", "slot", (F.col("slot") / 4096).cast("long").alias("__chunk"))
+    hi = F.when(F.col("__src") == have["last"], F.lit(1.0)).otherwise((F.col("__before") + F.col("__slots")) / total)
+    parts = run.select(F.col("__src").alias("__pos"), lo.alias("__lo"), hi.alias("__hi"))
+    parts = parts.where("__lo < __hi").withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__lo") * cells), F.floor(F.col("__hi") * cells))))
+    dealt = spark.range(slots).select(F.col("id").alias("slot"), points(F.col("id") + 1).alias("__g")).withColumn("__cell", F.floor(F.col("__g") * cells))
+    hit = dealt.join(parts, "__cell").where("__lo <= __g and __g < __hi").select("__pos", "slot", (F.col("slot") / 4096).cast("long").alias("__chunk"))
     # ranks within a source: within runs of slots, then over the runs
     hit = hit.withColumn("__rn", F.row_number().over(Window.partitionBy("__pos", "__chunk").orderBy("slot")) - 1)
     chunks = hit.groupBy("__pos", "__chunk").agg(F.count("*").alias("__n"))
     first = chunks.select("__pos", "__chunk", (F.sum("__n").over(Window.partitionBy("__pos").orderBy("__chunk")) - F.col("__n")).alias("__first"))
-    ranked = stored(hit.join(first, ["__pos", "__chunk"]).select("__pos", (F.col("__first") + F.col("__rn")).alias("__k"), "slot"), "slots")
-    quota = targets.select("__pos", F.ceil(F.round("target") / block).alias("__need"))
-    kept = ranked.join(quota, "__pos").where("__k < __need").select("__pos", "__k", "slot")
-    got = quota.join(ranked.groupBy("__pos").agg(F.count("*").alias("__got")), "__pos", "left").withColumn("__got", F.coalesce("__got", F.lit(0)))
-    closing = got.where("__got < __need").select("__pos", F.explode(F.sequence("__got", F.col("__need") - 1)).alias("__k")).withColumn("slot", F.lit(slots) + F.col("__k"))
-    return stored(kept.unionByName(closing), "schedule"), block
+    return hit.join(first, ["__pos", "__chunk"]).select("__pos", (F.col("__first") + F.col("__rn")).alias("__k"), "slot")
 
 
-def mix(docs: DataFrame, slots_per_source: int = 1024) -> DataFrame:
-    """``__d, __t, doc_id, size, source_size, target, taken``, one row per input row.
+def shuffled_blocks(blocks: DataFrame) -> DataFrame:
+    """``__pos, __k, __b``: the block that a source's k-th slot takes; each pass over the stream has an order of its own."""
+    own = blocks.select(F.col("__pos").alias("__src"), "__blocks", F.explode(F.array(*map(F.lit, range(MOST)))).alias("__pass"))
+    own = own.select("__src", "__pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__b"))
+    placed = ordered(own, [F.col("__src"), F.col("__pass"), F.xxhash64(F.lit(23), "__src", "__pass", "__b"), F.col("__b")], name="blocks")
+    before = ordered(blocks.select(F.col("__pos").alias("__at"), (MOST * F.col("__blocks")).alias("__all")), [F.col("__at")], "__all", "block-counts")
+    return placed.join(before.select("__at", "__before"), F.col("__src") == F.col("__at")).select(F.col("__src").alias("__pos"), (F.col("__pos") - F.col("__before")).alias("__k"), "__b")
+
+
+def mix(docs: DataFrame, slots_per_source: int = 1024, points: Callable[[Column], Column] = golden) -> DataFrame:
+    """``__d, __t, doc_id, size, source_size, target, taken, slot``, one row per input row.
 
     ``size``: white-space separated words of the whole text (null: 0).  A null
-    source is a source of its own, last in order.  Documents without words are
-    never taken; an empty table gives no rows; rows that repeat are documents
+    source is a source of its own, last in order.  ``slot``: the first slot of the
+    mix that takes from the document (null: none does).  Documents without words
+    are never taken; an empty table gives no rows; rows that repeat are documents
     of their own.  The order depends on ``doc_id`` and text alone, so reruns agree.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     sizes = docs.select("doc_id", F.col("source").alias("__source"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__d"), F.xxhash64(text).alias("__t"), F.regexp_count(text, F.lit(NOT_WS)).cast("long").alias("size"))
     sizes = stored(sizes, "sizes")
@@ -107,18 +127,18 @@ def mix(docs: DataFrame, slots_per_source: int = 1024) -> DataFrame:
     shards = rows.groupBy("__pos", "__shard").agg(F.sum("size").alias("__n"))
     begin = shards.select("__pos", "__shard", (F.sum("__n").over(Window.partitionBy("__pos").orderBy("__shard")) - F.col("__n")).alias("__off"))
     rows = stored(rows.join(begin, ["__pos", "__shard"]).withColumn("__a", F.col("__off") + F.col("__in")).drop("__h", "__shard", "__off", "__in"), "places")
-    plan, block = schedule(targets, slots_per_source)
-
-    quota = F.round("target").cast("long")
-    again = rows.where("size > 0").select("__pos", "__a", quota.alias("__q"), "source_size", "size", F.explode(F.array(*map(F.lit, range(MOST)))).alias("__pass"))
-    again = again.withColumn("__from", F.col("__a") + F.col("source_size") * F.col("__pass"))
-    again = again.withColumn("__to", F.least(F.col("__from") + F.col("size"), F.col("__q"))).where("__from < __to")
-    pieces = again.select("__pos", "__a", "__from", "__to", F.explode(F.sequence(F.expr(f"__from div {block}"), F.expr(f"(__to - 1) div {block}"))).alias("__k"))
-    used = pieces.join(plan, ["__pos", "__k"]).groupBy("__pos", "__a").agg(F.sum(F.least(F.col("__to"), (F.col("__k") + 1) * block) - F.greatest(F.col("__from"), F.col("__k") * block)).alias("taken"))
-    used = used.select(F.col("__pos").alias("__p"), F.col("__a").alias("__b"), "taken")
+
+    blocks = stored(blocks_of(targets, slots_per_source), "source-blocks")
+    plan = shuffled_blocks(blocks).join(schedule(blocks, points), ["__pos", "__k"])
+    plan = plan.groupBy("__pos", "__b").agg(F.count("*").alias("__times"), F.min("slot").alias("slot"))
+    worded = rows.where("size > 0").join(blocks.select("__pos", "__size"), "__pos")
+    pieces = worded.select("__pos", "__a", "size", "__size", F.explode(F.sequence(F.expr("__a div __size"), F.expr("(__a + size - 1) div __size"))).alias("__b"))
+    part = F.least(F.col("__a") + F.col("size"), (F.col("__b") + 1) * F.col("__size")) - F.greatest(F.col("__a"), F.col("__b") * F.col("__size"))
+    used = pieces.join(plan, ["__pos", "__b"]).groupBy("__pos", "__a").agg(F.sum(part * F.col("__times")).alias("taken"), F.min("slot").alias("slot"))
+    used = used.select(F.col("__pos").alias("__p"), F.col("__a").alias("__s"), "taken", "slot")
     # words > 0: (source, place) names one row
-    joined = rows.join(used, (F.col("size") > 0) & (F.col("__pos") == F.col("__p")) & (F.col("__a") == F.col("__b")), "left")
-    return joined.select("__d", "__t", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    joined = rows.join(used, (F.col("size") > 0) & (F.col("__pos") == F.col("__p")) & (F.col("__a") == F.col("__s")), "left")
+    return joined.select("__d", "__t", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
