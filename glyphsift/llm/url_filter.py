@@ -1,11 +1,14 @@
 """URL rules by a sort-merge range join (operator 5).  DataFrame functions only.
 
-Method: a host is turned into its reversed-label key (``www.example.com`` ->
-``com.example.www.``), so a rule's host with all its subdomains is one interval
-of keys, and the intervals nest or are apart.  Pages and rule hosts are sorted
-together by key over ranges; a sweep carries along the stack of rules that were
-open at the last rule host, and each page keeps those whose interval still
-holds its key.  The last stack of each range is handed on to the next ones.
+Method: a rule's canonical key is its host in reversed labels and its path
+(``www.example.com/en/`` -> ``com.example.www./en/``), so the urls of one host
+that it fits are one interval of keys, and intervals nest or are apart.  A url
+asks once for its host and once for each host around it that rules may have,
+each time with its own path.  Rules and questions are sorted together by key
+over ranges; a sweep carries along the last rule with the lengths of the nested
+rules that are active there (its stack), and a question pops those that don't
+hold it any more: the longest prefix that it shares with the last rule tells
+which are left.  The last rule of each range is handed on to the next ones.
 """
 
 from __future__ import annotations
@@ -42,12 +45,19 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 
 
 def stacks(rules: DataFrame) -> DataFrame:
-    """``__key, __stack``: for each rule host, the rules of that host and of all hosts around it."""
-    own = rules.select(key_of(F.col("host")).alias("__key"), F.struct(key_of(F.col("host")).alias("key"), "path", "verdict", F.concat("host", "path").alias("rule"), F.length(F.concat("host", "path")).alias("size"), F.length("host").alias("host_size")).alias("__rule"))
-    hosts = own.select("__key").distinct()
-    labels = F.split(F.expr("substring(__key, 1, length(__key) - 1)"), "\\.")
-    around = hosts.select("__key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit(".")))).alias("__outer"))
-    return around.join(own.withColumnRenamed("__key", "__outer"), "__outer").groupBy("__key").agg(F.collect_list("__rule").alias("__stack"))
+    """``__key, __best, __stack``: each rule's key with what it says, and the lengths of the rules that hold it, itself included.
+
+    Two rules for the same key are one: that with the greater verdict.  The
+    lengths that occur are few, so each rule is joined to its own prefixes.
+    """
+    fit = rules.where(F.startswith("path", F.lit("/")) | (F.col("path") == ""))  # no url has another path
+    size = F.length(F.concat("host", "path"))
+    own = fit.select(F.concat(key_of(F.col("host")), "path").alias("__key"), F.struct(size.alias("size"), F.length("host").alias("host_size"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("verdict")).alias("__best"))
+    own = own.groupBy("__key").agg(F.max("__best").alias("__best"))
+    lengths = own.select(F.length("__key").alias("__l")).distinct().agg(F.array_sort(F.collect_list("__l")).alias("__ls"))  # one row, as long as the longest key at most
+    inner = own.crossJoin(lengths).select("__key", F.explode(F.filter("__ls", lambda n: n < F.length("__key"))).alias("__l")).withColumn("__outer", F.col("__key").substr(F.lit(1), F.col("__l")))
+    around = inner.join(own.select(F.col("__key").alias("__outer")), "__outer").groupBy("__key").agg(F.collect_list("__l").alias("__around"))
+    return own.join(around, "__key", "left").select("__key", "__best", F.array_append(F.coalesce("__around", F.array().cast("array<int>")), F.length("__key")).alias("__stack"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -59,21 +69,34 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     null rule.  The rule with the most characters of host and path wins, then
     the longer host.  Repeated rows give repeated rows, an empty table none.
     """
-    hosts = stacks(rules).select("__key", F.lit(0).alias("__kind"), F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "__stack")
-    rows = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.select(key_of(F.col("host")).alias("__key"), F.lit(1).alias("__kind"), "page_id", "host", "path", F.lit(None).cast(hosts.schema["__stack"].dataType).alias("__stack"))
-    # page_id and path as further keys let a hot host spread over many ranges
-    order = ["__key", "__kind", "page_id", "path"]
-    swept = stored(rows.unionByName(hosts).repartitionByRange(parallelism(pages.sparkSession), *order).withColumn("__part", F.spark_partition_id()), "url-sweep")
-    open_ = F.last("__stack", ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    ends = swept.groupBy("__part").agg(F.max(F.when(F.col("__kind") == 0, F.struct("__key", "__stack"))).alias("__end"))
+    spark = pages.sparkSession
+    held = stored(stacks(rules), "url-rules")
+    most = held.agg(F.max(F.size(F.split(F.split_part("__key", F.lit("/"), F.lit(1)), "\\.")) - 1)).first()[0] or 0
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    labels = F.reverse(F.split("host", "\\."))
+    # the host itself and those around it, as far as rules have so many labels
+    hosts = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size("__labels"), F.lit(most)), F.lit(1))), lambda n: F.concat(F.array_join(F.slice("__labels", 1, n), "."), F.lit(".")))
+    asked = rows.withColumn("__labels", labels).select("page_id", "host", "path", F.posexplode(hosts).alias("__n", "__host"))
+    asked = asked.select(F.concat("__host", "path").alias("__key"), F.lit(1).alias("__kind"), "page_id", "host", "path", "__n", F.lit(None).cast(held.schema["__best"].dataType).alias("__best"), F.lit(None).cast("array<int>").alias("__stack"))
+    none = lambda c: F.lit(None).cast(asked.schema[c].dataType).alias(c)
+    given = held.select("__key", F.lit(0).alias("__kind"), *map(none, ("page_id", "host", "path", "__n")), "__best", "__stack")
+    # page_id as a further key lets a hot url spread over many ranges
+    order = ["__key", "__kind", "page_id", "host"]
+    swept = stored(asked.unionByName(given).repartitionByRange(parallelism(spark), *order).withColumn("__part", F.spark_partition_id()), "url-sweep")
+    rule = F.when(F.col("__kind") == 0, F.struct("__key", "__stack"))
+    last = F.last(rule, ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     # one row for each range
-    carried = ends.select("__part", F.last("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))["__stack"].alias("__carried"))
-    stack = F.coalesce("__open", "__carried")
-    fits = F.filter(stack, lambda r: F.startswith(F.col("__key"), r["key"]) & F.startswith(F.col("path"), r["path"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["size"], r["host_size"], r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    judged = swept.withColumn("__open", open_).where("__kind = 1").join(carried, "__part").withColumn("__best", best)
-    return judged.select("page_id", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    ends = swept.groupBy("__part").agg(F.max(rule).alias("__end"))
+    carried = ends.select("__part", F.last("__end", ignorenulls=True).over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    open_ = F.coalesce("__last", "__carried")
+    active = F.array_max(F.filter(open_["__stack"], lambda n: F.col("__key").substr(F.lit(1), n) == open_["__key"].substr(F.lit(1), n)))
+    asked = swept.withColumn("__last", last).where("__kind = 1").join(carried, "__part")
+    asked = asked.select("page_id", "host", "path", "__n", F.col("__key").substr(F.lit(1), active).alias("__rule"))
+    said = asked.join(held.select(F.col("__key").alias("__rule"), "__best"), "__rule", "left")
+    # rows that repeat are counted and given back as often
+    each = said.groupBy("page_id", "host", "path").agg(F.max("__best").alias("__best"), F.sum((F.col("__n") == 0).cast("int")).alias("__times"))
+    each = each.withColumn("__one", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int"))))
+    return each.select("page_id", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
