@@ -8,9 +8,10 @@ n_s / (n + d); otherwise the escape, d / (n + d), is paid and the next shorter
 context is asked; below the empty context all 256 bytes are alike.  A text gets
 the language that gives it the shortest code.
 
-With frozen counts each (context, byte) has one exact code length for each
-language, so the trees are laid out once as a table of code lengths and whole
-texts are scored by lookups.
+With frozen counts each window of 4 bytes (context and byte) has one exact code
+length for each language.  The trees are kept sparse, as sorted arrays of the
+contexts and bytes that were seen; a worker asks them once for each window that
+it meets and keeps the answers in a table of fixed size.
 """
 
 from __future__ import annotations
@@ -22,11 +23,15 @@ from pyspark.sql.window import Window
 
 from glyphsift.sources.tables import table
 
-from .common import NO_ID, bounded_batches, byte_column, pieces, rows_with_identity, worker_store
+from .common import NO_ID, bounded_batches, byte_column, pieces, rows_with_identity, stored, worker_store
 
 ORDER = 3
 #: The sample: at most so many labelled rows of each language, those whose ids hash lowest.
 ROWS_PER_LANGUAGE = 400
+#: The languages with the most rows in the sample are learned, at most so many; the trees, which are broadcast, have at most so many bytes.
+LANGUAGES, MODEL_BYTES = 200, 1 << 29
+#: The score is the share of the best language in the probability that stretches of so many average bytes of the text have.
+STRETCH = 4
 PAD = 0x20
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -56,63 +61,108 @@ def _grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
 
+#: Windows whose code lengths a worker keeps.
+SLOTS = 1 << 18
+
+
 class Ppm:
-    """Frozen context trees of some languages as tables of code lengths in bits."""
+    """Frozen context trees of some languages.
+
+    ``trees``: for each language and order the seen (context, byte) pairs, packed
+    and sorted, with their code lengths in bits, and the contexts with the bits
+    of their escape.
+    """
 
-    def __init__(self, counts: dict[str, dict[int, int]]):
-        """counts: language -> 4-byte window (packed, big endian) -> times seen."""
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """counts: language -> 4-byte windows (packed, big endian) and how often they were seen."""
         self.langs = sorted(counts)
-        seen = sorted({g >> s & 255 for c in counts.values() for g in c for s in (24, 16, 8, 0)})
-        self.rank = np.zeros(256, np.int64)  # 0: a byte that no tree has
-        self.rank[seen] = np.arange(1, len(seen) + 1)
-        self.rank = self.rank[_FOLD]
-        a = self.size = len(seen) + 1
-        grams = [np.array([list(c), list(c.values())], np.int64).reshape(2, -1) for c in (counts[x] for x in self.langs)]
-        ranked = [(*(self.rank[g >> s & 255] for s in (24, 16, 8, 0)), n) for g, n in grams]
-        contexts = np.unique(np.concatenate([(p3 * a + p2) * a + p1 for p3, p2, p1, _, _ in ranked])) if ranked else np.zeros(0, np.int64)
-        # rows of the table: contexts of 3 bytes that any tree has, then those of 2 bytes (a x a, seen or not)
-        self.row = np.empty(a**3, np.int32)
-        self.row[:] = len(contexts) + np.arange(a**3) % (a * a)
-        self.row[contexts] = np.arange(len(contexts))
-        self.bits = np.empty(((len(contexts) + a * a) * a, len(self.langs)), np.float32)
-        for k, (p3, p2, p1, s, n) in enumerate(ranked):
-            code = np.full((1, a), 8.0)
+        self.trees = []
+        for lang in self.langs:
+            gram, n = (np.asarray(x, np.int64) for x in counts[lang])
+            orders = []
             for order in range(ORDER + 1):
-                own = {0: np.zeros_like(p1), 1: p1, 2: p2 * a + p1, 3: np.searchsorted(contexts, (p3 * a + p2) * a + p1)}[order]
-                rows = {0: 1, 1: a, 2: a * a, 3: len(contexts)}[order]
-                table = np.zeros((rows, a))
-                np.add.at(table, (own, s), n)
-                kept = code if order < 3 else code[contexts % (a * a)]
-                if order in (1, 2):  # the shorter context's row: the bytes but the first
-                    kept = code[np.arange(rows) % (rows // a)]
-                code = _ppm(table, np.broadcast_to(kept, table.shape))
-                if order == 2:
-                    self.bits[len(contexts) * a :, k] = code.reshape(-1)
-            self.bits[: len(contexts) * a, k] = code.reshape(-1)
+                key, at = np.unique(gram & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+                times = np.bincount(at, weights=n, minlength=len(key))
+                ctx, first, kinds = np.unique(key >> 8, return_index=True, return_counts=True)
+                all_ = np.add.reduceat(times, first) if len(first) else times
+                orders.append((key.astype(np.uint32), -np.log2(times / np.repeat(all_ + kinds, kinds)), ctx.astype(np.uint32), -np.log2(kinds / (all_ + kinds))))
+            self.trees.append(orders)
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.owner = np.zeros(SLOTS, np.uint32)
+        self.known = np.zeros(SLOTS, bool)
+        self.bits = np.zeros((SLOTS, len(self.langs)), np.float32)
+
+    def __getstate__(self) -> dict:
+        return {"langs": self.langs, "trees": self.trees}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fresh()
+
+    def size(self) -> int:
+        """Bytes of the trees."""
+        return sum(x.nbytes for orders in self.trees for arrays in orders for x in arrays)
+
+    def lengths(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each window (rows, uint32) under each language."""
+        out = np.zeros((len(gram), len(self.langs)), np.float32)
+        for k, orders in enumerate(self.trees):
+            left = np.arange(len(gram))
+            for order in range(ORDER, -1, -1):
+                key, bits, ctx, escape = orders[order]
+                own = gram[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+                at = np.minimum(np.searchsorted(key, own), max(0, len(key) - 1))
+                hit = key[at] == own if len(key) else np.zeros(len(own), bool)
+                out[left[hit], k] += bits[at[hit]]
+                left, own = left[~hit], own[~hit] >> np.uint32(8)
+                at = np.minimum(np.searchsorted(ctx, own), max(0, len(ctx) - 1))
+                hit = ctx[at] == own if len(ctx) else np.zeros(len(own), bool)
+                out[left[hit], k] += escape[at[hit]]
+            out[left, k] += 8
+        return out
 
-    def code_lengths(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Bits of each byte (rows) under each language; texts begin at ``starts``."""
-        r = self.rank[raw]
-        pad = self.rank[PAD]
-        at = 0
-        for back in range(ORDER, 0, -1):
-            p = np.full(len(r), pad)
+    def windows(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The packed window that ends at each byte; texts begin at ``starts``, after spaces."""
+        r = _FOLD[raw].astype(np.uint32)
+        out = r.copy()
+        for back in range(1, ORDER + 1):
+            p = np.full(len(r), PAD, np.uint32)
             p[back:] = r[:-back]
             for j in range(back):
                 here = starts + j
-                p[here[here < len(p)]] = pad
-            at = at * self.size + p
+                p[here[here < len(p)]] = PAD
+            out |= p << np.uint32(8 * back)
         # a text shorter than the context leaves pads beyond its end: the next text's own pads overlap them
-        return self.bits[self.row[at].astype(np.int64) * self.size + r]
+        return out
+
+    def code_lengths(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bits of each byte (rows) under each language; texts begin at ``starts``."""
+        gram = self.windows(raw, starts)
+        slot = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - 18)
+        miss = ~(self.known[slot] & (self.owner[slot] == gram))
+        if miss.any():
+            self.owner[slot[miss]] = gram[miss]  # of several for one slot the last stays
+            self.known[slot[miss]] = True
+            new = np.unique(slot[miss])
+            self.bits[new] = self.lengths(self.owner[new])
+        out = self.bits[slot]
+        odd = np.flatnonzero(self.owner[slot] != gram)
+        if len(odd):
+            which, at = np.unique(gram[odd], return_inverse=True)
+            out[odd] = self.lengths(which)[at]
+        return out
 
     def totals(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offs) - 1, len(self.langs)))
-        for i, j in pieces(offs, 1 << 20):
+        step = 1 << 18
+        for i, j in pieces(offs, step):
             if j == i + 1:  # perhaps a very long text: in slices that see the bytes before them
-                for a in range(int(offs[i]), int(offs[j]), 1 << 20):
+                for a in range(int(offs[i]), int(offs[j]), step):
                     first = max(int(offs[i]), a - ORDER)
-                    out[i] += self.code_lengths(raw[first : min(a + (1 << 20), offs[j])], np.array([0]))[a - first :].sum(0, dtype=np.float64)
+                    out[i] += self.code_lengths(raw[first : min(a + step, offs[j])], np.array([0]))[a - first :].sum(0, dtype=np.float64)
                 continue
             some = np.flatnonzero(np.diff(offs[i : j + 1])) + i
             if len(some):
@@ -121,15 +171,7 @@ class Ppm:
         return out
 
 
-def _ppm(table: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    n, d = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        seen = -np.log2(table / (n + d))
-        escape = -np.log2(d / (n + d))
-    return np.where(n == 0, shorter, np.where(table > 0, seen, escape + shorter))
-
-
-def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Ppm:
+def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Ppm:
     """Count the trees over the sample; only ``text`` and ``lang`` are learned from."""
     bounded_batches(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
@@ -138,14 +180,18 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Ppm:
     # first within parts of a language, then among those: no task sees all of a language's rows
     parts = labelled.select("lang", key.alias("__d")).withColumn("__p", F.pmod(F.xxhash64("__d"), F.lit(64)))
     some = parts.withColumn("__r", F.row_number().over(lowest.partitionBy("lang", "__p"))).where(F.col("__r") <= rows_per_language)
-    chosen = some.withColumn("__r", F.row_number().over(lowest.partitionBy("lang"))).where(F.col("__r") <= rows_per_language).select("__d").distinct()
-    # at most rows_per_language ids for each language
-    sample = labelled.select(key.alias("__d"), F.col("lang").alias("lang"), "text").join(F.broadcast(chosen), "__d", "left_semi").select("lang", "text")
-    rows = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    counts: dict[str, dict[int, int]] = {}
-    for lang, gram, n in zip(rows["lang"], rows["gram"], rows["n"], strict=True):
-        counts.setdefault(lang, {})[gram] = n
-    return Ppm(counts)
+    chosen = some.withColumn("__r", F.row_number().over(lowest.partitionBy("lang"))).where(F.col("__r") <= rows_per_language).select("lang", "__d").distinct()
+    chosen = stored(chosen, "language-sample")
+    most = chosen.groupBy("lang").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "lang").limit(languages).select("lang")
+    # at most rows_per_language ids for each of at most LANGUAGES languages
+    chosen = chosen.join(F.broadcast(most), "lang", "left_semi").select(F.col("lang").alias("__l"), F.col("__d").alias("__id"))
+    sample = labelled.select(key.alias("__d"), F.col("lang").alias("lang"), "text").join(F.broadcast(chosen), (F.col("__d") == F.col("__id")) & (F.col("lang") == F.col("__l")), "left_semi").select("lang", "text")
+    rows = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = np.array(rows["lang"].to_pylist(), object), rows["gram"].to_numpy(), rows["n"].to_numpy()
+    model = Ppm({x: (gram[lang == x], n[lang == x]) for x in sorted(set(lang))})
+    if model.size() > MODEL_BYTES:
+        raise ValueError(f"trees of {model.size()} bytes: take fewer rows of each language")
+    return model
 
 
 def predict(model: Ppm, texts) -> tuple[list[str], np.ndarray]:
@@ -161,7 +207,8 @@ def predict(model: Ppm, texts) -> tuple[list[str], np.ndarray]:
     if not model.langs or not len(has):
         return [UNKNOWN] * len(has), np.zeros(len(has))
     best = total.argmin(1)
-    score = 1 / np.exp2(np.maximum(-1000, total.min(1, keepdims=True) - total)).sum(1)
+    each = total * (STRETCH / np.maximum(np.diff(offs), STRETCH))[:, None]
+    score = 1 / np.exp2(np.maximum(-1000, each.min(1, keepdims=True) - each)).sum(1)
     return [model.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0)
 
 
@@ -197,7 +244,8 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
     ``lang_pred`` is ``und`` (score 0) where the text is null or has no letter,
     and everywhere if there is no labelled row to learn from.  ``score`` is the
     best language's share of the probability that all learned languages give
-    the text; ties go to the first language by name.  Texts of any length are
+    a stretch of the text (``STRETCH`` bytes of average code length; shorter texts
+    count whole); ties go to the first language by name.  Texts of any length are
     scored whole; repeated rows give repeated rows, an empty table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_language))

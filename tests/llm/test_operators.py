@@ -1,6 +1,7 @@
 """Each operator against brute force over awkward documents: null, empty, long and repeated texts, ties, odd columns."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -345,8 +346,12 @@ def test_language_id(spark, none):
     words = {"aa": ["abra", "cada", "bala"], "bb": ["ixo", "myx", "onyx"]}
     rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(5, 40))), lang) for i in range(300) for lang in [rng.choice(["aa", "bb"])]]
     rows += [(1000, None, "aa"), (1001, "", None), (1002, "12 34 !?", "bb"), (1003, "éé", None), (1004, "abra " * 50000, None), (None, "onyx myx", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in language_id.identify(df).collect()}
+    rows.append(rows[5])  # a repeated row
+    own = [(*r, "d", "p", "s", 1) for r in rows]
+    df = spark.createDataFrame(own, "doc_id long, text string, lang string, __d string, lang_pred string, score string, held_out int")
+    found = language_id.identify(df).collect()
+    assert len(found) == len(rows)
+    got = {r.doc_id: r for r in found}
     for d, t, lang in rows:
         r = got[d]
         assert r.held_out == (d is not None and zlib.crc32(str(d).encode()) % 4 == 2) and 0 <= r.score <= 1
@@ -355,7 +360,7 @@ def test_language_id(spark, none):
     assert [got[d].lang_pred for d in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred != "und" and got[1004].lang_pred == "aa" and got[None].lang_pred == "bb"
     assert language_id.identify(none).count() == 0
     assert {r.lang_pred for r in language_id.identify(df.withColumn("lang", language_id.F.lit(None).cast("string"))).collect()} == {"und"}
-    assert {r.doc_id for r in language_id.accepted(df).collect()} == {d for d, *_ in rows} - {1000, 1001, 1002}
+    assert {r.doc_id for r in language_id.accepted(df).collect()} == {d for d, *_ in rows} - {1000, 1001, 1002} and language_id.accepted(df).columns == df.columns
 
 
 def test_code_lengths():
@@ -365,7 +370,7 @@ def test_code_lengths():
     for lang, t in texts.items():
         p = b"   " + t
         counts[lang] = Counter(int.from_bytes(p[i : i + 4], "big") for i in range(len(t)))
-    model = language_id.Ppm(counts)
+    model = language_id.Ppm({k: (list(c), list(c.values())) for k, c in counts.items()})
     sample = b"abana xbra"
     got = model.code_lengths(np.frombuffer(sample, np.uint8), np.array([0]))
 
@@ -385,11 +390,36 @@ def test_code_lengths():
     for i, s in enumerate(sample):
         for k, lang in enumerate(model.langs):
             assert got[i, k] == pytest.approx(bits(lang, padded[i : i + 3], s), abs=1e-4)
+    again = pickle.loads(pickle.dumps(model))
+    assert np.array_equal(again.code_lengths(np.frombuffer(sample, np.uint8), np.array([0])), got)
+    rng = np.random.default_rng(0)  # more windows than the worker's table has slots
+    noise = rng.integers(0, 256, 600_000).astype(np.uint8)
+    want = model.lengths(model.windows(noise, np.array([0])))
+    assert np.array_equal(model.code_lengths(noise, np.array([0])), want)
+    assert np.allclose(model.totals(noise, np.array([0, len(noise)])), want.sum(0, dtype=np.float64))  # in slices
     both = np.frombuffer(sample + b"a" + sample, np.uint8)
     one = model.totals(np.frombuffer(sample, np.uint8), np.array([0, len(sample)]))
     assert np.allclose(model.totals(both, np.array([0, 10, 11, 11, 21]))[[0, 3]], one)
 
 
+def test_model_of_many_languages():
+    """Twenty languages with many bytes in use stay sparse."""
+    rng = np.random.default_rng(1)
+    counts = {}
+    for k in range(20):
+        gram = np.unique(rng.integers(0, 190, (100_000, 4)) @ np.array([1 << 24, 1 << 16, 1 << 8, 1]))
+        counts[f"l{k}"] = gram, np.ones(len(gram))
+    assert language_id.Ppm(counts).size() < 200e6
+
+
+def test_held_out_accuracy(spark):
+    """Rows that were not learned from, of a table with labels."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) >= 0.99 * len(rows)
+    assert len({round(r.score, 3) for r in rows}) > 10
+
+
 def license_spec(text: str, phrases, notices) -> tuple:
     """The operator's definition, word by word."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
