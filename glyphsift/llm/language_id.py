@@ -30,8 +30,6 @@ ORDER = 3
 ROWS_PER_LANGUAGE = 400
 #: The languages with the most rows in the sample are learned, at most so many; the trees, which are broadcast, have at most so many bytes.
 LANGUAGES, MODEL_BYTES = 200, 1 << 29
-#: The score is the share of the best language in the probability that stretches of so many average bytes of the text have.
-STRETCH = 4
 PAD = 0x20
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -207,7 +205,7 @@ def predict(model: Ppm, texts) -> tuple[list[str], np.ndarray]:
     if not model.langs or not len(has):
         return [UNKNOWN] * len(has), np.zeros(len(has))
     best = total.argmin(1)
-    each = total * (STRETCH / np.maximum(np.diff(offs), STRETCH))[:, None]
+    each = total / np.maximum(np.diff(offs), 1)[:, None]
     score = 1 / np.exp2(np.maximum(-1000, each.min(1, keepdims=True) - each)).sum(1)
     return [model.langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)], np.where(has, score, 0.0)
 
@@ -244,8 +242,7 @@ def identify(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Dat
     ``lang_pred`` is ``und`` (score 0) where the text is null or has no letter,
     and everywhere if there is no labelled row to learn from.  ``score`` is the
     best language's share of the probability that all learned languages give
-    a stretch of the text (``STRETCH`` bytes of average code length; shorter texts
-    count whole); ties go to the first language by name.  Texts of any length are
+    a byte of the text on average; ties go to the first language by name.  Texts of any length are
     scored whole; repeated rows give repeated rows, an empty table none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, rows_per_language))
