@@ -27,7 +27,7 @@ def whitespace_tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(whitespace_tokens(text))
+    return F.regexp_count(text, F.lit(f"[^{U.PY_SPACE}]+"))
 
 
 def prose_tokens(text: Column) -> Column:

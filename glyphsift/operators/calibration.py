@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import random
-from collections import Counter, defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,64 +17,21 @@ def calibrate(references: list[DataFrame], candidate: DataFrame, k: int, n_slots
     return partition.score_against_baseline(reduce(DataFrame.unionByName, gaps), gap, alpha)
 
 
-def gap_of(samples: list[list[str]], permutations: int, seed: int, margin: float = 0.5, min_context: int = 4, min_obs: int = 3) -> float:
-    """The prose gap of one bounded list of token lists (see keyless.prose_gap for whole corpora)."""
-    rng = random.Random(seed)
-    samples = samples[:]
-    rng.shuffle(samples)
-    cut = len(samples) // 2
-    pair, ctx, tok = Counter(), Counter(), Counter()
-    for s in samples[:cut]:
-        for a, b in zip(s, s[1:], strict=False):
-            pair[a, b] += 1
-            ctx[a] += 1
-            tok[b] += 1
-    total = sum(tok.values())
-    green = defaultdict(set)
-    for (a, b), n in pair.items():
-        if ctx[a] >= min_context and n >= min_obs and n / ctx[a] > (1 + margin) * tok[b] / total:
-            green[a].add(b)
-    keys = sorted(green)
-    if len(keys) < 2:
-        return 0.0
-    test = Counter((a, b) for s in samples[cut:] for a, b in zip(s, s[1:], strict=False) if a in green)
-    scored = sum(test.values())
-    vocab = len({t for s in samples for t in s})
-    gamma = min(0.5, max(0.01, sum(map(len, green.values())) / len(keys) / max(vocab, 1)))
-    z = lambda of: (sum(n for (a, b), n in test.items() if b in green[of[a]]) - gamma * scored) / math.sqrt(scored * gamma * (1 - gamma)) if scored else 0.0
-    null = []
-    for _ in range(permutations):
-        other = keys[:]
-        rng.shuffle(other)
-        null.append(z(dict(zip(keys, other, strict=True))))
-    return z(dict(zip(keys, keys, strict=True))) - sum(null) / len(null)
-
-
-def prose_bootstrap_gaps(samples: DataFrame, n_boot: int = 60, permutations: int = 40, seed: int = 0, source: str = "reference") -> DataFrame:
-    """``source, b, gap`` from ``doc_id, tokens`` of one reference corpus; draws are dealt out, each needs the corpus."""
-    corpus = samples.agg(F.sort_array(F.collect_list(F.struct("doc_id", "tokens"))).alias("c"))
-    draws = samples.sparkSession.range(n_boot).withColumnRenamed("id", "b").crossJoin(corpus)
-
-    def gaps(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for b, c in zip(pdf["b"], pdf["c"], strict=True):
-                rng = random.Random(seed * 1_000_003 + int(b))
-                docs = [list(x["tokens"]) for x in c]
-                out.append((source, b, gap_of([rng.choice(docs) for _ in docs], permutations, seed + int(b)) if docs else 0.0))
-            yield pd.DataFrame(out, columns=["source", "b", "gap"])
-
-    return draws.repartition(min(n_boot, 64), "b").mapInPandas(gaps, "source string, b long, gap double")
+def prose_bootstrap_gaps(samples: DataFrame, n_boot: int = 80, permutations: int = 40, seed: int = 0, source: str = "reference") -> DataFrame:
+    """``source, b, gap`` from ``doc_id, tokens`` of one reference corpus; corpora of less than four samples give gaps of 0."""
+    grams = keyless.bigrams_of(samples.select("doc_id", F.posexplode("tokens").alias("pos", "tok"))).withColumn("source", F.lit(source))
+    found = keyless.prose_bootstrap(grams, n_boot=n_boot, permutations=permutations, seed=f"boot{seed}")
+    enough = samples.agg((F.count("*") >= 4).alias("__ok"))
+    draws = samples.sparkSession.range(n_boot).select(F.lit(source).alias("source"), F.col("id").cast("int").alias("b"))
+    return draws.join(found, ["source", "b"], "left").crossJoin(enough).select("source", "b", F.when(F.col("__ok"), F.coalesce("gap", F.lit(0.0))).otherwise(0.0).alias("gap"))  # one row
 
 
 def calibrate_prose(references: list[DataFrame], candidate: DataFrame, n_boot: int = 60, permutations: int = 40, alpha: float = 0.05) -> DataFrame:
     """``gap, fpr, exceeds``; all inputs ``doc_id, tokens``."""
     gaps = [prose_bootstrap_gaps(r, n_boot, permutations, 1000 * i, str(i)) for i, r in enumerate(references)]
     grams = keyless.bigrams_of(candidate.select("doc_id", F.posexplode("tokens").alias("pos", "tok")))
-    gap = keyless.prose_gap(grams, permutations=max(permutations, 100)).first()["gap"]
-    return partition.score_against_baseline(reduce(DataFrame.unionByName, gaps), gap, alpha)
+    found = keyless.prose_gap(grams, permutations=max(permutations, 100)).first()
+    return partition.score_against_baseline(reduce(DataFrame.unionByName, gaps), found["gap"] if found else 0.0, alpha)
 
 
 def active_presence(tokens: DataFrame, queried: str, control: str, ratio_threshold: float = 2.0) -> DataFrame:

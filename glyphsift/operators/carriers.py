@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphsift.functions import unicode_tables as U
-from glyphsift.functions.text import ascii_only, word_count
+from glyphsift.functions.text import ascii_only, let, word_count
 
 FLAG = f"\\x{{1F3F4}}[{U.of((0xE0000, 0xE007E))}]*\\x{{E007F}}"
 COMMENT = "(?s)<!--(.*?)-->"
@@ -34,6 +35,19 @@ def _guarded(text: Column, value: Column, also: str = "") -> Column:
     return F.when(text.isNull() | ascii_only(text), F.lit(0)).when(text.rlike(f"[{also}{U.of((0x370, 0x10FFFF))}]"), value).otherwise(0)
 
 
+#: Where the detectors' characters lie, but for the long classes' few below.
+HIGH = U.of((0x370, 0x10FFFF))
+
+
+#: The only format character below.
+SOFT = U.of(0xAD)
+
+
+def rare(cls: str, low: str = "") -> str:
+    """A class that is asked only about characters at U+0370 and above (and those in ``low``): each range of a class is a test of its own."""
+    return f"[{low}{HIGH}&&[{cls}]]"
+
+
 def has_rtl(text: Column) -> Column:
     return text.rlike(f"[{U.RTL}]")
 
@@ -42,9 +56,9 @@ def zero_width(text: Column) -> Column:
     """Format characters that no context clears."""
     clears = U.EMOJI + U.shaping()
     # the rare character first, so that the long classes are looked at only beside it
-    joiners = _count(text, f"[{U.JOINERS}](?<![{clears}].)(?![{clears}])")
+    joiners = _count(text, f"[{U.JOINERS}](?<!{rare(clears)}.)(?!{rare(clears)})")
     marks = F.when(has_rtl(text), 0).otherwise(_count(text, f"[{U.MARKS}]"))
-    return _guarded(text, F.when(~text.rlike(f"[{U.format_chars()}]"), 0).otherwise(_count(text, f"[{U.plain_format()}]") + _count(text, "(?s)(?<=.)\\x{FEFF}") + joiners + marks), U.of(0xAD))
+    return _guarded(text, F.when(~text.rlike(rare(U.format_chars(), SOFT)), 0).otherwise(_count(text, rare(U.plain_format(), SOFT)) + _count(text, "(?s)(?<=.)\\x{FEFF}") + joiners + marks), SOFT)
 
 
 def without_flags(text: Column) -> Column:
@@ -53,7 +67,7 @@ def without_flags(text: Column) -> Column:
 
 def tags_block(text: Column) -> Column:
     """Tag characters outside subdivision flags."""
-    return _guarded(text, _count(without_flags(text), f"[{U.TAGS}]"))
+    return _guarded(text, F.when(~text.rlike(f"[{U.TAGS}]"), 0).otherwise(_count(without_flags(text), f"[{U.TAGS}]")))
 
 
 def tags_payload(text: Column) -> Column:
@@ -87,13 +101,15 @@ def words(text: Column) -> Column:
 
 #: Runs without ASCII separators: each word lies within one, and the class is cheap.
 RUN = "[0-9A-Za-z_\\x{80}-\\x{10FFFF}]"
+#: Runs with a letter that isn't Latin, each read once.
+HIGH_RUN = f"((?<!{RUN})[0-9A-Za-z_\\x{{80}}-\\x{{36F}}]*+[{HIGH}]{RUN}*+)"
 
 
 def homoglyph(text: Column) -> Column:
     """Words of two scripts or more that don't go together. Only runs with a letter that isn't Latin are taken apart."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit(f"({RUN}+)"), F.lit(1)), lambda r: r.rlike("[\\x{370}-\\x{10FFFF}]"))
+    runs = F.regexp_extract_all(text, F.lit(HIGH_RUN), F.lit(1))
     mixed = F.size(F.filter(F.flatten(F.transform(runs, words)), lambda w: F.when(ascii_only(w), F.lit(False)).otherwise(mixed_script(w))))
-    return _guarded(text, F.when(~text.rlike(f"[{U.not_latin()}]"), 0).otherwise(mixed))
+    return _guarded(text, F.when(~text.rlike(rare(U.not_latin())), 0).otherwise(mixed))
 
 
 def dense_spaces(text: Column) -> Column:
@@ -112,7 +128,8 @@ def trailing_space_lines(text: Column) -> Column:
 
 def comment_bodies(text: Column) -> Column:
     """Bodies of HTML comments that aren't blank."""
-    return F.filter(F.regexp_extract_all(text, F.lit(COMMENT), F.lit(1)), lambda x: x.rlike(f"[^{U.PY_SPACE}]"))
+    found = F.filter(F.regexp_extract_all(text, F.lit(COMMENT), F.lit(1)), lambda x: x.rlike(f"[^{U.PY_SPACE}]"))
+    return F.when(F.contains(text, F.lit("<!--")), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def bidi_override(text: Column) -> Column:
@@ -121,14 +138,12 @@ def bidi_override(text: Column) -> Column:
 
 def _finding(kind: str, hits: Column, severity: str, confidence: float, fpr: float, summary: str, payload: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return F.when(
-        hits > 0,
-        F.struct(
-            F.lit(kind).alias("kind"), F.lit(kind).alias("detector"), F.lit(severity).alias("severity"), F.lit("keyless").alias("posture"), F.lit(summary).alias("summary"), hits.cast("int").alias("hits"),
-            F.lit(confidence).alias("confidence"), F.lit(fpr).alias("fpr"),
-            (F.octet_length(payload) if payload is not None else F.lit(None)).cast("int").alias("payload_len"), (F.sha2(payload, 256) if payload is not None else none).alias("payload_sha256"),
-        ),
+    found = lambda n: F.struct(
+        F.lit(kind).alias("kind"), F.lit(kind).alias("detector"), F.lit(severity).alias("severity"), F.lit("keyless").alias("posture"), F.lit(summary).alias("summary"), n.cast("int").alias("hits"),
+        F.lit(confidence).alias("confidence"), F.lit(fpr).alias("fpr"),
+        (F.octet_length(payload) if payload is not None else F.lit(None)).cast("int").alias("payload_len"), (F.sha2(payload, 256) if payload is not None else none).alias("payload_sha256"),
     )
+    return let(hits, lambda n: F.when(n > 0, found(n)))
 
 
 def _bodies(text: Column) -> Column:
@@ -155,9 +170,56 @@ def register(name: str, detector: Callable[[Column], Column]) -> None:
     DETECTORS[name] = detector
 
 
+#: Detectors that have nothing to say about texts without a character of ``UNUSUAL``.
+HIDDEN = ["zero_width", "tags_block", "variation_selectors", "homoglyph", "bidi_override"]
+UNUSUAL = f"[{U.of(0xA0, 0xAD)}{HIGH}]"
+
+
 def findings(text: Column, names: list[str] | None = None) -> Column:
-    """``array<struct>`` of the detectors' findings, in their order."""
-    return F.array_compact(F.array(*[DETECTORS[n](text) for n in names or DETECTORS]))
+    """``array<struct>`` of the detectors' findings, in their order.
+
+    Texts without an unusual character are told by one look and meet only the
+    detectors of plain text.  A detector that fails on a text fails the job, as
+    any expression does; :func:`isolated` wraps one that may.
+    """
+    own = list(names or DETECTORS)
+    all_ = lambda ns: F.array_compact(F.array(*[DETECTORS[n](text) for n in ns]))
+    plain = [n for n in own if n not in HIDDEN]
+    if plain == own:
+        return all_(own)
+    usual = F.coalesce(ascii_only(text), F.lit(True)) | ~text.rlike(UNUSUAL)
+    return F.when(usual, all_(plain) if plain else F.filter(F.array(DETECTORS[own[0]](text)), lambda f: F.lit(False))).otherwise(all_(own))
+
+
+def isolated(name: str, detector: Callable[[str], int]) -> Callable[[Column], Column]:
+    """A detector of Python code (text to number of hits) whose failure on a text is a finding of its own: ``detector_error``, severity info.
+
+    Register it like any other; built-in detectors are expressions that cannot fail on a text.
+    """
+
+    @F.pandas_udf("hits int, error string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        def one(t):
+            try:
+                return (0 if t is None else int(detector(t))), None
+            except Exception as e:  # whatever a foreign detector raises becomes its finding
+                return 0, type(e).__name__
+
+        return pd.DataFrame([one(t) for t in texts], columns=["hits", "error"])
+
+    def made(text: Column) -> Column:
+        return let(run(text), lambda r: F.coalesce(_finding("detector_error", r["error"].isNotNull().cast("int"), "info", 0.0, 0.0, f"{name} failed"), _finding(name, r["hits"], "medium", 0.5, 0.05, f"found by {name}")))
+
+    return made
+
+
+def explained(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and one row for each finding (``f``).
+
+    explode_outer: from a plain explode the optimizer infers that the array has
+    entries, pushes that below the scan's exchange, and every detector runs twice.
+    """
+    return df.select(*columns, F.explode_outer("findings").alias("f")).where(F.col("f").isNotNull())
 
 
 def detect_carriers(df: DataFrame, text: str = "text") -> DataFrame:

@@ -6,81 +6,127 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from glyphsift.functions import unicode_tables as U
+from glyphsift.operators.keyless import residual_variability
+from glyphsift.operators.rewrite import canonicalize_c
+
 COMMUTATIVE = (ast.Add, ast.Mult, ast.BitAnd, ast.BitOr, ast.BitXor)
 TURNED = {ast.Gt: ast.Lt, ast.GtE: ast.LtE}
+EVEN = (ast.Eq, ast.NotEq)
 
 
 class _Rename(ast.NodeTransformer):
-    """Names, arguments and functions to v0, v1, ... in the order of first use."""
+    """Names that the code binds itself to v0, v1, ... in the order of binding; built-ins, imports and attributes keep theirs."""
 
     def __init__(self) -> None:
-        self.names: dict[str, str] = {}
+        self.bound: dict[str, str] = {}
 
-    def _new(self, name: str) -> str:
-        return self.names.setdefault(name, f"v{len(self.names)}")
+    def bind(self, name: str) -> str:
+        return self.bound.setdefault(name, f"v{len(self.bound)}")
 
     def visit_FunctionDef(self, node: ast.FunctionDef) -> ast.AST:
-        node.name = self._new(node.name)
-        return self.generic_visit(node)
-
-    def visit_arg(self, node: ast.arg) -> ast.AST:
-        node.arg = self._new(node.arg)
+        node.name = self.bind(node.name)
+        own = node.args
+        for p in filter(None, (*own.args, *own.kwonlyargs, own.vararg, own.kwarg)):
+            p.arg = self.bind(p.arg)
         return self.generic_visit(node)
 
     def visit_Name(self, node: ast.Name) -> ast.AST:
-        node.id = self._new(node.id)
+        if isinstance(node.ctx, ast.Store) or node.id in self.bound:
+            node.id = self.bind(node.id)
         return node
 
 
 class _Structure(ast.NodeTransformer):
-    """Operands of commutative operators sorted; comparisons point one way."""
+    """Operands whose order means nothing are sorted as they would be written; comparisons point one way. Chains stay."""
 
     def visit_BinOp(self, node: ast.BinOp) -> ast.AST:
         self.generic_visit(node)
-        if isinstance(node.op, COMMUTATIVE) and ast.dump(node.left) > ast.dump(node.right):
-            node.left, node.right = node.right, node.left
+        if isinstance(node.op, COMMUTATIVE):
+            node.left, node.right = sorted((node.left, node.right), key=ast.unparse)
         return node
 
     def visit_BoolOp(self, node: ast.BoolOp) -> ast.AST:
         self.generic_visit(node)
-        node.values.sort(key=ast.dump)
+        node.values.sort(key=ast.unparse)
         return node
 
     def visit_Compare(self, node: ast.Compare) -> ast.AST:
         self.generic_visit(node)
-        if len(node.ops) == 1 and type(node.ops[0]) in TURNED:
-            node.left, node.comparators, node.ops = node.comparators[0], [node.left], [TURNED[type(node.ops[0])]()]
+        if len(node.ops) > 1:
+            return node
+        kind, sides = type(node.ops[0]), [node.left, node.comparators[0]]
+        if kind in TURNED:
+            sides.reverse()
+            node.ops = [TURNED[kind]()]
+        elif kind in EVEN:
+            sides.sort(key=ast.unparse)
+        node.left, node.comparators = sides[0], sides[1:]
         return node
 
 
 def unfenced(code: str) -> str:
-    found = re.search(r"```[a-zA-Z]*\n(.*?)```", code, re.DOTALL)
-    return found[1] if found else code
+    """Without the marks of Markdown fences, however many; what they hold stays."""
+    return re.sub(r"```[a-zA-Z]*\n?", "", code).strip()
 
 
-def _form(code: str | None, visitor: type[ast.NodeTransformer]) -> str | None:
-    if code is None:
-        return None
-    code = unfenced(code)
+def _form(code: str, visitor: type[ast.NodeTransformer]) -> str | None:
+    """The code as the visitor leaves it; None if it doesn't parse."""
     try:
         return ast.unparse(ast.fix_missing_locations(visitor().visit(ast.parse(code))))
     except (SyntaxError, ValueError, RecursionError):
-        return " ".join(re.sub(r"#[^\n]*", "", code).split())
+        return None
+
+
+def canonical(code: str) -> str:
+    code = unfenced(code)
+    form = _form(code, _Rename)
+    return form if form is not None else " ".join(re.sub(r"#[^\n]*", "", code).split())
+
+
+def structural(code: str) -> str:
+    code = unfenced(code)
+    form = _form(code, _Structure)
+    return form if form is not None else code
 
 
 @F.pandas_udf(StringType())
 def canonicalize_python(code: pd.Series) -> pd.Series:
     """Alpha-renamed and unparsed; code that doesn't parse keeps its tokens without comments."""
-    return code.map(lambda c: _form(c, _Rename))
+    return code.map(canonical, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
 def structural_normalize(code: pd.Series) -> pd.Series:
-    return code.map(lambda c: _form(c, _Structure))
+    """One order of operands and one direction of comparisons; code that doesn't parse comes back as it is, but for fences."""
+    return code.map(structural, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def _unfenced(code: pd.Series) -> pd.Series:
+    return code.map(unfenced, na_action="ignore")
+
+
+def canonicalize_for(lang: str, code: Column) -> Column:
+    """By language: ``c`` by its tokens, all else as Python."""
+    return canonicalize_c(_unfenced(code)) if lang == "c" else canonicalize_python(code)
+
+
+def code_tokens(lang: str, code: Column) -> Column:
+    """Words and single signs of the canonical form."""
+    w = U.word_chars()
+    return F.regexp_extract_all(canonicalize_for(lang, code), F.lit(f"([{w}]+|[^{w}{U.PY_SPACE}])"), F.lit(1))
+
+
+def code_variability(samples: DataFrame, lang: str = "python", by: list[str] | None = None) -> DataFrame:
+    """``by..., variability`` from ``by..., sample_id, code``: what differs between samples once naming and layout are gone."""
+    by = by or ["task"]
+    tokens = samples.select(*by, "sample_id", F.explode(code_tokens(lang, F.col("code"))).alias("tok"))
+    return residual_variability(tokens, by)
 
 
 def featurize(samples: DataFrame, k: int = 4) -> DataFrame:

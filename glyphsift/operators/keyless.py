@@ -6,6 +6,7 @@ engine with that hash repeats it; it is not the stream of any generator.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphsift.operators.keyed import proportion_z
+from glyphsift.sources.shared import stored
 
 
 def draw(*parts: Column | str) -> Column:
@@ -102,31 +104,86 @@ def bigrams_of(tokens: DataFrame, sample: str = "doc_id") -> DataFrame:
     return tokens.select(sample, F.lag("tok").over(w).alias("ctx"), "tok").where(F.col("ctx").isNotNull())
 
 
+def prose_gaps(counts: DataFrame, by: list[str], margin: float = 0.5, min_context: int = 4, min_obs: int = 3, permutations: int = 200, seed: str = "prose") -> DataFrame:
+    """``by..., n_contexts, z, null_mean, gap, p`` from ``by..., ctx, tok, s, t``: how often a pair stands in the steal and the test part.
+
+    Green tokens of each context come from the steal part, as does the rate at
+    which they occur there (``gamma``, 0.01 to 0.5).  The null deals the contexts'
+    green sets to other contexts: the green rows, not the corpus, are multiplied
+    by the permutations, and each is one lookup in the test part's counts.  With
+    less than two contexts there is no test: gap and z are 0, p is 1.  Without a
+    test part the steal part is tested.
+    """
+    spark = counts.sparkSession
+    total = lambda df, keys, c, name: df.groupBy(*by, *keys).agg(F.sum(c).alias(name))
+    on = lambda *more: [*by, *more]
+    pair = counts.groupBy(*on("ctx", "tok")).agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    join = lambda x, y, *more: x.join(y, on(*more)) if on(*more) else x.crossJoin(y)  # noqa: E731  (one row each)
+    pair = stored(pair, "prose-counts")
+    whole = pair.groupBy(*by).agg(F.sum("s").alias("__all"), F.sum("t").alias("__tested"))
+    pair = join(pair, whole).withColumn("t", F.when(F.col("__tested") == 0, F.col("s")).otherwise(F.col("t")))
+    steal = pair.where("s > 0")
+    cells = join(join(steal, total(steal, ["ctx"], "s", "__cn"), "ctx"), total(steal, ["tok"], "s", "__tn"), "tok")
+    often = (F.col("__cn") >= min_context) & (F.col("s") >= min_obs)
+    green = cells.where(often & (F.col("s") / F.col("__cn") > (1 + margin) * F.col("__tn") / F.col("__all"))).select(*on("ctx", "tok", "s", "t"))
+    green = stored(green, "prose-green")
+    keys = green.select(*on("ctx")).distinct()
+    own = stored(pair.join(keys, on("ctx"), "left_semi").select(*on("ctx", "tok", "s", "t")), "prose-tested")
+    scored = own.groupBy(*by).agg(F.sum("s").alias("__ss"), F.sum("t").alias("__n"))
+    real = green.groupBy(*by).agg(F.sum("s").alias("__hs"), F.sum("t").alias("__h"), F.count_distinct("ctx").alias("n_contexts"))
+    base = join(scored, real)
+    # each permutation is a task's work on the contexts of one group
+    w = Window.partitionBy(*by, "__p")
+    # the draws depend on context and permutation alone: one for each, whatever number of groups
+    draws = keys.select("ctx").distinct().withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("__u", draw(seed, F.col("__p"), F.col("ctx")))
+    ranked = keys.join(stored(draws, "prose-draws"), "ctx").withColumn("__at", F.row_number().over(w.orderBy("ctx"))).withColumn("__to", F.row_number().over(w.orderBy("__u", "ctx")))
+    dealt = ranked.select(*on("__p"), F.col("ctx").alias("__i"), F.col("__to").alias("__at")).join(ranked.select(*on("__p", "__at"), F.col("ctx").alias("__j")), on("__p", "__at"))
+    moved = green.select(*by, F.col("ctx").alias("__i"), "tok").join(dealt, on("__i")).select(*on("__p", "tok"), F.col("__j").alias("ctx"))
+    null = moved.join(own.where("t > 0").select(*on("ctx", "tok", "t")), on("ctx", "tok")).groupBy(*on("__p")).agg(F.sum("t").alias("__nh"))
+    grid = whole.select(*by).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))) if by else spark.range(permutations).select(F.col("id").cast("int").alias("__p"))
+    gamma = F.least(F.lit(0.5), F.greatest(F.lit(0.01), F.coalesce(F.col("__hs") / F.nullif("__ss", F.lit(0)), F.lit(0.1))))
+    z = lambda h: F.when(F.col("__n") > 0, (h - F.col("__g") * F.col("__n")) / F.sqrt(F.greatest("__n", F.lit(1)) * F.col("__g") * (1 - F.col("__g")))).otherwise(0.0)
+    one = base.withColumn("__g", gamma).withColumn("__z", z(F.col("__h")))
+    each = join(grid.join(null, on("__p"), "left"), one).withColumn("__nz", z(F.coalesce("__nh", F.lit(0))))
+    out = each.groupBy(*by).agg(F.first("n_contexts").alias("n_contexts"), F.first("__z").alias("z"), F.avg("__nz").alias("null_mean"), ((F.sum((F.col("__nz") >= F.col("__z")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
+    # groups without any green token have no row yet
+    out = whole.select(*by).join(out, by, "left") if by else out
+    tested = F.coalesce(F.col("n_contexts") >= 2, F.lit(False))
+    return out.select(*by, F.coalesce("n_contexts", F.lit(0)).alias("n_contexts"), *[F.when(tested, F.col(c)).otherwise(0.0).alias(c) for c in ("z", "null_mean")], F.when(tested, F.col("z") - F.col("null_mean")).otherwise(0.0).alias("gap"), F.when(tested, F.col("p")).otherwise(1.0).alias("p"))
+
+
 def prose_gap(bigrams: DataFrame, sample: str = "doc_id", margin: float = 0.5, min_context: int = 4, min_obs: int = 3, permutations: int = 200, seed: str = "prose") -> DataFrame:
-    """``z, null_mean, gap, p``: green fraction on the test half, against maps dealt to other contexts.
+    """``n_contexts, z, null_mean, gap, p`` of one corpus (``sample, ctx, tok``), split into halves by sample."""
+    test = half(seed, F.col(sample))
+    counts = bigrams.groupBy("ctx", "tok").agg(F.sum(1 - test).alias("s"), F.sum(test).alias("t"))
+    return prose_gaps(counts, [], margin, min_context, min_obs, permutations, seed)
+
+
+def poisson_half(*parts: Column | str) -> Column:
+    """A number with a Poisson distribution of mean 1/2, by hash.
+
+    A bootstrap draw with replacement takes each sample a Poisson (1) number of
+    times; dealt to two halves, each half gets an independent one of mean 1/2.
+    """
+    below, term = [], math.exp(-0.5)
+    for k in range(10):
+        below.append((below[-1] if below else 0.0) + term)
+        term *= 0.5 / (k + 1)
+    u = draw(*parts)
+    return F.size(F.filter(F.array(*[F.lit(math.ceil(c * 4294967296.0)).cast("long") for c in below]), lambda c: u >= c))
+
+
+def prose_bootstrap(bigrams: DataFrame, source: str = "source", sample: str = "doc_id", n_boot: int = 80, permutations: int = 40, margin: float = 0.5, min_context: int = 4, min_obs: int = 3, seed: str = "boot") -> DataFrame:
+    """``source, b, gap``: prose gaps of bootstrap draws of each source's samples, as one group-by.
 
-    The overlap of the contexts' green sets with the counts after each context
-    is summed up once; a permutation then only adds matrix cells.
+    ``bigrams``: ``source, sample, ctx, tok``.  A sample's pairs are counted once
+    and then weighted by how often each draw takes it.
     """
-    split = bigrams.withColumn("__half", half(seed, F.col(sample)))
-    green = green_by_context(split.where("__half = 0"), margin, min_context, min_obs)
-    keys = green.select("ctx").distinct()
-    test = split.where("__half = 1").groupBy("ctx", "tok").agg(F.count("*").alias("__n")).join(keys, "ctx", "left_semi")
-    cells = test.withColumnRenamed("ctx", "__j").join(green.withColumnRenamed("ctx", "__i"), "tok").groupBy("__i", "__j").agg(F.sum("__n").alias("__h"))
-    scored = test.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__scored"))
-    gamma = green.groupBy("ctx").agg(F.count("*").alias("__g")).agg(F.avg("__g").alias("__g")).crossJoin(split.agg(F.count_distinct("tok").alias("__v")))
-    gamma = gamma.select(F.least(F.lit(0.5), F.greatest(F.lit(0.01), F.coalesce(F.col("__g") / F.nullif("__v", F.lit(0)), F.lit(0.01)))).alias("__gamma"))
-    perms = keys.sparkSession.range(permutations).select(F.col("id").alias("__p"))
-    place = keys.withColumn("__at", F.row_number().over(Window.orderBy("ctx")))
-    dealt = place.crossJoin(perms).withColumn("__to", F.row_number().over(Window.partitionBy("__p").orderBy(draw(seed, F.col("__p"), F.col("ctx")), "ctx")))
-    maps = dealt.join(place.select(F.col("ctx").alias("__i"), F.col("__at").alias("__to")), "__to").select("__p", "__i", F.col("ctx").alias("__j"))
-    null = perms.join(maps.join(cells, ["__i", "__j"]).groupBy("__p").agg(F.sum("__h").alias("__h")), "__p", "left").select(F.coalesce("__h", F.lit(0)).alias("__h"))
-    real = cells.where("__i = __j").agg(F.coalesce(F.sum("__h"), F.lit(0)).alias("__real"))
-    one = real.crossJoin(scored).crossJoin(gamma)
-    z = lambda h: F.when(F.col("__scored") > 0, (h - F.col("__gamma") * F.col("__scored")) / F.sqrt(F.greatest("__scored", F.lit(1)) * F.col("__gamma") * (1 - F.col("__gamma")))).otherwise(0.0)
-    zs = null.crossJoin(one).select(z(F.col("__h")).alias("__z"), z(F.col("__real")).alias("z"))
-    out = zs.groupBy("z").agg(F.avg("__z").alias("null_mean"), ((F.sum((F.col("__z") >= F.col("z")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
-    return out.withColumn("gap", F.col("z") - F.col("null_mean"))
+    packed = bigrams.groupBy(source, sample, "ctx", "tok").agg(F.count("*").alias("__n")).groupBy(source, sample).agg(F.collect_list(F.struct("ctx", "tok", "__n")).alias("__x"))
+    drawn = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    drawn = drawn.withColumns({"__s": poisson_half(seed, "steal", F.col(sample), F.col("b")), "__t": poisson_half(seed, "test", F.col(sample), F.col("b"))}).where("__s + __t > 0")
+    counts = drawn.select(source, "b", "__s", "__t", F.explode("__x").alias("x")).groupBy(source, "b", F.col("x.ctx").alias("ctx"), F.col("x.tok").alias("tok")).agg(F.sum(F.col("x.__n") * F.col("__s")).alias("s"), F.sum(F.col("x.__n") * F.col("__t")).alias("t"))
+    return prose_gaps(counts, [source, "b"], margin, min_context, min_obs, permutations, seed).select(source, "b", "gap")
 
 
 # -- context-keyed choice signature ---------------------------------------------------------

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphsift.operators.keyless import draw
+from glyphsift.operators.keyless import draw, poisson_half
+from glyphsift.sources.shared import stored
 
 
 def estimate_partition(choices: DataFrame, k: int, margin: float = 0.15) -> DataFrame:
@@ -54,41 +55,38 @@ def steal_and_test(choices: DataFrame, k: int, n_slots: int, margin: float = 0.1
     return out.withColumn("gap", F.col("z") - F.col("null_mean")).withColumn("detected", F.col("p") <= alpha)
 
 
-def bootstrap_gaps(choices: DataFrame, k: int, n_slots: int, n_boot: int = 120, permutations: int = 60, margin: float = 0.15, seed: int = 0, source: str = "reference") -> DataFrame:
-    """``source, b, gap``: gaps of samples drawn with replacement; each draw is one task's work on the sample matrix.
+def bootstrap_gaps(choices: DataFrame, k: int, n_slots: int, n_boot: int = 120, permutations: int = 60, margin: float = 0.15, seed: int = 0, source: str | None = "reference") -> DataFrame:
+    """``source, b, gap``: steal-and-test gaps of samples drawn with replacement, as one group-by.
 
-    The matrix of a corpus is samples x slots small numbers; a draw needs all of
-    it, so draws are dealt out, not rows.
+    ``source``: the name of the corpus, or null if ``choices`` has a column
+    ``source`` of several.  Each draw weighs a sample by two hashes (see
+    ``keyless.poisson_half``); what it takes is added up to slots x k cells, and
+    the slots are permuted among those cells.  Corpora of less than four samples,
+    or with one slot, give gaps of 0.
     """
-    import numpy as np
-
-    rows = choices.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("slot", "variant"))).alias("r"))
-    spark = choices.sparkSession
-    matrix = rows.agg(F.collect_list(F.transform("r", lambda x: x["variant"])).alias("m"))
-    draws = spark.range(n_boot).withColumnRenamed("id", "b").crossJoin(matrix)
-
-    def gaps(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for b, m in zip(pdf["b"], pdf["m"], strict=True):
-                a = np.array([list(x) for x in m], int)
-                if len(a) < 4 or a.ndim < 2 or a.shape[1] < 2:
-                    out.append((source, b, 0.0))
-                    continue
-                rng = np.random.default_rng([seed, b])
-                a = a[rng.integers(0, len(a), len(a))]
-                cut = len(a) // 2
-                steal, test = (np.stack([(x == v).sum(0) for v in range(k)], 1) for x in (a[:cut], a[cut:]))
-                green = steal / max(cut, 1) > (1 + margin) / k
-                gamma, n = green.sum() / (k * n_slots), test.sum()
-                z = lambda g: (test[g].sum() - gamma * n) / math.sqrt(n * gamma * (1 - gamma)) if 0 < gamma < 1 else 0.0  # noqa: B023, E731
-                null = [z(green[rng.permutation(len(green))]) for _ in range(permutations)]
-                out.append((source, b, float(z(green) - np.mean(null))))
-            yield pd.DataFrame(out, columns=["source", "b", "gap"])
-
-    return draws.repartition(min(n_boot, 64), "b").mapInPandas(gaps, "source string, b long, gap double")
+    tag, spark = f"boot{seed}", choices.sparkSession
+    named = choices if source is None else choices.withColumn("source", F.lit(source))
+    # a sample has n_slots choices at most
+    packed = named.groupBy("source", "sample_id").agg(F.collect_list(F.struct("slot", "variant")).alias("__x"))
+    drawn = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    drawn = drawn.withColumns({"__s": poisson_half(tag, "steal", F.col("sample_id"), F.col("b")), "__t": poisson_half(tag, "test", F.col("sample_id"), F.col("b"))}).where("__s + __t > 0")
+    cells = drawn.select("source", "b", "__s", "__t", F.explode("__x").alias("x")).groupBy("source", "b", "x.slot", "x.variant").agg(F.sum("__s").alias("s"), F.sum("__t").alias("t"))
+    of, cells = ["source", "b"], stored(cells, "bootstrap-cells")
+    cells = cells.join(cells.groupBy(*of, "slot").agg(F.sum("s").alias("__all")), [*of, "slot"]).withColumn("green", F.coalesce(F.col("s") / F.nullif("__all", F.lit(0)) > (1 + margin) / k, F.lit(False)))
+    one = cells.groupBy(*of).agg((F.sum(F.col("green").cast("int")) / F.lit(k * n_slots)).alias("gamma"), F.sum("t").alias("__n"), F.sum(F.when(F.col("green"), F.col("t")).otherwise(0)).alias("__h"))
+    slots = spark.range(n_slots).select(F.col("id").cast("int").alias("slot"))
+    grid = slots.crossJoin(spark.range(permutations).select(F.col("id").alias("__p"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))  # parameters, not data
+    to = grid.select("b", "__p", "slot", (F.row_number().over(Window.partitionBy("b", "__p").orderBy(draw(tag, F.col("b"), F.col("__p"), F.col("slot")), "slot")) - 1).alias("__to"))
+    moved = cells.where("green").select(*of, "slot", "variant").join(to, ["b", "slot"]).select(*of, "__p", F.col("__to").alias("slot"), "variant")
+    null = moved.join(cells.select(*of, "slot", "variant", "t"), [*of, "slot", "variant"]).groupBy(*of, "__p").agg(F.sum("t").alias("__nh"))
+    # permutations that meet nothing count with no hit
+    sums = one.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long")))).join(null, [*of, "__p"], "left")
+    sums = sums.withColumns({"__z": _z(F.col("__h"), F.col("__n"), F.col("gamma")), "__nz": _z(F.coalesce("__nh", F.lit(0)), F.col("__n"), F.col("gamma"))})
+    gaps = sums.groupBy(*of).agg((F.first("__z") - F.avg("__nz")).alias("__gap"))
+    enough = packed.groupBy("source").agg((F.count("*") >= 4).alias("__ok"))
+    draws = enough.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    fine = F.col("__ok") & F.lit(n_slots >= 2)
+    return draws.join(gaps, of, "left").select("source", "b", F.when(fine, F.coalesce("__gap", F.lit(0.0))).otherwise(0.0).alias("gap"))
 
 
 def style_baseline(gaps: DataFrame) -> DataFrame:

@@ -43,8 +43,9 @@ def normalize_carriers(text: Column) -> Column:
     bare = F.regexp_replace(text, carriers.COMMENT, "")
     clears, vs = U.EMOJI + U.shaping(), U.SELECTORS
     always = [f"[{U.TAGS}]", f"[{U.plain_format()}]", "(?s)(?<=.)\\x{FEFF}", f"[{U.JOINERS}](?<![{clears}].)(?![{clears}])", f"[{vs}]{{2,}}", f"[{U.of(0xFE0E, 0xFE0F)}](?<![{vs}{U.EMOJI}].)(?![{vs}])", f"[{U.of((0xFE00, 0xFE0D))}](?<![{vs}].)(?![{vs}])", f"(?<![{vs}{U.script('CJK')}])[{U.of((0xE0100, 0xE01EF))}](?![{vs}])"]
-    flags = f"({carriers.FLAG})|"
-    out = F.when(carriers.has_rtl(bare), F.regexp_replace(bare, flags + "|".join(always), "$1")).otherwise(F.regexp_replace(bare, flags + "|".join([*always, f"[{U.MARKS}]"]), "$1"))
+    # one cheap look at each character before any of the classes
+    found = lambda ps: f"(?s)(?=[{carriers.SOFT}{carriers.HIGH}])(?:({carriers.FLAG})|{'|'.join(ps)})"
+    out = F.when(carriers.has_rtl(bare), F.regexp_replace(bare, found(always), "$1")).otherwise(F.regexp_replace(bare, found([*always, f"[{U.MARKS}]"]), "$1"))
     out = F.when(carriers.dense_spaces(bare), F.regexp_replace(out, f"[{U.SPACES}]", " ")).otherwise(out)
     exotic = bare.rlike(f"[{U.of(0xA0, 0xAD, (0x131, 0x131), (0x370, 0x10FFFF))}]")
     return F.when(ascii_only(bare) | ~exotic, bare).otherwise(fold_homoglyphs(out))
@@ -108,17 +109,40 @@ def roundtrip_tokens(tokens: Column) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """Language by script majority (first in the text on ties), then by function words."""
-    n = {name: F.regexp_count(text, F.lit(f"[{cls}]")) for name, cls in BUCKETS}
-    place = [F.struct(n[name].alias("n"), (-F.length(F.regexp_extract(text, f"(?s)^[^{cls}]*", 0))).alias("p"), F.lit(name).alias("name")) for name, cls in BUCKETS]
-    top = F.array_max(F.filter(F.array(*place), lambda x: x["n"] > 0))["name"]
-    ws = F.array_distinct(F.transform(whitespace_tokens(text), F.lower))
-    votes = F.array(*[F.struct(F.size(F.array_intersect(ws, F.array(*map(F.lit, fn)))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, fn) in enumerate(FUNCTION_WORDS.items())])
-    best = F.array_max(votes)
-    out = F.when(top.isNull(), "und").when((top == "kana") | ((top == "han") & (n["kana"] > 0)), "ja").when(top == "han", "zh")
-    for bucket, lang in BUCKET_LANGUAGE.items():
-        out = out.when(top == bucket, lang)
-    return out.otherwise(F.when(best["n"] > 0, best["lang"]).otherwise("en"))
+    """Language by script majority (first in the text on ties), then by function words.
+
+    A text without a character at U+0370 or above has one script at most, which
+    one look tells; places are looked up for ties alone, and function words only
+    for Latin texts.
+    """
+
+    def majority(t: Column) -> Column:
+        """The script's name, ``ja`` apart: kana, or han beside kana."""
+        counts = lambda: F.array(*[F.struct(F.regexp_count(t, F.lit(f"[{cls}]")).alias("n"), F.lit(name).alias("name"), F.lit(cls).alias("cls")) for name, cls in BUCKETS])
+        first = lambda x: F.length(F.call_function("regexp_extract", t, F.concat(F.lit("(?s)^[^"), x["cls"], F.lit("]*")), F.lit(0)))
+
+        def winner(ns: Column) -> Column:
+            most = F.array_max(F.transform(ns, lambda x: x["n"]))
+            tied = lambda m: F.filter(ns, lambda x: x["n"] == m)
+            name = lambda m: let(tied(m), lambda xs: F.when(F.size(xs) == 1, F.get(xs, F.lit(0))["name"]).otherwise(F.array_min(F.transform(xs, lambda x: F.struct(first(x).alias("p"), x["name"].alias("name"))))["name"]))
+            kana = F.exists(ns, lambda x: (x["name"] == "kana") & (x["n"] > 0))
+            return let(most, lambda m: F.when(m > 0, let(name(m), lambda n: F.when((n == "kana") | ((n == "han") & kana), "ja").otherwise(n))))
+
+        return F.when(~t.rlike(f"[{carriers.HIGH}]"), F.when(t.rlike("[A-Za-z]"), "latin")).otherwise(let(counts(), winner))
+
+    def votes(t: Column) -> Column:
+        every = sorted({w for fn in FUNCTION_WORDS.values() for w in fn})
+        met = F.array_intersect(F.split(F.lower(t), f"[{U.PY_SPACE}]+"), F.array(*map(F.lit, every)))
+        count = lambda ws: F.array_max(F.array(*[F.struct(F.size(F.array_intersect(ws, F.array(*map(F.lit, fn)))).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, fn) in enumerate(FUNCTION_WORDS.items())]))
+        return let(let(met, count), lambda best: F.when(best["n"] > 0, best["lang"]).otherwise("en"))
+
+    def named(top: Column) -> Column:
+        out = F.when(top.isNull(), "und").when(top == "han", "zh").when(top == "ja", "ja")
+        for bucket, lang in BUCKET_LANGUAGE.items():
+            out = out.when(top == bucket, lang)
+        return out.otherwise(votes(text))
+
+    return let(majority(text), named)
 
 
 def canonicalize_c(code: Column) -> Column:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from glyphsift.functions.text import let
@@ -107,6 +109,36 @@ def threshold_at_false_accept(changed: list[float], target: float) -> float:
     return math.nextafter(ranked[-1], math.inf) if k == 0 else ranked[len(ranked) - k]
 
 
+def language_thresholds(scores: DataFrame, target: float = 0.05) -> DataFrame:
+    """``lang, threshold, true_accept, false_accept, n_preserved, n_changed`` from ``lang, label, score``.
+
+    The threshold is the lowest that accepts at most that share of a language's
+    changed pairs: with k of them allowed, the k-th greatest score, and the number
+    above the greatest for none; 0 without changed pairs.  It is looked up in
+    bins of scores, so no task sorts a whole language.
+    """
+    value, changed = F.col("score").cast("double"), F.col("label") == "changed"
+    cuts = sorted(set(scores.select(value.alias("__s")).approxQuantile("__s", [i / 64 for i in range(1, 64)], 0.01)))
+    binned = scores.select("lang", "label", value.alias("__s")).withColumn("__bin", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__s"))) if cuts else F.lit(0))
+    sizes = binned.where(changed).groupBy("lang", "__bin").agg(F.count("*").alias("__n"))  # 64 rows of a language at most
+    own = Window.partitionBy("lang")
+    down = own.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sizes.withColumn("__k", F.greatest(F.lit(1), F.floor(F.lit(target) * F.sum("__n").over(own)))).withColumn("__none", F.floor(F.lit(target) * F.sum("__n").over(own)) == 0).withColumn("__upto", F.sum("__n").over(down))
+    here = sizes.where((F.col("__upto") >= F.col("__k")) & (F.col("__upto") - F.col("__n") < F.col("__k"))).select("lang", "__bin", "__none", (F.col("__k") - F.col("__upto") + F.col("__n")).alias("__at"))
+    ranked = binned.where(changed).join(here, ["lang", "__bin"]).withColumn("__r", F.row_number().over(Window.partitionBy("lang", "__bin").orderBy(F.desc("__s"))))
+    found = ranked.where("__r = __at").select("lang", F.when(F.col("__none"), next_above(F.col("__s"))).otherwise(F.col("__s")).alias("threshold"))
+    judged = binned.join(found, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    rate = lambda label: F.coalesce(F.avg(F.when(F.col("label") == label, (F.col("__s") >= F.col("threshold")).cast("double"))), F.lit(0.0))
+    count = lambda label: F.sum((F.col("label") == label).cast("long"))
+    return judged.groupBy("lang").agg(F.max("threshold").alias("threshold"), rate("preserved").alias("true_accept"), rate("changed").alias("false_accept"), count("preserved").alias("n_preserved"), count("changed").alias("n_changed"))
+
+
+@F.pandas_udf(DoubleType())
+def next_above(score: pd.Series) -> pd.Series:
+    """The next greater number; one row of a language comes here."""
+    return score.map(lambda x: math.nextafter(x, math.inf))
+
+
 def fidelity(pairs: DataFrame, key: str = "pair_id", threshold: float = 0.5) -> DataFrame:
     """``key, score, accepted``."""
     return similarity(pairs, key).withColumn("accepted", F.col("score") >= threshold)

@@ -83,7 +83,7 @@ _KINDS = [("zero_width", _ZW, "high"), ("tags_block", _TAG, "high"), ("variation
 
 def carrier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All detectors in one scan: a row for each finding."""
-    found = C.detect_carriers(injected(spark, sf_dir)).select("doc_id", F.explode("findings").alias("f"))
+    found = C.explained(C.detect_carriers(injected(spark, sf_dir)), "doc_id")
     return found.select("doc_id", F.col("f.kind").alias("kind"), F.col("f.severity").alias("severity"), F.col("f.hits").cast("long").alias("hits"))
 
 
@@ -139,7 +139,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def high_confidence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that make a text's alarm, by kind."""
-    found = C.detect_carriers(injected(spark, sf_dir)).select(F.explode(C.high_confidence(F.col("findings"))).alias("f"))
+    found = C.explained(C.detect_carriers(injected(spark, sf_dir)).withColumn("findings", C.high_confidence(F.col("findings"))))
     return found.groupBy(F.col("f.kind").alias("kind")).agg(F.count("*").alias("docs"), F.sum("f.hits").alias("hits"))
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphsift.functions.text import prose_tokens
 from glyphsift.operators import calibration as C
 from glyphsift.operators import keyless as U
 from glyphsift.operators import partition as P
 from glyphsift.operators import similarity as S
+from glyphsift.operators.rewrite import reorder_reverse
+from glyphsift.plans.rewrite_queries import _GRAM, _SENT_REV, _WGRAM
 from glyphsift.sources.tables import table
 
-SLOTS, K, PERMUTATIONS = 40, 4, 50
+SLOTS, K, PERMUTATIONS = 40, 4, 300
 
 
 def _tokens(spark: SparkSession, sf_dir: str, arm: str = "lang") -> DataFrame:
@@ -31,7 +36,7 @@ def corpus_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.bigrams_of(_tokens(spark, sf_dir).where("arm = 'de'"))
+    return U.bigrams_of(_tokens(spark, sf_dir))
 
 
 def green_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,9 @@ def green_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prose_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.prose_gap(U.bigrams_of(_tokens(spark, sf_dir)))
+    """Next-token bias of all documents, with the operator's 200 permutations."""
+    out = U.prose_gap(_bigrams(spark, sf_dir))
+    return out.select("n_contexts", *[F.round(c, 6).alias(c) for c in ("z", "null_mean", "gap", "p")])
 
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,17 +77,32 @@ def steal_and_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("z", 6).alias("z"), F.round("null_mean", 6).alias("null_mean"), F.round("p", 6).alias("p"), F.round("gap", 6).alias("gap"), "detected")
 
 
+def _summary(gaps: DataFrame) -> DataFrame:
+    return P.style_baseline(gaps).select(F.col("n").cast("long").alias("n"), *[F.round(c, 6).alias(c) for c in ("mean", "stdev", "p50", "p90", "p95", "max")])
+
+
+def _choices_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choices(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "source"), "sample_id")
+
+
 def bootstrap_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap gaps of texts of one source that have all slots, and their summary."""
-    full = choices(spark, sf_dir).join(table(spark, sf_dir, "documents").where("source = 'src3'").select(F.col("doc_id").alias("sample_id")), "sample_id", "left_semi")
-    whole = full.groupBy("sample_id").agg(F.count("*").alias("n")).where(F.col("n") == SLOTS).select("sample_id")
-    return P.style_baseline(P.bootstrap_gaps(full.join(whole, "sample_id", "left_semi"), K, SLOTS, n_boot=20, permutations=20))
+    """Style baseline: bootstrap gaps of each source's texts (120 draws, 60 permutations), pooled."""
+    return _summary(P.bootstrap_gaps(_choices_by_source(spark, sf_dir), K, SLOTS, source=None))
+
+
+def calibrated_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as a candidate against the pooled baseline of the sources."""
+    gap = P.steal_and_test(choices(spark, sf_dir), K, SLOTS, permutations=100).select(F.col("gap").alias("__c"))
+    base = P.bootstrap_gaps(_choices_by_source(spark, sf_dir), K, SLOTS, source=None).crossJoin(gap)  # one row
+    out = base.agg(F.first("__c").alias("gap"), ((F.sum((F.col("gap") >= F.col("__c")).cast("int")) + 1) / (F.count("*") + 1)).alias("fpr"))
+    return out.select(F.round("gap", 6).alias("gap"), F.round("fpr", 6).alias("fpr"), (F.col("fpr") <= 0.05).alias("exceeds"))
 
 
 def prose_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary of bootstrap gaps of one source's prose."""
-    docs = table(spark, sf_dir, "documents").where("source = 'src4'").select("doc_id", prose_tokens(F.col("text")).alias("tokens"))
-    return P.style_baseline(C.prose_bootstrap_gaps(docs, n_boot=8, permutations=10))
+    """Style baseline of prose: bootstrap gaps of each source (80 draws, 40 permutations), pooled."""
+    tokens = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(prose_tokens(F.col("text"))).alias("pos", "tok"))
+    grams = U.bigrams_of(tokens).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return _summary(U.prose_bootstrap(grams))
 
 
 def active_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +143,29 @@ def separation_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.separation_auc(rows.select(F.when(F.col("quality") == 1, "preserved").otherwise("changed").alias("label"), F.col("n_chars").cast("double").alias("score"))).select(F.round("auc", 6).alias("auc"))
 
 
+def _labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pair_id, lang, label, before, after``: each labelled text with its sentences reversed, and with the next one of its language."""
+    rated = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "lang", "text").join(rated, "doc_id")
+    kept = docs.select((2 * F.col("doc_id")).alias("pair_id"), "lang", F.lit("preserved").alias("label"), F.col("text").alias("before"), reorder_reverse(F.col("text")).alias("after"))
+    # who comes next is told by ids alone, so no task holds the texts of a language
+    ids = docs.select("lang", "doc_id").withColumn("__next", F.lead("doc_id").over(Window.partitionBy("lang").orderBy("doc_id"))).where("__next is not null")
+    other = docs.join(ids.select("doc_id", "__next"), "doc_id").join(docs.select(F.col("doc_id").alias("__next"), F.col("text").alias("after")), "__next")
+    return kept.unionByName(other.select((2 * F.col("doc_id") + 1).alias("pair_id"), "lang", F.lit("changed").alias("label"), F.col("text").alias("before"), "after"))
+
+
 def language_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold of each language by which no changed pair is accepted: benchmark items against other items."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("before"))
-    pairs = items.join(items.select((F.col("item_id") + 1).alias("item_id"), F.col("before").alias("after")), "item_id").withColumnRenamed("item_id", "pair_id")
-    return S.similarity(pairs).select(F.max("score").alias("threshold"), F.count("*").alias("pairs"))
+    """Threshold of each language by which at most 5 % of changed pairs pass, and what it lets through."""
+    pairs = _labelled_pairs(spark, sf_dir)
+    scored = pairs.select("pair_id", "lang", "label").join(S.similarity(pairs), "pair_id")
+    out = S.language_thresholds(scored, 0.05)
+    return out.select("lang", *[F.round(c, 5).alias(c) for c in ("threshold", "true_accept", "false_accept")], "n_preserved", "n_changed")
+
+
+def reorder_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reversing the sentences leaves of a text's meaning, by the gate at 0.5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("before"), reorder_reverse(F.col("text")).alias("after"))
+    return S.fidelity(docs, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "accepted")
 
 
 _TOKS = "SELECT {arm} AS arm, doc_id, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ts FROM documents)"
@@ -141,7 +181,7 @@ def _l1(a: str, b: str) -> str:
 
 _SHARE = "SELECT tok, count(*)::DOUBLE / (sum(count(*)) OVER ())::DOUBLE AS p FROM t WHERE {w} GROUP BY tok"
 _HALF = f"{_draw("'{seed}'", "'half'", 'CAST(doc_id AS VARCHAR)')} % 2"
-_BI = f"t AS ({_TOKS.format(arm='lang')}), b AS (SELECT * FROM (SELECT doc_id, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, tok FROM t WHERE arm = 'de') WHERE ctx IS NOT NULL)"
+_BI = f"t AS ({_TOKS.format(arm='lang')}), b AS (SELECT * FROM (SELECT doc_id, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, tok FROM t) WHERE ctx IS NOT NULL)"
 _GREEN = """p AS (SELECT ctx, tok, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT ctx, tok FROM (SELECT ctx, tok, n, sum(n) OVER (PARTITION BY ctx) AS cn, sum(n) OVER (PARTITION BY tok) AS tn, sum(n) OVER () AS al FROM p)
  WHERE cn >= 4 AND n >= 3 AND n::DOUBLE / cn::DOUBLE > 1.5::DOUBLE * tn::DOUBLE / al::DOUBLE)"""
 _CH = f"t AS ({_TOKS.format(arm='lang')}), c AS (SELECT doc_id AS sample_id, pos % {SLOTS} AS slot, CAST(sum({_draw("'v'", 'tok')} % {K}) AS BIGINT) % {K} AS variant FROM t GROUP BY ALL)"
@@ -152,13 +192,70 @@ _PAIRS = """tk AS (SELECT conv_id, role, turn, unnest(regexp_extract_all(lower(t
  v AS (SELECT conv_id, role, avg((size - 2 * common)::DOUBLE / size::DOUBLE) AS variability FROM m GROUP BY ALL)"""
 _SIG = "x AS (SELECT event_type AS pair, CAST(user_id % 12 AS VARCHAR) AS context, event_id % 7 AS r FROM events), c AS (SELECT pair, context, sum(CASE WHEN r < 3 THEN 1 ELSE 0 END)::DOUBLE / sum(CASE WHEN r < 6 THEN 1 ELSE 0 END)::DOUBLE AS p FROM x GROUP BY ALL HAVING sum(CASE WHEN r < 6 THEN 1 ELSE 0 END) > 0), q AS (SELECT pair, avg(2 * abs(p - 0.5::DOUBLE)) AS c, avg(CASE WHEN p >= 0.5 THEN 1.0::DOUBLE ELSE 0 END) AS m FROM c GROUP BY pair), s AS (SELECT pair, c AS concentration, 4 * m * (1 - m) AS balance, c * 4 * m * (1 - m) AS score FROM q)"
 
+def _poisson(*parts: str) -> str:
+    """Poisson (1/2) by hash: thresholds of the distribution function on 32 bits."""
+    below, term = [], math.exp(-0.5)
+    for k in range(10):
+        below.append((below[-1] if below else 0.0) + term)
+        term *= 0.5 / (k + 1)
+    return f"len(list_filter([{', '.join(str(math.ceil(c * 4294967296.0)) for c in below)}], lambda c: {_draw(*parts)} >= c))"
+
+
+def _gaps(permutations: int, seed: str) -> str:
+    """CTEs from cnt(g, ctx, tok, s, t) to gp(g, nc, z, m, gap, p)."""
+    z = lambda h: f"CASE WHEN n > 0 THEN ({h} - gm * n) / sqrt(greatest(n, 1) * gm * (1 - gm)) ELSE 0 END"
+    return f"""w0 AS (SELECT g, sum(s) AS al, sum(t) AS te FROM cnt GROUP BY g), pr AS (SELECT g, ctx, tok, s, CASE WHEN te = 0 THEN s ELSE t END AS t FROM cnt JOIN w0 USING (g)),
+ st AS (SELECT *, sum(s) OVER (PARTITION BY g, ctx) AS cn, sum(s) OVER (PARTITION BY g, tok) AS tn, sum(s) OVER (PARTITION BY g) AS al FROM pr WHERE s > 0),
+ gr AS (SELECT g, ctx, tok, s, t FROM st WHERE cn >= 4 AND s >= 3 AND s::DOUBLE / cn::DOUBLE > 1.5::DOUBLE * tn::DOUBLE / al::DOUBLE), ky AS (SELECT DISTINCT g, ctx FROM gr), ow AS (SELECT pr.* FROM pr SEMI JOIN ky USING (g, ctx)),
+ sc AS (SELECT g, sum(s) AS ss, sum(t)::DOUBLE AS n FROM ow GROUP BY g), re AS (SELECT g, sum(s) AS hs, sum(t) AS h, count(DISTINCT ctx) AS nc FROM gr GROUP BY g),
+ rk AS (SELECT g, p, ctx, row_number() OVER (PARTITION BY g, p ORDER BY ctx) AS a, row_number() OVER (PARTITION BY g, p ORDER BY {_draw(f"'{seed}'", 'CAST(p AS VARCHAR)', 'ctx')}, ctx) AS b FROM ky, range({permutations}) r(p)),
+ dl AS (SELECT x.g, x.p, x.ctx AS i, y.ctx AS j FROM rk x JOIN rk y ON x.g = y.g AND x.p = y.p AND x.b = y.a),
+ nu AS (SELECT d.g, d.p, sum(o.t) AS nh FROM gr JOIN dl d ON gr.g = d.g AND gr.ctx = d.i JOIN ow o ON o.g = d.g AND o.ctx = d.j AND o.tok = gr.tok GROUP BY ALL),
+ ob AS (SELECT g, nc, h::DOUBLE AS h, n, least(0.5::DOUBLE, greatest(0.01::DOUBLE, coalesce(hs::DOUBLE / nullif(ss, 0)::DOUBLE, 0.1::DOUBLE))) AS gm FROM re JOIN sc USING (g)),
+ zz AS (SELECT o.g, nc, {z('h')} AS z, {z('coalesce(nh, 0)::DOUBLE')} AS nz FROM (SELECT * FROM ob, range({permutations}) r(p)) o LEFT JOIN nu ON nu.g = o.g AND nu.p = o.p),
+ gp0 AS (SELECT g, any_value(nc) AS nc, any_value(z) AS z, avg(nz) AS m, (count(*) FILTER (nz >= z) + 1)::DOUBLE / (count(*) + 1)::DOUBLE AS p FROM zz GROUP BY g),
+ gp AS (SELECT g, coalesce(nc, 0) AS nc, CASE WHEN nc >= 2 THEN z ELSE 0 END AS z, CASE WHEN nc >= 2 THEN m ELSE 0 END AS m, CASE WHEN nc >= 2 THEN z - m ELSE 0 END AS gap, CASE WHEN nc >= 2 THEN p ELSE 1 END AS p FROM w0 LEFT JOIN gp0 USING (g))"""
+
+
+_BASELINE = "SELECT count(*) AS n, " + ", ".join(f"round({v}, 6) AS {c}" for c, v in [("mean", "avg(gap)"), ("stdev", "stddev_pop(gap)"), *[(f"p{int(100 * q)}", f"list_sort(list(gap))[least(count(*) - 1, CAST(floor({q}::DOUBLE * count(*)) AS BIGINT)) + 1]") for q in (0.5, 0.9, 0.95)], ("max", "max(gap)")]) + " FROM "
+_BOOT = f"""{_CH}, dr AS (SELECT sample_id, b, {_poisson("'boot0'", "'steal'", 'CAST(sample_id AS VARCHAR)', 'CAST(b AS VARCHAR)')} AS ws, {_poisson("'boot0'", "'test'", 'CAST(sample_id AS VARCHAR)', 'CAST(b AS VARCHAR)')} AS wt FROM (SELECT DISTINCT sample_id FROM c), range(120) r(b)),
+ cs AS (SELECT c.*, source FROM c JOIN documents d ON d.doc_id = c.sample_id), ce AS (SELECT source, b, slot, variant, CAST(sum(ws) AS BIGINT) AS s, CAST(sum(wt) AS BIGINT) AS t FROM cs JOIN dr USING (sample_id) WHERE ws + wt > 0 GROUP BY ALL),
+ cg AS (SELECT *, coalesce(s::DOUBLE / nullif(sum(s) OVER (PARTITION BY source, b, slot), 0)::DOUBLE > 1.15::DOUBLE / {K}, false) AS green FROM ce),
+ oe AS (SELECT source, b, count(*) FILTER (green)::DOUBLE / {K * SLOTS} AS gm, sum(t)::DOUBLE AS n, coalesce(sum(t) FILTER (green), 0)::DOUBLE AS h FROM cg GROUP BY ALL),
+ pe AS (SELECT b, p, slot, row_number() OVER (PARTITION BY b, p ORDER BY {_draw("'boot0'", 'CAST(b AS VARCHAR)', 'CAST(p AS VARCHAR)', 'CAST(slot AS VARCHAR)')}, slot) - 1 AS dest FROM range(120) r(b), range(60) q(p), range({SLOTS}) u(slot)),
+ nh AS (SELECT g.source, g.b, pe.p, sum(x.t)::DOUBLE AS nh FROM cg g JOIN pe ON pe.b = g.b AND pe.slot = g.slot JOIN cg x ON x.source = g.source AND x.b = g.b AND x.slot = pe.dest AND x.variant = g.variant WHERE g.green GROUP BY ALL),
+ bz AS (SELECT o.source, o.b, CASE WHEN gm > 0 AND gm < 1 AND n > 0 THEN (h - gm * n) / sqrt(n * gm * (1 - gm)) ELSE 0 END AS z, CASE WHEN gm > 0 AND gm < 1 AND n > 0 THEN (coalesce(nh, 0) - gm * n) / sqrt(n * gm * (1 - gm)) ELSE 0 END AS nz FROM (SELECT * FROM oe, range(60) q(p)) o LEFT JOIN nh ON nh.source = o.source AND nh.b = o.b AND nh.p = o.p),
+ bg AS (SELECT source, b, CASE WHEN k >= 4 THEN coalesce(gap, 0) ELSE 0 END AS gap FROM (SELECT source, b, k FROM (SELECT source, count(DISTINCT sample_id) AS k FROM cs GROUP BY source), range(120) r(b)) LEFT JOIN (SELECT source, b, any_value(z) - avg(nz) AS gap FROM bz GROUP BY ALL) USING (source, b))"""
+_SPLIT = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+def _similarity(pairs: str) -> str:
+    """CTE sim(id, score) of pairs(id, a, b): the greater of the cosines of character and word grams."""
+    return f"""sp AS (SELECT *, {_SPLIT('a')} AS wa, {_SPLIT('b')} AS wb, string_split(lower(a), '') AS ca, string_split(lower(b), '') AS cb FROM {pairs}),
+ sg AS (SELECT id, 'c' AS m, 1 AS s, unnest({_GRAM.format(x='ca')}) AS g FROM sp UNION ALL SELECT id, 'c', 2, unnest({_GRAM.format(x='cb')}) FROM sp UNION ALL SELECT id, 'w', 1, unnest({_WGRAM.format(w='wa')}) FROM sp UNION ALL SELECT id, 'w', 2, unnest({_WGRAM.format(w='wb')}) FROM sp),
+ sn AS (SELECT id, m, g, count(*) FILTER (s = 1) AS na, count(*) FILTER (s = 2) AS nb FROM sg GROUP BY ALL),
+ sim AS (SELECT id, max(coalesce(v, 0)) AS score FROM (SELECT id, m, CAST(sum(na * nb) AS DOUBLE) / sqrt(nullif(CAST(sum(na * na) AS DOUBLE) * CAST(sum(nb * nb) AS DOUBLE), 0)) AS v FROM sn GROUP BY id, m) GROUP BY id)"""
+
+
 QUERIES = {
     "compare_arms": compare_arms, "corpus_test": corpus_test, "green_by_context": green_by_context, "green_fraction": green_fraction, "prose_gap": prose_gap,
     "estimate_partition": estimate_partition, "partition_z": partition_z, "steal_and_test": steal_and_test, "bootstrap_baseline": bootstrap_baseline, "prose_baseline": prose_baseline, "active_presence": active_presence,
     "context_signature": context_signature, "residual_variability": residual_variability, "suite_probe": suite_probe,
-    "dense_cosine": dense_cosine, "separation_auc": separation_auc, "language_thresholds": language_thresholds,
+    "dense_cosine": dense_cosine, "separation_auc": separation_auc, "language_thresholds": language_thresholds, "reorder_fidelity": reorder_fidelity, "calibrated_candidate": calibrated_candidate,
 }
+_PROSE = f"{_BI}, h AS (SELECT *, {_HALF.format(seed='prose')} AS h FROM b), cnt AS (SELECT 0 AS g, ctx, tok, CAST(sum(1 - h) AS BIGINT) AS s, CAST(sum(h) AS BIGINT) AS t FROM h GROUP BY ctx, tok), {_gaps(200, 'prose')}"
+_PROSE_BOOT = f"""{_BI}, dr AS (SELECT doc_id, source, r.b AS bt, {_poisson("'boot'", "'steal'", 'CAST(doc_id AS VARCHAR)', 'CAST(r.b AS VARCHAR)')} AS ws, {_poisson("'boot'", "'test'", 'CAST(doc_id AS VARCHAR)', 'CAST(r.b AS VARCHAR)')} AS wt FROM documents, range(80) r(b)),
+ bc AS (SELECT doc_id, ctx, tok, count(*) AS n FROM b GROUP BY ALL), cnt AS (SELECT source||'|'||bt AS g, ctx, tok, CAST(sum(n * ws) AS BIGINT) AS s, CAST(sum(n * wt) AS BIGINT) AS t FROM bc JOIN dr USING (doc_id) WHERE ws + wt > 0 GROUP BY ALL), {_gaps(40, 'boot')}"""
 SQL = {
+    "prose_gap": f"WITH {_PROSE} SELECT nc AS n_contexts, round(z, 6) AS z, round(m, 6) AS null_mean, round(gap, 6) AS gap, round(p, 6) AS p FROM gp",
+    "prose_baseline": f"WITH {_PROSE_BOOT} {_BASELINE} gp",
+    "bootstrap_baseline": f"WITH {_BOOT} {_BASELINE} bg",
+    "reorder_fidelity": f"WITH pp AS (SELECT doc_id AS id, text AS a, {_SENT_REV} AS b FROM documents), {_similarity('pp')} SELECT doc_id, round(coalesce(score, 0), 6) AS score, coalesce(score, 0) >= 0.5 AS accepted FROM documents LEFT JOIN sim ON id = doc_id",
+    "language_thresholds": f"""WITH d AS (SELECT doc_id, lang, text, lead(text) OVER (PARTITION BY lang ORDER BY doc_id) AS nxt FROM documents WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)),
+ pp AS (SELECT 2 * doc_id AS id, lang, 'preserved' AS label, text AS a, {_SENT_REV} AS b FROM d UNION ALL SELECT 2 * doc_id + 1, lang, 'changed', text, nxt FROM d WHERE nxt IS NOT NULL), {_similarity('pp')},
+ sc AS (SELECT lang, label, coalesce(score, 0) AS score FROM pp LEFT JOIN sim USING (id)), k AS (SELECT lang, list_sort(list(score) FILTER (label = 'changed')) AS c, count(*) FILTER (label = 'preserved') AS np FROM sc GROUP BY lang),
+ th AS (SELECT lang, np, len(c) AS nc, CASE WHEN c IS NULL THEN 0 WHEN CAST(floor(0.05::DOUBLE * len(c)) AS BIGINT) = 0 THEN c[len(c)] * (1 + 2.3e-16::DOUBLE) ELSE c[len(c) - CAST(floor(0.05::DOUBLE * len(c)) AS BIGINT) + 1] END AS t FROM k)
+ SELECT lang, round(any_value(t), 5) AS threshold, round(coalesce(avg(CASE WHEN score >= t THEN 1.0::DOUBLE ELSE 0 END) FILTER (label = 'preserved'), 0), 5) AS true_accept, round(coalesce(avg(CASE WHEN score >= t THEN 1.0::DOUBLE ELSE 0 END) FILTER (label = 'changed'), 0), 5) AS false_accept, any_value(np) AS n_preserved, coalesce(any_value(nc), 0) AS n_changed FROM sc JOIN th USING (lang) GROUP BY lang""",
     "active_presence": f"WITH t AS (SELECT role AS arm, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS tok, {_draw("'active'", "'half'", 'CAST(conv_id AS VARCHAR)')} % 2 AS h FROM conversations), f AS ({_SHARE.format(w="arm = 'assistant'")}), e AS ({_SHARE.format(w="arm = 'user'")}), e0 AS ({_SHARE.format(w="arm = 'user' AND h = 0")}), e1 AS ({_SHARE.format(w="arm = 'user' AND h = 1")}), r AS (SELECT {_l1('f', 'e')} AS l1, {_l1('e0', 'e1')} AS baseline) SELECT round(l1, 6) AS l1, round(baseline, 6) AS baseline, round(l1 / greatest(baseline, 1e-9), 6) AS ratio, l1 / greatest(baseline, 1e-9) >= 2.0 AS present FROM r",
     "compare_arms": f"WITH t0 AS ({_TOKS.format(arm='lang')}), t AS (SELECT *, {_HALF.format(seed='compare')} AS h FROM t0), f AS ({_SHARE.format(w="arm = 'fr'")}), e AS ({_SHARE.format(w="arm = 'en'")}), e0 AS ({_SHARE.format(w="arm = 'en' AND h = 0")}), e1 AS ({_SHARE.format(w="arm = 'en' AND h = 1")}), r AS (SELECT {_l1('f', 'e')} AS l1, {_l1('e0', 'e1')} AS baseline) SELECT round(l1, 6) AS l1, round(baseline, 6) AS baseline, round(l1 / greatest(baseline, 1e-9), 6) AS ratio, l1 / greatest(baseline, 1e-9) >= 2.0 AS flagged FROM r",
     "corpus_test": f"""WITH t0 AS ({_TOKS.format(arm='source')}), t AS (SELECT *, {_HALF.format(seed='corpus')} AS h FROM t0 WHERE arm IN ('src1', 'src2')),

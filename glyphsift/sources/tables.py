@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder; one of a few files is dealt out over the cores.
+    """A table of a folder; one that makes few scan tasks is dealt out over the cores.
 
     A small table is often one file of one row group, which one task would have
-    to work on alone.  Tables of more files than half the cores are left as
-    they lie, so nothing large is shuffled.
+    to work on alone.  How many tasks the scan has is asked of its plan, which
+    goes by bytes and not by files, so nothing large is shuffled.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * len(df.inputFiles()) <= cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -82,3 +82,33 @@ def test_register(spark):
         assert kinds(spark.createDataFrame([(0, "a1")], "doc_id long, text string"))[0] == {"digits"}
     finally:
         del C.DETECTORS["digits"]
+
+
+def test_report_plan(spark):
+    """The detectors run once, above the exchange: no filter on the findings is pushed below it."""
+    df = spark.range(8).select(F.col("id").alias("doc_id"), F.concat(F.lit("x\u200b"), F.col("id").cast("string")).alias("text")).repartition(2)
+    report = C.explained(C.detect_carriers(df), "doc_id")
+    below = report._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[1]
+    assert "200B" not in below and report.count() == 8
+
+
+def test_failing_detector(spark):
+    """A detector that raises on a text gives an info finding there and goes on elsewhere."""
+    C.register("shout", C.isolated("shout", lambda t: 1 // (len(t) - 4) if t.isupper() else 0))
+    try:
+        rows = spark.createDataFrame([(0, "AAAA"), (1, "AAAAA"), (2, "aaa"), (3, None)], "doc_id long, text string")
+        got = {(r.doc_id, r.f.kind, r.f.severity) for r in C.explained(C.detect_carriers(rows), "doc_id").collect()}
+    finally:
+        del C.DETECTORS["shout"]
+    assert got == {(0, "detector_error", "info"), (1, "shout", "medium")}
+
+
+def test_long_texts(spark):
+    """Long texts of one kind of character are read in linear time."""
+    rows = [(0, "\u200b" * 200_000), (1, "\U000e0041" * 200_000), (2, "a" * 200_000), (3, "д" * 200_000), (4, "é" * 200_000 + "д")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    C.detect_carriers(df.limit(1)).collect()
+    began = time.perf_counter()
+    hits = {r.doc_id: [(f.kind, f.hits) for f in r.findings] for r in C.detect_carriers(df).collect()}
+    assert time.perf_counter() - began < 20
+    assert hits[0] == [("zero_width", 200_000)] and hits[1] == [("tags_block", 200_000)] and not hits[2] and not hits[3] and hits[4] == [("homoglyph", 1)]

@@ -45,6 +45,23 @@ def test_code_forms(spark):
     assert one(spark, "x = b > a and c * a", code_forms.structural_normalize) == one(spark, "x = a * c and a < b", code_forms.structural_normalize)
 
 
+def test_code_forms_of_names(spark):
+    """Only names that the code binds are renamed; fences go, what they hold stays; order that means nothing is one."""
+    assert code_forms.canonical("def f(x):\n    return len(x)") != code_forms.canonical("def f(x):\n    return sum(x)")
+    assert code_forms.canonical("import os\ny = os.path.join(a, b)") == "import os\nv0 = os.path.join(a, b)"
+    assert code_forms.canonical("def f(a, *r, k=1, **o):\n    t = a\n    return t, r, k, o") == "def v0(v1, *v3, v2=1, **v4):\n    v5 = v1\n    return (v5, v3, v2, v4)"
+    assert code_forms.canonical("a b  c # gone\n\td") == "a b c d"
+    assert code_forms.unfenced("```python\nx = 1\n```\ntext\n```\ny = 2\n```") == "x = 1\ntext\ny = 2"
+    same = [("b == a", "a == b"), ("b != a", "a != b"), ("b >= a", "a <= b"), ("y or x", "x or y"), ("b | a", "a | b")]
+    assert all(code_forms.structural(x) == code_forms.structural(y) for x, y in same)
+    for kept in ("b - a", "a < b < c", "this is # not code"):
+        assert code_forms.structural(kept) == kept
+    rows = [("t", 0, "def f(a):\n    return len(a)"), ("t", 1, "def g(b):\n    return len(b)"), ("u", 0, "x = 1"), ("u", 1, "x = 1 + 1")]
+    got = {r.task: r.variability for r in code_forms.code_variability(spark.createDataFrame(rows, "task string, sample_id long, code string")).collect()}
+    assert got["t"] == 0 and got["u"] == pytest.approx(2 / 8)
+    assert one(spark, "```c\nint f(int a) { return a; }\n```", lambda c: code_forms.canonicalize_for("c", c)) == "int v0 ( int v1 ) { return v1 ; }"
+
+
 def test_featurize(spark):
     rows = [("t", i, ["a", "b", "c"]) for i in range(3)] + [("t", 3, ["a", "x", "c"]), ("t", 4, ["a", "c"])]
     got = {(r.sample_id, r.slot): r.variant for r in code_forms.featurize(spark.createDataFrame(rows, "task string, sample_id long, tokens array<string>")).collect()}
@@ -103,6 +120,22 @@ def test_prose_gap(spark):
     gap = lambda df: keyless.prose_gap(keyless.bigrams_of(toks(df)), permutations=40).first()
     assert gap(marked).gap > 20 and gap(marked).p < 0.05
     assert abs(gap(plain).gap) < 5
+    few = keyless.prose_gap(keyless.bigrams_of(toks(plain.limit(1))).where("ctx = 'w1'"), permutations=10).first()
+    assert (few.gap, few.z, few.p) == (0.0, 0.0, 1.0)
+
+
+def test_poisson_half(spark):
+    n = [r[0] for r in spark.range(4000).select(keyless.poisson_half("x", F.col("id"))).collect()]
+    for k, p in enumerate([0.6065, 0.3033, 0.0758]):
+        assert abs(n.count(k) / 4000 - p) < 0.03
+
+
+def test_language_thresholds(spark):
+    rows = [("en", "changed", i / 100) for i in range(100)] + [("en", "preserved", 0.5 + i / 100) for i in range(50)] + [("de", "changed", 0.3), ("de", "changed", 0.2), ("de", "preserved", 0.3), ("fr", "preserved", 0.1)]
+    got = {r.lang: r for r in similarity.language_thresholds(spark.createDataFrame(rows, "lang string, label string, score double"), 0.05).collect()}
+    for lang in ("en", "de", "fr"):
+        assert got[lang].threshold == similarity.threshold_at_false_accept([s for x, label, s in rows if x == lang and label == "changed"], 0.05)
+    assert got["en"].false_accept == pytest.approx(0.05) and got["de"].true_accept == 0 and got["fr"].true_accept == 1
 
 
 def test_similarity(spark):
