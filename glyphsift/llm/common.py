@@ -10,70 +10,20 @@ from __future__ import annotations
 
 import contextlib
 import gc
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphsift.sources.shared import drop_stored, shared_dir, stored  # noqa: F401
+
 #: The white space that separates words in the contracts: space and \t \n \v \f \r.
 WS = "[\\x20\\x09-\\x0D]+"
 NOT_WS = "[^\\x20\\x09-\\x0D]+"
 NO_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (local tests) one is set here.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
-    set_now = sc._jsc.sc().getCheckpointDir()
-    if set_now.isEmpty():
-        sc.setCheckpointDir(found or "/tmp/checkpoints/glyphsift")
-    return (found or sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage like ``checkpoint()``, but compressed and by column, and
-    survives the loss of any executor.
-    """
-    global _released
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if time.monotonic() - _released > RELEASE_EVERY:
-        release(spark)
-        _released = time.monotonic()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Seconds after which the shuffle files of plans that are done may go.
-RELEASE_EVERY = 10
-_released = 0.0
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`stored` that nothing will read again."""
-    for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def identified(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     """``__d``, ``__t`` (row identity), ``doc_id``, ``text`` and the columns named."""
     return docs.select(

@@ -30,14 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphsift.sources.tables import table
 
-from .common import bounded_batches, byte_column, drop_stored, identified, parallelism, rows_with_identity, stored, worker_store
+from .common import bounded_batches, byte_column, drop_stored, identified, parallelism, pieces, rows_with_identity, stored, worker_store
 
 GRAM = 32
-#: Bytes that are hashed at a time, and of one transform.
-PIECE, BLOCK = 1 << 20, 1 << 20
+#: Bytes that are hashed at a time, of one transform (a single key may have more: ``hot_runs`` runs at most), and of runs or texts handed on at once.
+PIECE, BLOCK, HANDED = 1 << 20, 1 << 18, 1 << 21
 POS_BITS = 21
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -131,40 +132,40 @@ def _runs(min_len: int):
 def suffix_order(text: np.ndarray, sep: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``text`` by their suffixes' first ``depth`` symbols or more; separators (0) all differ, and order by place."""
     n = len(text)
-    to_sep = np.append(sep, n)[np.searchsorted(sep, np.arange(n))] - np.arange(n)
+    at = np.arange(n, dtype=np.int32)
+    to_sep = np.append(sep, n).astype(np.int32)[np.searchsorted(sep, at)] - at
     key = np.zeros(n, np.int64)
     for j in range(7):
-        part = np.zeros(n, np.int64)
-        part[: n - j] = text[j:]
-        part[to_sep < j] = 0
-        key = key << 8 | part
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
+        key <<= 8
+        seen = to_sep[: n - j] >= j
+        key[: n - j][seen] |= text[j:][seen]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
     head = np.ones(n, bool)
-    np.not_equal(ranked[1:], ranked[:-1], out=head[1:])
-    head |= (to_sep < 7)[order]
+    np.not_equal(key[1:], key[:-1], out=head[1:])
+    del key
+    lone = (to_sep < 7)[order]
+    head |= lone
     # after a suffix that is unique, the next one starts a group of its own as well
-    head[1:] |= (to_sep < 7)[order][:-1]
-    rank = np.empty(n + 1, np.int64)
+    head[1:] |= lone[:-1]
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank[order] = first
+    rank[order] = np.maximum.accumulate(np.where(head, at, np.int32(0)))
     have = 7
     while have < depth:
         alone = head & np.append(head[1:], True)
-        todo = np.flatnonzero(~alone)
+        todo = np.flatnonzero(~alone).astype(np.int32)
         if not len(todo):
             break
         places = order[todo]
-        key = rank[places] << 32 | (rank[np.minimum(places + have, n)] + 1)
+        key = rank[places].astype(np.int64) << 32 | (rank[np.minimum(places + have, n)] + 1)
         by = np.argsort(key)
         order[todo] = places[by]
         key = key[by]
         new = np.ones(len(todo), bool)
         np.not_equal(key[1:], key[:-1], out=new[1:])
         head[todo] = new
-        first = np.maximum.accumulate(np.where(new, todo, 0))
-        rank[order[todo]] = first
+        rank[order[todo]] = np.maximum.accumulate(np.where(new, todo, np.int32(0)))
         have *= 2
     return order
 
@@ -179,16 +180,17 @@ def repeated_starts(text: np.ndarray, sep: np.ndarray, min_len: int) -> np.ndarr
     """
     n = len(text)
     sa = suffix_order(text, sep, min_len)
-    isa = np.empty(n, np.int64)
-    isa[sa] = np.arange(n)
-    before = sa - 1
+    isa = np.empty(n, np.int32)
+    isa[sa] = np.arange(n, dtype=np.int32)
+    before = sa - np.int32(1)
     before[before < 0] = n - 1
-    lf, bwt = isa[before], text[before].astype(np.int64)
+    lf, bwt = isa[before], text[before]
+    del isa, before
     unset = np.ones(n + 1, bool)
     # level 0: every symbol's interval; separators are one-place intervals
-    first = text[sa].astype(np.int64)
-    edge = np.flatnonzero(np.append(first[1:] != first[:-1], True) | (first == 0))
-    lo, hi = np.append(0, edge[:-1] + 1), edge
+    first = text[sa]
+    edge = np.flatnonzero(np.append(first[1:] != first[:-1], True) | (first == 0)).astype(np.int32)
+    lo, hi = np.append(np.zeros(1, np.int32), edge[:-1] + np.int32(1)), edge
     unset[0] = False
     unset[hi + 1] = False
     for _ in range(1, min_len):
@@ -199,11 +201,12 @@ def repeated_starts(text: np.ndarray, sep: np.ndarray, min_len: int) -> np.ndarr
         single = to[unset[to + 1]]
         wide_lo, wide_n = lo[~one], (hi - lo + 1)[~one]
         if len(wide_lo):
-            owner = np.repeat(np.arange(len(wide_lo)), wide_n)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(wide_n) - wide_n, wide_n) + np.repeat(wide_lo, wide_n)
+            owner = np.repeat(np.arange(len(wide_lo), dtype=np.int64), wide_n)
+            place = np.arange(len(owner)) + np.repeat(wide_lo - (np.cumsum(wide_n) - wide_n), wide_n)
             symbol, to = bwt[place], lf[place]
             ok = symbol > 0
             kind, to = owner[ok] << 8 | symbol[ok], to[ok]
+            del owner, place, symbol
             by = np.argsort(kind, kind="stable")
             kind, to = kind[by], to[by]
             starts = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else np.zeros(0, np.int64)
@@ -227,15 +230,13 @@ def _block(rows: list[tuple], min_len: int) -> list[tuple]:
     lengths = np.array([len(r[4]) for r in rows])
     raw = np.frombuffer(b"\0".join(r[4] for r in rows) + b"\0", np.uint8)
     sep = np.cumsum(lengths + 1) - 1
-    used = np.zeros(256, bool)
     is_sep = np.zeros(len(raw), bool)
     is_sep[sep] = True
-    used[raw[~is_sep]] = True
-    code = np.zeros(256, np.int64)
+    used = np.bincount(raw[~is_sep], minlength=256) > 0
+    code = np.zeros(256, np.uint16)
     code[used] = 1 + np.arange(used.sum())
     text = code[raw]
     text[is_sep] = 0
-    text = text.astype(np.int64)
     flags = repeated_starts(text, sep, min_len)
     out = []
     for row, end, length in zip(rows, sep.tolist(), lengths.tolist(), strict=True):
@@ -247,50 +248,69 @@ def _block(rows: list[tuple], min_len: int) -> list[tuple]:
 
 
 def _transform(min_len: int):
+    """Blocks of whole keys: one is closed before a key that would not fit any more."""
+
     def f(batches):
         import pyarrow as pa
 
         def emit(found):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int32()))], ["mh", "sh", "turns"])
 
+        def keys():
+            group: list[tuple] = []
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    for row in zip(*(c.to_pylist() for c in batch.slice(i, 256).columns), strict=True):
+                        if group and group[-1][0] != row[0]:
+                            yield group
+                            group = []
+                        group.append(row)
+            if group:
+                yield group
+
         worker_store("suffix")
-        rows, group, size = [], [], 0
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if group and group[-1][0] != row[0]:
-                    rows += group
-                    group = []
-                    if size >= BLOCK:
-                        yield emit(_block(rows, min_len))
-                        rows, size = [], 0
-                group.append(row)
-                size += len(row[4])
-        rows += group
+        rows, size = [], 0
+        for group in keys():
+            more = sum(len(r[4]) for r in group)
+            if rows and size + more > BLOCK:
+                yield emit(_block(rows, min_len))
+                rows, size = [], 0
+            rows += group
+            size += more
         if rows:
             yield emit(_block(rows, min_len))
 
     return f
 
 
+def _gathered(raw: np.ndarray, a: np.ndarray, size: np.ndarray):
+    """An Arrow binary array of the byte ranges of ``raw`` that begin at ``a``."""
+    import pyarrow as pa
+
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    view = memoryview(raw)
+    data = b"".join([view[x:y] for x, y in zip(a.tolist(), (a + size).tolist(), strict=True)])
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def _fetch(min_len: int):
+    """``mh, sh, c, n, hot, bytes`` of the runs wanted (a list for each text), at most about ``HANDED`` bytes at a time."""
+
     def f(batches):
         import pyarrow as pa
 
-        names = ["mh", "sh", "c", "n", "hot", "bytes"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in batches:
             raw, offs = byte_column(batch.column(0))
-            out, size = [], 0
-            for i, wanted in enumerate(batch.column(1).to_pylist()):
-                for x in wanted:
-                    a = int(offs[i]) + x["off"]
-                    out.append((x["mh"], x["sh"], x["c"], x["n"], x["hot"], raw[a : a + x["n"] + min_len - 1].tobytes()))
-                    size += x["n"] + min_len
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names)
+            lists = batch.column(1)
+            runs = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            a = offs[row] + runs.field("off").to_numpy()
+            size = runs.field("n").to_numpy().astype(np.int64) + (min_len - 1)
+            part = np.cumsum(size) // HANDED
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            for x, y in zip(cut, [*cut[1:], len(size)], strict=True):
+                own = runs.slice(x, y - x)
+                yield pa.RecordBatch.from_arrays([*(own.field(c) for c in ("mh", "sh", "c", "n", "hot")), _gathered(raw, a[x:y], size[x:y])], ["mh", "sh", "c", "n", "hot", "bytes"])
 
     return f
 
@@ -312,6 +332,30 @@ def _strings(min_len: int):
     return f
 
 
+def _kept(batch, text_at: int, starts_at: int, min_len: int):
+    """(first row, rows, kept bytes' mask, offsets, bytes, spans of each row) of slices of a batch that have about ``HANDED`` bytes."""
+    raw, offs = byte_column(batch.column(text_at))
+    lists = batch.column(starts_at)
+    at = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    runs = lists.flatten()
+    a = runs.field("a").to_numpy().astype(np.int64)
+    b = runs.field("b").to_numpy().astype(np.int64) + (min_len - 1)
+    for i, j in pieces(offs, HANDED):
+        own, base = raw[offs[i] : offs[j]], offs[i]
+        change = np.zeros(len(own) + 1, np.int32)
+        x, y = np.searchsorted(at, [i, j])
+        np.add.at(change, offs[at[x:y]] - base + a[x:y], 1)
+        np.add.at(change, offs[at[x:y]] - base + b[x:y], -1)
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+        local = offs[i : j + 1] - base
+        begin = gone.copy()
+        begin[1:] &= ~gone[:-1]
+        first = local[:-1][np.diff(local) > 0]
+        begin[first] = gone[first]
+        spans = np.append(0, np.cumsum(begin, dtype=np.int32)).astype(np.int64)
+        yield i, j - i, ~gone, local, own, spans[local[1:]] - spans[local[:-1]]
+
+
 def _cut(min_len: int):
     """Merge a document's repeated starts to byte spans and cut them out."""
 
@@ -319,23 +363,14 @@ def _cut(min_len: int):
         import pyarrow as pa
 
         for batch in batches:
-            raw, offs = byte_column(batch.column(1))
-            made = []
-            for i, starts in enumerate(batch.column(2).to_pylist()):
-                own = raw[offs[i] : offs[i + 1]]
-                spans = []
-                for a, b in sorted((x["a"], x["b"]) for x in starts or ()):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], b + min_len - 1)
-                    else:
-                        spans.append([a, b + min_len - 1])
-                kept = np.ones(len(own), bool)
-                for a, b in spans:
-                    kept[a:b] = False
-                left = own[kept].tobytes()
-                made.append((len(own), int(len(own) - len(left)), len(spans), hashlib.sha256(left).hexdigest(), left))
-            cols = list(zip(*made, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for i, n, kept, offs, raw, spans in _kept(batch, 1, 2, min_len):
+                size = np.diff(np.append(0, np.cumsum(kept, dtype=np.int32))[offs]).astype(np.int64)
+                left = raw[kept]
+                ends = np.append(0, np.cumsum(size))
+                digest = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                whole = np.diff(offs)
+                cols = [pa.array(whole), pa.array(whole - size), pa.array(spans), pa.array(digest, pa.string()), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(left)])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return f
 
@@ -368,7 +403,12 @@ def repeated_spans(docs: DataFrame, min_len: int = 200, hot_runs: int = 4096) ->
     drop_stored(bodies, distinct)
 
     pairs = F.transform(F.expr("sequence(0, size(turns) - 1, 2)"), lambda j: F.struct((F.col("off") + F.get("turns", j)).alias("a"), (F.col("off") + F.get("turns", j + 1)).alias("b")))
-    return some.join(found, ["mh", "sh"]).select("__d", "__t", F.explode(pairs).alias("__p")).groupBy("__d", "__t").agg(F.collect_list("__p").alias("starts"))
+    spans = some.join(found, ["mh", "sh"]).select("__d", "__t", F.explode(pairs).alias("__p")).select("__d", "__t", "__p.*")
+    # ranges that follow one another are one before a document's ranges are gathered: a periodic text has a run for each period
+    by = Window.partitionBy("__d", "__t").orderBy("a", "b")
+    spans = spans.withColumn("__new", F.coalesce(F.col("a") > F.lag("b").over(by), F.lit(True)).cast("int")).withColumn("__at", F.sum("__new").over(by))
+    spans = spans.groupBy("__d", "__t", "__at").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return spans.groupBy("__d", "__t").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, min_len: int = 200, hot_runs: int = 4096) -> DataFrame:
@@ -390,18 +430,24 @@ def _left(min_len: int, text_at: int, chars_at: int | None):
 
     def f(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        cut = _cut(min_len)
         for batch in batches:
             rows, names = batch.column(0), [f.name for f in batch.schema.field(0).type]
             columns = rows.flatten()
-            own = pa.RecordBatch.from_arrays([columns[text_at], columns[text_at].fill_null(""), batch.column(1)], ["doc_id", "text", "starts"])
-            # a span may end within a character: what is left of it goes too
-            texts = [x.decode(errors="ignore") for b in cut([own]) for x in b.column(5).to_pylist()]
-            columns[text_at] = pa.array(texts, columns[text_at].type)
-            if chars_at is not None:
-                columns[chars_at] = pa.array([len(x) for x in texts], columns[chars_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            own = pa.RecordBatch.from_arrays([columns[text_at].fill_null(""), batch.column(1)], ["text", "starts"])
+            for i, n, kept, offs, raw, _ in _kept(own, 0, 1, min_len):
+                # a span may begin or end within a character: what is left of it goes too
+                lead = np.flatnonzero(raw & 0xC0 != 0x80)
+                part = ~np.logical_and.reduceat(kept, lead) if len(lead) else np.zeros(0, bool)
+                kept &= ~np.repeat(part, np.diff(np.append(lead, len(raw)))) if len(lead) else kept
+                ends = np.append(0, np.cumsum(kept, dtype=np.int32))[offs].astype(np.int32)
+                text = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(ends), pa.py_buffer(raw[kept])])
+                out = [c.slice(i, n) for c in columns]
+                out[text_at] = text.cast(out[text_at].type)
+                if chars_at is not None:
+                    out[chars_at] = pc.utf8_length(text).cast(out[chars_at].type)
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return f
 
