@@ -1,18 +1,28 @@
-"""Connected components by alternating stars; no component ever meets in one task."""
+"""Connected components by alternating stars.
+
+A node's smallest neighbour comes from a pre-aggregated minimum.  It is joined
+under a key of its own (``apart``), so both sides of the join are dealt out
+anew and Spark can split the edges of a node that has very many.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 
 
+def apart(key: Column) -> Column:
+    """A key as good as ``key`` whose partitioning Spark doesn't take for that of an aggregate."""
+    return key.bitwiseXOR(F.lit(0x5BD1E995).cast("long"))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over ``u > v`` edges: link each node's larger (or smaller) neighbours to its smallest."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("__m")).select(F.col("u").alias("__u"), F.least("u", "__m").alias("__m"))
-    joined = both.join(least, F.col("u") == F.col("__u"))
+    least = both.groupBy("u").agg(F.min("v").alias("__m")).select(apart(F.col("u")).alias("__u"), F.least("u", "__m").alias("__m"))
+    joined = both.join(least, apart(F.col("u")) == F.col("__u"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("__m").alias("v"))
     else:
@@ -29,10 +39,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
     mark = None
     while True:
-        nxt = stored(_star(_star(now, True), False), "edges")
-        seen = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_stored(now)
+        large = stored(_star(now, True), "edges")
+        seen = Observation()
+        nxt = stored(_star(large, False).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        drop_stored(now, large)
         now = nxt
-        if seen == mark or not seen[0]:
+        if seen.get == mark or not seen.get["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = seen
+        mark = seen.get

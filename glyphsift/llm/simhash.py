@@ -6,23 +6,22 @@ Manhattan distance of two count vectors is at most the Hamming distance.  The
 range join on the grid of count vectors meets in the middle: two vectors at a
 distance of at most 2 share a grid point within 1 of both, so each distinct
 fingerprint goes to its own point and its 32 neighbours (not to the 500-odd
-points within 2).  What meets at a point is verified exactly by Hamming
-distance.  Equal fingerprints are one row throughout, so groups of copies cost
+points within 2), each time beside the bits of a block that was not moved.
+What meets at a point is verified exactly by Hamming distance.  Equal fingerprints are one row throughout, so groups of copies cost
 nothing here.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphsift.sources.tables import table
 
-from .common import bounded_batches, byte_column, drop_stored, identified, rows_with_identity, stored, worker_store
-from .components import components
+from .common import bounded_batches, byte_column, drop_stored, identified, parallelism, rows_with_identity, stored, worker_store
+from .components import apart, components
 
 LOW = np.uint64(0x5555555555555555)
 PAIR = np.uint64(0x3333333333333333)
@@ -74,21 +73,35 @@ def _fingerprints(k: int):
     return f
 
 
+#: Segments of each block; two flips leave one block as it is.
+BLOCKS = (range(5), range(5, 10), range(10, 16))
+
+
 def grid_points(pv: Column) -> Column:
-    """A count vector's own point and its neighbours at distance 1 (counts stay within 0 to 4)."""
+    """``array<struct<at, block>>``: a count vector's own point and its neighbours at distance 1 (counts stay within 0 to 4), with the block moved (-1: none)."""
     at = lambda j: F.shiftrightunsigned(pv, j * 4).bitwiseAND(F.lit(15).cast("long"))
-    up = [F.when(at(j) < 4, pv + F.lit(1 << 4 * j).cast("long")) for j in range(16)]
-    down = [F.when(at(j) > 0, pv - F.lit(1 << 4 * j).cast("long")) for j in range(16)]
-    return F.array_compact(F.array(pv, *up, *down))
+    block = {j: F.lit(b) for b, js in enumerate(BLOCKS) for j in js}
+    up = [F.when(at(j) < 4, F.struct((pv + F.lit(1 << 4 * j).cast("long")).alias("at"), block[j].alias("block"))) for j in range(16)]
+    down = [F.when(at(j) > 0, F.struct((pv - F.lit(1 << 4 * j).cast("long")).alias("at"), block[j].alias("block"))) for j in range(16)]
+    return F.array_compact(F.array(F.struct(pv.alias("at"), F.lit(-1).alias("block")), *up, *down))
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """``u, v``: distinct fingerprints (``fp``, with counts ``pv``) at Hamming distance 1 or 2."""
-    at = fps.select("fp", "pv", F.explode(grid_points(F.col("pv"))).alias("__at"))
+    """``u, v``: distinct fingerprints (``fp``, with counts ``pv``) at Hamming distance 1 or 2.
+
+    Points alone have about 30 bits, so chance meetings would grow with the
+    square of the table.  Two flips touch two of three blocks at most: each
+    point is met together with the bits of a block that its side has not moved,
+    which adds 20 bits or more to the key and loses no pair.
+    """
+    masks = [sum(15 << 4 * j for j in js) for js in BLOCKS]
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    point = fps.repartition(parallelism(fps.sparkSession), "fp").select("fp", F.explode(grid_points(F.col("pv"))).alias("__p"))
+    keys = F.array_compact(F.array(*[F.when(F.col("__p.block") != b, F.xxhash64(F.lit(b), F.col("__p.at"), F.col("fp").bitwiseAND(F.lit(m).cast("long")))) for b, m in enumerate(masks)]))
+    at = point.select("fp", F.explode(keys).alias("__at"))
     a, b = at.alias("a"), at.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 2
-    once = (F.col("a.pv") != F.col("b.pv")) | (F.col("a.pv") == F.col("a.__at"))
-    return a.join(b, (F.col("a.__at") == F.col("b.__at")) & (F.col("a.fp") > F.col("b.fp")) & near & once).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    return a.join(b, (F.col("a.__at") == F.col("b.__at")) & (F.col("a.fp") > F.col("b.fp")) & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -115,60 +128,65 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: For groups by similarity: so many fingerprints of 32 bits each, of the distinct words of a text.
-TABLES, WIDTH = 4, 32
-#: Flipped bits of all tables that a pair may have: unrelated texts of one language have over 45, pairs at 0.8 about 13.
-FLIPS = 28
-#: Texts in which common shingles are counted, and how many of them are kept; they set an order and no result.
-ORDER_TEXTS, ORDER_SHINGLES = 10_000, 50_000
+#: Texts in one bucket up to which its shingle counts as rare.
+BUCKET = 64
+#: Orders of texts, each of which names the first text of some buckets.
+ORDERS = 8
 #: Bits on which the parity of shingles is kept for each text.
 PARITY = 1024
 
 
-def _word_prints(batches):
-    """``__t`` and the tables' fingerprints, packed into two longs."""
-    import pyarrow as pa
-    import xxhash
+def _needed(n, similarity: float):
+    """Smallest overlap with a set of ``n`` shingles that reaches the similarity."""
+    return np.ceil(similarity * n - 1e-6).astype(np.int64)
 
-    worker_store("simhash")
-    for batch in batches:
-        raw, offs = byte_column(batch.column(1))
-        out = np.zeros((len(offs) - 1, 2), np.uint64)
-        for i in range(len(out)):
-            ws = set(raw[offs[i] : offs[i + 1]].tobytes().lower().split())
-            if ws:
-                out[i] = simhash(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, ws)), ">u8").reshape(-1, 2), TABLES * WIDTH)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[:, 0].copy().view(np.int64)), pa.array(out[:, 1].copy().view(np.int64))], ["__t", "__p", "__q"])
 
+def _prefix(n, similarity: float):
+    """So many first shingles of each of two similar sets, in any common order, share one."""
+    return n - _needed(n, similarity) + 1
+
+
+def _spare(n, similarity: float):
+    """Shingles beyond the prefix: two similar sets share so many more within both."""
+    return _prefix(n, similarity) // 6 + 2
+
+
+def _sketches(k: int, similarity: float):
+    """``__d, __t, __n, __fp, __pv, __pre, __sure``: fingerprint with its bit counts, number of shingles, and the first of them by hash.
+
+    ``__sure``: a similar text shares more than so many of ``__pre``.
+    """
 
-def _shingle_sets(k: int):
     def f(batches):
         import pyarrow as pa
 
         worker_store("simhash")
         for batch in batches:
-            raw, offs = byte_column(batch.column(1))
-            sets = [np.unique(np.array(shingle_hashes(raw[offs[i] : offs[i + 1]].tobytes(), k), np.uint64)).view(np.int64) for i in range(len(offs) - 1)]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["__t", "__set"])
+            raw, offs = byte_column(batch.column(2))
+            rows = len(offs) - 1
+            fps, sizes, parts = np.zeros(rows, np.uint64), np.zeros(rows, np.int64), []
+            for i in range(rows):
+                h = np.array(shingle_hashes(raw[offs[i] : offs[i + 1]].tobytes(), k), ">u8")
+                if len(h):
+                    fps[i] = simhash(h)[0]
+                    h = np.unique(h.astype(np.int64))
+                sizes[i] = n = len(h)
+                parts.append(h[: _prefix(n, similarity) + _spare(n, similarity)].astype(np.int64))
+            least = _needed(sizes, similarity)
+            sure = np.minimum(_spare(least, similarity), least - 1)
+            ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(fps.view(np.int64)), pa.array(counts(fps).view(np.int64)), lists, pa.array(sure)], ["__d", "__t", "__n", "__fp", "__pv", "__pre", "__sure"])
 
     return f
 
 
-def _flips(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}.__p").bitwiseXOR(F.col(f"{b}.__p"))) + F.bit_count(F.col(f"{a}.__q").bitwiseXOR(F.col(f"{b}.__q")))
-
-
-def _prefixes(k: int, similarity: float, common: np.ndarray):
-    """``__m, __t, __n, __i``: the first shingles of each text, the size of its set and the shingle's place.
-
-    ``__bits``, in a text's first row: for each of ``PARITY`` bits whether an odd
-    number of shingles falls on it.  Two texts' bits differ in no more places
-    than their sets have shingles that the other lacks.
+def _shingle_sets(k: int):
+    """``__t, __n, __set, __bits``: the distinct shingles of a text by hash.
 
-    ``common`` (sorted by hash: hash and count) only sets the order, the same
-    for all texts: rare shingles first, equal counts by hash.
+    ``__bits``: for each of ``PARITY`` bits whether an odd number of shingles falls
+    on it; two texts' bits differ in no more places than their sets have
+    shingles that the other lacks.
     """
 
     def f(batches):
@@ -177,122 +195,153 @@ def _prefixes(k: int, similarity: float, common: np.ndarray):
         worker_store("simhash")
         for batch in batches:
             raw, offs = byte_column(batch.column(1))
-            parts, sizes, bits = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+            sets, bits = [], np.zeros((len(offs) - 1, PARITY // 64), np.int64)
             for i in range(len(offs) - 1):
-                h = np.unique(np.array(shingle_hashes(raw[offs[i] : offs[i + 1]].tobytes(), k), np.uint64)).view(np.int64)
-                n = len(h)
-                sizes.append(n)
-                bits.append(np.packbits((np.bincount(h & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64))
-                if len(common) and n:
-                    at = np.minimum(np.searchsorted(common[:, 0], h), len(common) - 1)
-                    h = h[np.argsort(np.where(common[at, 0] == h, common[at, 1], 0), kind="stable")]
-                # texts without words meet at 0
-                parts.append(h[: n - math.ceil(similarity * n - 1e-6) + 1] if n else np.zeros(1, np.int64))
-            took = np.array([len(x) for x in parts[1:]], np.int64)
-            place = np.arange(took.sum()) - np.repeat(np.cumsum(took) - took, took)
-            own = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), took)
-            ends = np.append(0, np.cumsum(np.where(place == 0, PARITY // 64, 0))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(own), pa.array(np.repeat(np.array(sizes, np.int32), took)), pa.array(place.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bits)))], ["__m", "__t", "__n", "__i", "__bits"])
+                h = np.unique(np.array(shingle_hashes(raw[offs[i] : offs[i + 1]].tobytes(), k), np.uint64).astype(np.int64))
+                sets.append(h)
+                bits[i] = np.packbits((np.bincount(h & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            each = (np.arange(len(sets) + 1) * (PARITY // 64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.ListArray.from_arrays(pa.array(each), pa.array(bits.reshape(-1)))], ["__t", "__n", "__set", "__bits"])
 
     return f
 
 
-def _common_shingles(base: DataFrame, texts: int, shingle: int) -> np.ndarray:
-    """Hash and count of the shingles that are common in a sample of texts, by hash."""
-    own = base.where(F.pmod("__t", F.lit(max(1, texts // ORDER_TEXTS))) == 0).mapInArrow(_shingle_sets(shingle), "__t long, __set array<long>")
-    n = own.select(F.explode("__set").alias("__m")).groupBy("__m").agg(F.count("*").alias("__c")).where("__c > 3")
-    rows = n.orderBy(F.desc("__c"), "__m").limit(ORDER_SHINGLES).collect()
-    return np.array(sorted((r["__m"], r["__c"]) for r in rows), np.int64).reshape(-1, 2)
+def _verified(sets: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs ``u, v`` that have the similarity.
 
-
-def _verified(base: DataFrame, close: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs ``u, v`` that have the similarity."""
-    wanted = close.select(F.col("u").alias("__t")).unionByName(close.select(F.col("v").alias("__t"))).distinct()
-    sets = stored(base.join(wanted, "__t").dropDuplicates(["__t"]).mapInArrow(_shingle_sets(shingle), "__t long, __set array<long>"), "shingle-sets")
-    both = close.join(sets.select(F.col("__t").alias("u"), F.col("__set").alias("__a")), "u").join(sets.select(F.col("__t").alias("v"), F.col("__set").alias("__b")), "v")
-    common = F.size(F.array_intersect("__a", "__b"))
-    share = common / F.greatest(F.size("__a") + F.size("__b") - common, F.lit(1))
-    out = stored(both.where((share >= similarity) | ((F.size("__a") == 0) & (F.size("__b") == 0))).select("u", "v"), "links")
-    drop_stored(sets)
-    return out
-
-
-def _possible(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``u, v`` whose sizes and parity bits do not rule the similarity out."""
+    Sizes and parity bits rule most others out before the sets are read: bit
+    counts of the difference are a lower bound of the sets' difference.
+    """
+    bits = sets.select("__t", "__n", "__bits")
     of = lambda c, x: bits.select(F.col("__t").alias(c), F.col("__n").alias(f"__n{x}"), F.col("__bits").alias(f"__{x}"))
-    apart = F.aggregate(F.zip_with("__a", "__b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    differ = F.aggregate(F.zip_with("__a", "__b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     most = (F.col("__na") + F.col("__nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     sizes = F.least("__na", "__nb") >= similarity * F.greatest("__na", "__nb") - 1e-6
-    return stored(pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").where(sizes & (apart <= most)).select("u", "v"), "possible")
+    maybe = close.join(of("u", "a"), "u").join(of("v", "b"), "v").where(sizes & (differ <= most)).select("u", "v")
+    both = maybe.join(sets.select(F.col("__t").alias("u"), F.col("__set").alias("__a")), "u").join(sets.select(F.col("__t").alias("v"), F.col("__set").alias("__b")), "v")
+    common = F.size(F.array_intersect("__a", "__b"))
+    return stored(both.where(common / (F.size("__a") + F.size("__b") - common) >= similarity).select("u", "v"), "links")
+
+
+def _possible(a, b, similarity: float) -> Column:
+    """Whether two texts that meet in a bucket can have the similarity, by the sizes of their sets and the places there.
+
+    Among texts of common shingles the bucket may be asked to be the first that
+    the two share: each then has so few shingles before it that the rest can
+    still be the overlap.
+    """
+    na, nb, i, j = a("__n"), b("__n"), a("__i"), b("__i")
+    overlap = similarity / (1 + similarity) * (na + nb) - 1e-6
+    sizes = F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6
+    later = F.least(na - i, nb - j)
+    return sizes & F.when(a("__late"), (na - i >= overlap) & (nb - j >= overlap)).otherwise(F.least(i, j) + later >= overlap)
+
+
+def _meetings(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows of different groups (``a``, ``b``) that meet in a bucket."""
+    a, b = met.alias("a"), met.alias("b")
+    of = lambda x: lambda c: F.col(f"{x}.{c}")
+    # two texts of common shingles meet under their rarest ones
+    fit = F.col("a.__late") | ~(F.col("a.__common") & F.col("b.__common"))
+    return a.join(b, (F.col("a.__m") == F.col("b.__m")) & (F.col("a.__r") < F.col("b.__r")) & fit & _possible(of("a"), of("b"), similarity))
 
 
-def _met(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """``buckets`` with each text's group (``__r``) so far and, where groups meet, the bucket's first text (``__v``)."""
+def _stars(buckets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: each text of a bucket with the bucket's first, by one of ``ORDERS`` orders that the shingle picks.
+
+    Copies that fail against one first text are held against those of the other orders.
+    """
+    first = buckets.groupBy("__m").agg(F.min(F.struct(F.xxhash64("__t", F.pmod("__m", F.lit(ORDERS))), "__t", "__n", "__i", "__late")).alias("__f")).select(apart(F.col("__m")).alias("__at"), "__f")
+    both = buckets.join(first, (apart(F.col("__m")) == F.col("__at")) & (F.col("__t") != F.col("__f.__t")))
+    return both.where(_possible(F.col, lambda c: F.col(f"__f.{c}"), similarity)).select(F.col("__t").alias("u"), F.col("__f.__t").alias("v")).distinct()
+
+
+def _pairs(buckets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: texts of different groups that meet in as many buckets as similar ones do."""
     of = components(links)
-    own = buckets.join(of, F.col("__t") == F.col("node"), "left").select("__m", "__t", "__n", "__i", F.coalesce("root", "__t").alias("__r"))
-    own = stored(own, "grouped")
-    met = own.groupBy("__m").agg(F.min(F.struct("__r", "__t")).alias("__f"), F.max("__r").alias("__last")).where("__f.__r != __last")
-    out = stored(own.join(met.select("__m", F.col("__f.__r").alias("__first"), F.col("__f.__t").alias("__v")), "__m"), "meeting")
-    drop_stored(own)
+    own = stored(buckets.join(of, F.col("__t") == F.col("node"), "left").select("__m", "__t", "__n", "__i", "__need", "__late", "__common", F.coalesce("root", "__t").alias("__r")), "grouped")
+    apart_ = own.groupBy("__m").agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi")).where("__lo != __hi").select(apart(F.col("__m")).alias("__at"))
+    met = stored(own.join(apart_, apart(F.col("__m")) == F.col("__at")).drop("__at"), "met")
+    pairs = _meetings(met, similarity)
+    pairs = pairs.groupBy(F.col("a.__t").alias("u"), F.col("b.__t").alias("v")).agg(F.count("*").alias("__c"), F.max(F.greatest("a.__need", "b.__need")).alias("__need"))
+    out = stored(pairs.where("__c >= __need").select("u", "v"), "pairs")
+    drop_stored(own, met)
     return out
 
 
+def _buckets(base: DataFrame, each: DataFrame, seeds: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``__m, __t, __n, __i, __late, __common, __need``: texts under the shingles by which each similar pair meets, and the sets of all texts in them or in ``seeds``.
+
+    A text meets a similar one in ``__need`` buckets or more; ``__i``: the shingle's place in the order.
+    ``__late``: a bucket of the second kind; ``__common``: a text that is in those.
+
+    First all texts, under the first shingles by hash, with some to spare.
+    Shingles of more than ``BUCKET`` texts are common.  A text with no more
+    common ones than it has to spare shares a rare one with each similar text.
+    The others are looked at among themselves with all their shingles, the
+    rarest first, so common passages come last and hardly ever into a prefix.
+    """
+    rows = each.where("__n > 0").select("__t", "__n", "__sure", F.posexplode("__pre").alias("__i", "__m"))
+    many = lambda xs: xs.groupBy("__m").agg(F.count("*").alias("__c")).where("__c > 1").select(apart(F.col("__m")).alias("__at"), "__c")
+    shared = stored(rows.join(many(rows), apart(F.col("__m")) == F.col("__at")).drop("__at"), "shared-rows")
+    often = stored(shared.where(F.col("__c") > BUCKET).groupBy("__t", "__sure").agg(F.count("*").alias("__k")), "common-counts")
+    common = often.where("__k > __sure").select("__t")
+    rare = shared.where(F.col("__c") <= BUCKET).join(often.select("__t", "__k"), "__t", "left")
+    rare = rare.select("__m", "__t", "__n", "__i", F.lit(False).alias("__late"), (F.coalesce("__k", F.lit(0)) > F.col("__sure")).alias("__common"), F.greatest(F.lit(1), F.col("__sure") + 1 - F.coalesce("__k", F.lit(0))).cast("long").alias("__need"))
+    # a text that shares fewer rare shingles than that with all others together has no similar one
+    rare = stored(rare.withColumn("__all", F.count("*").over(Window.partitionBy("__t"))).where("__all >= __need").drop("__all"), "rare-rows")
+    wanted = stored(rare.select("__t").unionByName(common).unionByName(seeds.select(F.col("u").alias("__t"))).unionByName(seeds.select(F.col("v").alias("__t"))).distinct().join(each.select("__t", "__d"), "__t"), "wanted")
+    # one row of each text: the keys are as many as the texts, whatever number of copies they have
+    sets = stored(base.join(wanted, ["__d", "__t"]).dropDuplicates(["__d", "__t"]).select("__t", "text").mapInArrow(_shingle_sets(shingle), "__t long, __n long, __set array<long>, __bits array<long>"), "shingle-sets")
+    drop_stored(wanted)
+
+    rows = sets.join(common, "__t", "left_semi").select("__t", "__n", F.explode("__set").alias("__m"))
+    own = Window.partitionBy("__t")
+    # what only one text has comes first and leads nowhere
+    placed = rows.join(many(rows), apart(F.col("__m")) == F.col("__at")).withColumn("__i", (F.col("__n") - F.count("*").over(own) + F.row_number().over(own.orderBy("__c", "__m")) - 1).cast("int"))
+    # keys apart from those of the first kind
+    late = placed.where(F.col("__i") <= F.col("__n") - F.ceil(similarity * F.col("__n") - 1e-6)).select(F.xxhash64("__m", F.lit(2)).alias("__m"), "__t", "__n", "__i", F.lit(True).alias("__late"), F.lit(True).alias("__common"), F.lit(1).cast("long").alias("__need"))
+    out = stored(rare.unionByName(late), "buckets")
+    drop_stored(shared, often, rare)
+    return out, sets
+
+
 def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``u, v``: hashes of different texts whose ``shingle``-word sets have a Jaccard similarity of ``similarity`` or more.
 
     What the links connect is what all pairs of that similarity connect; pairs
-    within a group that other links connect already are not looked at.
-
-    Copies are found first by fingerprints.  One of 64 bits within 2 flips would
-    find next to none of the pairs at 0.8 (they differ by about 9), so a text's
-    distinct words give four fingerprints of 32 bits, and a pair is a candidate
-    if any of them is within 2 flips.  Two fingerprints within 2 flips share a
-    third one within 1 of both, and texts meet there; the texts that share it are
-    linked to the smallest of them.
-
-    What is left is found exactly, by prefixes: in an order of all shingles, two
-    sets at ``similarity`` share one of the first ``n - ceil(similarity * n) + 1``
-    of each.  Where texts of different groups share one, they are compared with
-    the bucket's first text, and then all pairs of different groups with each
-    other, except for pairs that their sizes, the shingle's places or the parity
-    of shingles on 1,024 bits rule out.
-    Each link is verified on the shingle sets.
+    within a group that other links connect already are not looked at.  Texts
+    without words are alike.
+
+    Close copies are found by this operator's fingerprints on the grid of bit
+    counts.  Texts at a similarity of 0.8 differ by about 9 of 64 bits, where a grid
+    of counts rules nothing out; so the rest is found, exactly, by shingles:
+    every similar pair meets in :func:`_buckets`.  Texts are compared with the
+    first text of each of their buckets, and then all pairs that are in different
+    groups still and meet often enough, unless sizes, the shingle's places or
+    parity bits rule a pair out.  Each link is verified on the sets.
     """
     bounded_batches(docs.sparkSession)
-    base = identified(docs).select("__t", "text")
-    each = stored(base.mapInArrow(_word_prints, "__t long, __p long, __q long").dropDuplicates(["__t"]), "word-prints")
-    mask = F.lit((1 << WIDTH) - 1)
-    tables = F.array(*[F.shiftrightunsigned(F.col(c), s).bitwiseAND(mask) for c in ("__p", "__q") for s in (32, 0)])
-    midway = F.flatten(F.transform(tables, lambda x, j: F.transform(F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(WIDTH)]), lambda bit: F.shiftleft(j.cast("long"), 32).bitwiseOR(x.bitwiseXOR(bit)))))
-    at = each.select("__t", F.explode(midway).alias("__m"))
-    first = at.groupBy("__m").agg(F.min("__t").alias("__v"), F.count("*").alias("__n")).where("__n > 1").select("__m", "__v")
-    first = stored(first, "midway")
-    star = stored(at.join(first, "__m").where("__t != __v").select(F.col("__t").alias("u"), F.col("__v").alias("v")).distinct(), "stars")
-    close = star.join(each.alias("a"), F.col("u") == F.col("a.__t")).join(each.alias("b"), F.col("v") == F.col("b.__t")).where(_flips("a", "b") <= FLIPS).select("u", "v")
-    links = _verified(base, stored(close, "candidates"), shingle, similarity)
-    drop_stored(first, star)
-
-    common = _common_shingles(base, each.count(), shingle)
-    at = stored(base.mapInArrow(_prefixes(shingle, similarity, common), "__m long, __t long, __n int, __i int, __bits array<long>"), "prefixes")
-    bits = stored(at.where("__i = 0").select("__t", "__n", "__bits").dropDuplicates(["__t"]), "parity-bits")
-    at = at.drop("__bits")
-    shared = at.groupBy("__m").agg(F.min("__t").alias("__lo"), F.max("__t").alias("__hi")).where("__lo != __hi").select("__m")
-    buckets = stored(at.join(shared, "__m").distinct(), "buckets")
-    drop_stored(at)
-
-    met = _met(buckets, links)
-    star = met.where("__r != __first").select(F.col("__t").alias("u"), F.col("__v").alias("v")).distinct()
-    links = links.unionByName(_verified(base, _possible(stored(star, "stars"), bits, similarity), shingle, similarity))
-
-    drop_stored(met)
-    met = _met(buckets, links)
-    a, b = met.alias("a"), met.alias("b")
-    na, nb, i, j = F.col("a.__n"), F.col("b.__n"), F.col("a.__i"), F.col("b.__i")
-    sizes = F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6
-    places = F.least(i, j) + 1 + F.least(na - i, nb - j) - 1 >= similarity / (1 + similarity) * (na + nb) - 1e-6
-    pairs = a.join(b, (F.col("a.__m") == F.col("b.__m")) & (F.col("a.__r") < F.col("b.__r")) & sizes & places)
-    pairs = pairs.select(F.col("a.__t").alias("u"), F.col("b.__t").alias("v")).distinct()
-    return links.unionByName(_verified(base, _possible(stored(pairs, "pairs"), bits, similarity), shingle, similarity))
+    base = identified(docs).select("__d", "__t", "text")
+    found = base.mapInArrow(_sketches(shingle, similarity), "__d long, __t long, __n long, __fp long, __pv long, __pre array<long>, __sure long")
+    names = ["__n", "__fp", "__pv", "__pre", "__sure"]
+    each = stored(found.groupBy("__t").agg(F.min("__d").alias("__d"), *[F.first(c).alias(c) for c in names]), "sketches")
+
+    worded = each.where("__n > 0")
+    prints = stored(worded.groupBy("__fp").agg(F.min("__pv").alias("pv"), F.min("__t").alias("__v")).withColumnRenamed("__fp", "fp"), "prints")
+    same = worded.join(prints, F.col("__fp") == F.col("fp")).where("__t != __v").select(F.col("__t").alias("u"), F.col("__v").alias("v"))
+    text = lambda c: prints.select(F.col("fp").alias(c), F.col("__v").alias(f"__{c}"))
+    near = links(prints.select("fp", "pv")).join(text("u"), "u").join(text("v"), "v").select(F.col("__u").alias("u"), F.col("__v").alias("v"))
+    seeds = stored(same.unionByName(near), "seeds")
+    buckets, sets = _buckets(base, each, seeds, shingle, similarity)
+    none = each.where("__n = 0")
+    empty = none.crossJoin(none.agg(F.min("__t").alias("v"))).where("__t != v").select(F.col("__t").alias("u"), "v")  # one row
+    out = stored(empty.unionByName(_verified(sets, stored(seeds.unionByName(_stars(buckets, similarity)).distinct(), "stars"), similarity)), "links")
+    out = stored(out.unionByName(_verified(sets, _pairs(buckets, out, similarity), similarity)), "similar-links")
+    drop_stored(each, prints, seeds, buckets, sets)
+    return out
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
