@@ -7,14 +7,16 @@ severity; 1 of ``bleach`` that the gate refused the rewriting.
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsift.functions.text import prose_tokens
-from glyphsift.operators import carriers, keyless, partition, rewrite, similarity
+from glyphsift.operators import carriers, keyless, ladder, partition
 from glyphsift.plans import robustness
 from glyphsift.sources import files
 
@@ -28,7 +30,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--json", action="store_true")
     c = sub.add_parser("bleach")
     c.add_argument("path", nargs="?", default="-")
-    c.add_argument("--strength", type=int, choices=(1, 2), default=1)
+    c.add_argument("--strength", type=int, choices=(1, 2, 3), default=1)
+    c.add_argument("--model", help="for strength 3: module:function from column to column")
+    c.add_argument("--json", action="store_true", help="a JSON line for each text; the texts go to stderr")
     c.add_argument("--language", default="en")
     c.add_argument("--roundtrip", action="store_true")
     for name in ("calibrate-prose", "calibrate-code"):
@@ -58,20 +62,25 @@ def detect(spark: SparkSession, args: argparse.Namespace) -> int:
     return 2 if args.command == "detect" and found.where("alarm").limit(1).count() else 0
 
 
+def _model(name: str | None):
+    """The function that ``module:function`` names."""
+    if not name:
+        raise SystemExit("strength 3 needs --model module:function, from column to column")
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def bleach(spark: SparkSession, args: argparse.Namespace) -> int:
-    clean = _texts(spark, args.path).withColumn("text", rewrite.normalize_carriers(F.col("text")))
-    if args.strength == 1 and not args.roundtrip:
-        for r in clean.select("text").toLocalIterator():
-            print(r.text)
-        return 0
-    edit = rewrite.roundtrip_translate if args.roundtrip else rewrite.token_edits
-    pairs = clean.select("doc_id", F.col("text").alias("before"), edit(F.col("text")).alias("after"))
-    limit = similarity.threshold_for(args.language)
-    judged = pairs.join(similarity.similarity(pairs, "doc_id"), "doc_id").select((F.col("score") >= limit).alias("ok"), F.when(F.col("score") >= limit, F.col("after")).otherwise(F.col("before")).alias("text"))
+    """0, or 1 if the gate refused the rewriting of a text (its normalised form is printed then)."""
+    model = _model(args.model) if args.strength == ladder.PARAPHRASE else None
+    strength = max(args.strength, ladder.EDIT) if args.roundtrip else args.strength
+    texts = _texts(spark, args.path).withColumn("lang", F.lit(args.language))
     code = 0
-    for r in judged.toLocalIterator():
-        print(r.text)
-        code = code if r.ok else 1
+    for r in ladder.rewritten(texts, strength, model, roundtrip=args.roundtrip).toLocalIterator():
+        if args.json:
+            print(json.dumps({"schema_version": files.SCHEMA_VERSION, "strength": r.strength, "accepted": r.accepted, "meaning_score": r.meaning_score, "message": r.message}))
+        print(r.text, file=sys.stderr if args.json else sys.stdout)
+        code = code if r.accepted else 1
     return code
 
 
@@ -104,7 +113,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(files.benchmark_markdown(robustness.scheme_benchmark(spark, args.samples, args.length)))
         return 0
     if args.command == "hardware":
-        print(json.dumps({"parallelism": spark.sparkContext.defaultParallelism, "master": spark.sparkContext.master}))
+        sc = spark.sparkContext
+        gpus = {name: sc._conf.get(f"spark.{name}.resource.gpu.amount", "0") for name in ("driver", "executor", "task")}
+        print(json.dumps({"parallelism": sc.defaultParallelism, "master": sc.master, "driver_cpus": os.cpu_count(), "driver_memory": sc._conf.get("spark.driver.memory", "1g"), "executor_memory": sc._conf.get("spark.executor.memory", "1g"), "gpus": gpus}))
         return 0
     return calibrate(spark, args)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from importlib.resources import files
+from pathlib import Path
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from glyphsift.functions import unicode_tables as U
 from glyphsift.functions.text import ascii_only, let, strip, whitespace_tokens
 from glyphsift.operators import carriers
 
-# Typographic substitutions, contractions and function words.
+# Typographic substitutions, contractions, function words, script buckets, words of C that keep their names, the sentence pattern.
 SUBSTITUTIONS = [("—", " - "), ("–", "-"), ("[‘’]", "'"), ("[“”]", '"'), ("…", "..."), ("[ \\t]{2,}", " ")]
 CONTRACTIONS = [("do not", "don't"), ("does not", "doesn't"), ("is not", "isn't"), ("it is", "it's"), ("cannot", "can't"), ("will not", "won't")]
 FUNCTION_WORDS = {
@@ -26,12 +30,29 @@ C_KEEP = (
     "int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t intptr_t uintptr_t FILE NULL STR CHR"
 ).split()
 SENTENCE = "(?s).*?[.!?]+(?:[\"')\\]]+)?(?:\\s+|\\z)|(?s).+\\z"
-#: Own pivot lexicon: English words of one sense share a pivot; the last word of a pivot is what comes back.
-LEXICON = {
-    "grande": ["big", "large"], "pequeno": ["little", "small"], "rapido": ["quick", "fast"], "empezar": ["begin", "start"], "terminar": ["end", "finish"],
-    "ayuda": ["aid", "help"], "comprar": ["purchase", "buy"], "mostrar": ["display", "show"], "usar": ["utilize", "use"], "casi": ["nearly", "almost"],
-    "importante": ["significant", "important"], "tambien": ["too", "also"], "necesitar": ["require", "need"], "hacer": ["make", "do"], "cosa": ["matter", "thing"],
-}
+
+
+def load_lexicon(path: str | None = None) -> dict[str, list[str]]:
+    """Pivot -> words of one sense, from JSON ``{"groups": [{"pivot": ..., "words": [...]}]}``; the last word is what comes back.
+
+    Without a path the engine's own table.  Of two groups with one pivot, or of a
+    word in two groups, the later counts.
+    """
+    raw = Path(path).read_text(encoding="utf-8") if path else (files("glyphsift") / "data" / "lexicon.json").read_text(encoding="utf-8")
+    return {g["pivot"]: list(g["words"]) for g in json.loads(raw)["groups"]}
+
+
+LEXICON = load_lexicon()
+
+
+def english_vocabulary(lexicon: dict[str, list[str]] = LEXICON) -> list[str]:
+    """Every word of the lexicon, sorted."""
+    return sorted({w for words in lexicon.values() for w in words})
+
+
+def content_vocabulary(lexicon: dict[str, list[str]] = LEXICON) -> list[str]:
+    """Words that share a pivot with another one, sorted: a round trip can change them."""
+    return sorted({w for words in lexicon.values() if len(words) > 1 for w in words})
 
 
 def normalize_carriers(text: Column) -> Column:
@@ -84,9 +105,10 @@ def reverse_words(text: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), lambda t: F.when(t.rlike("^[A-Za-z]"), F.reverse(t)).otherwise(t)), "")
 
 
-def _maps() -> tuple[Column, Column]:
-    out = [F.lit(x) for pivot, en in LEXICON.items() for w in en for x in (w, pivot)]
-    back = [F.lit(x) for pivot, en in LEXICON.items() for x in (pivot, en[-1])]
+def _maps(lexicon: dict[str, list[str]]) -> tuple[Column, Column]:
+    there = {w: pivot for pivot, en in lexicon.items() for w in en}
+    out = [F.lit(x) for pair in there.items() for x in pair]
+    back = [F.lit(x) for pivot, en in lexicon.items() for x in (pivot, en[-1])]
     return F.create_map(*out), F.create_map(*back)
 
 
@@ -97,14 +119,14 @@ def _cased(model: Column, word: Column) -> Column:
     return F.when(upper, F.upper(word)).when(title, F.concat(F.upper(F.substring(word, 1, 1)), word.substr(F.lit(2), F.length(word)))).otherwise(word)
 
 
-def roundtrip_translate(text: Column) -> Column:
+def roundtrip_translate(text: Column, lexicon: dict[str, list[str]] = LEXICON) -> Column:
     """There and back through the pivot lexicon, keeping case."""
-    there, back = _maps()
+    there, back = _maps(lexicon)
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), lambda t: F.coalesce(_cased(t, F.try_element_at(back, F.try_element_at(there, F.lower(t)))), t)), "")
 
 
-def roundtrip_tokens(tokens: Column) -> Column:
-    there, back = _maps()
+def roundtrip_tokens(tokens: Column, lexicon: dict[str, list[str]] = LEXICON) -> Column:
+    there, back = _maps(lexicon)
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(back, F.try_element_at(there, F.lower(t))), F.lower(t)))
 
 

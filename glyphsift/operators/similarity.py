@@ -24,10 +24,13 @@ def specs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SPECS, "lang string, metric string, threshold double, char_n int, word_n int")
 
 
-def with_spec(df: DataFrame, lang: str = "lang") -> DataFrame:
-    """``df`` with the thresholds of its language; regions are dropped and unknown languages get ``und``."""
-    table = specs(df.sparkSession)
-    known = [r[0] for r in SPECS]
+def with_spec(df: DataFrame, lang: str = "lang", table: DataFrame | None = None) -> DataFrame:
+    """``df`` with the thresholds of its language; regions are dropped and unknown languages get ``und``.
+
+    ``table``: other thresholds than the engine's own (``sources.files.language_specs``), with a row ``und``.
+    """
+    table = table if table is not None else specs(df.sparkSession)
+    known = [r.lang for r in table.select("lang").limit(1000).collect()]  # languages of the world that have a code of their own are less
     code = F.lower(F.split_part(F.coalesce(F.col(lang), F.lit("und")), F.lit("-"), F.lit(1)))
     return df.withColumn("__lang", F.when(code.isin(known), code).otherwise("und")).join(F.broadcast(table.withColumnRenamed("lang", "__lang")), "__lang").drop("__lang")
 

@@ -9,6 +9,8 @@ from glyphsift.functions import unicode_tables as U
 from glyphsift.functions.text import whitespace_tokens
 from glyphsift.operators import generators as G
 from glyphsift.operators import keyed, partition, registry
+from glyphsift.operators.rewrite import LEXICON
+from glyphsift.operators.similarity import SPECS
 from glyphsift.plans import robustness as R
 from glyphsift.sources import files
 from glyphsift.sources.tables import table
@@ -83,13 +85,17 @@ def code_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each reference table."""
-    tables = {"code_points": files.code_points(spark), "confusables": files.confusables(spark), "lexicon": files.lexicon(spark), "language_specs": files.language_specs(spark)}
-    out = None
-    for name, t in tables.items():
-        one = t.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """What the reference tables say of the documents: words by pivot, look-alikes folded, thresholds of the languages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    lexicon = files.lexicon(spark).select("pivot", "back", F.explode("words").alias("word"))
+    by_pivot = words.join(F.broadcast(lexicon), "word").groupBy("pivot").agg(F.count("*").alias("n"), F.max("back").alias("says"))
+    specs = docs.groupBy(F.col("lang").alias("pivot")).agg(F.count("*").alias("n")).join(F.broadcast(files.language_specs(spark).select(F.col("lang").alias("pivot"), F.col("threshold").cast("string").alias("says"))), "pivot")
+    signs = table(spark, sf_dir, "pages").select(F.explode(F.split("html", "")).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    folded = signs.join(F.broadcast(files.confusables(spark).select(F.col("latin").alias("ch")).distinct()), "ch").select(F.col("ch").alias("pivot"), "n", F.lit("has look-alikes").alias("says"))
+    out = by_pivot.select(F.lit("lexicon").alias("table_name"), F.col("pivot").alias("entry"), "n", "says")
+    out = out.unionByName(specs.select(F.lit("language_specs").alias("table_name"), F.col("pivot").alias("entry"), "n", "says"))
+    return out.unionByName(folded.select(F.lit("confusables").alias("table_name"), F.col("pivot").alias("entry"), "n", "says"))
 
 
 _TOK = f"list_filter(regexp_split_to_array(text, '[{U.PY_SPACE}]+'), lambda x: x <> '')"
@@ -104,6 +110,8 @@ def _sql(value: str) -> str:
 
 
 _UNITS = "flatten(list_reverse(list_transform(range(0, len(ts), {g}), lambda i: ts[i + 1 : i + {g}])))"
+#: Units of four in the order of r, a place for each unit x of n.
+_PLACED = "flatten(list_transform(list_sort(list_transform(range(0, (len(ts) + 3) // 4), lambda x: struct_pack(r := ({r}), x := x))), lambda y: ts[y.x * 4 + 1 : y.x * 4 + 4]))"
 _PART = f"p AS (SELECT s AS slot, v AS variant, {_draw(f"'{KEY}'", 'CAST(s AS VARCHAR)', 'CAST(v AS VARCHAR)')} < 0.4 * 4294967296 AS green FROM range({SLOTS}) a(s), range({K}) b(v))"
 _ARENA = f"{_PART}, c AS (SELECT slot, variant, sum(w) OVER (PARTITION BY slot ORDER BY variant) AS hi, sum(w) OVER (PARTITION BY slot) AS al FROM (SELECT *, pow(1.6::DOUBLE, -variant) * CASE WHEN green THEN exp(2.0::DOUBLE) ELSE 1 END AS w FROM p)), sm AS (SELECT i AS sample_id, slot, coalesce(min(variant) FILTER (hi > u * al), 0) AS variant FROM (SELECT i, c.*, {_draw("'s'", 'CAST(i AS VARCHAR)', 'CAST(slot AS VARCHAR)')}::DOUBLE / 4294967296.0::DOUBLE AS u FROM c, range(24) r(i)) GROUP BY i, slot)"
 _MODELS = ", ".join(f"('{f}', '{n}', {p}::DOUBLE, {c})" for f, n, p, c in registry.MODELS)
@@ -127,8 +135,8 @@ QUERIES = {
     "code_features": code_features,
     "marked_sequences": lambda spark, d: G.sequences(spark, G.Recipe(), 24),
     "tournament_sequences": lambda spark, d: G.sequences(spark, G.Recipe(kind="tournament"), 24),
-    "scheme_benchmark": lambda spark, d: R.scheme_benchmark(spark, samples=8, length=200),
-    "benchmark_table": lambda spark, d: R.benchmark_table(R.scheme_benchmark(spark, samples=4, length=120)),
+    "scheme_benchmark": lambda spark, d: R.scheme_benchmark(spark),
+    "benchmark_table": lambda spark, d: R.benchmark_table(R.scheme_benchmark(spark)),
     "detection_rates": lambda spark, d: R.detection_rates(spark),
     "reorder_effects": lambda spark, d: R.reorder_effects(spark),
     "reorder_degradation": lambda spark, d: R.reorder_degradation(spark, "prev", 12),
@@ -143,10 +151,16 @@ SQL = {
  SELECT doc_id, count(*) AS n, sha256(string_agg(CASE WHEN rn <= round_even(n * 0.2::DOUBLE, 0) THEN 'w'||({_draw("'sub'", "'to'", 'CAST(doc_id AS VARCHAR)', 'CAST(pos AS VARCHAR)')} % 400) ELSE tok END, ' ' ORDER BY pos)) AS out_sha256 FROM r GROUP BY doc_id""",
     "reorder_units": _sql(_UNITS.format(g=12)),
     "strategy_reverse": _sql(_UNITS.format(g=4)),
+    "strategy_block_reverse": _sql(_PLACED.format(r="x // 3 * 3 + least(x // 3 * 3 + 3, ((len(ts) + 3) // 4)) - 1 - x")),
+    "strategy_stride": _sql(_PLACED.format(r="x % 3 * ((len(ts) + 3) // 4) + x")),
+    "strategy_rotate": _sql(_PLACED.format(r="(x - 3 % ((len(ts) + 3) // 4) + ((len(ts) + 3) // 4)) % ((len(ts) + 3) // 4)")),
     "overlap_cost": f"WITH d AS (SELECT doc_id, {_TOK} AS ts FROM documents), b AS (SELECT doc_id, tok, count(*) AS nb FROM (SELECT doc_id, unnest(ts) AS tok FROM d) GROUP BY ALL), a AS (SELECT doc_id, tok, count(*) AS na FROM (SELECT doc_id, unnest(ts[len(ts) // 2 + 1 :]) AS tok FROM d) GROUP BY ALL) SELECT doc_id, round(1 - sum(least(nb, coalesce(na, 0)))::DOUBLE / sum(nb)::DOUBLE, 6) AS cost FROM b LEFT JOIN a USING (doc_id, tok) GROUP BY doc_id",
     "keyed_partition": f"WITH {_PART} SELECT * FROM p",
     "arena_samples": f"WITH {_ARENA} SELECT slot, variant, count(*) AS n FROM sm GROUP BY ALL",
     "partition_recovery": f"WITH {_ARENA}, g AS (SELECT slot, variant FROM (SELECT slot, variant, count(*) AS n, sum(count(*)) OVER (PARTITION BY slot) AS s FROM sm GROUP BY slot, variant) WHERE n::DOUBLE / s::DOUBLE > 1.15::DOUBLE / 4) SELECT round(avg(CASE WHEN green = ((slot, variant) IN (SELECT (slot, variant) FROM g)) THEN 1.0::DOUBLE ELSE 0 END), 6) AS recovery FROM p",
     "model_registry": f"WITH m(function, name, params, context) AS (VALUES {_MODELS}), b(budget) AS (VALUES (1000), (4000), (8000), (24000)), x AS (SELECT *, CAST(floor(620 * params + 1500 + 0.1::DOUBLE * context) AS INT) AS need FROM m, b) SELECT function, budget, coalesce(arg_max(name, params) FILTER (need <= budget), arg_min(name, params)) AS name, count(*) FILTER (need <= budget) > 0 AS fits FROM x GROUP BY function, budget",
-    "reference_tables": f"SELECT * FROM (VALUES ('code_points', 5), ('confusables', {len(U.CONFUSABLES)}), ('lexicon', {15}), ('language_specs', 12)) t(table_name, n)",
+    "reference_tables": f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), l(pv, back, word) AS (VALUES {', '.join(f"('{p}', '{w[-1]}', '{x}')" for p, w in LEXICON.items() for x in w)}),
+ s(lang, t) AS (VALUES {', '.join(f"('{r[0]}', '{r[2]}')" for r in SPECS)}), c(ch) AS (VALUES {', '.join(f"('{x}')" for x in sorted(set(U.CONFUSABLES.values())))}), h AS (SELECT unnest(string_split(html, '')) AS ch FROM pages)
+ SELECT 'lexicon' AS table_name, pv AS entry, count(*) AS n, max(back) AS says FROM w JOIN l USING (word) GROUP BY pv
+ UNION ALL SELECT 'language_specs', lang, count(*), any_value(t) FROM documents JOIN s USING (lang) GROUP BY lang UNION ALL SELECT 'confusables', ch, count(*), 'has look-alikes' FROM h JOIN c USING (ch) GROUP BY ch""",
 }

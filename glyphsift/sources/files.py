@@ -35,13 +35,18 @@ def confusables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(chr(k), v) for k, v in U.CONFUSABLES.items()], "ch string, latin string")
 
 
-def lexicon(spark: SparkSession) -> DataFrame:
+def lexicon(spark: SparkSession, path: str | None = None) -> DataFrame:
     """``pivot, words, back``: the last word of a pivot is what a round trip gives."""
-    return spark.createDataFrame([(p, w, w[-1]) for p, w in rewrite.LEXICON.items()], "pivot string, words array<string>, back string")
+    return spark.createDataFrame([(p, w, w[-1]) for p, w in rewrite.load_lexicon(path).items()], "pivot string, words array<string>, back string")
 
 
-def language_specs(spark: SparkSession) -> DataFrame:
-    return similarity.specs(spark)
+def language_specs(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """``lang, metric, threshold, char_n, word_n``: the engine's own, or those of JSON ``{lang: {metric, threshold, char_n, word_n}}``."""
+    if path is None:
+        return similarity.specs(spark)
+    with open(path, encoding="utf-8") as f:
+        rows = [(lang.lower(), x["metric"], float(x["threshold"]), x.get("char_n"), x.get("word_n")) for lang, x in json.load(f).items()]
+    return spark.createDataFrame(rows, similarity.specs(spark).schema)
 
 
 def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:

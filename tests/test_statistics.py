@@ -26,7 +26,7 @@ def test_involutions(spark):
 def test_edits(spark):
     assert one(spark, "It does not — “do not”…  isn’t", R.token_edits) == "It doesn't - \"don't\"... isn't"
     assert one(spark, "undo nothing", R.token_edits) == "undo nothing"
-    assert one(spark, "BIG Big big house", R.roundtrip_translate) == "LARGE Large large house"
+    assert one(spark, "KID Kid kid house", R.roundtrip_translate) == "CHILD Child child house"
     assert one(spark, "key sk-abcdefghijklmnop1 token: abc", T.redact_secrets) == "key [REDACTED-SECRET] [REDACTED-SECRET]"
 
 
@@ -175,6 +175,14 @@ def test_searches(spark):
     assert e["z_after"] < e["z_before"]
 
 
+def test_edit_policies(spark):
+    still, natural, uniform = robustness.evaluate_policies(spark, [robustness.EditPolicy(0.0), robustness.EditPolicy(0.9), robustness.EditPolicy(0.9, "uniform")])
+    assert still["reduction"] == 0 and still["retention"] == 1 and still["base_z"] > 2
+    assert natural["reduction"] > 0.3 and natural["retention"] >= 0.99 and uniform["fitness"] < -1
+    best, found, history = robustness.evolve_policy(spark, generations=2, population=4)
+    assert history == sorted(history) and found["retention"] >= 0.99 and best.target in ("natural", "uniform", "avoid")
+
+
 def test_registry(spark):
     got = {(r["function"], r.budget): (r.name, r.fits) for r in registry.select_for(registry.models(spark), spark.createDataFrame([(100,), (9000,)], "budget int")).collect()}
     assert got[("chat", 9000)] == ("medium", True) and got[("chat", 100)] == ("tiny", False)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from glyphsift import cli
-from glyphsift.operators import carriers
+from glyphsift.operators import carriers, prompts, rewrite, similarity
 from glyphsift.plans import catalog
 from glyphsift.sources import files
 from glyphsift.streaming import detect
@@ -65,6 +65,34 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["hardware"], spark) == 0
     with pytest.raises(SystemExit):
         cli.main(["bleach", "--strength", "3"], spark)
+    capsys.readouterr()
+    cli.main(["bleach", str(bad), "--strength", "3", "--model", "pyspark.sql.functions:upper", "--json"], spark)
+    said = capsys.readouterr()
+    assert json.loads(said.out)["strength"] == 3 and said.err.strip() in ("HIDDEN", "hidden")
+
+
+def test_prompts(spark):
+    df = spark.createDataFrame([("x ANSWER: Red", "red", "blue"), ("I say blue", "red", "blue"), ("", "red", "blue"), ("ANSWER: green", "red", "blue"), (None, "red", "blue")], "answer string, a string, b string")
+    assert [r.c for r in df.select(prompts.parse_choice(F.col("answer"), F.col("a"), F.col("b")).alias("c")).collect()] == ["a", "b", None, None, None]
+    asked = df.select(prompts.choice_prompt(F.lit("A walk."), F.col("a"), F.col("b"), F.monotonically_increasing_id()).alias("p")).select("p.*").collect()
+    assert all(("red or blue" in r.prompt) == r.first_is_a and "A walk." in r.prompt for r in asked)
+    assert "C module" in prompts.generation_prompt("add", "int add(int, int)", "c") and "f(x)" in prompts.rewrite_prompt("def f(x): ...", "f(x)", mode="canonical")
+    with pytest.raises(ValueError):
+        prompts.rewrite_prompt("", "f", mode="x")
+    assert spark.createDataFrame([("```python\nx = 1\n```",)], "a string").select(prompts.clean_answer(F.col("a"))).first()[0] == "x = 1"
+
+
+def test_tables_from_files(spark, tmp_path):
+    (tmp_path / "lex.json").write_text(json.dumps({"groups": [{"pivot": "uno", "words": ["one", "single"]}, {"pivot": "dos", "words": ["single", "two"]}]}))
+    lex = rewrite.load_lexicon(str(tmp_path / "lex.json"))
+    assert rewrite.english_vocabulary(lex) == ["one", "single", "two"] and files.lexicon(spark, str(tmp_path / "lex.json")).count() == 2
+    got = spark.createDataFrame([("One Single TWO x",)], "t string").select(rewrite.roundtrip_translate(F.col("t"), lex)).first()[0]
+    assert got == "Single Two TWO x"  # a word in two groups goes by the later one
+    assert len(rewrite.LEXICON) >= 60 and all(p.isalpha() and p.isascii() for p in rewrite.LEXICON)
+    (tmp_path / "spec.json").write_text(json.dumps({"en": {"metric": "char", "threshold": 0.9, "char_n": 3}, "und": {"metric": "char", "threshold": 0.1, "char_n": 3}}))
+    table = files.language_specs(spark, str(tmp_path / "spec.json"))
+    rows = similarity.with_spec(spark.createDataFrame([("en-US",), ("xx",), (None,)], "lang string"), table=table).collect()
+    assert sorted(r.threshold for r in rows) == [0.1, 0.1, 0.9]
 
 
 def test_streams(spark, tmp_path):
