@@ -56,7 +56,7 @@ def _grams(batches):
                 b = _FOLD[np.concatenate((pad, raw[offs[i] : offs[i + 1]]))].astype(np.int64)
                 parts.append(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
             gram, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
 #: Windows whose code lengths a worker keeps.
