@@ -3,8 +3,9 @@
 Method: content-defined chunk reuse.  A rolling hash of 32 bytes cuts each text
 where its low bits are zero, so passages that documents share give the same
 chunks wherever they stand.  A chunk is encoded once for each Python worker
-that meets it (a store of bounded size keeps the results; sharing them between
-workers would need a shuffle larger than the texts).  A chunk's inner words are
+that meets it: a store of bounded size keeps the results from task to task.
+(Sharing them between workers needs the texts joined with the ids of their
+chunks, a shuffle of all texts there and of the ids back.)  A chunk's inner words are
 whole; the half words at a cut are repaired: they are joined, encoded anew with
 whole words from both sides as witnesses, and the new ids have to start and end
 with the witnesses' own ids.  If they don't, more witnesses are taken, until
@@ -307,7 +308,10 @@ def _encode(path: str):
     def f(batches):
         import pyarrow as pa
 
-        own = Encoder(path)
+        kept = worker_store("bpe")
+        if ("encoder", path) not in kept:
+            kept["encoder", path] = Encoder(path)
+        own = kept["encoder", path]
         for batch in batches:
             raw, offs = byte_column(batch.column(1))
             for i, j in pieces(offs, 1 << 23):

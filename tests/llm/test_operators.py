@@ -501,3 +501,47 @@ def test_chunk_reuse():
     got = e.encode(raw, np.cumsum([0, *map(len, texts)]))
     assert [g.tolist() for g in got] == [e.words.tok.encode(t, add_special_tokens=False).ids for t in texts]
     assert e.reused > e.chunks / 2 and e.repaired
+
+
+def test_texts_over_a_megabyte(spark):
+    """Texts longer than any piece, slice or group that the operators work on at a time."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passage = say(80)
+    long = say(300_000) + " " + passage + " " + say(1000) + passage + "ab " * 200_000
+    texts = [long, "x " + passage, "é" * 1_500_000, "", say(50)]
+    df = spark.createDataFrame([(i, t, "xx" if i % 2 else "yy", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    raw = [t.encode() for t in texts]
+    assert len(raw[0]) > 2 << 20 < len(raw[2])
+    seen = Counter(b[i : i + 200] for b in raw for i in range(len(b) - 199))
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    for d, b in enumerate(raw):
+        turn = np.zeros(len(b) + 1, np.int64)
+        for i in range(len(b) - 199):
+            if seen[b[i : i + 200]] > 1:
+                turn[i] += 1
+                turn[i + 200] -= 1
+        gone = np.cumsum(turn[:-1]) > 0
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        assert (got[d].n_removed, got[d].kept_sha256) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    tok = bpe.WordIds.of(bpe.tokenizer_path()).tok
+    for r in bpe.encode_documents(df.where("doc_id <> 2")).collect():
+        ids = np.array(tok.encode(texts[r.doc_id], add_special_tokens=False).ids, "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+    w = {r.doc_id: r.n_words for r in quality.judge(df).select("doc_id", "n_words").collect()}
+    assert w == {i: len(t.split()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(df).collect()}[3] == "und"
+
+
+def test_chunks_are_kept_between_tasks():
+    """A worker's next task finds what an earlier one has encoded."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"w{i}" for i in range(5000))])], ["doc_id", "text"])
+    run = bpe._encode(bpe.tokenizer_path())
+    first = [b.to_pylist() for b in run([batch])]
+    own = bpe.worker_store("bpe")["encoder", bpe.tokenizer_path()]
+    before = own.reused, own.chunks
+    assert [b.to_pylist() for b in run([batch])] == first
+    assert own.reused - before[0] == own.chunks - before[1] > 0
