@@ -61,15 +61,19 @@ def normalize_carriers(text: Column) -> Column:
     All neighbour rules see the characters as they stood, so the order of the
     removals doesn't matter.
     """
-    bare = F.regexp_replace(text, carriers.COMMENT, "")
     clears, vs = U.EMOJI + U.shaping(), U.SELECTORS
     always = [f"[{U.TAGS}]", f"[{U.plain_format()}]", "(?s)(?<=.)\\x{FEFF}", f"[{U.JOINERS}](?<![{clears}].)(?![{clears}])", f"[{vs}]{{2,}}", f"[{U.of(0xFE0E, 0xFE0F)}](?<![{vs}{U.EMOJI}].)(?![{vs}])", f"[{U.of((0xFE00, 0xFE0D))}](?<![{vs}].)(?![{vs}])", f"(?<![{vs}{U.script('CJK')}])[{U.of((0xE0100, 0xE01EF))}](?![{vs}])"]
     # one cheap look at each character before any of the classes
     found = lambda ps: f"(?s)(?=[{carriers.SOFT}{carriers.HIGH}])(?:({carriers.FLAG})|{'|'.join(ps)})"
-    out = F.when(carriers.has_rtl(bare), F.regexp_replace(bare, found(always), "$1")).otherwise(F.regexp_replace(bare, found([*always, f"[{U.MARKS}]"]), "$1"))
-    out = F.when(carriers.dense_spaces(bare), F.regexp_replace(out, f"[{U.SPACES}]", " ")).otherwise(out)
-    exotic = bare.rlike(f"[{U.of(0xA0, 0xAD, (0x131, 0x131), (0x370, 0x10FFFF))}]")
-    return F.when(ascii_only(bare) | ~exotic, bare).otherwise(fold_homoglyphs(out))
+    exotic = f"[{U.of(0xA0, 0xAD, (0x131, 0x131), (0x370, 0x10FFFF))}]"
+
+    def stripped(bare: Column) -> Column:
+        out = F.when(carriers.has_rtl(bare), F.regexp_replace(bare, found(always), "$1")).otherwise(F.regexp_replace(bare, found([*always, f"[{U.MARKS}]"]), "$1"))
+        spaced = lambda t: F.when(bare.rlike(f"[{U.SPACES}]"), F.when(carriers.dense_spaces(bare), F.regexp_replace(t, f"[{U.SPACES}]", " ")).otherwise(t)).otherwise(t)
+        return F.when(ascii_only(bare) | ~bare.rlike(exotic), bare).otherwise(let(let(out, spaced), fold_homoglyphs))
+
+    # each step is bound, as the next one looks at it several times
+    return let(F.when(F.contains(text, F.lit("<!--")), F.regexp_replace(text, carriers.COMMENT, "")).otherwise(text), stripped)
 
 
 def fold_homoglyphs(text: Column) -> Column:
