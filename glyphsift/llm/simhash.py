@@ -13,6 +13,8 @@ nothing here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +130,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The parity bits that a text carries into its buckets: all of them, laid over one another in so many longs.
+FOLDS = ["__p0", "__p1", "__p2", "__p3"]
 #: Texts in one bucket up to which its shingle counts as rare.
 BUCKET = 64
 #: Orders of texts, each of which names the first text of some buckets.
@@ -226,7 +230,7 @@ def _verified(sets: DataFrame, close: DataFrame, similarity: float) -> DataFrame
 
 
 def _possible(a, b, similarity: float) -> Column:
-    """Whether two texts that meet in a bucket can have the similarity, by the sizes of their sets and the places there.
+    """Whether two texts that meet in a bucket can have the similarity, by their sets' sizes and parity bits and the places there.
 
     Among texts of common shingles the bucket may be asked to be the first that
     the two share: each then has so few shingles before it that the rest can
@@ -236,7 +240,8 @@ def _possible(a, b, similarity: float) -> Column:
     overlap = similarity / (1 + similarity) * (na + nb) - 1e-6
     sizes = F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6
     later = F.least(na - i, nb - j)
-    return sizes & F.when(a("__late"), (na - i >= overlap) & (nb - j >= overlap)).otherwise(F.least(i, j) + later >= overlap)
+    differ = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in FOLDS), F.lit(0))
+    return sizes & (differ <= na + nb - 2 * overlap) & F.when(a("__late"), (na - i >= overlap) & (nb - j >= overlap)).otherwise(F.least(i, j) + later >= overlap)
 
 
 def _meetings(met: DataFrame, similarity: float) -> DataFrame:
@@ -253,7 +258,7 @@ def _stars(buckets: DataFrame, similarity: float) -> DataFrame:
 
     Copies that fail against one first text are held against those of the other orders.
     """
-    first = buckets.groupBy("__m").agg(F.min(F.struct(F.xxhash64("__t", F.pmod("__m", F.lit(ORDERS))), "__t", "__n", "__i", "__late")).alias("__f")).select(apart(F.col("__m")).alias("__at"), "__f")
+    first = buckets.groupBy("__m").agg(F.min(F.struct(F.xxhash64("__t", F.pmod("__m", F.lit(ORDERS))), "__t", "__n", "__i", "__late", *FOLDS)).alias("__f")).select(apart(F.col("__m")).alias("__at"), "__f")
     both = buckets.join(first, (apart(F.col("__m")) == F.col("__at")) & (F.col("__t") != F.col("__f.__t")))
     return both.where(_possible(F.col, lambda c: F.col(f"__f.{c}"), similarity)).select(F.col("__t").alias("u"), F.col("__f.__t").alias("v")).distinct()
 
@@ -261,7 +266,7 @@ def _stars(buckets: DataFrame, similarity: float) -> DataFrame:
 def _pairs(buckets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """``u, v``: texts of different groups that meet in as many buckets as similar ones do."""
     of = components(links)
-    own = stored(buckets.join(of, F.col("__t") == F.col("node"), "left").select("__m", "__t", "__n", "__i", "__need", "__late", "__common", F.coalesce("root", "__t").alias("__r")), "grouped")
+    own = stored(buckets.join(of, F.col("__t") == F.col("node"), "left").select("__m", "__t", "__n", "__i", "__need", "__late", "__common", *FOLDS, F.coalesce("root", "__t").alias("__r")), "grouped")
     apart_ = own.groupBy("__m").agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi")).where("__lo != __hi").select(apart(F.col("__m")).alias("__at"))
     met = stored(own.join(apart_, apart(F.col("__m")) == F.col("__at")).drop("__at"), "met")
     pairs = _meetings(met, similarity)
@@ -275,7 +280,7 @@ def _buckets(base: DataFrame, each: DataFrame, seeds: DataFrame, shingle: int, s
     """``__m, __t, __n, __i, __late, __common, __need``: texts under the shingles by which each similar pair meets, and the sets of all texts in them or in ``seeds``.
 
     A text meets a similar one in ``__need`` buckets or more; ``__i``: the shingle's place in the order.
-    ``__late``: a bucket of the second kind; ``__common``: a text that is in those.
+    ``__p0`` to ``__p3``: parity bits; ``__late``: a bucket of the second kind; ``__common``: a text that is in those.
 
     First all texts, under the first shingles by hash, with some to spare.
     Shingles of more than ``BUCKET`` texts are common.  A text with no more
@@ -297,13 +302,14 @@ def _buckets(base: DataFrame, each: DataFrame, seeds: DataFrame, shingle: int, s
     sets = stored(base.join(wanted, ["__d", "__t"]).dropDuplicates(["__d", "__t"]).select("__t", "text").mapInArrow(_shingle_sets(shingle), "__t long, __n long, __set array<long>, __bits array<long>"), "shingle-sets")
     drop_stored(wanted)
 
+    folds = sets.select("__t", *[reduce(Column.bitwiseXOR, [F.get("__bits", F.lit(j)) for j in range(k, PARITY // 64, len(FOLDS))]).alias(c) for k, c in enumerate(FOLDS)])
     rows = sets.join(common, "__t", "left_semi").select("__t", "__n", F.explode("__set").alias("__m"))
     own = Window.partitionBy("__t")
     # what only one text has comes first and leads nowhere
     placed = rows.join(many(rows), apart(F.col("__m")) == F.col("__at")).withColumn("__i", (F.col("__n") - F.count("*").over(own) + F.row_number().over(own.orderBy("__c", "__m")) - 1).cast("int"))
     # keys apart from those of the first kind
     late = placed.where(F.col("__i") <= F.col("__n") - F.ceil(similarity * F.col("__n") - 1e-6)).select(F.xxhash64("__m", F.lit(2)).alias("__m"), "__t", "__n", "__i", F.lit(True).alias("__late"), F.lit(True).alias("__common"), F.lit(1).cast("long").alias("__need"))
-    out = stored(rare.unionByName(late), "buckets")
+    out = stored(rare.unionByName(late).join(folds, "__t"), "buckets")
     drop_stored(shared, often, rare)
     return out, sets
 
