@@ -25,6 +25,10 @@ from glyphsift.sources.tables import table
 from .common import bounded_batches, byte_column, drop_stored, identified, parallelism, rows_with_identity, stored, worker_store
 from .components import apart, components
 
+#: For joins whose sides grow out of small files (lists laid out in rows, columns of few values): Spark guesses sizes
+#: by the files, would take such a side for small and gather all its rows in the driver.
+UNGATHERED = "merge"
+
 LOW = np.uint64(0x5555555555555555)
 PAIR = np.uint64(0x3333333333333333)
 
@@ -103,7 +107,7 @@ def links(fps: DataFrame) -> DataFrame:
     at = point.select("fp", F.explode(keys).alias("__at"))
     a, b = at.alias("a"), at.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= 2
-    return a.join(b, (F.col("a.__at") == F.col("b.__at")) & (F.col("a.fp") > F.col("b.fp")) & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    return a.join(b.hint(UNGATHERED), (F.col("a.__at") == F.col("b.__at")) & (F.col("a.fp") > F.col("b.fp")) & near).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphsift.llm import simhash
 
@@ -62,3 +63,21 @@ def test_long_texts_of_few_words(spark):
         texts += [" ".join(ws), edited(rng, ws, 215)]
     want = sorted(set(groups(texts)))
     assert len(want) == 40 and kept(spark, texts) == want
+
+
+def gathered(df) -> list[str]:
+    """The plans whose rows the driver gathers for broadcasts, as Spark decides before anything has run."""
+    found, rest = [], [df._jdf.queryExecution().executedPlan()]
+    while rest:
+        node = rest.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "BroadcastExchange":
+            found.append(node.toString())
+        rest += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_grid_rows_stay_out_of_the_driver(spark):
+    fps = simhash.stored(spark.range(1000).select(F.xxhash64("id").alias("fp"), F.xxhash64("id").alias("pv")), "test-prints")
+    assert gathered(simhash.links(fps)) == []
