@@ -228,7 +228,8 @@ def _verified(sets: DataFrame, close: DataFrame, similarity: float) -> DataFrame
     most = (F.col("__na") + F.col("__nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     sizes = F.least("__na", "__nb") >= similarity * F.greatest("__na", "__nb") - 1e-6
     maybe = close.join(of("u", "a"), "u").join(of("v", "b"), "v").where(sizes & (differ <= most)).select("u", "v")
-    both = maybe.join(sets.select(F.col("__t").alias("u"), F.col("__set").alias("__a")), "u").join(sets.select(F.col("__t").alias("v"), F.col("__set").alias("__b")), "v")
+    whole = lambda c, x: sets.select(F.col("__t").alias(c), F.col("__set").alias(x)).hint(UNGATHERED)
+    both = maybe.join(whole("u", "__a"), "u").join(whole("v", "__b"), "v")
     common = F.size(F.array_intersect("__a", "__b"))
     return stored(both.where(common / (F.size("__a") + F.size("__b") - common) >= similarity).select("u", "v"), "links")
 
@@ -254,7 +255,7 @@ def _meetings(met: DataFrame, similarity: float) -> DataFrame:
     of = lambda x: lambda c: F.col(f"{x}.{c}")
     # two texts of common shingles meet under their rarest ones
     fit = F.col("a.__late") | ~(F.col("a.__common") & F.col("b.__common"))
-    return a.join(b, (F.col("a.__m") == F.col("b.__m")) & (F.col("a.__r") < F.col("b.__r")) & fit & _possible(of("a"), of("b"), similarity))
+    return a.join(b.hint(UNGATHERED), (F.col("a.__m") == F.col("b.__m")) & (F.col("a.__r") < F.col("b.__r")) & fit & _possible(of("a"), of("b"), similarity))
 
 
 def _stars(buckets: DataFrame, similarity: float) -> DataFrame:
@@ -263,7 +264,7 @@ def _stars(buckets: DataFrame, similarity: float) -> DataFrame:
     Copies that fail against one first text are held against those of the other orders.
     """
     first = buckets.groupBy("__m").agg(F.min(F.struct(F.xxhash64("__t", F.pmod("__m", F.lit(ORDERS))), "__t", "__n", "__i", "__late", *FOLDS)).alias("__f")).select(apart(F.col("__m")).alias("__at"), "__f")
-    both = buckets.join(first, (apart(F.col("__m")) == F.col("__at")) & (F.col("__t") != F.col("__f.__t")))
+    both = buckets.join(first.hint(UNGATHERED), (apart(F.col("__m")) == F.col("__at")) & (F.col("__t") != F.col("__f.__t")))
     return both.where(_possible(F.col, lambda c: F.col(f"__f.{c}"), similarity)).select(F.col("__t").alias("u"), F.col("__f.__t").alias("v")).distinct()
 
 
@@ -272,7 +273,7 @@ def _pairs(buckets: DataFrame, links: DataFrame, similarity: float) -> DataFrame
     of = components(links)
     own = stored(buckets.join(of, F.col("__t") == F.col("node"), "left").select("__m", "__t", "__n", "__i", "__need", "__late", "__common", *FOLDS, F.coalesce("root", "__t").alias("__r")), "grouped")
     apart_ = own.groupBy("__m").agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi")).where("__lo != __hi").select(apart(F.col("__m")).alias("__at"))
-    met = stored(own.join(apart_, apart(F.col("__m")) == F.col("__at")).drop("__at"), "met")
+    met = stored(own.join(apart_.hint(UNGATHERED), apart(F.col("__m")) == F.col("__at")).drop("__at"), "met")
     pairs = _meetings(met, similarity)
     pairs = pairs.groupBy(F.col("a.__t").alias("u"), F.col("b.__t").alias("v")).agg(F.count("*").alias("__c"), F.max(F.greatest("a.__need", "b.__need")).alias("__need"))
     out = stored(pairs.where("__c >= __need").select("u", "v"), "pairs")
@@ -294,7 +295,7 @@ def _buckets(base: DataFrame, each: DataFrame, seeds: DataFrame, shingle: int, s
     """
     rows = each.where("__n > 0").select("__t", "__n", "__sure", F.posexplode("__pre").alias("__i", "__m"))
     many = lambda xs: xs.groupBy("__m").agg(F.count("*").alias("__c")).where("__c > 1").select(apart(F.col("__m")).alias("__at"), "__c")
-    shared = stored(rows.join(many(rows), apart(F.col("__m")) == F.col("__at")).drop("__at"), "shared-rows")
+    shared = stored(rows.join(many(rows).hint(UNGATHERED), apart(F.col("__m")) == F.col("__at")).drop("__at"), "shared-rows")
     often = stored(shared.where(F.col("__c") > BUCKET).groupBy("__t", "__sure").agg(F.count("*").alias("__k")), "common-counts")
     common = often.where("__k > __sure").select("__t")
     rare = shared.where(F.col("__c") <= BUCKET).join(often.select("__t", "__k"), "__t", "left")
@@ -310,7 +311,7 @@ def _buckets(base: DataFrame, each: DataFrame, seeds: DataFrame, shingle: int, s
     rows = sets.join(common, "__t", "left_semi").select("__t", "__n", F.explode("__set").alias("__m"))
     own = Window.partitionBy("__t")
     # what only one text has comes first and leads nowhere
-    placed = rows.join(many(rows), apart(F.col("__m")) == F.col("__at")).withColumn("__i", (F.col("__n") - F.count("*").over(own) + F.row_number().over(own.orderBy("__c", "__m")) - 1).cast("int"))
+    placed = rows.join(many(rows).hint(UNGATHERED), apart(F.col("__m")) == F.col("__at")).withColumn("__i", (F.col("__n") - F.count("*").over(own) + F.row_number().over(own.orderBy("__c", "__m")) - 1).cast("int"))
     # keys apart from those of the first kind
     late = placed.where(F.col("__i") <= F.col("__n") - F.ceil(similarity * F.col("__n") - 1e-6)).select(F.xxhash64("__m", F.lit(2)).alias("__m"), "__t", "__n", "__i", F.lit(True).alias("__late"), F.lit(True).alias("__common"), F.lit(1).cast("long").alias("__need"))
     out = stored(rare.unionByName(late).join(folds, "__t"), "buckets")

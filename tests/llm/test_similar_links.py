@@ -81,3 +81,20 @@ def gathered(df) -> list[str]:
 def test_grid_rows_stay_out_of_the_driver(spark):
     fps = simhash.stored(spark.range(1000).select(F.xxhash64("id").alias("fp"), F.xxhash64("id").alias("pv")), "test-prints")
     assert gathered(simhash.links(fps)) == []
+
+
+def test_bucket_rows_stay_out_of_the_driver(spark, monkeypatch):
+    """Files of a few kilobytes may stand for any number of rows: columns of few values, and lists to be laid out."""
+    plans, stored = {}, simhash.stored
+
+    def noted(df, name):
+        plans.setdefault(name, gathered(df))
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    rng = random.Random(3)
+    ws = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    kept(spark, [edited(rng, ws, 9) for _ in range(100)])
+    assert {"shared-rows", "buckets", "stars", "met", "pairs"} <= plans.keys()
+    assert not any("Generate" in p or "__set" in p for ps in plans.values() for p in ps)
+    assert not any(plans[n] for n in ("shared-rows", "stars", "met", "pairs"))
