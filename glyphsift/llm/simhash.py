@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphsift.sources.shared import release
 from glyphsift.sources.tables import table
 
 from .common import bounded_batches, byte_column, drop_stored, identified, parallelism, rows_with_identity, stored, worker_store
@@ -216,6 +217,14 @@ def _shingle_sets(k: int):
     return f
 
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stored`, and the shuffle files that it took go at once: so two large steps never stand side by side on disk."""
+    out = stored(df, name)
+    for _ in range(2):  # the first only lets go of what holds the plan
+        release(df.sparkSession)
+    return out
+
+
 def _verified(sets: DataFrame, close: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs ``u, v`` that have the similarity.
 
@@ -231,7 +240,7 @@ def _verified(sets: DataFrame, close: DataFrame, similarity: float) -> DataFrame
     whole = lambda c, x: sets.select(F.col("__t").alias(c), F.col("__set").alias(x)).hint(UNGATHERED)
     both = maybe.join(whole("u", "__a"), "u").join(whole("v", "__b"), "v")
     common = F.size(F.array_intersect("__a", "__b"))
-    return stored(both.where(common / (F.size("__a") + F.size("__b") - common) >= similarity).select("u", "v"), "links")
+    return _settled(both.where(common / (F.size("__a") + F.size("__b") - common) >= similarity).select("u", "v"), "links")
 
 
 def _possible(a, b, similarity: float) -> Column:
@@ -273,10 +282,10 @@ def _pairs(buckets: DataFrame, links: DataFrame, similarity: float) -> DataFrame
     of = components(links)
     own = stored(buckets.join(of, F.col("__t") == F.col("node"), "left").select("__m", "__t", "__n", "__i", "__need", "__late", "__common", *FOLDS, F.coalesce("root", "__t").alias("__r")), "grouped")
     apart_ = own.groupBy("__m").agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi")).where("__lo != __hi").select(apart(F.col("__m")).alias("__at"))
-    met = stored(own.join(apart_.hint(UNGATHERED), apart(F.col("__m")) == F.col("__at")).drop("__at"), "met")
+    met = _settled(own.join(apart_.hint(UNGATHERED), apart(F.col("__m")) == F.col("__at")).drop("__at"), "met")
     pairs = _meetings(met, similarity)
     pairs = pairs.groupBy(F.col("a.__t").alias("u"), F.col("b.__t").alias("v")).agg(F.count("*").alias("__c"), F.max(F.greatest("a.__need", "b.__need")).alias("__need"))
-    out = stored(pairs.where("__c >= __need").select("u", "v"), "pairs")
+    out = _settled(pairs.where("__c >= __need").select("u", "v"), "pairs")
     drop_stored(own, met)
     return out
 
@@ -295,7 +304,7 @@ def _buckets(base: DataFrame, each: DataFrame, seeds: DataFrame, shingle: int, s
     """
     rows = each.where("__n > 0").select("__t", "__n", "__sure", F.posexplode("__pre").alias("__i", "__m"))
     many = lambda xs: xs.groupBy("__m").agg(F.count("*").alias("__c")).where("__c > 1").select(apart(F.col("__m")).alias("__at"), "__c")
-    shared = stored(rows.join(many(rows).hint(UNGATHERED), apart(F.col("__m")) == F.col("__at")).drop("__at"), "shared-rows")
+    shared = _settled(rows.join(many(rows).hint(UNGATHERED), apart(F.col("__m")) == F.col("__at")).drop("__at"), "shared-rows")
     often = stored(shared.where(F.col("__c") > BUCKET).groupBy("__t", "__sure").agg(F.count("*").alias("__k")), "common-counts")
     common = often.where("__k > __sure").select("__t")
     rare = shared.where(F.col("__c") <= BUCKET).join(often.select("__t", "__k"), "__t", "left")
@@ -304,7 +313,7 @@ def _buckets(base: DataFrame, each: DataFrame, seeds: DataFrame, shingle: int, s
     rare = stored(rare.withColumn("__all", F.count("*").over(Window.partitionBy("__t"))).where("__all >= __need").drop("__all"), "rare-rows")
     wanted = stored(rare.select("__t").unionByName(common).unionByName(seeds.select(F.col("u").alias("__t"))).unionByName(seeds.select(F.col("v").alias("__t"))).distinct().join(each.select("__t", "__d"), "__t"), "wanted")
     # one row of each text: the keys are as many as the texts, whatever number of copies they have
-    sets = stored(base.join(wanted, ["__d", "__t"]).dropDuplicates(["__d", "__t"]).select("__t", "text").mapInArrow(_shingle_sets(shingle), "__t long, __n long, __set array<long>, __bits array<long>"), "shingle-sets")
+    sets = _settled(base.join(wanted, ["__d", "__t"]).dropDuplicates(["__d", "__t"]).select("__t", "text").mapInArrow(_shingle_sets(shingle), "__t long, __n long, __set array<long>, __bits array<long>"), "shingle-sets")
     drop_stored(wanted)
 
     folds = sets.select("__t", *[reduce(Column.bitwiseXOR, [F.get("__bits", F.lit(j)) for j in range(k, PARITY // 64, len(FOLDS))]).alias(c) for k, c in enumerate(FOLDS)])
@@ -314,7 +323,7 @@ def _buckets(base: DataFrame, each: DataFrame, seeds: DataFrame, shingle: int, s
     placed = rows.join(many(rows).hint(UNGATHERED), apart(F.col("__m")) == F.col("__at")).withColumn("__i", (F.col("__n") - F.count("*").over(own) + F.row_number().over(own.orderBy("__c", "__m")) - 1).cast("int"))
     # keys apart from those of the first kind
     late = placed.where(F.col("__i") <= F.col("__n") - F.ceil(similarity * F.col("__n") - 1e-6)).select(F.xxhash64("__m", F.lit(2)).alias("__m"), "__t", "__n", "__i", F.lit(True).alias("__late"), F.lit(True).alias("__common"), F.lit(1).cast("long").alias("__need"))
-    out = stored(rare.unionByName(late).join(folds, "__t"), "buckets")
+    out = _settled(rare.unionByName(late).join(folds, "__t"), "buckets")
     drop_stored(shared, often, rare)
     return out, sets
 
@@ -338,18 +347,18 @@ def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     base = identified(docs).select("__d", "__t", "text")
     found = base.mapInArrow(_sketches(shingle, similarity), "__d long, __t long, __n long, __fp long, __pv long, __pre array<long>, __sure long")
     names = ["__n", "__fp", "__pv", "__pre", "__sure"]
-    each = stored(found.groupBy("__t").agg(F.min("__d").alias("__d"), *[F.first(c).alias(c) for c in names]), "sketches")
+    each = _settled(found.groupBy("__t").agg(F.min("__d").alias("__d"), *[F.first(c).alias(c) for c in names]), "sketches")
 
     worded = each.where("__n > 0")
     prints = stored(worded.groupBy("__fp").agg(F.min("__pv").alias("pv"), F.min("__t").alias("__v")).withColumnRenamed("__fp", "fp"), "prints")
     same = worded.join(prints, F.col("__fp") == F.col("fp")).where("__t != __v").select(F.col("__t").alias("u"), F.col("__v").alias("v"))
     text = lambda c: prints.select(F.col("fp").alias(c), F.col("__v").alias(f"__{c}"))
     near = links(prints.select("fp", "pv")).join(text("u"), "u").join(text("v"), "v").select(F.col("__u").alias("u"), F.col("__v").alias("v"))
-    seeds = stored(same.unionByName(near), "seeds")
+    seeds = _settled(same.unionByName(near), "seeds")
     buckets, sets = _buckets(base, each, seeds, shingle, similarity)
     none = each.where("__n = 0")
     empty = none.crossJoin(none.agg(F.min("__t").alias("v"))).where("__t != v").select(F.col("__t").alias("u"), "v")  # one row
-    out = stored(empty.unionByName(_verified(sets, stored(seeds.unionByName(_stars(buckets, similarity)).distinct(), "stars"), similarity)), "links")
+    out = stored(empty.unionByName(_verified(sets, _settled(seeds.unionByName(_stars(buckets, similarity)).distinct(), "stars"), similarity)), "links")
     out = stored(out.unionByName(_verified(sets, _pairs(buckets, out, similarity), similarity)), "similar-links")
     drop_stored(each, prints, seeds, buckets, sets)
     return out

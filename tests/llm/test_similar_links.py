@@ -1,11 +1,13 @@
 """The near-duplicate stage against brute force over all pairs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from glyphsift.llm import simhash
+from glyphsift.sources import shared
 
 
 def groups(texts: list[str], similarity: float = 0.8) -> list[int]:
@@ -98,3 +100,29 @@ def test_bucket_rows_stay_out_of_the_driver(spark, monkeypatch):
     assert {"shared-rows", "buckets", "stars", "met", "pairs"} <= plans.keys()
     assert not any("Generate" in p or "__set" in p for ps in plans.values() for p in ps)
     assert not any(plans[n] for n in ("shared-rows", "stars", "met", "pairs"))
+
+
+def test_shuffles_go_before_the_next_step(spark, monkeypatch):
+    """Whatever time the steps take: nothing is left to the release that comes every ten seconds."""
+    monkeypatch.setattr(shared, "RELEASE_EVERY", 1e9)
+    disk, stored = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), simhash.stored
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    made, left = {}, {}
+
+    def noted(df, name):
+        for step in ["shared-rows", "shingle-sets", "buckets", "stars", "met"]:
+            if step in made and step not in left:
+                end = time.monotonic() + 10  # the cleaner has a thread of its own
+                while made[step] & files() and time.monotonic() < end:
+                    time.sleep(0.1)
+                left[step] = len(made[step] & files())
+        before = files()
+        out = stored(df, name)
+        made.setdefault(name, files() - before)
+        return out
+
+    monkeypatch.setattr(simhash, "stored", noted)
+    rng = random.Random(4)
+    ws = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    kept(spark, [edited(rng, ws, 9) for _ in range(100)])
+    assert made["shared-rows"] and made["shingle-sets"] and len(left) == 5 and not any(left.values())
