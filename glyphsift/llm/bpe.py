@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame
 
 from glyphsift.sources.tables import table
 
-from .common import bounded_batches, byte_column, pieces, worker_store
+from .common import bounded_batches, byte_column, give_back, pieces, worker_store
 from .suffix_dedup import GRAM, gram_hashes
 
-#: One place in CUT is a cut; entries kept for each worker; bytes handled at a time.
+#: One place in CUT is a cut; entries kept for each worker; words around a join at most; words in a call.
 CUT, KEPT_CHUNKS, KEPT_WORDS, PIECE, GROUP = 1 << 10, 20_000, 500_000, 1 << 21, 64
+#: Bytes handled at a time; hashes alone take some 24 times as much in the worker.
+SLICE = 1 << 20
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -200,14 +202,14 @@ class WordIds:
 
 def cuts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Chunk borders within texts that stand one after another; texts' ends are borders too."""
-    found = offs
-    if len(raw) >= GRAM:
-        at = np.flatnonzero(gram_hashes(raw) >> np.uint64(20) & np.uint64(CUT - 1) == 0) + GRAM
+    found = [offs]
+    for a in range(0, len(raw) - GRAM + 1, SLICE):
+        at = np.flatnonzero(gram_hashes(raw[a : a + SLICE + GRAM - 1]) >> np.uint64(20) & np.uint64(CUT - 1) == 0) + a + GRAM
         at = at[at < len(raw)]
         at = at[raw[at] & 0xC0 != 0x80]  # not within a character
         doc = np.searchsorted(offs, at, "right") - 1
-        found = np.union1d(offs, at[at - offs[doc] >= GRAM])  # the hashed bytes belong to one text
-    return found
+        found.append(at[at - offs[doc] >= GRAM])  # the hashed bytes belong to one text
+    return np.unique(np.concatenate(found))
 
 
 class Chunk:
@@ -253,24 +255,25 @@ class Encoder:
                 self.reused += 1
             chunks.append(c)
         self.chunks += len(chunks)
-        for c, ids in zip(new, self.words.encode([c.inner for c in new]), strict=True):
-            c.ids = ids
+        for a, b in pieces(np.cumsum([0, *(len(c.inner) for c in new)]), SLICE):
+            for c, ids in zip(new[a:b], self.words.encode([c.inner for c in new[a:b]]), strict=True):
+                c.ids = ids
         of = np.searchsorted(border, offs)
         plan: list[list] = []  # for each text: ids, or (left chunk, bytes, right chunk) to repair
         for i in range(len(offs) - 1):
-            pieces: list = []
+            parts: list = []
             left, half = None, b""
             for c in chunks[of[i] : of[i + 1]]:
                 half += c.head
                 if not c.whole:
                     if half:
-                        pieces.append((left, half, c))
+                        parts.append((left, half, c))
                     if len(c.ids):
-                        pieces.append(c.ids)
+                        parts.append(c.ids)
                     left, half = c, c.tail
             if half:
-                pieces.append((left, half, None))
-            plan.append(pieces)
+                parts.append((left, half, None))
+            plan.append(parts)
         joins = [x for p in plan for x in p if isinstance(x, tuple)]
         fixed = iter(self._repair(joins))
         none = np.zeros(0, np.uint32)
@@ -314,10 +317,12 @@ def _encode(path: str):
         own = kept["encoder", path]
         for batch in batches:
             raw, offs = byte_column(batch.column(1))
-            for i, j in pieces(offs, 1 << 23):
+            for i, j in pieces(offs, SLICE):
                 got = own.encode(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 rows = [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(own.words.decode(x).encode()).hexdigest()) for x in got]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                del got, rows
+                give_back()
 
     return f
 

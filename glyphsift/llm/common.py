@@ -81,6 +81,17 @@ def bounded_batches(spark: SparkSession) -> None:
 _worker: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """What this worker has freed goes back to the system; Arrow and the C library keep it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def worker_store(name: str) -> dict:
     """The store of one operator in this worker; those of other operators go.
 
@@ -91,11 +102,8 @@ def worker_store(name: str) -> dict:
     for k in others:
         del _worker[k]
     if others:
-        import ctypes
-
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
     return _worker.setdefault(name, {})
 
 

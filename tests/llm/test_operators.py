@@ -545,3 +545,35 @@ def test_chunks_are_kept_between_tasks():
     before = own.reused, own.chunks
     assert [b.to_pylist() for b in run([batch])] == first
     assert own.reused - before[0] == own.chunks - before[1] > 0
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    """Neither a large batch nor a long text takes a worker's memory by its own size; borders don't depend on the slices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(500)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(350)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(texts)], ["doc_id", "text"])
+    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    assert len(raw) > 7 << 20
+    run = bpe._encode(bpe.tokenizer_path())
+    list(run([batch.slice(0, 10)]))
+    tracemalloc.start()
+    try:
+        rows = [r for b in run([batch]) for r in b.to_pylist()]
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.reset_peak()
+        border = bpe.cuts(raw, np.array([0, len(raw)]))
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(bpe, "SLICE", len(raw))
+    assert np.array_equal(border, bpe.cuts(raw, np.array([0, len(raw)]))) and len(border) > 1000
+    tok = bpe.WordIds.of(bpe.tokenizer_path()).tok
+    assert [r["doc_id"] for r in rows] == list(range(4000))
+    for r in rows[::100]:
+        ids = np.array(tok.encode(texts[r["doc_id"]], add_special_tokens=False).ids, "<u4")
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
