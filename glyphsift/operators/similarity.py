@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from glyphsift.functions.text import let
-
 # Metric, threshold, character and word n of each language.
 SPECS = [
     ("en", "word_char", 0.60, 3, 2), ("es", "word_char", 0.45, 3, 2), ("fr", "word_char", 0.45, 3, 2), ("de", "word_char", 0.45, 3, 2), ("ru", "word_char", 0.45, 3, 2),
@@ -35,37 +36,64 @@ def with_spec(df: DataFrame, lang: str = "lang", table: DataFrame | None = None)
     return df.withColumn("__lang", F.when(code.isin(known), code).otherwise("und")).join(F.broadcast(table.withColumnRenamed("lang", "__lang")), "__lang").drop("__lang")
 
 
-def _grams(items: Column, n: int, sep: str) -> Column:
-    whole = lambda xs, i: F.concat_ws(sep, *[F.get(xs, i + j) for j in range(n)])
-    return let(items, lambda xs: F.transform(F.slice(xs, 1, F.greatest(F.size(xs) - (n - 1), F.lit(0))), lambda _, i: whole(xs, i)))
+def _char_codes(low: str, n: int) -> np.ndarray:
+    """Each n-gram (n up to 3; of shorter texts the whole text) as one number: 21 bits hold any code point."""
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    n = min(n, len(points))
+    codes = np.zeros(len(points) - n + 1 if n else 0, np.int64)
+    for i in range(n):
+        codes = (codes << 21) | points[i : i + len(codes)]
+    return codes
+
+
+def _char_grams(low: str, n: int) -> list[str]:
+    return [low[i : i + n] for i in range(len(low) - n + 1)] if len(low) >= n else [low] if low else []
+
+
+def _word_grams(low: str, n: int) -> list[str]:
+    words = re.findall(r"[^ \t\n\x0b\f\r]+", low)
+    return words + [" ".join(ws) for ws in zip(*(words[i:] for i in range(n)), strict=False)]
+
 
+def _cosine(dot: int, x: int, y: int) -> float:
+    return dot / math.sqrt(float(x) * float(y)) if x and y else 0.0
 
-def char_grams(text: Column, n: int) -> Column:
-    """Lower-case character n-grams (of shorter texts: the whole text)."""
-    return let(F.lower(text), lambda low: F.when(F.length(low) >= n, _grams(F.split(low, ""), n, "")).when(F.length(low) > 0, F.array(low)).otherwise(F.array().cast("array<string>")))
+
+def _cosine_of_codes(a: np.ndarray, b: np.ndarray) -> float:
+    (ua, na), (ub, nb) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    both = np.isin(ua, ub, assume_unique=True), np.isin(ub, ua, assume_unique=True)
+    return _cosine(int(na[both[0]] @ nb[both[1]]), int(na @ na), int(nb @ nb))
+
+
+def _cosine_of_grams(a: list[str], b: list[str]) -> float:
+    na, nb = Counter(a), Counter(b)
+    square = lambda n: sum(c * c for c in n.values())
+    return _cosine(sum(c * nb[g] for g, c in na.items() if g in nb), square(na), square(nb))
+
+
+def text_score(a: str | None, b: str | None, char_n: int = 3, word_n: int | None = 2) -> float:
+    """Cosine of the counts of two lower-case texts' character n-grams, or the greater of it and that of their words and word n-grams; 0 if either text has none."""
+    if not a or not b:
+        return 0.0
+    if a == b:  # as the cosine would come out, to the bit
+        return 1.0
+    score = _cosine_of_codes(_char_codes(a, char_n), _char_codes(b, char_n)) if char_n <= 3 else _cosine_of_grams(_char_grams(a, char_n), _char_grams(b, char_n))
+    return score if word_n is None else max(score, _cosine_of_grams(_word_grams(a, word_n), _word_grams(b, word_n)))
 
 
-def word_grams(text: Column, n: int) -> Column:
-    """Lower-case words and word n-grams."""
-    return let(F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != ""), lambda ws: F.concat(ws, _grams(ws, n, " ")))
+def score(before: Column, after: Column, char_n: int = 3, word_n: int | None = 2) -> Column:
+    """Similarity of a row's two texts (see :func:`text_score`); within the row, so grams are neither written nor shuffled."""
 
+    @F.pandas_udf(DoubleType())
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([text_score(x, y, char_n, word_n) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-def cosine(pairs: DataFrame, key: str, a: str, b: str, out: str) -> DataFrame:
-    """``key, out``: cosine of the counts of two gram arrays; 0 if either is empty."""
-    long = pairs.select(key, F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col(a).alias("g")), F.struct(F.lit("b").alias("s"), F.col(b).alias("g")))).alias("x")).select(key, "x.s", F.explode("x.g").alias("g"))
-    n = long.groupBy(key, "g").agg(F.sum((F.col("s") == "a").cast("long")).alias("na"), F.sum((F.col("s") == "b").cast("long")).alias("nb"))
-    dot = n.groupBy(key).agg(F.sum(F.col("na") * F.col("nb")).alias("d"), F.sum(F.col("na") * F.col("na")).alias("x"), F.sum(F.col("nb") * F.col("nb")).alias("y"))
-    val = F.when((F.col("x") > 0) & (F.col("y") > 0), F.col("d") / F.sqrt(F.col("x").cast("double") * F.col("y").cast("double"))).otherwise(0.0)
-    return pairs.select(key).join(dot.select(key, val.alias(out)), key, "left").select(key, F.coalesce(out, F.lit(0.0)).alias(out))
+    return scored(F.lower(before), F.lower(after))
 
 
 def similarity(pairs: DataFrame, key: str = "pair_id", before: str = "before", after: str = "after", char_n: int = 3, word_n: int | None = 2) -> DataFrame:
-    """``key, score``: character cosine, or the greater of character and word cosine."""
-    c = cosine(pairs.select(key, char_grams(F.col(before), char_n).alias("__a"), char_grams(F.col(after), char_n).alias("__b")), key, "__a", "__b", "score")
-    if word_n is None:
-        return c
-    w = cosine(pairs.select(key, word_grams(F.col(before), word_n).alias("__a"), word_grams(F.col(after), word_n).alias("__b")), key, "__a", "__b", "__w")
-    return c.join(w, key).select(key, F.greatest("score", "__w").alias("score"))
+    """``key, score``: character cosine, or the greater of character and word cosine; a row for each row."""
+    return pairs.select(key, score(F.col(before), F.col(after), char_n, word_n).alias("score"))
 
 
 def threshold_for(lang: str | None = None, explicit: float | None = None, embedding: bool = False) -> float:

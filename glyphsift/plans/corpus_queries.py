@@ -15,6 +15,7 @@ from glyphsift.operators import partition as P
 from glyphsift.operators import similarity as S
 from glyphsift.operators.rewrite import reorder_reverse
 from glyphsift.plans.rewrite_queries import _GRAM, _SENT_REV, _WGRAM
+from glyphsift.sources.shared import stored
 from glyphsift.sources.tables import table
 
 SLOTS, K, PERMUTATIONS = 40, 4, 300
@@ -156,9 +157,8 @@ def _labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold of each language by which at most 5 % of changed pairs pass, and what it lets through."""
-    pairs = _labelled_pairs(spark, sf_dir)
-    scored = pairs.select("pair_id", "lang", "label").join(S.similarity(pairs), "pair_id")
-    out = S.language_thresholds(scored, 0.05)
+    scored = _labelled_pairs(spark, sf_dir).select("lang", "label", S.score(F.col("before"), F.col("after")).alias("score"))
+    out = S.language_thresholds(stored(scored, "pair-scores"), 0.05)  # read more than once
     return out.select("lang", *[F.round(c, 5).alias(c) for c in ("threshold", "true_accept", "false_accept")], "n_preserved", "n_changed")
 
 

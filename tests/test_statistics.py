@@ -209,3 +209,24 @@ def test_calibration(spark):
     plain, made = generators.control(spark, 8, 300, 40), generators.sequences(spark, generators.Recipe(vocab=40, length=600), 12)
     r = calibration.calibrate_prose([seqs(plain)], seqs(made), n_boot=20, permutations=10).first()
     assert r.exceeds and r.gap > 5
+
+
+def _by_brute_force(a, b):
+    from collections import Counter
+
+    def cosine(x, y):
+        x, y = Counter(x), Counter(y)
+        return sum(n * y[g] for g, n in x.items()) / math.sqrt(sum(n * n for n in x.values()) * sum(n * n for n in y.values())) if x and y else 0.0
+
+    chars = lambda t: [t[i : i + 3] for i in range(len(t) - 2)] or [t] * (t != "")
+    words = lambda t: t.split() + [" ".join(p) for p in zip(t.split(), t.split()[1:], strict=False)]
+    return max(cosine(chars(a), chars(b)), cosine(words(a), words(b)))
+
+
+def test_similarity_stays_within_the_row(spark):
+    texts = ["the cat sat on the mat. the dog did not", "the dog did not the cat sat", "ab", "b", "", "naïve 😀😀 café 😀", "aaaa aaaa aaaa", None]
+    pairs = spark.createDataFrame([(10 * i + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)], "pair_id long, before string, after string")
+    out = similarity.similarity(pairs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # no gram is shuffled
+    for r in out.join(pairs, "pair_id").collect():
+        assert r.score == pytest.approx(_by_brute_force(r.before or "", r.after or ""), abs=1e-12)
