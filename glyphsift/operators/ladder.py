@@ -44,6 +44,6 @@ def rewritten(df: DataFrame, strength: int = NORMALIZE, model: Model | None = No
         return clean.select(key, F.col("before").alias("text"), F.lit(strength).alias("strength"), F.lit(True).alias("accepted"), F.lit(1.0).alias("meaning_score"), F.lit("normalised").alias("message"))
     change = (lambda t: paraphrase(t, model)) if strength == PARAPHRASE else rewrite.roundtrip_translate if roundtrip else rewrite.token_edits
     pairs = clean.withColumn("after", change(F.col("before")))
-    scored = similarity.with_spec(pairs.join(similarity.similarity(pairs, key), key))
+    scored = similarity.with_spec(pairs.withColumn("score", similarity.score(F.col("before"), F.col("after"))))
     ok = F.col("score") >= (F.lit(threshold) if threshold is not None else F.col("threshold"))
     return scored.select(key, F.when(ok, F.col("after")).otherwise(F.col("before")).alias("text"), F.lit(strength).alias("strength"), ok.alias("accepted"), F.col("score").alias("meaning_score"), F.when(ok, "accepted").otherwise("meaning changed too much; normalised text returned").alias("message"))
