@@ -47,8 +47,7 @@ def roundtrip_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _gated(spark: SparkSession, sf_dir: str, candidate: Callable[[Column], Column]) -> DataFrame:
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     pairs = docs.select("doc_id", "lang", R.normalize_carriers(F.col("text")).alias("before")).withColumn("after", candidate(F.col("before")))
-    score = S.similarity(pairs, "doc_id")
-    judged = S.with_spec(pairs.select("doc_id", "lang").join(score, "doc_id"))
+    judged = S.with_spec(pairs.select("doc_id", "lang", S.score(F.col("before"), F.col("after")).alias("score")))
     return judged.select("doc_id", F.round("score", 6).alias("score"), S.passes(F.col("score"), F.col("threshold")).alias("accepted"))
 
 
