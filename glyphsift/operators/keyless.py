@@ -6,9 +6,11 @@ engine with that hash repeats it; it is not the stream of any generator.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,18 +161,40 @@ def prose_gap(bigrams: DataFrame, sample: str = "doc_id", margin: float = 0.5, m
     return prose_gaps(counts, [], margin, min_context, min_obs, permutations, seed)
 
 
+def poisson_bounds() -> list[int]:
+    """Poisson (1/2) by its distribution function on 32 bits: a draw counts the bounds that it reaches."""
+    below, term = [], math.exp(-0.5)
+    for k in range(10):
+        below.append((below[-1] if below else 0.0) + term)
+        term *= 0.5 / (k + 1)
+    return [math.ceil(c * 4294967296.0) for c in below]
+
+
 def poisson_half(*parts: Column | str) -> Column:
     """A number with a Poisson distribution of mean 1/2, by hash.
 
     A bootstrap draw with replacement takes each sample a Poisson (1) number of
     times; dealt to two halves, each half gets an independent one of mean 1/2.
     """
-    below, term = [], math.exp(-0.5)
-    for k in range(10):
-        below.append((below[-1] if below else 0.0) + term)
-        term *= 0.5 / (k + 1)
     u = draw(*parts)
-    return F.size(F.filter(F.array(*[F.lit(math.ceil(c * 4294967296.0)).cast("long") for c in below]), lambda c: u >= c))
+    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in poisson_bounds()]), lambda c: u >= c))
+
+
+def bootstrap_weights(seed: str, samples: list[str | None], n_boot: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each draw takes each sample into the steal and into the test part: the numbers of :func:`poisson_half`, draws by samples."""
+    draws, bounds = [f"|{b}".encode() for b in range(n_boot)], np.array(poisson_bounds())
+
+    def part(name: str) -> np.ndarray:
+        heads = [hashlib.sha256("|".join(x for x in (seed, name, s) if x is not None).encode()) for s in samples]
+        u = np.empty((n_boot, len(samples)), ">u4")
+        for i, head in enumerate(heads):
+            for b, tail in enumerate(draws):
+                h = head.copy()
+                h.update(tail)
+                u[b, i] = int.from_bytes(h.digest()[:4], "big")
+        return np.searchsorted(bounds, u.astype(np.int64), side="right")
+
+    return part("steal"), part("test")
 
 
 def prose_bootstrap(bigrams: DataFrame, source: str = "source", sample: str = "doc_id", n_boot: int = 80, permutations: int = 40, margin: float = 0.5, min_context: int = 4, min_obs: int = 3, seed: str = "boot") -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphsift.operators.keyless import draw, poisson_half
+from glyphsift.operators.keyless import bootstrap_weights, draw
 from glyphsift.sources.shared import stored
 
 
@@ -55,22 +58,71 @@ def steal_and_test(choices: DataFrame, k: int, n_slots: int, margin: float = 0.1
     return out.withColumn("gap", F.col("z") - F.col("null_mean")).withColumn("detected", F.col("p") <= alpha)
 
 
+#: Sums that a task holds of its draws before it hands them on, each a vector over the draws.
+HELD = 20_000
+
+
+def _drawn_cells(tag: str, n_boot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``source, b, slot, variant, s, t`` from ``source, __id, __x``: what each draw takes of each cell, added up within a task.
+
+    Weights of the draws times choices of the samples, as one product of
+    matrices for each batch and source: no row is made for a draw of a sample.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        schema = []
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for (source, slot, variant), sums in held.items():
+                b = np.flatnonzero(sums[0] + sums[1])
+                if len(b):
+                    columns = [[source] * len(b), b.astype(np.int32), [slot] * len(b), [variant] * len(b), sums[0, b], sums[1, b]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f) for c, f in zip(columns, schema, strict=True)], names=["source", "b", "slot", "variant", "s", "t"])
+            held.clear()
+
+        for batch in batches:
+            x = batch.column("__x")
+            at, flat = np.repeat(np.arange(batch.num_rows), x.value_lengths().to_numpy()), x.flatten()
+            slot, variant = flat.field("slot").to_numpy(zero_copy_only=False), flat.field("variant").to_numpy(zero_copy_only=False)
+            schema = [batch.schema.field("source").type, pa.int32(), flat.type.field("slot").type, flat.type.field("variant").type, pa.int64(), pa.int64()]
+            sources = batch.column("source").to_pylist()
+            number = {v: i for i, v in enumerate(dict.fromkeys(sources))}
+            of = np.array([number[v] for v in sources])
+            weights = np.stack(bootstrap_weights(tag, batch.column("__id").to_pylist(), n_boot)).astype(np.float64)
+            cells, col = np.unique(np.stack([slot, variant]), axis=1, return_inverse=True)
+            for source, i in number.items():
+                mine = np.flatnonzero(of == i)
+                here = np.isin(at, mine)
+                choices = np.zeros((len(mine), cells.shape[1]))
+                np.add.at(choices, (np.searchsorted(mine, at[here]), col.ravel()[here]), 1)
+                sums = (weights[:, :, mine] @ choices).astype(np.int64)  # whole numbers
+                for c in np.flatnonzero(choices.any(axis=0)):
+                    key = (source, int(cells[0, c]), int(cells[1, c]))
+                    held[key] = held[key] + sums[:, :, c] if key in held else sums[:, :, c].copy()
+            if len(held) > HELD:
+                yield from given()
+        yield from given()
+
+    return run
+
+
 def bootstrap_gaps(choices: DataFrame, k: int, n_slots: int, n_boot: int = 120, permutations: int = 60, margin: float = 0.15, seed: int = 0, source: str | None = "reference") -> DataFrame:
     """``source, b, gap``: steal-and-test gaps of samples drawn with replacement, as one group-by.
 
     ``source``: the name of the corpus, or null if ``choices`` has a column
     ``source`` of several.  Each draw weighs a sample by two hashes (see
-    ``keyless.poisson_half``); what it takes is added up to slots x k cells, and
-    the slots are permuted among those cells.  Corpora of less than four samples,
+    ``keyless.poisson_half``); what it takes is added up to slots x k cells within
+    the tasks, and the slots are permuted among those cells.  Corpora of less than four samples,
     or with one slot, give gaps of 0.
     """
     tag, spark = f"boot{seed}", choices.sparkSession
     named = choices if source is None else choices.withColumn("source", F.lit(source))
     # a sample has n_slots choices at most
     packed = named.groupBy("source", "sample_id").agg(F.collect_list(F.struct("slot", "variant")).alias("__x"))
-    drawn = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    drawn = drawn.withColumns({"__s": poisson_half(tag, "steal", F.col("sample_id"), F.col("b")), "__t": poisson_half(tag, "test", F.col("sample_id"), F.col("b"))}).where("__s + __t > 0")
-    cells = drawn.select("source", "b", "__s", "__t", F.explode("__x").alias("x")).groupBy("source", "b", "x.slot", "x.variant").agg(F.sum("__s").alias("s"), F.sum("__t").alias("t"))
+    kinds = {f.name: f.dataType.simpleString() for f in named.schema}
+    sums = packed.select("source", F.col("sample_id").cast("string").alias("__id"), "__x").mapInArrow(_drawn_cells(tag, n_boot), f"source {kinds['source']}, b int, slot {kinds['slot']}, variant {kinds['variant']}, s long, t long")
+    cells = sums.groupBy("source", "b", "slot", "variant").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     of, cells = ["source", "b"], stored(cells, "bootstrap-cells")
     cells = cells.join(cells.groupBy(*of, "slot").agg(F.sum("s").alias("__all")), [*of, "slot"]).withColumn("green", F.coalesce(F.col("s") / F.nullif("__all", F.lit(0)) > (1 + margin) / k, F.lit(False)))
     one = cells.groupBy(*of).agg((F.sum(F.col("green").cast("int")) / F.lit(k * n_slots)).alias("gamma"), F.sum("t").alias("__n"), F.sum(F.when(F.col("green"), F.col("t")).otherwise(0)).alias("__h"))

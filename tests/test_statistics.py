@@ -230,3 +230,16 @@ def test_similarity_stays_within_the_row(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # no gram is shuffled
     for r in out.join(pairs, "pair_id").collect():
         assert r.score == pytest.approx(_by_brute_force(r.before or "", r.after or ""), abs=1e-12)
+
+
+def test_bootstrap_adds_up_within_the_tasks(spark, monkeypatch):
+    ids = ["7", "12", None]
+    steal, test = keyless.bootstrap_weights("x", ids, 5)
+    for name, got in (("steal", steal), ("test", test)):
+        rows = spark.createDataFrame([(i, s, b) for i, s in enumerate(ids) for b in range(5)], "i int, s string, b int").select("i", "b", keyless.poisson_half("x", name, F.col("s"), F.col("b")).alias("w")).collect()
+        assert all(got[r.b, r.i] == r.w for r in rows)
+    made = partition.arena_samples(partition.keyed_partition(spark, "p", 6, 3), 40, 1.0, "e").withColumn("source", F.when(F.col("sample_id") < 15, "a").otherwise("b"))
+    whole = {(r.source, r.b): r.gap for r in partition.bootstrap_gaps(made, 3, 6, 8, 10, source=None).collect()}
+    monkeypatch.setattr(partition, "HELD", 3)  # handed on again and again
+    again = {(r.source, r.b): r.gap for r in partition.bootstrap_gaps(made, 3, 6, 8, 10, source=None).collect()}
+    assert whole == again and len(whole) == 16 and len(set(whole.values())) > 8
