@@ -68,9 +68,11 @@ def estimate_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = choices(spark, sf_dir)
+    c = stored(choices(spark, sf_dir), "choices")  # read more than once
     out = P.aggregate_z(c, P.estimate_partition(c, K), K, SLOTS)
-    return out.select(F.col("hits").cast("long").alias("hits"), "n", F.round("gamma", 6).alias("gamma"), F.round("z", 6).alias("z"))
+    # without a green cell hits have no variance: no number, as in the SQL, where the operator has 0
+    z = F.when((F.col("gamma") > 0) & (F.col("n") > 0), F.round("z", 6)).otherwise(F.lit(float("nan")))
+    return out.select(F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "n", F.round("gamma", 6).alias("gamma"), z.alias("z"))
 
 
 def steal_and_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,19 +84,20 @@ def _summary(gaps: DataFrame) -> DataFrame:
     return P.style_baseline(gaps).select(F.col("n").cast("long").alias("n"), *[F.round(c, 6).alias(c) for c in ("mean", "stdev", "p50", "p90", "p95", "max")])
 
 
-def _choices_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return choices(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "source"), "sample_id")
+def _by_source(spark: SparkSession, sf_dir: str, chosen: DataFrame) -> DataFrame:
+    return chosen.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), "source"), "sample_id")
 
 
 def bootstrap_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Style baseline: bootstrap gaps of each source's texts (120 draws, 60 permutations), pooled."""
-    return _summary(P.bootstrap_gaps(_choices_by_source(spark, sf_dir), K, SLOTS, source=None))
+    return _summary(P.bootstrap_gaps(_by_source(spark, sf_dir, choices(spark, sf_dir)), K, SLOTS, source=None))
 
 
 def calibrated_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as a candidate against the pooled baseline of the sources."""
-    gap = P.steal_and_test(choices(spark, sf_dir), K, SLOTS, permutations=100).select(F.col("gap").alias("__c"))
-    base = P.bootstrap_gaps(_choices_by_source(spark, sf_dir), K, SLOTS, source=None).crossJoin(gap)  # one row
+    chosen = stored(choices(spark, sf_dir), "choices")  # read four times
+    gap = P.steal_and_test(chosen, K, SLOTS, permutations=100).select(F.col("gap").alias("__c"))
+    base = P.bootstrap_gaps(_by_source(spark, sf_dir, chosen), K, SLOTS, source=None).crossJoin(gap)  # one row
     out = base.agg(F.first("__c").alias("gap"), ((F.sum((F.col("gap") >= F.col("__c")).cast("int")) + 1) / (F.count("*") + 1)).alias("fpr"))
     return out.select(F.round("gap", 6).alias("gap"), F.round("fpr", 6).alias("fpr"), (F.col("fpr") <= 0.05).alias("exceeds"))
 
