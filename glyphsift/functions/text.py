@@ -27,7 +27,7 @@ def whitespace_tokens(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{U.PY_SPACE}]+"))
+    return F.regexp_count(text, F.lit(f"[{U.NOT_SPACE}]+"))
 
 
 def prose_tokens(text: Column) -> Column:
