@@ -128,7 +128,7 @@ def trailing_space_lines(text: Column) -> Column:
 
 def comment_bodies(text: Column) -> Column:
     """Bodies of HTML comments that aren't blank."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(COMMENT), F.lit(1)), lambda x: x.rlike(f"[^{U.PY_SPACE}]"))
+    found = F.filter(F.regexp_extract_all(text, F.lit(COMMENT), F.lit(1)), lambda x: x.rlike(f"[{U.NOT_SPACE}]"))
     return F.when(F.contains(text, F.lit("<!--")), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
@@ -222,6 +222,15 @@ def explained(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns, F.explode_outer("findings").alias("f")).where(F.col("f").isNotNull())
 
 
+def alarmed(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the rows with an alarm.
+
+    explode_outer, as in :func:`explained`: a filter goes below the projection, so every detector would run twice.
+    """
+    row = F.struct("alarm", *columns)
+    return df.select(F.explode_outer(F.array(row)).alias("r")).where("r.alarm").select(*[F.col(f"r.{c}").alias(c) for c in columns])
+
+
 def detect_carriers(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``words``, ``findings`` and ``alarm`` (a carrier of medium or high severity)."""
     out = df.withColumn("words", word_count(F.col(text))).withColumn("findings", findings(F.col(text)))

@@ -134,7 +134,7 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical JSON reports of the texts with an alarm."""
     from glyphsift.sources.files import report_json
 
-    return report_json(C.detect_carriers(injected(spark, sf_dir)).where("alarm").select("doc_id", "words", "findings"))
+    return report_json(C.alarmed(C.detect_carriers(injected(spark, sf_dir)), "doc_id", "words", "findings"))
 
 
 def high_confidence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
