@@ -80,7 +80,7 @@ def fold_homoglyphs(text: Column) -> Column:
     """Look-alikes to Latin letters within words of more than one script."""
     keys, values = "".join(map(chr, U.CONFUSABLES)), "".join(U.CONFUSABLES.values())
     word = lambda w: F.when(~ascii_only(w) & (F.size(carriers.scripts_of(w)) >= 2), F.translate(w, keys, values)).otherwise(w)
-    inner = lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(f"([{U.word_chars()}]+|[^{U.word_chars()}]+)"), F.lit(1)), word), "")
+    inner = lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(f"([{U.quick(U.word_chars())}]+|[{U.quick(U.others(U.word_chars()))}]+)"), F.lit(1)), word), "")
     runs = F.regexp_extract_all(text, F.lit(f"({carriers.RUN}+|[^{carriers.RUN[1:]}+)"), F.lit(1))
     folded = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(f"[{keys}]"), inner(r)).otherwise(r)), "")
     return F.when(text.rlike(f"[{keys}]"), folded).otherwise(text)
@@ -116,6 +116,11 @@ def _maps(lexicon: dict[str, list[str]]) -> tuple[Column, Column]:
     return F.create_map(*out), F.create_map(*back)
 
 
+def _known(word: Column, lexicon: dict[str, list[str]]) -> Column:
+    """Whether the lexicon has the word: a look into a set, where a map is searched from its first entry."""
+    return F.lower(word).isin(english_vocabulary(lexicon))
+
+
 def _cased(model: Column, word: Column) -> Column:
     upper = (F.upper(model) == model) & (F.lower(model) != model)
     first = F.substring(model, 1, 1)
@@ -126,12 +131,12 @@ def _cased(model: Column, word: Column) -> Column:
 def roundtrip_translate(text: Column, lexicon: dict[str, list[str]] = LEXICON) -> Column:
     """There and back through the pivot lexicon, keeping case."""
     there, back = _maps(lexicon)
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), lambda t: F.coalesce(_cased(t, F.try_element_at(back, F.try_element_at(there, F.lower(t)))), t)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), lambda t: F.when(_known(t, lexicon), F.coalesce(_cased(t, F.try_element_at(back, F.try_element_at(there, F.lower(t)))), t)).otherwise(t)), "")
 
 
 def roundtrip_tokens(tokens: Column, lexicon: dict[str, list[str]] = LEXICON) -> Column:
     there, back = _maps(lexicon)
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(back, F.try_element_at(there, F.lower(t))), F.lower(t)))
+    return F.transform(tokens, lambda t: F.when(_known(t, lexicon), F.coalesce(F.try_element_at(back, F.try_element_at(there, F.lower(t))), F.lower(t))).otherwise(F.lower(t)))
 
 
 def detect_language(text: Column) -> Column:
@@ -176,7 +181,7 @@ def canonicalize_c(code: Column) -> Column:
     w, s = U.word_chars(), U.PY_SPACE
     for pattern, to in ((r"(?s)/\*.*?\*/|//[^\n]*", " "), (r'(?s)"(?:\\.|[^"\\])*"', " STR "), (r"'(?:\\.|[^'\\])*'", " CHR ")):
         code = F.regexp_replace(code, pattern, to)
-    tokens = F.regexp_extract_all(code, F.lit(f"([A-Za-z_][{w}]*|[0-9]+\\.?[0-9]*|[^{w}{s}])"), F.lit(1))
+    tokens = F.regexp_extract_all(code, F.lit(f"([A-Za-z_][{U.quick(w)}]*|[0-9]+\\.?[0-9]*|[{U.quick(U.others(w + s))}])"), F.lit(1))
     name = lambda t: t.rlike("^[A-Za-z_]") & ~t.isin(C_KEEP)
     renamed = lambda ts, names: F.transform(ts, lambda t: F.when(name(t), F.concat(F.lit("v"), (F.array_position(names, t) - 1).cast("string"))).otherwise(t))
     return F.array_join(let(tokens, lambda ts: let(F.array_distinct(F.filter(ts, name)), lambda names: renamed(ts, names))), " ")
