@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphsift.functions.text import let
 from glyphsift.operators.keyed import proportion_z
 from glyphsift.sources.shared import stored
 
@@ -92,12 +93,24 @@ def corpus_test(tokens: DataFrame, candidate: str, reference: str, min_count: in
 
 def green_by_context(bigrams: DataFrame, margin: float = 0.5, min_context: int = 4, min_obs: int = 3) -> DataFrame:
     """``ctx, tok``: tokens that follow a context more often than they occur."""
-    pair = bigrams.groupBy("ctx", "tok").agg(F.count("*").alias("__n"))
+    pair = pair_counts(bigrams).withColumnRenamed("n", "__n")
     ctx = pair.groupBy("ctx").agg(F.sum("__n").alias("__cn"))
     tok = pair.groupBy("tok").agg(F.sum("__n").alias("__tn"))
     all_ = tok.agg(F.sum("__tn").alias("__all"))
-    joined = pair.join(ctx, "ctx").join(tok, "tok").crossJoin(all_)  # one row
-    return joined.where((F.col("__cn") >= min_context) & (F.col("__n") >= min_obs) & (F.col("__n") / F.col("__cn") > (1 + margin) * F.col("__tn") / F.col("__all"))).select("ctx", "tok")
+    # rare pairs, which are most, and rare contexts go before the joins
+    joined = pair.where(F.col("__n") >= min_obs).join(ctx.where(F.col("__cn") >= min_context), "ctx").join(tok, "tok").crossJoin(all_)  # one row
+    return joined.where((F.col("__n") / F.col("__cn") > (1 + margin) * F.col("__tn") / F.col("__all"))).select("ctx", "tok")
+
+
+def pair_counts(bigrams: DataFrame) -> DataFrame:
+    """``ctx, tok, n`` of bigrams, each a row or (with ``n``) a row that stands for several."""
+    return bigrams if "n" in bigrams.columns else bigrams.groupBy("ctx", "tok").agg(F.count("*").alias("n"))
+
+
+def bigrams_in(tokens: Column) -> Column:
+    """``array<struct<ctx, tok>>``: each token of a row but the first, with the one before it."""
+    but_one = lambda ts: F.greatest(F.size(ts) - 1, F.lit(0))
+    return let(tokens, lambda ts: F.zip_with(F.slice(ts, F.lit(1), but_one(ts)), F.slice(ts, F.lit(2), but_one(ts)), lambda c, t: F.struct(c.alias("ctx"), t.alias("tok"))))
 
 
 def bigrams_of(tokens: DataFrame, sample: str = "doc_id") -> DataFrame:
@@ -125,9 +138,9 @@ def prose_gaps(counts: DataFrame, by: list[str], margin: float = 0.5, min_contex
     whole = pair.groupBy(*by).agg(F.sum("s").alias("__all"), F.sum("t").alias("__tested"))
     pair = join(pair, whole).withColumn("t", F.when(F.col("__tested") == 0, F.col("s")).otherwise(F.col("t")))
     steal = pair.where("s > 0")
-    cells = join(join(steal, total(steal, ["ctx"], "s", "__cn"), "ctx"), total(steal, ["tok"], "s", "__tn"), "tok")
-    often = (F.col("__cn") >= min_context) & (F.col("s") >= min_obs)
-    green = cells.where(often & (F.col("s") / F.col("__cn") > (1 + margin) * F.col("__tn") / F.col("__all"))).select(*on("ctx", "tok", "s", "t"))
+    # rare pairs, which are most, and rare contexts go before the joins
+    cells = join(join(steal.where(F.col("s") >= min_obs), total(steal, ["ctx"], "s", "__cn").where(F.col("__cn") >= min_context), "ctx"), total(steal, ["tok"], "s", "__tn"), "tok")
+    green = cells.where((F.col("s") / F.col("__cn") > (1 + margin) * F.col("__tn") / F.col("__all"))).select(*on("ctx", "tok", "s", "t"))
     green = stored(green, "prose-green")
     keys = green.select(*on("ctx")).distinct()
     own = stored(pair.join(keys, on("ctx"), "left_semi").select(*on("ctx", "tok", "s", "t")), "prose-tested")
@@ -155,8 +168,8 @@ def prose_gaps(counts: DataFrame, by: list[str], margin: float = 0.5, min_contex
 
 
 def prose_gap(bigrams: DataFrame, sample: str = "doc_id", margin: float = 0.5, min_context: int = 4, min_obs: int = 3, permutations: int = 200, seed: str = "prose") -> DataFrame:
-    """``n_contexts, z, null_mean, gap, p`` of one corpus (``sample, ctx, tok``), split into halves by sample."""
-    test = half(seed, F.col(sample))
+    """``n_contexts, z, null_mean, gap, p`` of one corpus (``sample, ctx, tok``), split into halves by sample, or by a column ``test`` (:func:`half`) of the bigrams."""
+    test = F.col("test") if "test" in bigrams.columns else half(seed, F.col(sample))
     counts = bigrams.groupBy("ctx", "tok").agg(F.sum(1 - test).alias("s"), F.sum(test).alias("t"))
     return prose_gaps(counts, [], margin, min_context, min_obs, permutations, seed)
 
@@ -251,6 +264,6 @@ def suite_probe(tokens: DataFrame, candidate: str, control: str, excess: float =
 
 def green_fraction(bigrams: DataFrame, green: DataFrame, gamma: float = 0.25) -> DataFrame:
     """``green, scored, z`` of pairs whose context has a green set."""
-    scored = bigrams.join(green.select("ctx").distinct(), "ctx", "left_semi")
+    scored = pair_counts(bigrams).join(green.select("ctx").distinct(), "ctx", "left_semi")
     hit = scored.join(green.withColumn("__g", F.lit(1)), ["ctx", "tok"], "left")
-    return hit.agg(F.sum(F.coalesce("__g", F.lit(0))).alias("green"), F.count("*").alias("scored")).withColumn("z", proportion_z(F.col("green"), F.col("scored"), gamma))
+    return hit.agg(F.coalesce(F.sum(F.when(F.col("__g") == 1, F.col("n")).otherwise(0)), F.lit(0)).alias("green"), F.coalesce(F.sum("n"), F.lit(0)).alias("scored")).withColumn("z", proportion_z(F.col("green"), F.col("scored"), gamma))

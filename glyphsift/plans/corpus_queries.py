@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,23 +36,29 @@ def corpus_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(c).cast("long").alias(c) for c in ("green_tokens", "cand_green", "cand_n", "ref_green", "ref_n")], F.round("z", 6).alias("z"))
 
 
-def _bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.bigrams_of(_tokens(spark, sf_dir))
+def _bigrams(spark: SparkSession, sf_dir: str, *columns: str | Column) -> DataFrame:
+    """``columns..., ctx, tok``, taken within each text."""
+    docs = table(spark, sf_dir, "documents").select(*columns, F.explode(U.bigrams_in(prose_tokens(F.col("text")))).alias("__b"))
+    return docs.select("*", "__b.ctx", "__b.tok").drop("__b")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(U.pair_counts(_bigrams(spark, sf_dir)), "pairs")  # read more than once
 
 
 def green_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.green_by_context(_bigrams(spark, sf_dir))
+    return U.green_by_context(_pairs(spark, sf_dir))
 
 
 def green_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bigrams(spark, sf_dir)
-    out = U.green_fraction(b, U.green_by_context(b))
+    b = _pairs(spark, sf_dir)
+    out = U.green_fraction(b, stored(U.green_by_context(b), "green"))
     return out.select(F.col("green").cast("long").alias("green"), F.col("scored").cast("long").alias("scored"), F.round("z", 6).alias("z"))
 
 
 def prose_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next-token bias of all documents, with the operator's 200 permutations."""
-    out = U.prose_gap(_bigrams(spark, sf_dir))
+    out = U.prose_gap(_bigrams(spark, sf_dir, U.half("prose", F.col("doc_id")).alias("test")))
     return out.select("n_contexts", *[F.round(c, 6).alias(c) for c in ("z", "null_mean", "gap", "p")])
 
 

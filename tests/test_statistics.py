@@ -243,3 +243,15 @@ def test_bootstrap_adds_up_within_the_tasks(spark, monkeypatch):
     monkeypatch.setattr(partition, "HELD", 3)  # handed on again and again
     again = {(r.source, r.b): r.gap for r in partition.bootstrap_gaps(made, 3, 6, 8, 10, source=None).collect()}
     assert whole == again and len(whole) == 16 and len(set(whole.values())) > 8
+
+
+def test_bigrams_within_a_row(spark):
+    df = spark.createDataFrame([(0, ["a", "b", "a", "b"]), (1, ["x"]), (2, [])], "doc_id long, tokens array<string>")
+    inside = df.select("doc_id", F.explode(keyless.bigrams_in(F.col("tokens"))).alias("b")).select("doc_id", "b.ctx", "b.tok")
+    assert sorted(map(tuple, inside.collect())) == [(0, "a", "b"), (0, "a", "b"), (0, "b", "a")]
+    # counted pairs say the same as the bigrams themselves
+    many = inside.crossJoin(spark.range(5)).drop("id").unionByName(spark.createDataFrame([(3, "q", "r"), (3, "q", "s")], "doc_id long, ctx string, tok string"))
+    pairs = keyless.pair_counts(many)
+    green = keyless.green_by_context(many, margin=0.2)
+    assert sorted(map(tuple, keyless.green_by_context(pairs, margin=0.2).collect())) == sorted(map(tuple, green.collect())) != []
+    assert keyless.green_fraction(pairs, green).first() == keyless.green_fraction(many, green).first()
