@@ -19,8 +19,7 @@ def calibrate(references: list[DataFrame], candidate: DataFrame, k: int, n_slots
 
 def prose_bootstrap_gaps(samples: DataFrame, n_boot: int = 80, permutations: int = 40, seed: int = 0, source: str = "reference") -> DataFrame:
     """``source, b, gap`` from ``doc_id, tokens`` of one reference corpus; corpora of less than four samples give gaps of 0."""
-    grams = keyless.bigrams_of(samples.select("doc_id", F.posexplode("tokens").alias("pos", "tok"))).withColumn("source", F.lit(source))
-    found = keyless.prose_bootstrap(grams, n_boot=n_boot, permutations=permutations, seed=f"boot{seed}")
+    found = keyless.prose_bootstrap(samples.select("doc_id", "tokens", F.lit(source).alias("source")), n_boot=n_boot, permutations=permutations, seed=f"boot{seed}")
     enough = samples.agg((F.count("*") >= 4).alias("__ok"))
     draws = samples.sparkSession.range(n_boot).select(F.lit(source).alias("source"), F.col("id").cast("int").alias("b"))
     return draws.join(found, ["source", "b"], "left").crossJoin(enough).select("source", "b", F.when(F.col("__ok"), F.coalesce("gap", F.lit(0.0))).otherwise(0.0).alias("gap"))  # one row

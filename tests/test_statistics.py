@@ -255,3 +255,15 @@ def test_bigrams_within_a_row(spark):
     green = keyless.green_by_context(many, margin=0.2)
     assert sorted(map(tuple, keyless.green_by_context(pairs, margin=0.2).collect())) == sorted(map(tuple, green.collect())) != []
     assert keyless.green_fraction(pairs, green).first() == keyless.green_fraction(many, green).first()
+
+
+def test_prose_bootstrap_agrees_with_the_counts(spark):
+    made = generators.sequences(spark, generators.Recipe(vocab=30, length=120), 14).select(F.col("seq_id").alias("doc_id"), "tokens").withColumn("source", F.when(F.col("doc_id") < 5, "a").otherwise("b"))
+    out = keyless.prose_bootstrap(made, n_boot=5, permutations=7)
+    got = {(r.source, r.b): r.gap for r in out.collect()}
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()  # no counts of draws are shuffled
+    grams = made.crossJoin(spark.range(5).select(F.col("id").cast("int").alias("b"))).select("source", "b", *[keyless.poisson_half("boot", part, F.col("doc_id"), F.col("b")).alias(part) for part in ("steal", "test")], F.explode(keyless.bigrams_in(F.col("tokens"))).alias("x"))
+    counts = grams.groupBy("source", "b", "x.ctx", "x.tok").agg(F.sum("steal").alias("s"), F.sum("test").alias("t"))
+    want = {(r.source, r.b): r.gap for r in keyless.prose_gaps(counts, ["source", "b"], permutations=7, seed="boot").collect()}
+    assert got.keys() == want.keys() and len(set(got.values())) > 5
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
