@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,13 @@ def h32(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts]), 256), 1, 8), 16, 10).cast("long")
 
 
+def below(gamma: float, *parts: Column | str) -> Column:
+    """Whether :func:`h32` of the parts is less than that share of its range, told by the digest's digits as they stand."""
+    limit = math.ceil(gamma * FULL)
+    digest = F.sha2(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p for p in parts]), 256)
+    return F.lit(limit > 0) & digest.isNotNull() if not 0 < limit < FULL else digest < f"{limit:08x}"
+
+
 def upper_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
@@ -42,15 +50,17 @@ class GreenList:
     gamma: float = 0.25
 
     def is_green(self, prev: Column, tok: Column) -> Column:
-        return h32(self.key, prev, tok) < self.gamma * FULL
+        return below(self.gamma, self.key, prev, tok)
 
-    def count(self, tokens: Column, vocab: Column | None = None) -> Column:
-        """``struct<green, scored>``; the context moves on over tokens outside the vocabulary."""
-        known = (lambda t: F.array_contains(vocab, t)) if vocab is not None else (lambda t: F.lit(True))
-        flags = F.zip_with(previous(tokens), tokens, lambda p, t: F.when(known(t), self.is_green(p, t).cast("int")))
-        return F.struct(F.aggregate(flags, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0))).alias("green"), F.size(F.filter(flags, lambda x: x.isNotNull())).alias("scored"))
+    def count(self, tokens: Column, vocab: Column | Callable[[Column], Column] | None = None) -> Column:
+        """``struct<green, scored>``; the context moves on over tokens outside the vocabulary (an array, or a test of a token)."""
+        known = (lambda t: F.lit(True)) if vocab is None else vocab if not isinstance(vocab, Column) else (lambda t: F.array_contains(vocab, t))
+        flags = lambda ts: F.zip_with(previous(ts), ts, lambda p, t: F.when(known(t), self.is_green(p, t)))
+        # tokens and flags are bound, as each is looked at more than once
+        counted = lambda fs: F.named_struct(F.lit("green"), F.size(F.filter(fs, lambda x: x)), F.lit("scored"), F.size(F.filter(fs, lambda x: x.isNotNull())))
+        return let(let(tokens, flags), counted)
 
-    def z(self, tokens: Column, vocab: Column | None = None) -> Column:
+    def z(self, tokens: Column, vocab: Column | Callable[[Column], Column] | None = None) -> Column:
         c = self.count(tokens, vocab)
         return proportion_z(c["green"], c["scored"], self.gamma)
 
@@ -98,22 +108,19 @@ class ContextScheme:
         return let(tokens, self._green)
 
     def _green(self, tokens: Column) -> Column:
-        limit = self.gamma * FULL
         if self.kind == "unigram":
-            return F.transform(tokens, lambda t: h32(self.key, "", t) < limit)
+            return F.transform(tokens, lambda t: below(self.gamma, self.key, "", t))
         if self.kind == "prev":
-            return F.zip_with(previous(tokens), tokens, lambda p, t: h32(self.key, p, t) < limit)
+            return F.zip_with(previous(tokens), tokens, lambda p, t: below(self.gamma, self.key, p, t))
         back = lambda i, n: F.slice(tokens, F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n)))
         if self.kind == "window":
-            return F.transform(tokens, lambda t, i: h32(self.key, F.when(i > 0, F.array_join(F.array_sort(back(i, self.window)), "+")).otherwise(F.lit(START)), t) < limit)
+            return F.transform(tokens, lambda t, i: below(self.gamma, self.key, F.when(i > 0, F.array_join(F.array_sort(back(i, self.window)), "+")).otherwise(F.lit(START)), t))
         if self.kind == "selfhash":
 
-            def one(t: Column, i: Column) -> Column:
-                around = F.concat(back(i, self.h - 1), F.array(t))
-                low = F.array_min(F.transform(around, lambda x: h32(self.key, x)))
-                return h32(self.key, low.cast("string"), t) < limit
-
-            return F.transform(tokens, one)
+            # each token is hashed once, not once for each window that it lies in
+            lowest = lambda own, x, i: F.least(x, *[F.get(own, i - j) for j in range(1, self.h)]) if self.h > 1 else x
+            low = let(F.transform(tokens, lambda t: h32(self.key, t)), lambda own: F.transform(own, lambda x, i: lowest(own, x, i)))
+            return F.zip_with(low, tokens, lambda h, t: below(self.gamma, self.key, h.cast("string"), t))
         raise ValueError(f"no context scheme {self.kind!r}")
 
     def count(self, tokens: Column, vocab: Column | None = None) -> Column:

@@ -24,8 +24,7 @@ def green_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def green_list_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored over words that begin with t only; others are context."""
-    docs = _docs(spark, sf_dir).withColumn("__v", F.array_distinct(F.filter("tokens", lambda t: F.startswith(t, F.lit("t")))))
-    c = docs.select("doc_id", K.GreenList(KEY).count(F.col("tokens"), F.col("__v")).alias("c"))
+    c = _docs(spark, sf_dir).select("doc_id", K.GreenList(KEY).count(F.col("tokens"), lambda t: F.startswith(t, F.lit("t"))).alias("c"))
     return c.select("doc_id", F.col("c.green").cast("long").alias("green"), F.col("c.scored").cast("long").alias("scored"))
 
 
