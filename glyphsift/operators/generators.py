@@ -10,13 +10,16 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphsift.functions.text import let
 from glyphsift.operators.keyless import draw
 
 FULL = 1 << 32
@@ -131,6 +134,19 @@ def substitute(tokens: DataFrame, vocab: int, fraction: float, seed: str = "sub"
     return tokens.select(key, "pos", F.when(chosen, F.concat(F.lit("w"), F.pmod(draw(seed, "to", F.col(key), F.col("pos")), F.lit(vocab)).cast("string"))).otherwise(F.col("tok")).alias("tok"))
 
 
+def substituted(tokens: Column, key: Column, vocab: int, fraction: float, seed: str = "sub") -> Column:
+    """The tokens of a row as :func:`substitute` would leave them, without a row for each."""
+    other = lambda i: F.concat(F.lit("w"), F.pmod(draw(seed, "to", key, i), F.lit(vocab)).cast("string"))
+
+    def changed(ts: Column) -> Column:
+        drawn = F.transform(ts, lambda _, i: F.struct(draw(seed, key, i).alias("u"), i.alias("i")))
+        last = lambda ds: F.get(F.array_sort(ds), (F.bround(F.size(ts) * fraction) - 1).cast("int"))
+        # none where the index is -1
+        return let(drawn, lambda ds: let(last(ds), lambda end: F.zip_with(ts, ds, lambda t, d: F.when(d <= end, other(d["i"])).otherwise(t))))
+
+    return let(tokens, changed)
+
+
 def reorder_units(tokens: Column, unit: int) -> Column:
     """Units of ``unit`` tokens in reverse order."""
     starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / unit).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -138,11 +154,21 @@ def reorder_units(tokens: Column, unit: int) -> Column:
 
 
 def overlap_cost(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """``key, cost``: 1 less the share of the multiset of tokens that is left."""
-    b = pairs.select(key, F.explode(before).alias("tok")).groupBy(key, "tok").agg(F.count("*").alias("nb"))
-    a = pairs.select(key, F.explode(after).alias("tok")).groupBy(key, "tok").agg(F.count("*").alias("na"))
-    both = b.join(a, [key, "tok"], "left").groupBy(key).agg(F.sum(F.least("nb", F.coalesce("na", F.lit(0)))).alias("m"), F.sum("nb").alias("n"))
-    return both.select(key, (1 - F.col("m") / F.col("n")).alias("cost"))
+    """``key, cost``: 1 less the share of the multiset of tokens that is left; no row for one without tokens.
+
+    Counted within the row, so no token is shuffled.
+    """
+
+    @F.pandas_udf("double")
+    def cost(before: pd.Series, after: pd.Series) -> pd.Series:
+        def lost(b, a):
+            b = Counter(b) if b is not None else Counter()
+            return 1 - (b & Counter(a if a is not None else ())).total() / b.total() if b else None
+
+        return pd.Series([lost(b, a) for b, a in zip(before, after, strict=True)], dtype="float64")
+
+    # through a generator, as a filter would go below the projection and count once more
+    return pairs.select(key, F.explode_outer(F.array(cost(before, after))).alias("cost")).where("cost is not null")
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphsift.functions import unicode_tables as U
-from glyphsift.functions.text import whitespace_tokens
+from glyphsift.functions.text import let, whitespace_tokens
 from glyphsift.operators import generators as G
 from glyphsift.operators import keyed, partition, registry
 from glyphsift.operators.rewrite import LEXICON
@@ -36,9 +36,10 @@ def control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = _docs(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "tok"))
-    out = G.substitute(long, 400, 0.2, key="doc_id")
-    return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " "), 256).alias("out_sha256"))
+    out = G.substituted(F.col("tokens"), F.col("doc_id"), 400, 0.2)
+    # through a generator, as a filter would go below the projection and run all of it once more
+    row = let(out, lambda ts: F.struct(F.size(ts).cast("long").alias("n"), F.sha2(F.array_join(ts, " "), 256).alias("out_sha256")))
+    return _docs(spark, sf_dir).select("doc_id", F.explode_outer(F.array(row)).alias("r")).where("r.n > 0").select("doc_id", "r.n", "r.out_sha256")
 
 
 def overlap_cost(spark: SparkSession, sf_dir: str) -> DataFrame:

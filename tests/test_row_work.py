@@ -19,7 +19,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["rewrite_ladder", "rewrite_gate", "roundtrip_gate", "reorder_fidelity"])
+@pytest.mark.parametrize("name", ["rewrite_ladder", "rewrite_gate", "roundtrip_gate", "reorder_fidelity", "overlap_cost", "substitute_tokens"])
 def test_no_shuffle_by_key(spark, name):
     assert "hashpartitioning" not in plan(catalog.queries()[name](spark, SF))
 

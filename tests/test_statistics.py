@@ -267,3 +267,31 @@ def test_prose_bootstrap_agrees_with_the_counts(spark):
     want = {(r.source, r.b): r.gap for r in keyless.prose_gaps(counts, ["source", "b"], permutations=7, seed="boot").collect()}
     assert got.keys() == want.keys() and len(set(got.values())) > 5
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_keyed_counts_of_a_row(spark):
+    h = lambda *p: int(hashlib.sha256("|".join(p).encode()).hexdigest()[:8], 16)
+    docs = [f"t{i % 7} w{i % 5} tx{i % 3} é{i}".split() * (i % 4) for i in range(12)]
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, tokens array<string>")
+    for gamma in (0.25, 0.5, 0.3, 0.0, 1.0):
+        g, c = keyed.GreenList("k", gamma), keyed.ContextScheme("selfhash", "k", gamma)
+        starts = lambda t: F.startswith(t, F.lit("t"))
+        for r in df.select("i", g.count(F.col("tokens"), starts).alias("v"), g.count(F.col("tokens"), F.filter("tokens", starts)).alias("a"), c.count(F.col("tokens")).alias("c")).collect():
+            ts = docs[r.i]
+            hits = [h("k", p, t) < gamma * 2**32 for p, t in zip(["<s>", *ts], ts, strict=False) if t[0] == "t"]
+            own = [h("k", t) for t in ts]
+            around = [h("k", str(min(own[max(0, i - 3) : i + 1])), t) < gamma * 2**32 for i, t in enumerate(ts)]
+            assert tuple(r.v) == tuple(r.a) == (sum(hits), len(hits)) and tuple(r.c) == (sum(around), len(around))
+
+
+def test_substitution_and_overlap_within_a_row(spark):
+    df = spark.createDataFrame([(i, [f"a{j % 9}" for j in range(i)]) for i in (0, 1, 2, 3, 12, 13, 40)], "k long, tokens array<string>")
+    long = generators.substitute(df.select("k", F.posexplode("tokens").alias("pos", "tok")), 50, 0.2, key="k")
+    want = {}
+    for r in sorted(long.collect(), key=lambda r: (r.k, r.pos)):
+        want.setdefault(r.k, []).append(r.tok)
+    got = {r.k: r.t for r in df.select("k", generators.substituted(F.col("tokens"), F.col("k"), 50, 0.2).alias("t")).collect()}
+    assert got.pop(0) == [] and got == want
+    cost = generators.overlap_cost(df.withColumn("after", F.slice("tokens", 1, 4)), "k", "tokens", "after")
+    assert "hashpartitioning" not in cost._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r.cost for r in cost.collect()} == {k: 1 - min(k, 4) / k for k in (1, 2, 3, 12, 13, 40)}
