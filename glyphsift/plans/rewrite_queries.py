@@ -80,7 +80,9 @@ def code_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphsift.operators.code_forms import canonicalize_python, structural_normalize
 
     code = F.format_string("def f%d(a, b):\n    # note %d\n    return b * %d + a if a > b else a and b\n", F.col("p_partkey"), F.col("p_partkey"), F.pmod("p_partkey", F.lit(7)))
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", code.alias("__c"))
+    # keys alone are dealt out: a file of few row groups would be parsed in as few tasks, however large it is
+    keys = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    parts = keys.select("p_partkey", code.alias("__c"))
     return parts.select("p_partkey", canonicalize_python("__c").alias("canonical"), structural_normalize("__c").alias("structural"))
 
 

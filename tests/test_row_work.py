@@ -53,3 +53,10 @@ def test_reports_run_the_detectors_once(spark):
 def test_lexicon_is_asked_by_a_set(spark):
     df = spark.createDataFrame([("Big bIG BIG house, xyzzy",)], "t string")
     assert "INSET" in plan(df.select(R.roundtrip_translate(F.col("t")))).upper()
+
+
+def test_code_of_one_file_is_dealt_out(spark):
+    df = catalog.queries()["code_forms_python"](spark, SF)
+    rows = spark.read.parquet(f"{SF}/part.parquet").count()
+    at = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(at) == rows and len(at) > 1 and max(at) < rows / 4
