@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -122,13 +123,41 @@ def bigrams_of(tokens: DataFrame, sample: str = "doc_id") -> DataFrame:
     return tokens.select(sample, F.lag("tok").over(w).alias("ctx"), "tok").where(F.col("ctx").isNotNull())
 
 
+#: What stands between tokens on their way to Python; no token has it.
+BETWEEN = "\x1f"
+
+
+def _met(by: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``by..., __p, __nh``: what each permutation meets, added up within a task.
+
+    Rows are sorted by context: first (``__p`` of -1) its own tokens and counts,
+    then the token sets that the permutations move there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, counts, sums, kinds = None, {}, Counter(), []
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            for *key, p, tokens, ts in zip(*(batch.column(c).to_pylist() for c in (*by, "__j", "__p", "__toks", "__ts")), strict=True):
+                if p < 0:
+                    at, counts = key, dict(zip(tokens.split(BETWEEN), ts, strict=True))
+                elif key == at:
+                    sums[(*key[:-1], p)] += sum(counts.get(x, 0) for x in tokens.split(BETWEEN))
+        if sums:
+            columns = [*zip(*sums, strict=True), list(sums.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.int32(), pa.int64()], strict=True)], names=[*by, "__p", "__nh"])
+
+    return run
+
+
 def prose_gaps(counts: DataFrame, by: list[str], margin: float = 0.5, min_context: int = 4, min_obs: int = 3, permutations: int = 200, seed: str = "prose") -> DataFrame:
     """``by..., n_contexts, z, null_mean, gap, p`` from ``by..., ctx, tok, s, t``: how often a pair stands in the steal and the test part.
 
     Green tokens of each context come from the steal part, as does the rate at
     which they occur there (``gamma``, 0.01 to 0.5).  The null deals the contexts'
-    green sets to other contexts: the green rows, not the corpus, are multiplied
-    by the permutations, and each is one lookup in the test part's counts.  With
+    green sets to other contexts: the green rows, not the corpus, are multiplied by
+    the permutations, a set of tokens (without U+001F) at a time, and each token is
+    one lookup in the test part's counts.  With
     less than two contexts there is no test: gap and z are 0, p is 1.  Without a
     test part the steal part is tested.
     """
@@ -150,14 +179,19 @@ def prose_gaps(counts: DataFrame, by: list[str], margin: float = 0.5, min_contex
     scored = own.groupBy(*by).agg(F.sum("s").alias("__ss"), F.sum("t").alias("__n"))
     real = green.groupBy(*by).agg(F.sum("s").alias("__hs"), F.sum("t").alias("__h"), F.count_distinct("ctx").alias("n_contexts"))
     base = join(scored, real)
-    # each permutation is a task's work on the contexts of one group
-    w = Window.partitionBy(*by, "__p")
+    # contexts go by their place in the order; a permutation moves whole green sets, and only tokens of such sets are met
+    index = stored(keys.withColumn("__j", F.row_number().over(Window.partitionBy(*by).orderBy("ctx"))), "prose-contexts")
     # the draws depend on context and permutation alone: one for each, whatever number of groups
-    draws = keys.select("ctx").distinct().withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("__u", draw(seed, F.col("__p"), F.col("ctx")))
-    ranked = keys.join(stored(draws, "prose-draws"), "ctx").withColumn("__at", F.row_number().over(w.orderBy("ctx"))).withColumn("__to", F.row_number().over(w.orderBy("__u", "ctx")))
-    dealt = ranked.select(*on("__p"), F.col("ctx").alias("__i"), F.col("__to").alias("__at")).join(ranked.select(*on("__p", "__at"), F.col("ctx").alias("__j")), on("__p", "__at"))
-    moved = green.select(*by, F.col("ctx").alias("__i"), "tok").join(dealt, on("__i")).select(*on("__p", "tok"), F.col("__j").alias("ctx"))
-    null = moved.join(own.where("t > 0").select(*on("ctx", "tok", "t")), on("ctx", "tok")).groupBy(*on("__p")).agg(F.sum("t").alias("__nh"))
+    draws = index.select("ctx").distinct().withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("__u", draw(seed, F.col("__p"), F.col("ctx")))
+    # each permutation is a task's work on the contexts of one group
+    order = index.join(draws, "ctx").select(*on("__p"), F.col("__j").alias("__i"), "__u").withColumn("__to", F.row_number().over(Window.partitionBy(*by, "__p").orderBy("__u", "__i")))
+    sets = green.join(index, on("ctx")).groupBy(*by, F.col("__j").alias("__i")).agg(F.concat_ws(BETWEEN, F.collect_list("tok")).alias("__toks"))
+    moved = order.join(sets, on("__i")).select(*by, F.col("__to").alias("__j"), "__p", "__toks", F.lit(None).cast("array<bigint>").alias("__ts"))
+    met = own.where("t > 0").join(green.select(*on("tok")).distinct(), on("tok"), "left_semi").join(index, on("ctx")).groupBy(*on("__j")).agg(F.collect_list(F.struct("tok", "t")).alias("__x"))
+    met = met.select(*on("__j"), F.lit(-1).alias("__p"), F.concat_ws(BETWEEN, F.col("__x.tok")).alias("__toks"), F.col("__x.t").cast("array<bigint>").alias("__ts"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in green.select(*by).schema)
+    hits = met.unionByName(moved).repartition(*on("__j")).sortWithinPartitions(*on("__j", "__p")).mapInArrow(_met(by), f"{kinds}__p int, __nh long")
+    null = hits.groupBy(*on("__p")).agg(F.sum("__nh").alias("__nh"))
     grid = whole.select(*by).withColumn("__p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))) if by else spark.range(permutations).select(F.col("id").cast("int").alias("__p"))
     gamma = F.least(F.lit(0.5), F.greatest(F.lit(0.01), F.coalesce(F.col("__hs") / F.nullif("__ss", F.lit(0)), F.lit(0.1))))
     z = lambda h: F.when(F.col("__n") > 0, (h - F.col("__g") * F.col("__n")) / F.sqrt(F.greatest("__n", F.lit(1)) * F.col("__g") * (1 - F.col("__g")))).otherwise(0.0)
@@ -307,8 +341,8 @@ def _corpus_gaps(n_boot: int, permutations: int, margin: float, min_context: int
     return run
 
 
-#: Partitions over which sources and blocks are dealt, so that few meet in one; tasks that share the draws of a source; what stands between tokens on their way.
-DEALT, BLOCKS, BETWEEN = 200, 2, "\x1f"
+#: Partitions over which sources and blocks are dealt, so that few meet in one; tasks that share the draws of a source.
+DEALT, BLOCKS = 200, 2
 
 
 def prose_bootstrap(samples: DataFrame, source: str = "source", sample: str = "doc_id", n_boot: int = 80, permutations: int = 40, margin: float = 0.5, min_context: int = 4, min_obs: int = 3, seed: str = "boot") -> DataFrame:

@@ -295,3 +295,24 @@ def test_substitution_and_overlap_within_a_row(spark):
     cost = generators.overlap_cost(df.withColumn("after", F.slice("tokens", 1, 4)), "k", "tokens", "after")
     assert "hashpartitioning" not in cost._jdf.queryExecution().executedPlan().toString()
     assert {r.k: r.cost for r in cost.collect()} == {k: 1 - min(k, 4) / k for k in (1, 2, 3, 12, 13, 40)}
+
+
+def test_permutations_move_sets_of_tokens(spark):
+    made = generators.sequences(spark, generators.Recipe(vocab=30, length=200), 12).select(F.col("seq_id").alias("doc_id"), F.explode(keyless.bigrams_in(F.col("tokens"))).alias("b")).select("doc_id", "b.ctx", "b.tok")
+    pairs = made.groupBy("ctx", "tok").agg(F.sum(1 - keyless.half("x", F.col("doc_id"))).alias("s"), F.sum(keyless.half("x", F.col("doc_id"))).alias("t"))
+    out = keyless.prose_gaps(pairs, [], permutations=9, seed="x")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.ctx, r.tok): (r.s, r.t) for r in pairs.collect()}
+    share = lambda i, k: sum(v[0] for w, v in rows.items() if w[i] == k)
+    total = sum(v[0] for v in rows.values())
+    green = [w for w, (s, _) in rows.items() if s >= 3 and share(0, w[0]) >= 4 and s / share(0, w[0]) > 1.5 * share(1, w[1]) / total]
+    keys = sorted({c for c, _ in green})
+    own = [v for w, v in rows.items() if w[0] in keys]
+    n, gamma = sum(v[1] for v in own), min(0.5, max(0.01, sum(rows[w][0] for w in green) / sum(v[0] for v in own)))
+    z = lambda h: (h - gamma * n) / math.sqrt(n * gamma * (1 - gamma))
+    null = []
+    for p in range(9):
+        to = dict(zip(sorted(keys, key=lambda c: (hashlib.sha256(f"x|{p}|{c}".encode()).hexdigest()[:8], c)), keys, strict=True))
+        null.append(z(sum(rows.get((to[c], t), (0, 0))[1] for c, t in green)))
+    r = out.first()
+    assert len(keys) >= 2 and r.n_contexts == len(keys) and r.z == pytest.approx(z(sum(rows[w][1] for w in green))) and r.null_mean == pytest.approx(sum(null) / 9) and r.p == (sum(x >= r.z for x in null) + 1) / 10
